@@ -1 +1,8 @@
 """Spark-native analytics over process time series."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need not have this package installed: functions sent to them carry their code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
