@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quernel.llm import mixing, sharding
+from quernel.llm import chat, mixing, sharding, tokens
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op3_tokens": tokens.op3_tokens,
     "op7_shard": sharding.op7_shard,
+    "op10_chat": chat.op10_chat,
 }
 
 #: DuckDB SQL over the whole tables.
@@ -34,4 +36,21 @@ cut AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 EN
 SELECT doc_id, size, source_size, target,
        (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::BIGINT AS taken
 FROM cut""",
+    "op10_chat": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+marked AS (
+  SELECT *, lag(role, 1, 'start') OVER w AS prev, lead(role) OVER w AS next,
+         length(regexp_replace(role, '([\\#<:])', '\\\1', 'g')) + length(regexp_replace(text, '([\\#<])', '\\\1', 'g')) + 15 AS chars
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text))
+SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars,
+       (count(*) FILTER (NOT ((role = 'system' AND prev = 'start') OR (role = 'user' AND prev IN ('start', 'system', 'assistant')) OR (role = 'assistant' AND prev = 'user')))
+        + count(*) FILTER (next IS NULL AND role <> 'assistant'))::BIGINT AS n_errors
+FROM marked GROUP BY conv_id""",
 }
