@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quernel.llm import chat, mixing, sharding, tokens
+from quernel.llm import chat, mixing, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op3_tokens": tokens.op3_tokens,
     "op7_shard": sharding.op7_shard,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_chat": chat.op10_chat,
 }
 
