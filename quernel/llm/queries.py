@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quernel.llm import chat, mixing, secrets, sharding, tokens, toxicity
+from quernel.llm import chat, decontamination, mixing, secrets, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op3_tokens": tokens.op3_tokens,
     "op4_secrets": secrets.op4_secrets,
     "op7_shard": sharding.op7_shard,
+    "op8_decontaminate": decontamination.op8_decontaminate,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_chat": chat.op10_chat,
 }
@@ -88,4 +89,17 @@ SELECT t.doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank =
        sha256(coalesce(string_agg(mark, ',' ORDER BY start, rank) FILTER (rank < 3), '')) AS base_sha256,
        coalesce(string_agg(mark, ',' ORDER BY start, rank) FILTER (rank IS NOT NULL), '') AS spans
 FROM texts t LEFT JOIN marks m ON t.doc_id = m.doc_id GROUP BY t.doc_id""",
+    "op8_decontaminate": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+items AS (SELECT item_id, len(w) AS n, least(len(w), 16) AS win, unnest(w) AS word, unnest(range(len(w))) AS item_at FROM b WHERE len(w) >= 8),
+places AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS doc_at FROM d),
+same AS (SELECT doc_id, item_id, doc_at - item_at AS start, item_at, win FROM places JOIN items USING (word)),
+often AS (SELECT doc_id, item_id, start FROM same GROUP BY ALL HAVING count(*) >= ceil(0.8 * min(win) - 1e-9)),
+windows AS (
+  SELECT doc_id, item_id, start, win,
+         count(*) OVER (PARTITION BY doc_id, item_id, start ORDER BY item_at RANGE BETWEEN CURRENT ROW AND 15 FOLLOWING) AS hits
+  FROM same JOIN often USING (doc_id, item_id, start)),
+best AS (SELECT doc_id, item_id, start, max(hits) AS best FROM windows GROUP BY doc_id, item_id, start, win HAVING max(hits) >= ceil(0.8 * win - 1e-9))
+SELECT doc_id, item_id, max(best)::BIGINT AS best, count(*) AS n_places FROM best GROUP BY doc_id, item_id""",
 }
