@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quernel.llm import chat, decontamination, mixing, secrets, sharding, tokens, toxicity
+from quernel.llm import chat, decontamination, jaccard, mixing, secrets, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op3_tokens": tokens.op3_tokens,
     "op4_secrets": secrets.op4_secrets,
+    "op6_jaccard": jaccard.op6_jaccard,
     "op7_shard": sharding.op7_shard,
     "op8_decontaminate": decontamination.op8_decontaminate,
     "op9_toxicity": toxicity.op9_toxicity,
