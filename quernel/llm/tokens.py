@@ -17,15 +17,15 @@ from quernel.llm.scratch import new_path
 #: never joins characters across such a place, so pieces can be encoded one by one and their ids be kept.
 PIECES = re.compile(r"(?= \S)")
 #: Pieces whose ids a worker keeps; beyond it starts anew. Results don't depend on it.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 500_000
 ORC_OPTIONS = {
     "orc.compress": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20),
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
 }
 
 
-class PieceEncoder:
-    """Ids of texts by the tokenizers library, each distinct piece encoded once."""
+class PieceEncoder(dict):
+    """Ids of texts by the tokenizers library, each distinct piece encoded once. Maps a piece without its leading space to its number."""
 
     def __init__(self, vocabulary: str):
         import os
@@ -33,35 +33,73 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts, self.lengths, self.flat = [0], [], []
+        self.clear()
+        self.new: list[str] = []
+        self.n, self.used = 1, 1  # number 0 is the end of a text
+        self.starts, self.lengths, self.flat = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64), np.zeros(1 << 18, np.int32)
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = self.n + len(self.new)
+        self.new.append(piece)
+        return number
+
+    def _numbers(self, text: str) -> np.ndarray:
+        pieces = text.split(" ")
+        if not text or "" in pieces:  # white space at an end or in a run: split where pieces begin, by the rule itself
+            pieces = [p[1:] if p[:1] == " " and len(p) > 1 and not p[1].isspace() else (p,) for p in PIECES.split(text)] if text else []
+        else:
+            pieces[0] = (pieces[0],)  # no space before it
+        return np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+
+    def _learn(self) -> None:
+        for at in range(0, len(self.new), 4096):
+            given = [p[0] if isinstance(p, tuple) else f" {p}" for p in self.new[at : at + 4096]]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(given, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            total, end = int(sizes.sum()), self.n + len(ids)
+            while self.used + total > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            while end > len(self.starts):
+                self.starts, self.lengths = (np.concatenate([x, np.ones_like(x)]) for x in (self.starts, self.lengths))
+            self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
+            self.starts[self.n : end] = self.used + np.cumsum(sizes) - sizes
+            self.lengths[self.n : end] = sizes
+            self.n, self.used = end, self.used + total
+        self.new = []
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, ``end_id`` after each, and the number of ids of each."""
-        if len(self.known) > KEPT_PIECES:
+        if self.n > KEPT_PIECES:
             self._reset()
-        known = self.known
-        pieces = [PIECES.split(t) if t else [] for t in texts]
-        new = list(dict.fromkeys(p for ps in pieces for p in ps if p not in known))
-        for at in range(0, len(new), 4096):
-            for p, e in zip(new[at : at + 4096], self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False), strict=True):
-                known[p] = len(self.lengths)
-                self.lengths.append(len(e.ids))
-                self.flat.extend(e.ids)
-        flat, lengths = np.asarray([*self.flat, end_id], np.int32), np.asarray([*self.lengths, 1], np.int64)
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        end = len(self.lengths)
-        index = np.fromiter((i for ps in pieces for i in (*map(known.__getitem__, ps), end)), np.int64, sum(map(len, pieces)) + len(pieces))
-        sizes = lengths[index]
-        at = np.cumsum(sizes) - sizes
-        ids = flat[np.repeat(starts[index] - at, sizes) + np.arange(sizes.sum())]
-        ends = np.cumsum(sizes)[np.cumsum([len(ps) + 1 for ps in pieces]) - 1] if pieces else np.zeros(0, np.int64)
-        return ids, np.diff(ends, prepend=0)
+        if not texts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        end = np.zeros(1, np.int64)
+        parts = [self._numbers(t) for t in texts]
+        self._learn()
+        self.flat[0] = end_id
+        index = np.concatenate([x for p in parts for x in (p, end)])
+        sizes = self.lengths[index]
+        ends = np.cumsum(sizes)
+        source = np.arange(ends[-1])
+        source += np.repeat(self.starts[index] - (ends - sizes), sizes)
+        last = np.cumsum([len(p) + 1 for p in parts]) - 1
+        return self.flat[source], np.diff(ends[last], prepend=0)
+
+
+def worker_encoder(vocabulary: str) -> PieceEncoder:
+    """The encoder of this Python worker, kept on an imported module from task to task."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_quernel_encoders", {})
+    if vocabulary not in kept:
+        kept[vocabulary] = PieceEncoder(vocabulary)
+    return kept[vocabulary]
 
 
 def _slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -80,7 +118,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "d
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(vocabulary)
+        encoder = worker_encoder(vocabulary)
         for batch in batches:
             for part in _slices(batch, "text"):
                 ids, n = encoder.encode([t or "" for t in part.column("text").to_pylist()], end_id)
