@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quernel.llm import chat, decontamination, embeddings, jaccard, mixing, secrets, sharding, tokens, toxicity
+from quernel.llm import chat, decontamination, embeddings, jaccard, mixing, repeats, secrets, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_embeddings": embeddings.op2_embeddings,
     "op3_tokens": tokens.op3_tokens,
     "op4_secrets": secrets.op4_secrets,
+    "op5_repeats": repeats.op5_repeats,
     "op6_jaccard": jaccard.op6_jaccard,
     "op7_shard": sharding.op7_shard,
     "op8_decontaminate": decontamination.op8_decontaminate,
