@@ -323,5 +323,20 @@ def similarity_join(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     )
 
 
+def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``similarity_join`` keeps, with their columns: of each group that links join, the least id; of rows that repeat
+    this id, one. Documents without words and rows with a null id all stay."""
+    joined = similarity_join(docs, similarity, id_col, text_col)
+    gone = materialize(joined.where("not kept").select(F.col(id_col).alias("__id")).distinct(), "near-copies")
+    rest = docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    twice = materialize(rest.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).count().where("count > 1").select("__id"), "repeated-ids")
+    if twice.isEmpty():
+        return rest
+    again = rest.join(twice, rest[id_col] == twice["__id"], "left_semi")
+    once = again.where(F.trim(F.coalesce(text_col, F.lit(""))) != "").dropDuplicates([id_col])
+    blank = again.where(F.trim(F.coalesce(text_col, F.lit(""))) == "")
+    return rest.join(twice, rest[id_col] == twice["__id"], "left_anti").unionByName(once).unionByName(blank)
+
+
 def op6_jaccard(spark, sf_dir: str) -> DataFrame:
     return similarity_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
