@@ -16,8 +16,9 @@ from quernel.llm.scratch import new_path
 #: A piece begins before every space that a character other than white space follows. The vocabulary's own splitting
 #: never joins characters across such a place, so pieces can be encoded one by one and their ids be kept.
 PIECES = re.compile(r"(?= \S)")
-#: Pieces whose ids a worker keeps; beyond it starts anew. Results don't depend on it.
-KEPT_PIECES = 500_000
+SPACE = re.compile(r"\s")
+#: Pieces whose ids a worker keeps; when it has more, the most used third stays. Results don't depend on it.
+KEPT_PIECES = 400_000
 ORC_OPTIONS = {
     "orc.compress": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20),
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
@@ -36,16 +37,39 @@ class PieceEncoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self._reset()
 
     def _reset(self) -> None:
         self.clear()
-        self.new: list[str] = []
-        self.n, self.used = 1, 1  # number 0 is the end of a text
-        self.starts, self.lengths, self.flat = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64), np.zeros(1 << 18, np.int32)
+        self.pieces: list = [None]  # by number; number 0 is the end of a text
+        self.new: list = []
+        self.used = 1
+        self.starts, self.lengths, self.counts = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.int64)
+        self.flat = np.zeros(1 << 18, np.int32)
+
+    def _shrink(self) -> None:
+        most = np.sort(np.argsort(-self.counts[1:], kind="stable")[: KEPT_PIECES // 3] + 1)
+        sizes = self.lengths[most]
+        ends = np.cumsum(sizes)
+        flat = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[most] - (ends - sizes), sizes)]
+        pieces = [self.pieces[i] for i in most]
+        self._reset()
+        self._add(pieces, flat, sizes)
+        self.update(zip(pieces, range(1, len(pieces) + 1), strict=True))
+
+    def _add(self, pieces: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+        self.lengths = np.concatenate([self.lengths, sizes])
+        self.counts = np.concatenate([self.counts, np.zeros(len(sizes), np.int64)])
+        self.used += len(ids)
+        self.pieces += pieces
 
     def __missing__(self, piece: str) -> int:
-        number = self[piece] = self.n + len(self.new)
+        number = self[piece] = len(self.pieces) + len(self.new)
         self.new.append(piece)
         return number
 
@@ -57,33 +81,43 @@ class PieceEncoder(dict):
             pieces[0] = (pieces[0],)  # no space before it
         return np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
 
-    def _learn(self) -> None:
-        for at in range(0, len(self.new), 4096):
-            given = [p[0] if isinstance(p, tuple) else f" {p}" for p in self.new[at : at + 4096]]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(given, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            total, end = int(sizes.sum()), self.n + len(ids)
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while end > len(self.starts):
-                self.starts, self.lengths = (np.concatenate([x, np.ones_like(x)]) for x in (self.starts, self.lengths))
-            self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
-            self.starts[self.n : end] = self.used + np.cumsum(sizes) - sizes
-            self.lengths[self.n : end] = sizes
-            self.n, self.used = end, self.used + total
-        self.new = []
+    def _learn(self) -> np.ndarray:
+        """Encode the new pieces: those without white space of their own in lines of one text, whose ids the line ends part.
+        Returns the final number for each number given out so far."""
+        new, self.new = self.new, []
+        given = [p[0] if isinstance(p, tuple) else f" {p}" for p in new]
+        plain = [i for i, p in enumerate(new) if not isinstance(p, tuple) and (p.isalpha() or not SPACE.search(p))]
+        rest = sorted(set(range(len(new))) - set(plain))
+        old = len(self.pieces)
+        order = np.arange(old + len(new))
+        order[old + np.array([*plain, *rest], np.int64)] = np.arange(old, old + len(new))
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(given[i] for i in some) + "\n"], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(ids == self.line_end)
+            if len(ends) != len(some):
+                raise ValueError("the vocabulary joins line ends with other text")
+            self._add([new[i] for i in some], np.delete(ids, ends), np.diff(ends, prepend=-1) - 1)
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([given[i] for i in some], add_special_tokens=False)]
+            self._add([new[i] for i in some], np.array([x for y in ids for x in y], np.int32), np.array([len(y) for y in ids], np.int64))
+        if rest:
+            self.update((p, int(order[old + i])) for i, p in enumerate(new))
+        return order
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, ``end_id`` after each, and the number of ids of each."""
-        if self.n > KEPT_PIECES:
-            self._reset()
+        if len(self.pieces) > KEPT_PIECES:
+            self._shrink()
         if not texts:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         end = np.zeros(1, np.int64)
         parts = [self._numbers(t) for t in texts]
-        self._learn()
+        order = self._learn()
         self.flat[0] = end_id
-        index = np.concatenate([x for p in parts for x in (p, end)])
+        index = order[np.concatenate([x for p in parts for x in (p, end)])]
+        self.counts += np.bincount(index, minlength=len(self.counts))
         sizes = self.lengths[index]
         ends = np.cumsum(sizes)
         source = np.arange(ends[-1])
