@@ -87,7 +87,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cols = np.concatenate([carried, cols])
         same_anchor = cols[1:, 0] == cols[:-1, 0]
         first = np.r_[True, ~same_anchor | (cols[1:, 1] != cols[:-1, 1])]
-        repeated, firsts = cols[~first], cols[first]
+        lead = cols[np.maximum.accumulate(np.where(first, np.arange(len(cols)), 0))]
+        again = ~first & (cols[:, 2:4] != lead[:, 2:4]).any(1)  # a row of the table that is repeated is at the same place
+        repeated, firsts = cols[again], cols[first]
         same = firsts[1:, 0] == firsts[:-1, 0]
         on = np.r_[False, same] | np.r_[same, False]
         emit = on.copy()
