@@ -105,4 +105,41 @@ windows AS (
   FROM same JOIN often USING (doc_id, item_id, start)),
 best AS (SELECT doc_id, item_id, start, max(hits) AS best FROM windows GROUP BY doc_id, item_id, start, win HAVING max(hits) >= ceil(0.8 * win - 1e-9))
 SELECT doc_id, item_id, max(best)::BIGINT AS best, count(*) AS n_places FROM best GROUP BY doc_id, item_id""",
+    "op2_embeddings": r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL),
+unit AS (SELECT vec_id, x FROM v WHERE len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
+SELECT a AS vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(b) AS component_id, a = min(b) AS kept FROM reach LEFT JOIN n USING (a) GROUP BY a""",
+    "op6_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS h FROM s GROUP BY 1),
+class AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY h) AS class_id FROM n),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b, y.class_id AS class_b, x.class_id AS class_a FROM i JOIN class x ON x.doc_id = a JOIN class y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+links AS (SELECT a, count(*) AS n_links, count(DISTINCT class_b) FILTER (class_b <> class_a) AS n_linked_classes FROM l GROUP BY a),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+part AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT p.a AS doc_id, coalesce(class_id, p.a) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_linked_classes, 0)::BIGINT AS n_linked_classes, component_id, p.a = component_id AS kept
+FROM part p LEFT JOIN class ON class.doc_id = p.a LEFT JOIN links ON links.a = p.a""",
+    "op7_shard": r"""
+WITH RECURSIVE step(i, c, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+hexed AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h, (octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS size FROM documents),
+bytes AS (SELECT doc_id, size, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM hexed),
+summed AS (SELECT doc_id, size, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM bytes, crc),
+placed AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5('7|' || coalesce(doc_id::VARCHAR, '\N')), 1, 15))::BIGINT, doc_id, text_crc32, size) - 1 AS row, count(*) OVER () AS n FROM summed),
+sides AS (SELECT *, ceil(sqrt(n))::BIGINT AS a, (n + ceil(sqrt(n))::BIGINT - 1) // ceil(sqrt(n))::BIGINT AS b FROM placed),
+walk(doc_id, size, text_crc32, n, a, b, l, r, j) AS (
+  SELECT doc_id, size, text_crc32, n, a, b, row % a, row // a, 1 FROM sides
+  UNION ALL
+  SELECT doc_id, size, text_crc32, n, a, b,
+         CASE WHEN j = 7 THEN (r * a + l) % a ELSE r END,
+         CASE WHEN j = 7 THEN (r * a + l) // a ELSE (l + ('0x' || substr(md5('7:' || j || ':' || r), 1, 12))::BIGINT) % CASE WHEN j % 2 = 1 THEN a ELSE b END END,
+         CASE WHEN j = 7 THEN 1 ELSE j + 1 END
+  FROM walk WHERE j < 7 OR r * a + l >= n),
+done AS (SELECT *, r * a + l AS place FROM walk WHERE j = 7 AND r * a + l < n)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (place % 40)::INT AS shard, place // 40 AS slot, NULL::INT AS grown_shard FROM done""",
 }
