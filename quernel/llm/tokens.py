@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -17,8 +19,8 @@ from quernel.llm.scratch import new_path
 #: never joins characters across such a place, so pieces can be encoded one by one and their ids be kept.
 PIECES = re.compile(r"(?= \S)")
 SPACE = re.compile(r"\s")
-#: Pieces whose ids a worker keeps; when it has more, the most used third stays. Results don't depend on it.
-KEPT_PIECES = 400_000
+#: Pieces whose ids a worker keeps; when it has more, the most used half stays. Results don't depend on it.
+KEPT_PIECES = 700_000
 ORC_OPTIONS = {
     "orc.compress": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20),
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
@@ -33,9 +35,14 @@ class PieceEncoder(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        with open(vocabulary, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        # the model's own cache of words only costs time here, where no piece is encoded twice
+        self.tokenizer.model = BPE(vocab=model["vocab"], merges=[tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]], cache_capacity=0)
         self.tokenizer.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self._reset()
@@ -49,10 +56,8 @@ class PieceEncoder(dict):
         self.flat = np.zeros(1 << 18, np.int32)
 
     def _shrink(self) -> None:
-        most = np.sort(np.argsort(-self.counts[1:], kind="stable")[: KEPT_PIECES // 3] + 1)
-        sizes = self.lengths[most]
-        ends = np.cumsum(sizes)
-        flat = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[most] - (ends - sizes), sizes)]
+        most = np.sort(np.argsort(-self.counts[1:], kind="stable")[: KEPT_PIECES // 2] + 1)
+        sizes, flat = self.lengths[most], self._gather(most)
         pieces = [self.pieces[i] for i in most]
         self._reset()
         self._add(pieces, flat, sizes)
@@ -74,38 +79,57 @@ class PieceEncoder(dict):
         return number
 
     def _numbers(self, text: str) -> np.ndarray:
-        pieces = text.split(" ")
-        if not text or "" in pieces:  # white space at an end or in a run: split where pieces begin, by the rule itself
+        if not text or "  " in text or text[0] == " " or text[-1] == " ":  # split where pieces begin, by the rule itself
             pieces = [p[1:] if p[:1] == " " and len(p) > 1 and not p[1].isspace() else (p,) for p in PIECES.split(text)] if text else []
         else:
+            pieces = text.split(" ")
             pieces[0] = (pieces[0],)  # no space before it
         return np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
 
     def _learn(self) -> np.ndarray:
         """Encode the new pieces: those without white space of their own in lines of one text, whose ids the line ends part.
         Returns the final number for each number given out so far."""
-        new, self.new = self.new, []
-        given = [p[0] if isinstance(p, tuple) else f" {p}" for p in new]
-        plain = [i for i, p in enumerate(new) if not isinstance(p, tuple) and (p.isalpha() or not SPACE.search(p))]
-        rest = sorted(set(range(len(new))) - set(plain))
-        old = len(self.pieces)
+        new, old = self.new, len(self.pieces)
+        plain, rest, parts = [], [], {}
+        for i, p in enumerate(new):  # grows while it is walked
+            if isinstance(p, tuple):
+                rest.append(i)
+            elif p.isalpha():
+                plain.append(i)
+            elif (head := p.rstrip(string.punctuation)) != p and head.isalpha():
+                parts[i] = (self[head], self[(p[len(head) :],)])  # letters, then punctuation: the vocabulary splits here
+            elif SPACE.search(p):
+                rest.append(i)
+            else:
+                plain.append(i)
+        self.new = []
         order = np.arange(old + len(new))
-        order[old + np.array([*plain, *rest], np.int64)] = np.arange(old, old + len(new))
+        order[old + np.array([*plain, *rest, *parts], np.int64)] = np.arange(old, old + len(new))
         for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(given[i] for i in some) + "\n"], add_special_tokens=False)[0].ids, np.int32)
+            some = [new[i] for i in plain[at : at + 4096]]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + "\n ".join(some) + "\n"], add_special_tokens=False)[0].ids, np.int32)
             ends = np.flatnonzero(ids == self.line_end)
             if len(ends) != len(some):
                 raise ValueError("the vocabulary joins line ends with other text")
-            self._add([new[i] for i in some], np.delete(ids, ends), np.diff(ends, prepend=-1) - 1)
+            self._add(some, np.delete(ids, ends), np.diff(ends, prepend=-1) - 1)
         for at in range(0, len(rest), 4096):
-            some = rest[at : at + 4096]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([given[i] for i in some], add_special_tokens=False)]
-            self._add([new[i] for i in some], np.array([x for y in ids for x in y], np.int32), np.array([len(y) for y in ids], np.int64))
-        if rest:
-            self.update((p, int(order[old + i])) for i, p in enumerate(new))
+            some = [new[i] for i in rest[at : at + 4096]]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([p[0] if isinstance(p, tuple) else f" {p}" for p in some], add_special_tokens=False)]
+            self._add(some, np.array([x for y in ids for x in y], np.int32), np.array([len(y) for y in ids], np.int64))
+        if parts:
+            two = order[np.array(list(parts.values()), np.int64).ravel()]
+            self._add([new[i] for i in parts], self._gather(two), self.lengths[two].reshape(-1, 2).sum(1))
+        self.update(zip(new, order[old:].tolist(), strict=True))
         return order
 
+    def _gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of the numbered pieces, one after the other."""
+        sizes = self.lengths[numbers]
+        ends = np.cumsum(sizes)
+        source = np.arange(ends[-1] if len(ends) else 0)
+        source += np.repeat(self.starts[numbers] - (ends - sizes), sizes)
+        return self.flat[source]
+
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, ``end_id`` after each, and the number of ids of each."""
         if len(self.pieces) > KEPT_PIECES:
@@ -118,12 +142,8 @@ class PieceEncoder(dict):
         self.flat[0] = end_id
         index = order[np.concatenate([x for p in parts for x in (p, end)])]
         self.counts += np.bincount(index, minlength=len(self.counts))
-        sizes = self.lengths[index]
-        ends = np.cumsum(sizes)
-        source = np.arange(ends[-1])
-        source += np.repeat(self.starts[index] - (ends - sizes), sizes)
         last = np.cumsum([len(p) + 1 for p in parts]) - 1
-        return self.flat[source], np.diff(ends[last], prepend=0)
+        return self._gather(index), np.diff(np.cumsum(self.lengths[index])[last], prepend=0)
 
 
 def worker_encoder(vocabulary: str) -> PieceEncoder:
