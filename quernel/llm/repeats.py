@@ -59,16 +59,28 @@ def runs(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int =
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of each batch. Of equal runs in one batch, the first stands for all; the others are repeated for certain, which a negative
+    shape says, so that a very frequent run doesn't meet in one task."""
     for b in batches:
         ids = b.column("doc_id").to_numpy()
-        row = 0
+        row, found = 0, []
         for data, bounds in text_runs(b.column("text")):
             for at in range(0, max(1, len(data) - LENGTH + 1), PIECE):
                 part = data[at : at + PIECE + LENGTH - 1]
                 anchors, whole, text, place, left, n = runs(part, np.clip(bounds - at, 0, len(part)))
                 place += np.maximum(at - bounds[text], 0)  # of the part of a text that earlier pieces held
-                yield pa.RecordBatch.from_pydict({"anchor": pa.array(anchors.view(np.int64)), "whole": pa.array(whole.view(np.int64)), "doc_id": pa.array(ids[row + text], pa.int64()), "place": pa.array(place, pa.int64()), "shape": pa.array(left * 256 + n, pa.int32())})
+                found.append((anchors.view(np.int64), whole.view(np.int64), ids[row + text], place, left * 256 + n))
             row += len(bounds) - 1
+        if not found:
+            continue
+        anchor, whole, doc, place, shape = (np.concatenate(c) for c in zip(*found, strict=True))
+        by = np.lexsort((place, doc, whole, anchor))
+        a, w, d, p = anchor[by], whole[by], doc[by], place[by]
+        first = np.ones(len(by), bool)
+        first[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1])
+        lead = np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
+        certain = ~first & ((d != d[lead]) | (p != p[lead]))  # a row of the table that is repeated is at the same place
+        yield pa.RecordBatch.from_pydict({"anchor": pa.array(a), "whole": pa.array(w), "doc_id": pa.array(d, pa.int64()), "place": pa.array(p), "shape": pa.array(np.where(certain, -shape[by], shape[by]), pa.int32())})
 
 
 FOUND = "anchor long, doc_id long, place long, shape int, repeated boolean"
@@ -77,14 +89,19 @@ FOUND = "anchor long, doc_id long, place long, shape int, repeated boolean"
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In a partition sorted by anchor, run and place: later equal runs are ``repeated``; the first of each run goes on if its
     anchor has other runs too. From batch to batch, only the latest first row is carried, and whether it has gone on already."""
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("shape", pa.int32()), ("repeated", pa.bool_())])
     carried, gone = None, False
     for b in batches:
         if not b.num_rows:
             continue
         cols = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("anchor", "whole", "doc_id", "place", "shape")], 1)
+        certain = cols[cols[:, 4] < 0]
+        certain[:, 4] *= -1
+        cols = cols[cols[:, 4] > 0]
         if carried is not None:
             cols = np.concatenate([carried, cols])
+        if not len(cols):
+            yield _found(certain, cols[:0])
+            continue
         same_anchor = cols[1:, 0] == cols[:-1, 0]
         first = np.r_[True, ~same_anchor | (cols[1:, 1] != cols[:-1, 1])]
         lead = cols[np.maximum.accumulate(np.where(first, np.arange(len(cols)), 0))]
@@ -96,8 +113,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emit[0] &= not gone
         gone = bool(on[-1]) or (gone and len(firsts) == 1)
         carried = firsts[-1:]
-        rows = np.concatenate([repeated, firsts[emit]])
-        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 2]), pa.array(rows[:, 3]), pa.array(rows[:, 4], pa.int32()), pa.array(np.arange(len(rows)) < len(repeated))], schema=schema)
+        yield _found(np.concatenate([certain, repeated]), firsts[emit])
+
+
+def _found(repeated: np.ndarray, on: np.ndarray) -> pa.RecordBatch:
+    rows = np.concatenate([repeated, on])
+    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("shape", pa.int32()), ("repeated", pa.bool_())])
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 2]), pa.array(rows[:, 3]), pa.array(rows[:, 4], pa.int32()), pa.array(np.arange(len(rows)) < len(repeated))], schema=schema)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +284,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     usable = source.where("doc_id is not null and octet_length(text) >= 100")
     rows = usable.mapInArrow(_runs, "anchor long, whole long, doc_id long, place long, shape int")
-    sorted_rows = rows.repartition("anchor").sortWithinPartitions("anchor", "whole", "doc_id", "place")
+    sorted_rows = rows.repartition(F.when(F.col("shape") < 0, F.xxhash64("doc_id", "place")).otherwise(F.col("anchor"))).sortWithinPartitions("anchor", "whole", "doc_id", "place")
     found = materialize(sorted_rows.mapInArrow(_meet, FOUND), "runs")
     asked = found.where("not repeated").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "shape")).alias("asked"))
     strings = usable.join(asked, "doc_id").mapInArrow(_cut, "anchor long, doc_id long, start long, bytes binary")
