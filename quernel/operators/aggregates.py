@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quernel.functions.bins import edges, right_closed
 from quernel.functions.scalars import finite
-from quernel.operators.series import average_rank
+from quernel.operators.series import value_ranks
 
 FLAGS = ("y_ok", "y_low", "y_high", "y_out_spec")
 
@@ -63,7 +63,9 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], method: str =
     long = df.select(*by, F.explode(F.array(*cols)).alias("r")).select(*by, "r.*").where("a is not null and b is not null")
     keys = [*by, "x", "y"]
     if method == "spearman":
-        long = long.withColumn("a", average_rank("a", keys)).withColumn("b", average_rank("b", keys))
+        for side in ("a", "b"):
+            ranks = value_ranks(long, side, keys).select(*keys, side, F.col("rank").alias("__rank"))
+            long = long.join(ranks, [*keys, side]).drop(side).withColumnRenamed("__rank", side)
     agg = long.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("a", "b").alias("r"), F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
     fine = (F.col("n") >= least) & (F.col("a0") < F.col("a1")) & (F.col("b0") < F.col("b1"))
     return agg.select(*keys, "n", F.when(fine, F.col("r")).alias("r"))
@@ -245,11 +247,8 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     """Kruskal-Wallis statistic, corrected for ties."""
-    v = df.where(F.col(value).isNotNull()).groupBy(value).count()
-    # ranks by distinct value: counts below each, over distinct values only
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = v.withColumn("rank", F.coalesce(F.sum("count").over(w), F.lit(0)) + (F.col("count") + 1) / 2)
-    r = df.join(ranks, value).groupBy(group).agg(F.count("*").alias("n"), F.sum("rank").alias("s"))
+    v = value_ranks(df, value)
+    r = df.join(v.select(value, "rank"), value).groupBy(group).agg(F.count("*").alias("n"), F.sum("rank").alias("s"))
     ties = v.agg(F.sum(F.pow("count", F.lit(3)) - F.col("count")).alias("t"), F.sum("count").alias("nn"))
     h = r.crossJoin(F.broadcast(ties)).groupBy("nn", "t").agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"), F.count("*").alias("k"))
     nn = F.col("nn").cast("double")

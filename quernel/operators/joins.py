@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from quernel.functions.scalars import seconds
 
 
+#: Queries of a neighbour search that are broadcast, some hundred bytes each.
+MOST_QUERIES = 10_000
+
+
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, values: Sequence[str], tolerance_s: float, direction: str = "nearest", later_on_tie: bool = False) -> DataFrame:
     """Each left row with the values of the right row nearest in time (or the last before it: ``backward``), within the tolerance; null values if there is none.
 
@@ -45,13 +49,12 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, r
 
 
 def lag_lookup(left: DataFrame, right: DataFrame, ts: str, value: str, offsets_min: Sequence[int], name: str) -> DataFrame:
-    """The right value at left time minus each offset, as one column an offset: offsets are exploded on the left side, met by one equi-join and put in columns again."""
-    keyed = left.withColumn("__id", F.monotonically_increasing_id())
-    wanted = keyed.select("__id", F.col(ts).alias("__t"), F.explode(F.array(*map(F.lit, offsets_min))).alias("offset"))
-    wanted = wanted.withColumn("__at", F.col("__t") - F.make_dt_interval(mins=F.col("offset")))
-    met = wanted.join(right.select(F.col(ts).alias("__at"), F.col(value).alias("__v")), "__at", "left")
-    wide = met.groupBy("__id").agg(*[F.first(F.when(F.col("offset") == o, F.col("__v")), ignorenulls=True).alias(f"{name}_{'m' if o < 0 else 'p'}{abs(o)}") for o in offsets_min])
-    return keyed.join(wide, "__id", "left").drop("__id")
+    """The right value at left time minus each offset, as one column an offset. Right rows are shifted by every offset and put side by side by
+    the time they serve, so that one equi-join does all offsets. Times of ``right`` must be unique."""
+    shifted = right.select(F.col(ts).alias("__t"), F.col(value).alias("__v"), F.explode(F.array(*map(F.lit, offsets_min))).alias("__o"))
+    served = shifted.groupBy((F.col("__t") + F.make_dt_interval(mins=F.col("__o"))).alias(ts))
+    wide = served.agg(*[F.max(F.when(F.col("__o") == o, F.col("__v"))).alias(f"{name}_{'m' if o < 0 else 'p'}{abs(o)}") for o in offsets_min])
+    return left.join(wide, ts, "left")
 
 
 def checked_many_to_one(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -87,7 +90,7 @@ def windows_at(anchors: DataFrame, points: DataFrame, keys: Sequence[str], ancho
 def nearest_neighbours(queries: DataFrame, history: DataFrame, features: Sequence[str], k: int, visible: Column | None = None) -> DataFrame:
     """The k history rows nearest to each query: features scaled by median and quartile range, distance = median of the absolute differences that
     aren't null. ``queries`` and ``history`` have ``id``; ``visible`` may use ``q.`` and ``h.`` columns. The stated queries are compared with all
-    rows in blocks: queries are broadcast only below 10,000 rows, else Spark joins block by block."""
+    rows: up to MOST_QUERIES of them are broadcast, so history stays in place and only each task's k best are shuffled; more go in blocks of history and queries."""
     q = history.agg(*[F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f) for f in features])
     scale = {f: (F.col(f"s.{f}")[1], F.nullif(F.col(f"s.{f}")[2] - F.col(f"s.{f}")[0], F.lit(0.0))) for f in features}
 
@@ -95,7 +98,9 @@ def nearest_neighbours(queries: DataFrame, history: DataFrame, features: Sequenc
         return df.alias(name).crossJoin(F.broadcast(q.alias("s"))).select(f"{name}.*", F.array(*[(F.col(f"{name}.{f}") - m) / F.coalesce(iqr, F.lit(1.0)) for f, (m, iqr) in scale.items()]).alias("__x")).alias(name)
 
     left, right = scaled(queries, "q"), scaled(history, "h")
-    pairs = left.join(right, (F.col("q.id") != F.col("h.id")) if visible is None else visible & (F.col("q.id") != F.col("h.id")))
+    apart = F.col("q.id") != F.col("h.id")
+    side = F.broadcast(left) if queries.count() <= MOST_QUERIES else left
+    pairs = right.join(side, apart if visible is None else visible & apart)
     gaps = F.array_sort(F.filter(F.zip_with(F.col("q.__x"), F.col("h.__x"), lambda a, b: F.abs(a - b)), lambda d: d.isNotNull()))
     n = F.size("__d")
     median = F.when(n > 0, (F.get("__d", F.floor((n - 1) / 2).cast("int")) + F.get("__d", F.floor(n / 2).cast("int"))) / 2)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernel.operators.series import value_ranks
+
 
 def regression_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     e = F.col(y) - F.col(p)
@@ -14,23 +16,22 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) ->
 
 
 def ranking_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
-    """Average precision (steps, no trapezoids), ROC area and Brier score. Rows are first counted by distinct score, so the running sums go over scores; these
-    are put in ranges of score whose totals are summed apart."""
-    s = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("p")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count("*").alias("n"))
-    s = s.withColumn("part", F.floor(F.col("p") * 512).cast("long"))
-    totals = s.groupBy("part").agg(F.sum("pos").alias("tp"), F.sum("n").alias("tn"))
-    w = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    totals = totals.select("part", F.coalesce(F.sum("tp").over(w), F.lit(0)).alias("pos_before"), F.coalesce(F.sum("tn").over(w), F.lit(0)).alias("n_before"), F.sum("tp").over(whole).alias("all_pos"), F.sum("tn").over(whole).alias("all_n"))
-    inner = Window.partitionBy("part").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    c = s.withColumns({"cp": F.sum("pos").over(inner), "cn": F.sum("n").over(inner)}).join(totals, "part")
-    c = c.withColumns({"cp": F.col("cp") + F.col("pos_before"), "cn": F.col("cn") + F.col("n_before")})
+    """Average precision (steps, no trapezoids), ROC area and Brier score, from counts of each distinct score and the rows below it."""
+    rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(F.col(y).cast("long").alias("y"), (-F.col(p).cast("double")).alias("s"))
+    every, good = value_ranks(rows, "s"), value_ranks(rows.where("y = 1"), "s")
+    c = every.select("s", F.col("count").alias("n"), F.col("before").alias("n_before"))
+    # positives among the rows at and above each score
+    hits = rows.groupBy("s").agg(F.sum("y").alias("pos"))
+    c = c.join(hits, "s").join(good.select("s", F.col("before").alias("pos_before")), "s", "left")
+    totals = rows.agg(F.sum("y").alias("all_pos"), F.count("*").alias("all_n"))
+    c = c.crossJoin(F.broadcast(totals))  # one row
     neg = F.col("n") - F.col("pos")
-    above_pos = F.col("cp") - F.col("pos")
+    negatives_before = F.col("n_before") - F.col("pos_before")
     out = c.groupBy("all_pos", "all_n").agg(
-        (F.sum(F.col("pos") / F.col("all_pos") * F.col("cp") / F.col("cn"))).alias("ap"),
-        (F.sum(neg * (above_pos + F.col("pos") / 2)) / (F.first("all_pos") * (F.first("all_n") - F.first("all_pos")))).alias("auc"),
-        (F.sum(F.col("pos") * F.pow(1 - F.col("p"), 2) + neg * F.pow("p", F.lit(2.0))) / F.first("all_n")).alias("brier"),
+        F.sum(F.when(F.col("pos") > 0, F.col("pos") / F.col("all_pos") * (F.col("pos_before") + F.col("pos")) / (F.col("n_before") + F.col("n"))).otherwise(0.0)).alias("ap"),
+        # pairs of a positive and a negative with the positive first: all pairs but those where the negative is ahead, ties half
+        (1 - F.sum(F.when(F.col("pos") > 0, F.col("pos") * (negatives_before + neg / 2)).otherwise(0.0)) / (F.col("all_pos") * (F.col("all_n") - F.col("all_pos")))).alias("auc"),
+        (F.sum(F.col("pos") * F.pow(1 + F.col("s"), F.lit(2.0)) + neg * F.pow("s", F.lit(2.0))) / F.col("all_n")).alias("brier"),
     )
     return out.select(F.col("all_n").alias("n"), F.col("all_pos").alias("positives"), "ap", "auc", "brier")
 

@@ -116,6 +116,25 @@ def percent_rank(value: str, keys: Sequence[str] = ()) -> Column:
     return average_rank(value, keys) / F.count(value).over(Window.partitionBy(*keys))
 
 
+def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), parts: int = 256) -> DataFrame:
+    """``(<keys>, value, count, before, rank)`` of each distinct value: rows below it, and the mean rank of its rows.
+
+    Values are counted first, then cut into ranges by approximate quantiles of the distinct values; totals of the ranges are summed apart, so a group's ranks
+    take many tasks. The cuts only deal out work: ranks are exact.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).count()
+    cuts = counted.groupBy(*keys).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("__cuts"))
+    counted = counted.join(cuts, list(keys)) if keys else counted.crossJoin(F.broadcast(cuts))  # one row
+    counted = counted.withColumn("__part", F.size(F.filter("__cuts", lambda e: e <= F.col(value)))).drop("__cuts")
+    totals = counted.groupBy(*keys, "__part").agg(F.sum("count").alias("__total"))
+    w = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("__earlier", F.coalesce(F.sum("__total").over(w), F.lit(0))).drop("__total")
+    inner = Window.partitionBy(*keys, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = counted.withColumn("__inner", F.coalesce(F.sum("count").over(inner), F.lit(0))).join(totals, [*keys, "__part"])
+    before = F.col("__earlier") + F.col("__inner")
+    return out.select(*keys, value, "count", before.alias("before"), (before + (F.col("count") + 1) / 2).alias("rank"))
+
+
 def chronological_split(df: DataFrame, keys: Sequence[str], order: Sequence[str], share: float = 0.8) -> DataFrame:
     """Adds ``split``: the first floor(share * n) rows of each key are train, the rest test."""
     w = Window.partitionBy(*keys)
