@@ -2,22 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.scratch import materialize
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the same nodes as the pairs (a, b) do, one a node at most: labels spread to the least neighbour until they
+    stay, a few vector passes, then each node is joined with its label."""
+    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = inverse[: len(a)], inverse[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, x, label[y])
+        np.minimum.at(new, y, label[x])
+        new = new[new]
+        if (new == label).all():
+            joined = nodes[label] != nodes
+            return nodes[joined], nodes[label][joined]
+        label = new
+
+
+def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        u, v = forest(batch.column("u").to_numpy(), batch.column("v").to_numpy())
+        yield pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` of every node on an edge; the component is its least node.
 
+    Each batch of edges is first thinned to a forest, so that dense groups cost a row a node.
+
     Each round hooks every node's larger neighbours to its least neighbour, then its smaller ones, which takes a logarithmic
     number of rounds in practice. Minima are pre-aggregated before the shuffle, and the joins on a node with very many
     neighbours have one row on their other side, so Spark can split them. Every round is written to the shared
     folder, which keeps the lineage short. Loops, repeated edges and nulls don't matter.
     """
     now = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    now = materialize(now.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    now = now.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
+    now = materialize(now.mapInArrow(_thin, "u long, v long").distinct(), "edges")
     while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -17,8 +17,9 @@ SIMILARITY = 0.95
 SAMPLE = 20_000
 #: Cells hold about so many vectors on average, within these numbers of codewords for each half.
 CELL, FEWEST, MOST_WORDS = 64, 4, 4096
-#: Share of neighbours within the similarity's radius that the cells visited must hold, for a random direction of the difference.
-RECALL = 0.9999
+#: Share of the neighbours at the very similarity that the cells visited from one side must hold, for a random direction of the
+#: difference; nearer ones are missed less, and a pair can be found from both sides.
+RECALL = 0.99
 #: Vectors of a cell that one task compares with the probes at a time; a larger cell is split, its probes repeated.
 BLOCK = 2048
 
@@ -75,10 +76,9 @@ def reach(half: int, similarity: float, recall: float) -> float:
 
 
 def normalised(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that can be compared (of the batch's commonest length or whatever they have; see ``usable``) as unit vectors of doubles."""
-    lists = batch.column(column)
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
+    """The vectors, all of one length, as unit vectors and as they are."""
+    flat = batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    x = flat.reshape(batch.num_rows, -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True), x
 
 
@@ -118,6 +118,12 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, id_col:
     between = [np.sqrt(distances(b, b)) for b in books]
     bound = reach(max(1, half), similarity, recall)
 
+    def home_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            unit, _ = normalised(b, "x")
+            near = [distances(u, w).argmin(1) for u, w in zip((unit[:, :half], unit[:, half:]), books, strict=True)]
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(near[0] * k + near[1], pa.int64())})
+
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("cell", pa.int64()), ("probe", pa.bool_()), ("node", pa.int64()), ("x", pa.list_(pa.float64()))])
         for whole in batches:
@@ -171,7 +177,8 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, id_col:
 
     placed = distinct.select("node", "x").mapInArrow(cells, "cell long, probe boolean, node long, x array<double>")
     # cells above the block size: n / BLOCK at most, two numbers each, so their list may be broadcast while n / BLOCK stays below 100,000
-    homes = materialize(distinct.select("node", "x").mapInArrow(cells, "cell long, probe boolean, node long, x array<double>").where("not probe").groupBy("cell").count().where(F.col("count") > BLOCK).select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large-cells")
+    homes = distinct.select("x").mapInArrow(home_cells, "cell long").groupBy("cell").count().where(F.col("count") > BLOCK)
+    homes = materialize(homes.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large-cells")
     large = F.broadcast(homes) if n / BLOCK < 100_000 else homes
     placed = placed.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
