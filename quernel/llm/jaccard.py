@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.components import connected_components
+from quernel.llm.components import connected_components, forest
 from quernel.llm.scratch import materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -231,7 +231,7 @@ def _compare(similarity: float):
                 np.add.at(docs, b + shift, x[0][1][a])
                 np.add.at(classes, a, 1)
                 np.add.at(classes, b + shift, 1)
-                for p, q in _forest(a, b + shift):
+                for p, q in zip(*(x.tolist() for x in forest(a, b + shift)), strict=True):
                     p, q = root(p), root(q)
                     if p != q:
                         parent[max(p, q)] = min(p, q)
@@ -256,22 +256,6 @@ def _compare(similarity: float):
     return run
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join the same nodes as the pairs (a, b) do: labels spread to the least neighbour until they stay, a few
-    vector passes, then each node is joined with its label."""
-    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = inverse[: len(a)], inverse[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        new = label.copy()
-        np.minimum.at(new, x, label[y])
-        np.minimum.at(new, y, label[x])
-        new = new[new]
-        if (new == label).all():
-            return [(int(n), int(nodes[k])) for n, k in zip(nodes, label, strict=True) if nodes[k] != n]
-        label = new
-
-
 def similarity_join(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: ``(doc_id, class_id, n_links, n_linked_classes, component_id, kept)``.
 
