@@ -20,7 +20,7 @@ from quernel.llm.scratch import new_path
 PIECES = re.compile(r"(?= \S)")
 SPACE = re.compile(r"\s")
 #: Pieces whose ids a worker keeps; when it has more, the most used half stays. Results don't depend on it.
-KEPT_PIECES = 700_000
+KEPT_PIECES = 600_000
 ORC_OPTIONS = {
     "orc.compress": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20),
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
@@ -49,27 +49,30 @@ class PieceEncoder(dict):
 
     def _reset(self) -> None:
         self.clear()
-        self.pieces: list = [None]  # by number; number 0 is the end of a text
+        self[None] = 0  # the end of a text
+        self.pieces: list = [None]  # by number
         self.new: list = []
         self.used = 1
-        self.starts, self.lengths, self.counts = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.int64)
+        self.starts, self.lengths, self.counts = (np.full(1 << 16, x, np.int32) for x in (0, 1, 0))
         self.flat = np.zeros(1 << 18, np.int32)
 
     def _shrink(self) -> None:
-        most = np.sort(np.argsort(-self.counts[1:], kind="stable")[: KEPT_PIECES // 2] + 1)
+        most = np.sort(np.argsort(-self.counts[1 : len(self.pieces)], kind="stable")[: KEPT_PIECES // 2] + 1)
         sizes, flat = self.lengths[most], self._gather(most)
-        pieces = [self.pieces[i] for i in most]
+        pieces = [self.pieces[i] for i in most.tolist()]
         self._reset()
         self._add(pieces, flat, sizes)
         self.update(zip(pieces, range(1, len(pieces) + 1), strict=True))
 
     def _add(self, pieces: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        at, end = len(self.pieces), len(self.pieces) + len(pieces)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while end > len(self.starts):
+            self.starts, self.lengths, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.counts))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
-        self.lengths = np.concatenate([self.lengths, sizes])
-        self.counts = np.concatenate([self.counts, np.zeros(len(sizes), np.int64)])
+        self.starts[at:end] = self.used + np.cumsum(sizes) - sizes
+        self.lengths[at:end] = sizes
         self.used += len(ids)
         self.pieces += pieces
 
@@ -78,13 +81,14 @@ class PieceEncoder(dict):
         self.new.append(piece)
         return number
 
-    def _numbers(self, text: str) -> np.ndarray:
-        if not text or "  " in text or text[0] == " " or text[-1] == " ":  # split where pieces begin, by the rule itself
-            pieces = [p[1:] if p[:1] == " " and len(p) > 1 and not p[1].isspace() else (p,) for p in PIECES.split(text)] if text else []
-        else:
-            pieces = text.split(" ")
-            pieces[0] = (pieces[0],)  # no space before it
-        return np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+    @staticmethod
+    def split(text: str) -> list:
+        """Pieces without their leading space; a piece that has none is a tuple."""
+        if not text or "  " in text or text[0] == " " or text[-1] == " ":  # by the rule itself
+            return [p[1:] if p[:1] == " " and len(p) > 1 and not p[1].isspace() else (p,) for p in PIECES.split(text)] if text else []
+        pieces = text.split(" ")
+        pieces[0] = (pieces[0],)
+        return pieces
 
     def _learn(self) -> np.ndarray:
         """Encode the new pieces: those without white space of their own in lines of one text, whose ids the line ends part.
@@ -92,18 +96,20 @@ class PieceEncoder(dict):
         new, old = self.new, len(self.pieces)
         plain, rest, parts = [], [], {}
         for i, p in enumerate(new):  # grows while it is walked
-            if isinstance(p, tuple):
+            if p.__class__ is tuple:
                 rest.append(i)
             elif p.isalpha():
                 plain.append(i)
-            elif (head := p.rstrip(string.punctuation)) != p and head.isalpha():
-                parts[i] = (self[head], self[(p[len(head) :],)])  # letters, then punctuation: the vocabulary splits here
-            elif SPACE.search(p):
-                rest.append(i)
             else:
-                plain.append(i)
+                head = p.rstrip(string.punctuation)
+                if head is not p and head.isalpha():
+                    parts[i] = (self[head], self[(p[len(head) :],)])  # letters, then punctuation: the vocabulary splits here
+                elif SPACE.search(p):
+                    rest.append(i)
+                else:
+                    plain.append(i)
         self.new = []
-        order = np.arange(old + len(new))
+        order = np.arange(old + len(new), dtype=np.int32)
         order[old + np.array([*plain, *rest, *parts], np.int64)] = np.arange(old, old + len(new))
         for at in range(0, len(plain), 4096):
             some = [new[i] for i in plain[at : at + 4096]]
@@ -114,7 +120,7 @@ class PieceEncoder(dict):
             self._add(some, np.delete(ids, ends), np.diff(ends, prepend=-1) - 1)
         for at in range(0, len(rest), 4096):
             some = [new[i] for i in rest[at : at + 4096]]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([p[0] if isinstance(p, tuple) else f" {p}" for p in some], add_special_tokens=False)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([p[0] if p.__class__ is tuple else f" {p}" for p in some], add_special_tokens=False)]
             self._add(some, np.array([x for y in ids for x in y], np.int32), np.array([len(y) for y in ids], np.int64))
         if parts:
             two = order[np.array(list(parts.values()), np.int64).ravel()]
@@ -126,24 +132,28 @@ class PieceEncoder(dict):
         """The ids of the numbered pieces, one after the other."""
         sizes = self.lengths[numbers]
         ends = np.cumsum(sizes)
-        source = np.arange(ends[-1] if len(ends) else 0)
-        source += np.repeat(self.starts[numbers] - (ends - sizes), sizes)
+        source = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
+        source += np.repeat(self.starts[numbers] - (ends - sizes).astype(np.int32), sizes)
         return self.flat[source]
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, ``end_id`` after each, and the number of ids of each."""
         if len(self.pieces) > KEPT_PIECES:
             self._shrink()
-        if not texts:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        end = np.zeros(1, np.int64)
-        parts = [self._numbers(t) for t in texts]
-        order = self._learn()
+        pieces, lengths = [], []
+        for t in texts:
+            own = self.split(t)
+            pieces += own
+            pieces.append(None)
+            lengths.append(len(own) + 1)
+        numbers = np.fromiter(map(self.__getitem__, pieces), np.int32, len(pieces))
+        if self.new:
+            numbers = self._learn()[numbers]
         self.flat[0] = end_id
-        index = order[np.concatenate([x for p in parts for x in (p, end)])]
-        self.counts += np.bincount(index, minlength=len(self.counts))
-        last = np.cumsum([len(p) + 1 for p in parts]) - 1
-        return self._gather(index), np.diff(np.cumsum(self.lengths[index])[last], prepend=0)
+        used = np.bincount(numbers, minlength=len(self.pieces))
+        self.counts[: len(used)] += used.astype(np.int32)
+        last = np.cumsum(lengths) - 1
+        return self._gather(numbers), np.diff(np.cumsum(self.lengths[numbers], dtype=np.int64)[last], prepend=0)
 
 
 def worker_encoder(vocabulary: str) -> PieceEncoder:
