@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def edges(df: DataFrame, column: str, fractions: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles, linear between ranks, with equal edges once: one row for each group, ``edges``."""
-    q = F.array_distinct(F.percentile(column, F.array(*[F.lit(float(f)) for f in fractions])))
+def edges(df: DataFrame, column: str, fractions: Sequence[float], by: Sequence[str] = (), digits: int | None = None) -> DataFrame:
+    """Exact quantiles, linear between ranks, with equal edges once: one row for each group, ``edges``. Rounded to ``digits``, an edge that
+    interpolation leaves a hair beside a value is that value."""
+    q = F.percentile(column, F.array(*[F.lit(float(f)) for f in fractions]))
+    q = F.array_distinct(q if digits is None else F.transform(q, lambda x: F.round(x, digits)))
     return df.groupBy(*by).agg(q.alias("edges"))
 
 

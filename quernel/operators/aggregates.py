@@ -43,7 +43,7 @@ def dose_response(df: DataFrame, bin_col: str, dose: str, label: str, by: Sequen
 
 def best_bin(bins: DataFrame, by: Sequence[str], least: int) -> DataFrame:
     """The bin with the highest ok rate, then the most rows, then the least number, among those with ``least`` rows."""
-    return bins.where(F.col("n") >= least).groupBy(*by).agg(F.max_by(F.struct("bin", "n", "y_ok_rate"), F.struct("y_ok_rate", "n", -F.col("bin"))).alias("b")).select(*by, "b.*")
+    return bins.where(F.col("n") >= least).groupBy(*by).agg(F.max_by(F.struct("bin", "n", "y_ok_rate"), F.struct("y_ok_rate", "n", -F.col("bin"))).alias("b")).where("b is not null").select(*by, "b.*")
 
 
 def multi_level(df: DataFrame, dims: Sequence[str], metrics: Mapping[str, Column]) -> DataFrame:
@@ -109,11 +109,11 @@ def missingness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return flat.select("__n", long.alias("r")).select("r.*", F.when(F.col("__n") > 0, F.col("r.missing") / F.col("__n")).alias("missing_rate"))
 
 
-def psi(reference: DataFrame, current: DataFrame, features: Sequence[str], bins: int = 10, floor: float = 1e-6) -> DataFrame:
+def psi(reference: DataFrame, current: DataFrame, features: Sequence[str], bins: int = 10, floor: float = 1e-6, digits: int = 9) -> DataFrame:
     """Population stability of each feature: shares of the reference's quantile bins on both sides, with a floor; values beyond the edges don't count, the last
     bin is closed."""
     r, c = (unpivot(d, [], features).where("value is not null and not isnan(value)") for d in (reference, current))
-    cuts = edges(r, "value", [i / bins for i in range(bins + 1)], ["feature"])
+    cuts = edges(r, "value", [i / bins for i in range(bins + 1)], ["feature"], digits)
 
     def shares(d: DataFrame, name: str) -> DataFrame:
         e = F.col("edges")
@@ -159,7 +159,7 @@ def hinge_search(df: DataFrame, x: str, y: str, candidates: int = 51, by: Sequen
     b = (F.col("suv") * hh - F.col("shv") * F.col("suh")) / det
     d = (F.col("shv") * F.col("suu") - F.col("suv") * F.col("suh")) / det
     fit = s.where(det > 1e-9 * F.col("suu") * hh).withColumns({"slope_before": b, "bend": d}).withColumn("sse", F.col("svv") - F.col("slope_before") * F.col("suv") - F.col("bend") * F.col("shv"))
-    best = fit.groupBy(*by).agg(F.min_by(F.struct("c", "slope_before", "bend", "sse", "n", "n_after"), F.struct("sse", "c")).alias("b")).select(*by, "b.*")
+    best = fit.groupBy(*by).agg(F.min_by(F.struct("c", "slope_before", "bend", "sse", "n", "n_after"), F.struct("sse", "c")).alias("b")).where("b is not null").select(*by, "b.*")
     return best.select(*by, F.col("c").alias("threshold"), "slope_before", (F.col("slope_before") + F.col("bend")).alias("slope_after"), "sse", (F.col("n") - F.col("n_after")).alias("n_before"), "n_after")
 
 

@@ -50,7 +50,7 @@ def threshold_metrics(df: DataFrame, y: str, p: str, thresholds: Sequence[float]
 
 
 def best_f1(scan: DataFrame) -> DataFrame:
-    return scan.groupBy().agg(F.max_by(F.struct("threshold", "f1"), F.struct("f1", "precision", -F.col("threshold"))).alias("b")).select("b.*")
+    return scan.groupBy().agg(F.max_by(F.struct("threshold", "f1"), F.struct("f1", "precision", -F.col("threshold"))).alias("b")).where("b is not null").select("b.*")
 
 
 def cluster_quality(df: DataFrame, cluster: str, features: Sequence[str]) -> DataFrame:
