@@ -404,7 +404,7 @@ def halves(spark, sf_dir):
 @query(f"""WITH {HALVES}, q AS (SELECT list_sort(list_distinct(list_transform(quantile_cont(value, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]), lambda x: round(x, 9)))) AS e FROM a),
 bins AS (SELECT unnest(range(1, len(e))) AS bin FROM q),
 ha AS (SELECT least(len(list_filter(e, lambda x: x <= value)), len(e) - 1) AS bin, count(*) AS n FROM a, q WHERE value BETWEEN e[1] AND e[-1] GROUP BY 1), hb AS (SELECT least(len(list_filter(e, lambda x: x <= value)), len(e) - 1) AS bin, count(*) AS n FROM b, q WHERE value BETWEEN e[1] AND e[-1] GROUP BY 1),
-s AS (SELECT greatest(coalesce(ha.n / (SELECT count(*) FROM a), 0), 1e-6) AS h, greatest(coalesce(hb.n / (SELECT count(*) FROM b), 0), 1e-6) AS f FROM bins LEFT JOIN ha USING (bin) LEFT JOIN hb USING (bin))
+s AS (SELECT greatest(coalesce(ha.n / (SELECT sum(n) FROM ha), 0), 1e-6) AS h, greatest(coalesce(hb.n / (SELECT sum(n) FROM hb), 0), 1e-6) AS f FROM bins LEFT JOIN ha USING (bin) LEFT JOIN hb USING (bin))
 SELECT 'value' AS feature, round(sum((f - h) * ln(f / h)), 6) AS psi FROM s""")
 def ag15_psi(spark, sf_dir):
     return rounded(A.psi(*halves(spark, sf_dir), ["value"]))
