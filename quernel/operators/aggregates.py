@@ -63,9 +63,11 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], method: str =
     long = df.select(*by, F.explode(F.array(*cols)).alias("r")).select(*by, "r.*").where("a is not null and b is not null")
     keys = [*by, "x", "y"]
     if method == "spearman":
+        sides = long.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("v")) for c in ("a", "b")])).alias("r")).select(*keys, "r.*")
+        ranks = value_ranks(sides, "v", [*keys, "side"])  # both columns in one go
         for side in ("a", "b"):
-            ranks = value_ranks(long, side, keys).select(*keys, side, F.col("rank").alias("__rank"))
-            long = long.join(ranks, [*keys, side]).drop(side).withColumnRenamed("__rank", side)
+            own = ranks.where(F.col("side") == side).select(*keys, F.col("v").alias(side), F.col("rank").alias("__rank"))
+            long = long.join(own, [*keys, side]).drop(side).withColumnRenamed("__rank", side)
     agg = long.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("a", "b").alias("r"), F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
     fine = (F.col("n") >= least) & (F.col("a0") < F.col("a1")) & (F.col("b0") < F.col("b1"))
     return agg.select(*keys, "n", F.when(fine, F.col("r")).alias("r"))
