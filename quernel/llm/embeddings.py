@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.components import connected_components
+from quernel.llm.components import connected_components, forest
 from quernel.llm.scratch import materialize
 
 SIMILARITY = 0.95
@@ -125,7 +125,7 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, id_col:
             yield pa.RecordBatch.from_pydict({"cell": pa.array(near[0] * k + near[1], pa.int64())})
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("cell", pa.int64()), ("probe", pa.bool_()), ("node", pa.int64()), ("x", pa.list_(pa.float64()))])
+        schema = pa.schema([("cell", pa.int64()), ("probe", pa.bool_()), ("node", pa.int64()), ("n", pa.int64()), ("x", pa.list_(pa.float64()))])
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
@@ -138,44 +138,56 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, id_col:
                     s = source[part]
                     cell = np.concatenate([home, *visits])[part]
                     x = pa.ListArray.from_arrays(pa.array(np.arange(0, len(s) * dim + 1, dim), pa.int32()), pa.array(given[s].ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(part >= len(unit), pa.bool_()), pa.array(b.column("node").to_numpy()[s]), x], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(part >= len(unit), pa.bool_()), pa.array(b.column("node").to_numpy()[s]), pa.array(b.column("n").to_numpy()[s]), x], schema=schema)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """In a partition sorted by cell, block and probe, the stored rows of a block come first and the probes stream past them."""
-        key, nodes, stored, probes = None, [], [], []
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        """In a partition sorted by cell, block and probe, the stored rows of a block come first and the probes stream past them. Emits, for each node
+        linked here, how many rows it gained and one edge towards its component.
+
+        A pair is met twice if each looks into the other's cell, and then each side counts what it found by its own probe; if only one
+        looks, its probe counts for both."""
+        key, stored, probes = None, [], []
+        schema = pa.schema([("node", pa.int64()), ("linked", pa.int64()), ("other", pa.int64())])
 
         def met() -> Iterator[pa.RecordBatch]:
-            if not nodes or not probes:
+            if not stored or not probes:
                 return
-            s = np.array(stored)
+            (nodes, weights, s), (seekers, own, p) = ((np.array([r[0] for r in side], np.int64), np.array([r[1] for r in side], np.int64), np.array([r[2] for r in side])) for side in (stored, probes))
             s /= np.linalg.norm(s, axis=1, keepdims=True)
-            p = np.array([r[1] for r in probes])
             p /= np.linalg.norm(p, axis=1, keepdims=True)
             i, j = np.nonzero(p @ s.T >= similarity - 1e-9)
-            if len(i):  # the exact check, as a plain sum of products
-                fine = (p[i] * s[j]).sum(1) >= similarity
-                a, b = np.array([r[0] for r in probes], np.int64)[i[fine]], np.array(nodes, np.int64)[j[fine]]
-                apart = a != b
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)[apart]), pa.array(np.minimum(a, b)[apart])], schema=schema)
+            fine = (seekers[i] != nodes[j]) & ((p[i] * s[j]).sum(1) >= similarity)  # the exact check, as a plain sum of products
+            i, j = i[fine], j[fine]
+            if not len(i):
+                return
+            ru, ri = np.unique(i, return_inverse=True)
+            su, si = np.unique(j, return_inverse=True)
+            home = [distances(x, w).argmin(1) for x, w in zip((p[ru, :half], p[ru, half:]), books, strict=True)]
+            h = [offsets(x, w, g)[1] for x, w, g in zip((s[su, :half], s[su, half:]), books, between, strict=True)]
+            alone = h[0][si, home[0][ri]] ** 2 + h[1][si, home[1][ri]] ** 2 > bound
+            gained = [np.bincount(i, weights[j], len(seekers)), np.bincount(j[alone], own[i[alone]], len(nodes))]
+            names = np.concatenate([seekers, nodes])
+            up, down = forest(names[i], nodes[j])
+            root = dict(zip(up.tolist(), down.tolist(), strict=True))
+            some = np.concatenate([np.isin(np.arange(len(seekers)), ru), np.isin(np.arange(len(nodes)), su)])
+            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(np.concatenate(gained)[some].astype(np.int64)), pa.array([root.get(x, x) for x in names[some].tolist()], pa.int64())], schema=schema)
 
         for b in batches:
             x = b.column("x").flatten().to_numpy().reshape(b.num_rows, dim)
-            for r, (cell, block, probe, node) in enumerate(zip(*(b.column(c).to_pylist() for c in ("cell", "block", "probe", "node")), strict=True)):
+            for r, (cell, block, probe, node, n) in enumerate(zip(*(b.column(c).to_pylist() for c in ("cell", "block", "probe", "node", "n")), strict=True)):
                 if (cell, block) != key:
                     yield from met()
-                    key, nodes, stored, probes = (cell, block), [], [], []
-                if probe:
-                    probes.append((node, x[r]))
-                    if len(probes) >= BLOCK:
-                        yield from met()
-                        probes = []
-                else:
-                    nodes.append(node)
-                    stored.append(x[r])
+                    key, stored, probes = (cell, block), [], []
+                if not probe:
+                    stored.append((node, n, x[r]))
+                    continue
+                probes.append((node, n, x[r]))
+                if len(probes) >= BLOCK:
+                    yield from met()
+                    probes = []
         yield from met()
 
-    placed = distinct.select("node", "x").mapInArrow(cells, "cell long, probe boolean, node long, x array<double>")
+    placed = distinct.select("node", "n", "x").mapInArrow(cells, "cell long, probe boolean, node long, n long, x array<double>")
     # cells above the block size: n / BLOCK at most, two numbers each, so their list may be broadcast while n / BLOCK stays below 100,000
     homes = distinct.select("x").mapInArrow(home_cells, "cell long").groupBy("cell").count().where(F.col("count") > BLOCK)
     homes = materialize(homes.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large-cells")
@@ -183,15 +195,15 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, id_col:
     placed = placed.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("block", F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
-    dealt = placed.select("cell", "block", "probe", "node", "x").repartition("cell", "block").sortWithinPartitions("cell", "block", "probe")
-    links = materialize(dealt.mapInArrow(compare, "a long, b long").distinct(), "vector-links")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counts = both.join(distinct.select(F.col("node").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("linked"))
-    parts = connected_components(links)
+    dealt = placed.select("cell", "block", "probe", "node", "n", "x").repartition("cell", "block").sortWithinPartitions("cell", "block", "probe")
+    links = materialize(dealt.mapInArrow(compare, "node long, linked long, other long"), "vector-links")
+    counts = links.groupBy(F.col("node").alias("a")).agg(F.sum("linked").alias("linked"))
+    parts = connected_components(links, "node", "other")
     ids = distinct.select("node", "first_id", "n")
     first = parts.join(ids, "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
     known = ids.join(counts, ids["node"] == counts["a"], "left").drop("a").join(parts.join(first, "component").select("node", "component_id"), "node", "left")
-    out = coded.select("id", "node").join(known, "node", "left")
+    # written first, so that the join has two plain sides and Spark can split a vector of very many copies
+    out = coded.select("id", "node").join(materialize(known, "vector-results"), "node", "left")
     component = F.coalesce("component_id", "first_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce(F.col("n") - 1 + F.coalesce("linked", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
