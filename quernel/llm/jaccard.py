@@ -297,7 +297,8 @@ def similarity_join(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     named = parts.join(classes.select("node", "class_id"), "node")
     first = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
     reached = parts.join(first, "component").select("node", "component_id")
-    known = classes.select("node", "class_id", "n_docs").join(counts, "node", "left").join(reached, "node", "left")
+    # written first, so that the join below has two plain sides and Spark can split a class of very many copies
+    known = materialize(classes.select("node", "class_id", "n_docs").join(counts, "node", "left").join(reached, "node", "left"), "class-results")
     out = rows.join(known, (rows["node"] == known["node"]) & (rows["n"] > 0) & rows["doc_id"].isNotNull(), "left").drop(known["node"])
     own = F.coalesce("class_id", "doc_id")
     return out.select(
