@@ -7,6 +7,8 @@ import re
 import string
 import zlib
 from collections.abc import Iterator
+from itertools import chain, compress, repeat
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,12 @@ from quernel.llm.scratch import new_path
 #: never joins characters across such a place, so pieces can be encoded one by one and their ids be kept.
 PIECES = re.compile(r"(?= \S)")
 SPACE = re.compile(r"\s")
+#: Begins the key of a piece without a leading space. No valid text holds this character.
+BARE = "\ud800"
 #: Pieces whose ids a worker keeps; when it has more, the most used half stays. Results don't depend on it.
 KEPT_PIECES = 600_000
 ORC_OPTIONS = {
-    "orc.compress": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20),
+    "orc.compress": "zstd", "orc.compression.zstd.level": "1", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20),
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
 }
 
@@ -51,7 +55,6 @@ class PieceEncoder(dict):
         self.clear()
         self[None] = 0  # the end of a text
         self.pieces: list = [None]  # by number
-        self.new: list = []
         self.used = 1
         self.starts, self.lengths, self.counts = (np.full(1 << 16, x, np.int32) for x in (0, 1, 0))
         self.flat = np.zeros(1 << 18, np.int32)
@@ -62,7 +65,6 @@ class PieceEncoder(dict):
         pieces = [self.pieces[i] for i in most.tolist()]
         self._reset()
         self._add(pieces, flat, sizes)
-        self.update(zip(pieces, range(1, len(pieces) + 1), strict=True))
 
     def _add(self, pieces: list, ids: np.ndarray, sizes: np.ndarray) -> None:
         at, end = len(self.pieces), len(self.pieces) + len(pieces)
@@ -75,58 +77,55 @@ class PieceEncoder(dict):
         self.lengths[at:end] = sizes
         self.used += len(ids)
         self.pieces += pieces
-
-    def __missing__(self, piece: str) -> int:
-        number = self[piece] = len(self.pieces) + len(self.new)
-        self.new.append(piece)
-        return number
+        self.update(zip(pieces, range(at, end), strict=True))
 
     @staticmethod
-    def split(text: str) -> list:
-        """Pieces without their leading space; a piece that has none is a tuple."""
+    def split(text: str) -> list[str]:
+        """Pieces without their leading space; a piece that has none begins with BARE."""
         if not text or "  " in text or text[0] == " " or text[-1] == " ":  # by the rule itself
-            return [p[1:] if p[:1] == " " and len(p) > 1 and not p[1].isspace() else (p,) for p in PIECES.split(text)] if text else []
+            return [p[1:] if p[:1] == " " and len(p) > 1 and not p[1].isspace() else BARE + p for p in PIECES.split(text)] if text else []
         pieces = text.split(" ")
-        pieces[0] = (pieces[0],)
+        pieces[0] = BARE + pieces[0]
         return pieces
 
-    def _learn(self) -> np.ndarray:
-        """Encode the new pieces: those without white space of their own in lines of one text, whose ids the line ends part.
-        Returns the final number for each number given out so far."""
-        new, old = self.new, len(self.pieces)
-        plain, rest, parts = [], [], {}
-        for i, p in enumerate(new):  # grows while it is walked
-            if p.__class__ is tuple:
-                rest.append(i)
-            elif p.isalpha():
-                plain.append(i)
+    def _learn(self, new: list[str]) -> None:
+        """Encode new pieces. Letters, and letters before punctuation, where the vocabulary splits, are encoded apart, so that they share their ids."""
+        alpha = list(map(str.isalpha, new))
+        plain, rest, parts = list(compress(new, alpha)), [], {}
+        for p in compress(new, map(not_, alpha)):
+            head = p.rstrip(string.punctuation)
+            if p[0] == BARE:
+                rest.append(p)
+            elif len(head) < len(p) and head.isalpha():
+                parts[p] = (head, BARE + p[len(head) :])
+            elif SPACE.search(p):
+                rest.append(p)
             else:
-                head = p.rstrip(string.punctuation)
-                if head is not p and head.isalpha():
-                    parts[i] = (self[head], self[(p[len(head) :],)])  # letters, then punctuation: the vocabulary splits here
-                elif SPACE.search(p):
-                    rest.append(i)
-                else:
-                    plain.append(i)
-        self.new = []
-        order = np.arange(old + len(new), dtype=np.int32)
-        order[old + np.array([*plain, *rest, *parts], np.int64)] = np.arange(old, old + len(new))
-        for at in range(0, len(plain), 4096):
-            some = [new[i] for i in plain[at : at + 4096]]
+                plain.append(p)
+        self._encode_lines(plain)
+        self._encode_each(rest)
+        if parts:
+            lacking = [x for x in dict.fromkeys(chain.from_iterable(parts.values())) if x not in self]
+            self._encode_lines([x for x in lacking if x[0] != BARE])
+            self._encode_each([x for x in lacking if x[0] == BARE])
+            two = np.fromiter(map(self.__getitem__, chain.from_iterable(parts.values())), np.int32, 2 * len(parts))
+            self._add(list(parts), self._gather(two), self.lengths[two].reshape(-1, 2).sum(1))
+
+    def _encode_lines(self, pieces: list[str]) -> None:
+        """Pieces without white space, as the lines of one text, whose ids the line ends part."""
+        for at in range(0, len(pieces), 4096):
+            some = pieces[at : at + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + "\n ".join(some) + "\n"], add_special_tokens=False)[0].ids, np.int32)
             ends = np.flatnonzero(ids == self.line_end)
             if len(ends) != len(some):
                 raise ValueError("the vocabulary joins line ends with other text")
             self._add(some, np.delete(ids, ends), np.diff(ends, prepend=-1) - 1)
-        for at in range(0, len(rest), 4096):
-            some = [new[i] for i in rest[at : at + 4096]]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([p[0] if p.__class__ is tuple else f" {p}" for p in some], add_special_tokens=False)]
+
+    def _encode_each(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), 4096):
+            some = pieces[at : at + 4096]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([p[1:] if p[0] == BARE else f" {p}" for p in some], add_special_tokens=False)]
             self._add(some, np.array([x for y in ids for x in y], np.int32), np.array([len(y) for y in ids], np.int64))
-        if parts:
-            two = order[np.array(list(parts.values()), np.int64).ravel()]
-            self._add([new[i] for i in parts], self._gather(two), self.lengths[two].reshape(-1, 2).sum(1))
-        self.update(zip(new, order[old:].tolist(), strict=True))
-        return order
 
     def _gather(self, numbers: np.ndarray) -> np.ndarray:
         """The ids of the numbered pieces, one after the other."""
@@ -146,9 +145,11 @@ class PieceEncoder(dict):
             pieces += own
             pieces.append(None)
             lengths.append(len(own) + 1)
-        numbers = np.fromiter(map(self.__getitem__, pieces), np.int32, len(pieces))
-        if self.new:
-            numbers = self._learn()[numbers]
+        numbers = np.fromiter(map(self.get, pieces, repeat(-1)), np.int32, len(pieces))
+        if len(at := np.flatnonzero(numbers < 0)):
+            unknown = [pieces[i] for i in at.tolist()]
+            self._learn(list(dict.fromkeys(unknown)))
+            numbers[at] = np.fromiter(map(self.__getitem__, unknown), np.int32, len(unknown))
         self.flat[0] = end_id
         used = np.bincount(numbers, minlength=len(self.pieces))
         self.counts[: len(used)] += used.astype(np.int32)
