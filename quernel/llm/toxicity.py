@@ -24,6 +24,8 @@ LABEL_LOG_ODDS = 2.3
 PREFIXES = (4, 5, 6, 7, 8)
 MOST_FEATURES = 20_000
 SEGMENT = 48
+#: Segments whose forward and backward passes are held at a time.
+CHUNK = 16_384
 
 
 def features(word: str) -> list[str]:
@@ -115,11 +117,15 @@ def fold(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> DataFrame:
-    """``(toxic, text)``: at most ``per_class`` rows of each class outside the held-out fold. Null labels don't count; an id with
-    several labels counts as toxic if one says so."""
+def labelled_ids(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """``(id, toxic)`` outside the held-out fold. Null labels don't count; an id with several labels counts as toxic if one says so."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 1))
-    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("toxic"))
+    return known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("toxic"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> DataFrame:
+    """``(toxic, text)``: at most ``per_class`` of the labelled ids of each class, so classes may be drawn at different rates."""
+    known = labelled_ids(labels, id_col, label_col)
     order = F.xxhash64("id", F.lit(9))
     ids = [known.where(F.col("toxic") == c).orderBy(order, "id").limit(per_class) for c in (0, 1)]
     chosen = ids[0].unionByName(ids[1])  # 2 * per_class rows at most, so it may be broadcast
@@ -137,11 +143,15 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Crf:
     """Fit on a bounded sample. Tokens are labelled from their documents: in a toxic document, a token with a feature that
     toxic documents have far more often is toxic; all others are clean. Then the field's weights are fitted to these
-    token labels by their likelihood, and the document scores to the documents' labels by logistic regression."""
+    token labels by their likelihood, and the document scores to the documents' labels by logistic regression. In both fits a document
+    stands for as many as its class has labelled ids for each one drawn, so scores don't depend on the number of documents."""
     sample = materialize(labelled_sample(docs, labels, id_col, text_col, label_col, per_class), "toxicity-sample")
     counts = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}  # two rows
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
-    prior = n1 / (n0 + n1) if n0 + n1 else 0.0
+    known = {r["toxic"]: r["count"] for r in labelled_ids(labels, id_col, label_col).groupBy("toxic").count().collect()}  # two rows
+    each = {c: max(1.0, known[c] / per_class) for c in known}
+    total = sum(counts[c] * each[c] for c in counts)
+    prior = n1 * each[1] / total if n1 else 0.0
     if not n0 or not n1:
         return Crf({}, [[0.0, 0.0], [0.0, 0.0]], -5.0, [math.log((prior + 1e-3) / (1 - prior + 1e-3)), 0.0, 0.0, 0.0, 0.0], prior)
     odds = F.ln((F.col("n1") + 0.5) / (n1 + 1)) - F.ln((F.col("n0") + 0.5) / (n0 + 1))
@@ -166,81 +176,94 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     rows = sample.mapInArrow(sequences, "toxic int, n long, places array<long>, found array<string>").collect()  # 2 * per_class rows at most
     docs_ = sorted((r["toxic"], r["n"], list(r["places"]), [[int(x) for x in f.split(",")] for f in r["found"]]) for r in rows)
-    theta, step, bias = _fit_field(docs_, strong)
+    theta, step, bias = _fit_field(docs_, strong, each)
     crf = Crf({f: float(theta[i]) for f, i in index.items()}, step, bias, [0.0] * 5, prior)
     x = np.array([(1.0, *document_features(crf.marginals([(p, float(sum(theta[i] for i in ids))) for p, ids in zip(places, found, strict=True)], n), n)) for _, n, places, found in docs_])
-    crf.calibration = _fit_logistic(x, np.array([d[0] for d in docs_], float))
+    crf.calibration = _fit_logistic(x, np.array([d[0] for d in docs_], float), np.array([each[d[0]] for d in docs_]))
     return crf
 
 
-def _fit_field(docs: list[tuple], strong: np.ndarray, rounds: int = 150, l2: float = 0.005) -> tuple[np.ndarray, list[list[float]], float]:
-    """Maximum likelihood on segments of SEGMENT tokens: for each document its first segments around hits, or one without any."""
-    segments, n_features = [], len(strong)
+def _fit_field(docs: list[tuple], strong: np.ndarray, each: dict[int, float], rounds: int = 150, l2: float = 0.005) -> tuple[np.ndarray, list[list[float]], float]:
+    """Maximum likelihood on segments of SEGMENT tokens: for each document all segments with hits, or one without any. Segments without
+    hits differ in their length only and are one with their weights' sum. ``each``: the weight of a document of each class."""
+    segments, blank, n_features = [], {}, len(strong)
     for toxic, n, places, found in docs:
-        starts = sorted({p // SEGMENT for p in places})[:4] or [0]
-        for s in starts:
-            inside = [(p - s * SEGMENT, ids) for p, ids in zip(places, found, strict=True) if p // SEGMENT == s]
-            segments.append((toxic, max(1, min(SEGMENT, n - s * SEGMENT)), inside))
-    size = len(segments)
-    lengths = np.array([s[1] for s in segments])
-    tags, row, col, feat = np.zeros((size, SEGMENT), int), [], [], []
-    for k, (toxic, _, inside) in enumerate(segments):
-        for p, ids in inside:
-            tags[k, p] = toxic and strong[ids].any()
-            row += [k] * len(ids)
-            col += [p] * len(ids)
-            feat += ids
-    row, col, feat = np.array(row, int), np.array(col, int), np.array(feat, int)
-    live = np.arange(SEGMENT) < lengths[:, None]
+        inside: dict[int, list] = {}
+        for p, ids in zip(places, found, strict=True):
+            inside.setdefault(p // SEGMENT, []).append((p % SEGMENT, ids))
+        segments += [(toxic, max(1, min(SEGMENT, n - s * SEGMENT)), hits, each[toxic]) for s, hits in sorted(inside.items())]
+        if not inside:
+            length = max(1, min(SEGMENT, n))
+            blank[length] = blank.get(length, 0.0) + each[toxic]
+    segments += [(0, length, [], w) for length, w in sorted(blank.items())]
+    chunks = [_arrays(segments[k : k + CHUNK], strong) for k in range(0, len(segments), CHUNK)]
+    weight = sum(s[3] for s in segments)
     n_params = n_features + 5
     params, m, v = np.zeros(n_params), np.zeros(n_params), np.zeros(n_params)
     params[-1] = -3.0
     for t in range(1, rounds + 1):
-        theta, step, bias = params[:n_features], params[n_features:-1].reshape(2, 2), params[-1]
-        emit = np.full((size, SEGMENT), bias)
-        np.add.at(emit, (row, col), theta[feat])
-        trans, on = np.exp(step), np.exp(np.clip(emit, -30, 30))
-        alpha = np.zeros((SEGMENT, size, 2))
-        state = np.tile([1.0, 0.0], (size, 1))
-        for i in range(SEGMENT):
-            nxt = state @ trans
-            nxt[:, 1] *= on[:, i]
-            nxt /= nxt.sum(1, keepdims=True)
-            state = np.where(live[:, i, None], nxt, state)
-            alpha[i] = state
         grad = np.zeros(n_params)
-        beta = np.ones((size, 2))
-        expected = np.zeros((size, SEGMENT))
-        for i in range(SEGMENT - 1, -1, -1):
-            ok = live[:, i]
-            post = alpha[i] * beta
-            expected[:, i] = np.where(ok, post[:, 1] / post.sum(1), 0)
-            before = alpha[i - 1] if i else np.tile([1.0, 0.0], (size, 1))
-            out = beta * np.stack([np.ones(size), on[:, i]], 1)
-            pair = before[:, :, None] * trans[None] * out[:, None, :]
-            pair /= pair.sum((1, 2), keepdims=True)
-            prev = tags[:, i - 1] if i else np.zeros(size, int)
-            np.add.at(grad, n_features + prev[ok] * 2 + tags[ok, i], 1.0)
-            grad[n_features:-1] -= pair[ok].sum(0).ravel()
-            back = out @ trans.T
-            back /= back.sum(1, keepdims=True)
-            beta = np.where(ok[:, None], back, beta)
-        miss = np.where(live, tags - expected, 0)
-        grad[-1] += miss.sum()
-        np.add.at(grad, feat, miss[row, col])
-        grad = grad / size - l2 * params / max(1, n_params) ** 0.5
+        for chunk in chunks:
+            _add_gradient(grad, params, n_features, *chunk)
+        grad = grad / weight - l2 * params / max(1, n_params) ** 0.5
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         params = params + 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return params[:n_features], params[n_features:-1].reshape(2, 2).tolist(), float(params[-1])
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> list[float]:
-    """Newton steps of a ridge logistic regression."""
+def _arrays(segments: list[tuple], strong: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Weights, lengths and tags of the segments; segment, place and feature of each feature in them. The longest segments come first."""
+    segments = sorted(segments, key=lambda s: -s[1])
+    tags, row, col, feat = np.zeros((SEGMENT, len(segments)), int), [], [], []
+    for k, (toxic, _, inside, _) in enumerate(segments):
+        for p, ids in inside:
+            tags[p, k] = toxic and strong[ids].any()
+            row += [k] * len(ids)
+            col += [p] * len(ids)
+            feat += ids
+    return np.array([s[3] for s in segments]), np.array([s[1] for s in segments]), tags, np.array(row, int), np.array(col, int), np.array(feat, int)
+
+
+def _add_gradient(grad: np.ndarray, params: np.ndarray, n_features: int, weights: np.ndarray, lengths: np.ndarray, tags: np.ndarray, row: np.ndarray, col: np.ndarray, feat: np.ndarray) -> None:
+    """Adds the gradient of the segments' weighted log likelihood. At each place only the first ``live`` segments go on."""
+    size, bias = len(weights), params[-1]
+    live = (lengths[None] > np.arange(SEGMENT)[:, None]).sum(1)
+    emit = np.full(SEGMENT * size, bias) + np.bincount(col * size + row, params[feat], SEGMENT * size)
+    (a, b), (c, d) = np.exp(params[n_features:-1].reshape(2, 2))
+    on = np.exp(np.clip(emit, -30, 30)).reshape(SEGMENT, size)
+    ahead = np.zeros((SEGMENT + 1, size))  # chance of state 1 before each place, from the left
+    for i in range(SEGMENT):
+        k = live[i]
+        f = ahead[i, :k]
+        zero, one = (1 - f) * a + f * c, ((1 - f) * b + f * d) * on[i, :k]
+        ahead[i + 1, :k] = one / (zero + one)
+    miss = np.zeros((SEGMENT, size))
+    back = np.full(size, 0.5)  # the same from the right
+    pairs = grad[n_features:-1]
+    for i in range(SEGMENT - 1, -1, -1):
+        k = live[i]
+        f, w, tag = ahead[i, :k], weights[:k], tags[i, :k]
+        zero, one = 1 - back[:k], back[:k] * on[i, :k]
+        p00, p01, p10, p11 = (1 - f) * a * zero, (1 - f) * b * one, f * c * zero, f * d * one
+        scale = w / (p00 + p01 + p10 + p11)
+        pairs -= [p00 @ scale, p01 @ scale, p10 @ scale, p11 @ scale]
+        prev = tags[i - 1, :k] if i else 0
+        pairs += np.bincount(prev * 2 + tag, w, 4)
+        miss[i, :k] = w * tag - (p01 + p11) * scale
+        r0, r1 = a * zero + b * one, c * zero + d * one
+        back[:k] = r1 / (r0 + r1)
+    grad[-1] += miss.sum()
+    grad[:n_features] += np.bincount(feat, miss[col, row], n_features)
+
+
+def _fit_logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, l2: float = 1e-3) -> list[float]:
+    """Newton steps of a ridge logistic regression of weighted rows."""
+    share = weights / weights.sum()
     w = np.zeros(x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x / len(x) + l2 * np.eye(len(w))
-        w = w + np.linalg.solve(h, x.T @ (y - p) / len(x) - l2 * w)
+        h = (x * (share * p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w))
+        w = w + np.linalg.solve(h, x.T @ (share * (y - p)) - l2 * w)
     return w.tolist()
 
 

@@ -412,6 +412,28 @@ def test_toxicity_learns_from_its_fold_only(spark):
     assert toxicity.tag(docs(spark, texts[:3]), nothing).count() == 3 and toxicity.tag(docs(spark, EMPTY), crf).count() == 0
 
 
+def test_toxicity_scores_keep_the_natural_prior_under_a_cap(spark):
+    rng = random.Random(11)
+    texts, labels = [], []
+    for i in range(1800):
+        toxic = i % 20 == 0
+        w = [f"{rng.getrandbits(60):015x}" for _ in range(20)]
+        if toxic or rng.random() < 0.06:
+            w.insert(rng.randrange(20), "vilest")  # as often in a clean text as in a toxic one
+        texts.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    df, lab = docs(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")
+    clean = [(9000, " ".join(["vilest" if i == 9 else f"{rng.getrandbits(60):015x}" for i in range(21)]))]
+    scores = [toxicity.tag(docs(spark, clean), toxicity.fit(df, lab, per_class=k)).first()["score"] for k in (4000, 220)]
+    assert all(0.2 < s < 0.7 for s in scores), scores
+
+
+def test_the_field_learns_from_all_segments():
+    far = [(1, 48 * 6, [0, 48, 96, 144, 245], [[0], [0], [0], [0], [1]])] * 20
+    weights, _, _ = toxicity._fit_field([*far, *[(0, 40, [], [])] * 20], np.array([True, True]), {0: 1.0, 1: 1.0})
+    assert weights[1] > 0.1
+
+
 # --- chat ---------------------------------------------------------------------------------------------------------------------
 
 
