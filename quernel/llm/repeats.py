@@ -2,7 +2,8 @@
 
 Every window of ``LENGTH`` bytes has an anchor, its gram with the least hash, so equal windows have equal anchors at the same place. Texts
 are cut into runs of windows with a common anchor. Runs that are equal as a whole are told by their hash. Where runs of one anchor differ,
-their bytes meet in one task, and the merged transform of these short strings finds which of their windows are repeated.
+their bytes meet in one task, and the merged transform of these short strings finds which of their windows are repeated. Anchors with too many differing
+bytes for one task are cut into their windows, which meet by their own hashes.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ PLACE = np.uint64((1 << 24) - 1)
 PIECE = 1 << 22
 #: Bytes of strings that one merge takes, whole anchors at least, and its shards.
 BATCH, SHARDS = 1 << 16, 8
+#: Bytes of differing runs beyond which an anchor is hot: its windows are dealt out one by one.
+HOT = 1 << 18
 
 
 def runs(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -73,14 +76,36 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row += len(bounds) - 1
         if not found:
             continue
-        anchor, whole, doc, place, shape = (np.concatenate(c) for c in zip(*found, strict=True))
-        by = np.lexsort((place, doc, whole, anchor))
-        a, w, d, p = anchor[by], whole[by], doc[by], place[by]
-        first = np.ones(len(by), bool)
-        first[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1])
-        lead = np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
-        certain = ~first & ((d != d[lead]) | (p != p[lead]))  # a row of the table that is repeated is at the same place
-        yield pa.RecordBatch.from_pydict({"anchor": pa.array(a), "whole": pa.array(w), "doc_id": pa.array(d, pa.int64()), "place": pa.array(p), "shape": pa.array(np.where(certain, -shape[by], shape[by]), pa.int32())})
+        yield _stand_in(*(np.concatenate(c) for c in zip(*found, strict=True)))
+
+
+def _stand_in(anchor: np.ndarray, whole: np.ndarray, doc: np.ndarray, place: np.ndarray, shape: np.ndarray) -> pa.RecordBatch:
+    by = np.lexsort((place, doc, whole, anchor))
+    a, w, d, p = anchor[by], whole[by], doc[by], place[by]
+    first = np.ones(len(by), bool)
+    first[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1])
+    lead = np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
+    certain = ~first & ((d != d[lead]) | (p != p[lead]))  # a row of the table that is repeated is at the same place
+    return pa.RecordBatch.from_pydict({"anchor": pa.array(a), "whole": pa.array(w), "doc_id": pa.array(d, pa.int64()), "place": pa.array(p), "shape": pa.array(np.where(certain, -shape[by], shape[by]), pa.int32())})
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of the strings as a run of its own, its place its start; of equal windows in one batch, the first stands for all as in ``_runs``."""
+    for b in batches:
+        strings = b.column("bytes").to_pylist()
+        if not strings:
+            continue
+        sizes = np.array([len(s) for s in strings])
+        data = np.frombuffer(b"".join(strings), np.uint8)
+        n = len(data)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(CODES[data] * powers(BASE, n), dtype=np.uint64)))
+        count = sizes - LENGTH + 1
+        string = np.repeat(np.arange(len(strings)), count)
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        first = (np.cumsum(sizes) - sizes)[string] + at
+        whole = mix((sums[first + LENGTH] - sums[first]) * powers(BASE_INVERSE, n)[first]).view(np.int64)
+        anchor, doc, start = (b.column(c).to_numpy() for c in ("anchor", "doc_id", "start"))
+        yield _stand_in(anchor[string], whole, doc[string], start[string] + at, np.ones(len(string), np.int32))
 
 
 FOUND = "anchor long, doc_id long, place long, shape int, repeated boolean"
@@ -288,10 +313,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = materialize(sorted_rows.mapInArrow(_meet, FOUND), "runs")
     asked = found.where("not repeated").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "shape")).alias("asked"))
     strings = usable.join(asked, "doc_id").mapInArrow(_cut, "anchor long, doc_id long, start long, bytes binary")
-    merged = strings.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_merged, "doc_id long, start long, end long")
-    left, n = F.floor(F.col("shape") / 256), F.col("shape") % 256
+    n = F.col("shape") % 256
+    hot = materialize(found.where("not repeated").groupBy("anchor").agg(F.sum(n - 1 + LENGTH).alias("size")).where(F.col("size") > HOT).select("anchor"), "hot-anchors")
+    few = F.broadcast(hot)  # at most one for each HOT bytes of differing runs
+    windows = strings.join(few, "anchor", "left_semi").select("anchor", "doc_id", "start", "bytes").mapInArrow(_windows, "anchor long, whole long, doc_id long, place long, shape int")
+    dealt = windows.repartition(F.when(F.col("shape") < 0, F.xxhash64("doc_id", "place")).otherwise(F.xxhash64("anchor", "whole"))).sortWithinPartitions("anchor", "whole", "doc_id", "place")
+    parts = dealt.mapInArrow(_meet, FOUND).where("repeated").select("doc_id", F.col("place").alias("start"), (F.col("place") + LENGTH).alias("end"))
+    merged = strings.join(few, "anchor", "left_anti").select("anchor", "doc_id", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_merged, "doc_id long, start long, end long")
+    left = F.floor(F.col("shape") / 256)
     whole = found.where("repeated").select("doc_id", (F.col("place") - left).alias("start"), (F.col("place") - left + n - 1 + LENGTH).alias("end"))
-    covered = whole.unionByName(merged).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("covered"))
+    covered = whole.unionByName(merged).unionByName(parts).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("covered"))
     out = source.join(covered, "doc_id", "left").mapInArrow(_keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
     return out.withColumnRenamed("doc_id", id_col)
 

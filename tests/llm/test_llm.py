@@ -208,6 +208,24 @@ def test_repeats_match_brute_force(spark, corpus):
     assert sum(w[1] for w in want.values()) > 1000 and repeats.remove_repeats(docs(spark, EMPTY)).count() == 0
 
 
+def test_hot_anchors_are_dealt_out_by_their_windows(spark, corpus, monkeypatch):
+    def most(batches):
+        for b in batches:
+            assert b.num_rows == 0
+            yield from ()
+
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(130))
+    texts = [*corpus, *((1000 + i, f"{rng.getrandbits(200):x}{passage}{rng.getrandbits(200):x}") for i in range(60))]
+    want = brute_repeats(texts)
+    for hot, merged in ((2000, repeats._merged), (0, most)):  # at 0 every anchor is hot, and nothing is merged
+        monkeypatch.setattr(repeats, "HOT", hot)
+        monkeypatch.setattr(repeats, "_merged", merged)
+        for r in repeats.remove_repeats(docs(spark, texts)).collect():
+            if r["doc_id"] is not None:
+                assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]]
+
+
 def test_merged_transform_groups_equal_windows():
     rng = np.random.default_rng(0)
     base = rng.integers(97, 101, 400).astype(np.uint8).tobytes()
