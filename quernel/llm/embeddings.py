@@ -18,8 +18,10 @@ SAMPLE = 20_000
 #: Cells hold about so many vectors on average, within these numbers of codewords for each half.
 CELL, FEWEST, MOST_WORDS = 64, 4, 4096
 #: Share of the neighbours at the very similarity that the cells visited from one side must hold, for a random direction of the
-#: difference; nearer ones are missed less, and a pair can be found from both sides.
-RECALL = 0.99
+#: difference, and of the sampled links whatever their direction; nearer ones are missed less, and a pair can be found from both sides.
+RECALL = 0.9999
+#: Vectors of the sample whose links within it show how far to walk.
+PROBES = 1000
 #: Vectors of a cell that one task compares with the probes at a time; a larger cell is split, its probes repeated.
 BLOCK = 2048
 
@@ -75,6 +77,21 @@ def reach(half: int, similarity: float, recall: float) -> float:
     return float(-2 * np.log(1 - recall) * (2 - 2 * similarity) / (2 * half))
 
 
+def reach_of_links(unit: np.ndarray, books: list[np.ndarray], between: list[np.ndarray], similarity: float, recall: float, probes: int = PROBES) -> float:
+    """Squared bound that holds ``recall`` of the links of the first rows: in a group along few axes, codewords split the group along these, and
+    differences cross the planes between them more often than random ones."""
+    half, crossed = books[0].shape[1], [np.zeros(0)]
+    home = [distances(u, w).argmin(1) for u, w in zip((unit[:, :half], unit[:, half:]), books, strict=True)]
+    for at in range(0, min(probes, len(unit)), 250):
+        some = unit[at : min(at + 250, probes)]
+        i, j = np.nonzero(some @ unit.T >= similarity)
+        h = [offsets(u, w, g)[1] for u, w, g in zip((some[:, :half], some[:, half:]), books, between, strict=True)]
+        crossed.append(h[0][i, home[0][j]] ** 2 + h[1][i, home[1][j]] ** 2)
+        crossed[-1] = crossed[-1][at + i != j]
+    links = np.concatenate(crossed)
+    return float(np.quantile(links, recall, method="higher")) if len(links) else 0.0
+
+
 def normalised(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
     """The vectors, all of one length, as unit vectors and as they are."""
     flat = batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -116,7 +133,7 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, id_col:
     k = int(min(max(FEWEST, round((n / CELL) ** 0.5)), MOST_WORDS, max(1, len(fit) // 4)))
     books = [codebook(fit[:, :half], k), codebook(fit[:, half:], k)]
     between = [np.sqrt(distances(b, b)) for b in books]
-    bound = reach(max(1, half), similarity, recall)
+    bound = min(max(reach(max(1, half), similarity, recall), reach_of_links(fit, books, between, similarity, recall)), 2 - 2 * similarity)  # the last one can't miss
 
     def home_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

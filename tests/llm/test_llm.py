@@ -332,6 +332,18 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
     assert embeddings.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
+def test_links_of_a_group_along_one_axis_are_found(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 64))
+    centre, axis = rng.normal(size=(2, 64))
+    x[:2000] = centre + rng.uniform(-1.5, 1.5, (2000, 1)) * axis + rng.normal(size=(2000, 64)) * 0.02
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    found = sum(r["n_links"] for r in embeddings.near_duplicates(df).collect())
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = int((u @ u.T >= 0.95).sum()) - 6000
+    assert links >= found >= 0.999 * links, found / links
+
+
 def test_cells_come_in_order_of_their_bound():
     rng = np.random.default_rng(5)
     h1, h2 = rng.random(9), rng.random(7)
