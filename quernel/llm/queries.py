@@ -63,30 +63,29 @@ FROM marked GROUP BY conv_id""",
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 patterns(kind, rank, re, grp, least) AS (VALUES
   ('assign', 0, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
-  ('access', 1, 'AKIA[A-Z0-9]+', 0, 20), ('hex', 2, '[0-9a-f]+', 0, 24), ('entropy', 3, '[A-Za-z0-9+/_=-]{24,}', 0, 24)),
+  ('access', 1, 'AKIA[A-Z0-9]+', 0, 20), ('hex', 2, '[0-9a-f]+', 0, 24), ('entropy', 3, '[A-Za-z0-9+/_=-]{20,}', 0, 20)),
 parts AS (
   SELECT doc_id, 'assign' AS kind, 0 AS rank, 6 AS least, regexp_extract_all(text, (SELECT re FROM patterns WHERE rank = 0)) AS found,
          regexp_extract_all(text, (SELECT re FROM patterns WHERE rank = 0), 2) AS vals, string_split_regex(text, (SELECT re FROM patterns WHERE rank = 0)) AS gaps FROM texts
   UNION ALL SELECT doc_id, 'access', 1, 20, regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'), string_split_regex(text, 'AKIA[A-Z0-9]+') FROM texts
   UNION ALL SELECT doc_id, 'hex', 2, 24, regexp_extract_all(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+'), string_split_regex(text, '[0-9a-f]+') FROM texts
-  UNION ALL SELECT doc_id, 'entropy', 3, 24, regexp_extract_all(text, '[A-Za-z0-9+/_=-]{24,}'), regexp_extract_all(text, '[A-Za-z0-9+/_=-]{24,}'), string_split_regex(text, '[A-Za-z0-9+/_=-]{24,}') FROM texts),
+  UNION ALL SELECT doc_id, 'entropy', 3, 20, regexp_extract_all(text, '[A-Za-z0-9+/_=-]{20,}'), regexp_extract_all(text, '[A-Za-z0-9+/_=-]{20,}'), string_split_regex(text, '[A-Za-z0-9+/_=-]{20,}') FROM texts),
 each AS (
   SELECT doc_id, kind, rank, least, unnest(found) AS s, unnest(vals) AS v, unnest(gaps[1:len(found)]) AS gap, unnest(range(len(found))) AS i FROM parts WHERE len(found) > 0),
 placed AS (
   SELECT *, sum(length(gap) + length(s)) OVER (PARTITION BY doc_id, rank ORDER BY i) AS stop FROM each),
+parted AS (
+  SELECT doc_id, stop - length(s) AS start, stop, unnest(string_split_regex(s, '(?i)example|placeholder|changeme|your[_-]?(?:api[_-]?)?key|dummy|xxxx+|abcdefghijklm|0123456789abcdef')) AS s FROM placed WHERE rank = 3),
 candidates AS (
-  SELECT doc_id, s, stop - length(s) AS start, stop,
-         CASE WHEN regexp_matches(s, '^[0-9a-fA-F]+$') THEN 3.2 ELSE 3.8 END AS bits
-  FROM placed WHERE rank = 3 AND NOT regexp_matches(s, '^[0-9]+$') AND NOT regexp_matches(s, '^[A-Za-z]+$')
-    AND NOT regexp_matches(s, '(?i)example|placeholder|changeme|your[_-]?(?:api[_-]?)?key|dummy|xxxx') AND NOT regexp_matches(s, '^[-_=+/]+$')
-    AND NOT regexp_matches(s, '^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$') AND NOT regexp_matches(s, '^[A-Za-z]+(?:[-_/+=][A-Za-z]+)*[-_/+=]*$')
-    AND NOT regexp_matches(s, '(?i)abcdefghijklm|0123456789abcdef')),
-windows AS (SELECT doc_id, start, stop, bits, w, unnest(string_split(substr(s, w, 20), '')) AS c FROM (SELECT *, unnest(range(1, length(s) - 18)) AS w FROM candidates)),
-counts AS (SELECT doc_id, start, stop, bits, w, c, count(*) AS n FROM windows GROUP BY ALL),
-entropies AS (SELECT doc_id, start, stop, bits, w, sum(-n / 20.0 * log2(n / 20.0)) AS h FROM counts GROUP BY ALL),
+  SELECT doc_id, s, start, stop, row_number() OVER () AS part, CASE WHEN regexp_matches(s, '^[0-9a-fA-F]+$') THEN 3.2 ELSE 3.8 END AS bits
+  FROM parted WHERE length(s) >= 20 AND NOT regexp_matches(s, '^[0-9]+$') AND NOT regexp_matches(s, '^[A-Za-z/_=+-]+$')
+    AND NOT regexp_matches(s, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$')),
+windows AS (SELECT doc_id, start, stop, part, bits, w, unnest(string_split(substr(s, w, 20), '')) AS c FROM (SELECT *, unnest(range(1, length(s) - 18)) AS w FROM candidates)),
+counts AS (SELECT doc_id, start, stop, part, bits, w, c, count(*) AS n FROM windows GROUP BY ALL),
+entropies AS (SELECT doc_id, start, stop, part, bits, w, sum(-n / 20.0 * log2(n / 20.0)) AS h FROM counts GROUP BY ALL),
 spans AS (
   SELECT doc_id, kind, rank, stop - length(s) AS start, stop FROM placed WHERE rank < 3 AND length(v) >= least
-  UNION ALL SELECT doc_id, 'entropy', 3, start, stop FROM entropies GROUP BY doc_id, start, stop, bits HAVING max(h) >= bits - 1e-9),
+  UNION ALL SELECT DISTINCT doc_id, 'entropy', 3, start, stop FROM entropies WHERE h >= bits - 1e-9),
 marks AS (SELECT *, kind || ':' || start || ':' || stop AS mark FROM spans)
 SELECT t.doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, count(*) FILTER (rank = 3) AS n_entropy,
        sha256(coalesce(string_agg(mark, ',' ORDER BY start, rank) FILTER (rank < 3), '')) AS base_sha256,

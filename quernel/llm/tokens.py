@@ -25,6 +25,8 @@ SPACE = re.compile(r"\s")
 BARE = "\ud800"
 #: Pieces whose ids a worker keeps; when it has more, the most used half stays. Results don't depend on it.
 KEPT_PIECES = 600_000
+#: What a vocabulary's model may set besides its words and merges.
+MODEL_OPTIONS = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
 ORC_OPTIONS = {
     "orc.compress": "zstd", "orc.compression.zstd.level": "1", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20),
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
@@ -46,8 +48,9 @@ class PieceEncoder(dict):
         with open(vocabulary, encoding="utf-8") as f:
             model = json.load(f)["model"]
         # the model's own cache of words only costs time here, where no piece is encoded twice
-        self.tokenizer.model = BPE(vocab=model["vocab"], merges=[tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]], cache_capacity=0)
-        self.tokenizer.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
+        options = {k: model[k] for k in MODEL_OPTIONS if model.get(k) is not None}
+        self.tokenizer.model = BPE(vocab=model["vocab"], merges=[tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]], cache_capacity=0, **options)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self._reset()
 
@@ -136,9 +139,16 @@ class PieceEncoder(dict):
         return self.flat[source]
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, ``end_id`` after each, and the number of ids of each."""
+        """All ids of the texts, ``end_id`` after each, and the number of ids of each. Texts that hold an added token of the vocabulary
+        aren't cut: what such a token does to the characters around it is the library's business."""
         if len(self.pieces) > KEPT_PIECES:
             self._shrink()
+        if whole := {i for i, t in enumerate(texts) if any(a in t for a in self.added)}:
+            ids = [np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, end_id], np.int32) if i in whole else None for i, t in enumerate(texts)]
+            rest, n = self.encode([t for i, t in enumerate(texts) if i not in whole], end_id)
+            cut = iter(np.split(rest, np.cumsum(n)[:-1]))
+            ids = [next(cut) if x is None else x for x in ids]
+            return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
         pieces, lengths = [], []
         for t in texts:
             own = self.split(t)
