@@ -182,7 +182,7 @@ def test_secret_spans(spark):
     assert [k for _, k, _ in found[1][0]] == [0, 1, 2] and (24, 48) in found[1][1]
     assert found[2] == found[3] == found[4] == ([], [])
     assert found[5] == ([], [])  # a value that is too short uses up its match
-    assert found[6][1] == [] and [k for _, k, _ in found[6][0]] == [2]
+    assert found[6][1] == [(33, 64)] and [k for _, k, _ in found[6][0]] == [2]
     assert found[10][1] == [(0, len(f"env-example/{key}{key[:16]}"))] and found[11][1] == []
     assert found[7][0] == [(0, 0, 14)] and found[8][0] == [] and found[9][1] == []
     assert len(out) == len(texts) and secrets.scan(docs(spark, EMPTY)).count() == 0
