@@ -10,9 +10,11 @@ from quernel.llm.scratch import materialize
 #: Places of a window that each mask looks at. Together they hit every window of 8 to 16 words of which 80% match, wherever the
 #: other words are (tests try all cases), so no overlap that the check below accepts is missed.
 MASKS = ((0, 1, 2, 4), (0, 1, 4, 5))
+#: Items of fewer than LEAST_WORDS words can't be told from chance with a word changed: they are found where all their words stand in a row,
+#: by a mask as long as the item.
 WINDOW, SIMILARITY, LEAST_WORDS = 16, 0.8, 8
-#: Seeds and items are broadcast up to this many seeds, some 40 bytes each; more of them are joined by a shuffle.
-MOST_BROADCAST = 500_000
+#: Bytes of the benchmark's seeds and words that are broadcast; a larger benchmark meets the documents' seeds by a shuffle.
+MOST_BROADCAST = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -20,12 +22,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _coded(text: Column) -> Column:
-    """Struct of the words and the seed hashes: place p (from 0), mask k at index p * len(MASKS) + k, null where a mask reaches
+def _coded(text: Column, masks: tuple) -> Column:
+    """Struct of the words and the seed hashes: place p (from 0), mask k at index p * len(masks) + k, null where a mask reaches
     beyond the end. Arrays of one element bind words and their hashes to variables, so that both are computed once for each text."""
 
     def seeds(h: Column, p: Column) -> Column:
-        return F.array(*[F.when(p + m[-1] < F.size(h), F.xxhash64(F.lit(k), *[F.get(h, p + o) for o in m])) for k, m in enumerate(MASKS)])
+        return F.array(*[F.when(p + m[-1] < F.size(h), F.xxhash64(F.lit(k), *[F.get(h, p + o) for o in m])) for k, m in enumerate(masks)])
 
     def hashes(h: Column) -> Column:
         return F.flatten(F.transform(h, lambda _, p: seeds(h, p)))
@@ -37,50 +39,74 @@ def _coded(text: Column) -> Column:
     return F.transform(F.array(words(text)), both)[0]
 
 
+def _matching(words: Column, item_words: Column, start: Column) -> Column:
+    """0 or 1 for each word of the item that lies on a word of the document, if its first word lies at ``start``."""
+    first = F.greatest(F.lit(0), -start)
+    length = F.least(F.size(item_words), F.size(words) - start) - first
+    return F.zip_with(F.slice(words, F.greatest(start, F.lit(0)) + 1, length), F.slice(item_words, first + 1, length), lambda a, b: (a == b).cast("int"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_key: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``(<doc_key>, item_id, start, best)``: each alignment of a document with a benchmark item, ``best`` words of some
-    window of 16 words of the item (the whole item if it is shorter) matching, 80% of them at least; ``start`` is the word of the document under the item's first word.
+    window of 16 words of the item (the whole item if it is shorter) matching, 80% of them at least, all of them in an item of fewer than 8 words;
+    ``start`` is the word of the document under the item's first word.
 
-    Texts are compared word by word in lower case without gaps, whole texts on both sides. Items under 8 words can't be told from chance and are not
-    searched for. Null and empty texts have no words; repeated documents or items each give their rows; an empty table on either
-    side gives an empty result. Documents stay where they are: their seeds meet the benchmark's by broadcast while these are few, else by a shuffle of hashes.
+    Texts are compared word by word in lower case without gaps, whole texts on both sides. Null and empty texts have no words; repeated documents or items
+    each give their rows; an empty table on either side gives an empty result; other columns, whatever their names, are ignored.
+
+    Documents stay where they are and are verified in place while the benchmark's seeds and words, which are counted first, are small enough to be broadcast. Beyond that only
+    (text's digest, place, hash) of each seed is shuffled, and words are fetched for the alignments that share a seed.
     """
-    items = materialize(benchmark.select(F.col(item_col).alias("item_id"), _coded(F.col(item_text_col)).alias("coded")), "benchmark-words")
-    items = items.where(F.size("coded.words") >= LEAST_WORDS).withColumn("item_words", F.col("coded.words"))
-    seeds = items.select("item_id", "item_words", F.posexplode("coded.hashes").alias("i", "hash")).where("hash is not null")
-    seeds = materialize(seeds.select("hash", "item_id", F.floor(F.col("i") / len(MASKS)).cast("int").alias("item_at"), "item_words"), "benchmark-seeds")
-    few = seeds.count() <= MOST_BROADCAST
-    coded = docs.select(*[F.col(c).alias(f"key{j}") for j, c in enumerate(doc_key)], _coded(F.col(text_col)).alias("coded"))
-    coded = coded.select(*[f"key{j}" for j in range(len(doc_key))], F.col("coded.words").alias("words"), F.col("coded.hashes").alias("hashes"))
+    given = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("item_words")).where(F.size("item_words") > 0)
+    # equal items are one for the search; the names are those of the first words that share a digest
+    given = given.withColumn("item", F.xxhash64("item_words", F.size("item_words")))
+    given = materialize(given.groupBy("item", "item_words").agg(F.collect_set(F.struct("item_id")).alias("names")), "benchmark-items")
+    short = [r["n"] for r in given.where(F.size("item_words") < LEAST_WORDS).select(F.size("item_words").alias("n")).distinct().orderBy("n").collect()]  # seven at most
+    masks = (*MASKS, *[tuple(range(n)) for n in short])
+    n, k = F.size("item_words"), F.col("i") % len(masks)
+    own = F.when(n >= LEAST_WORDS, k < len(MASKS)).otherwise((k == F.array_position(F.array(*map(F.lit, short)), n) + len(MASKS) - 1) if short else F.lit(False))
+    seeds = given.select("item", "item_words", F.posexplode(_coded(F.array_join("item_words", " "), masks)["hashes"]).alias("i", "hash")).where(F.col("hash").isNotNull() & own)
+    seeds = materialize(seeds.select("hash", "item", F.floor(F.col("i") / len(masks)).cast("int").alias("item_at")), "benchmark-seeds")
+    size = seeds.count() * 48 + (given.agg(F.sum(F.length(F.array_join("item_words", " ")) + 16 * n)).first()[0] or 0)
     keys = [f"key{j}" for j in range(len(doc_key))]
-    if few:
+    text = docs.select(*[F.col(c).alias(f"key{j}") for j, c in enumerate(doc_key)], F.col(text_col).alias("text"))
+    coded = _coded(F.col("text"), masks)
+    start = (F.floor(F.col("i") / len(masks)) - F.col("item_at")).cast("int").alias("start")
+    items = given.select("item", "item_words")
+    if size <= MOST_BROADCAST:
         # One row for each hash with all its places, so that a repeated seed passes the join once. The outer explode keeps
         # Spark from adding a filter that computes the hashes a second time.
-        places = seeds.groupBy("hash").agg(F.collect_list(F.struct("item_id", "item_at", "item_words")).alias("at"))
-        hits = coded.select(*keys, "words", F.posexplode_outer("hashes").alias("i", "hash")).join(F.broadcast(places), "hash")
-        hits = hits.select(*keys, "words", "i", F.explode("at").alias("at")).select(*keys, "words", "i", "at.*")
+        places = seeds.groupBy("hash").agg(F.collect_list(F.struct("item", "item_at")).alias("at"))
+        each = text.select(*keys, coded.alias("coded")).select(*keys, F.col("coded.words").alias("words"), F.col("coded.hashes").alias("hashes"))
+        hits = each.select(*keys, "words", F.posexplode_outer("hashes").alias("i", "hash")).join(F.broadcast(places), "hash")
+        hits = hits.select(*keys, "words", "i", F.explode("at").alias("at")).select(*keys, "words", "i", "at.*").select(*keys, "words", "item", start)
+        met = hits.join(F.broadcast(items), "item")
     else:
-        places = coded.select(*keys, "words", F.posexplode_outer("hashes").alias("i", "hash")).where("hash is not null")
-        hits = places.join(seeds, "hash")
-    start = (F.floor(F.col("i") / len(MASKS)) - F.col("item_at")).cast("int")
-    first = F.greatest(F.lit(0), -start)
-    length = F.least(F.size("item_words"), F.size("words") - start) - first
-    aligned = hits.select(*keys, "item_id", start.alias("start"), F.size("item_words").alias("n"),
-        F.zip_with(F.slice("words", F.greatest(start, F.lit(0)) + 1, length), F.slice("item_words", first + 1, length), lambda a, b: (a == b).cast("int")).alias("same"))
+        named = text.withColumn("digest", F.md5(F.coalesce("text", F.lit(""))))
+        each = named.select("digest", F.posexplode_outer(coded["hashes"]).alias("i", "hash")).where("hash is not null")
+        hits = materialize(each.join(seeds, "hash").select("digest", "item", start).distinct(), "seed-hits")
+        texts = named.join(hits.select("digest").distinct(), "digest", "left_semi").select(*keys, "digest", words(F.col("text")).alias("words"))
+        met = texts.join(hits, "digest").join(items, "item")
+    aligned = met.select(*keys, "item", "start", F.size("item_words").alias("n"), _matching(F.col("words"), F.col("item_words"), F.col("start")).alias("same"))
     window = F.least(F.col("n"), F.lit(WINDOW))
-    need = F.ceil(window * SIMILARITY - 1e-9)
+    need = F.when(F.col("n") < LEAST_WORDS, F.col("n")).otherwise(F.ceil(window * SIMILARITY - 1e-9))
     total = F.aggregate("same", F.lit(0), lambda s, x: s + x)
-    likely = aligned.where(total >= need).withColumn("window", window)
+    likely = aligned.where(total >= need).withColumn("window", window).withColumn("need", need)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size("same") - F.col("window") + 1, F.lit(1))), lambda p: F.aggregate(F.slice("same", p, F.col("window")), F.lit(0), lambda s, x: s + x)))
-    found = likely.withColumn("best", best).where(F.col("best") >= F.ceil(F.col("window") * SIMILARITY - 1e-9))
-    return found.select(*[F.col(k).alias(c) for k, c in zip(keys, doc_key, strict=True)], "item_id", "start", "best").distinct()
+    found = likely.withColumn("best", best).where(F.col("best") >= F.col("need")).select(*keys, "item", "start", "best").distinct()
+    out = found.join(given.select("item", F.explode("names").alias("name")), "item")
+    return out.select(*[F.col(c).alias(name) for c, name in zip(keys, doc_key, strict=True)], F.col("name.item_id").alias("item_id"), "start", "best")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a leak, with their columns. Rows are matched by hash and length of their text, so repeated ids don't mix."""
-    keyed = docs.withColumn("__hash", F.xxhash64(text_col)).withColumn("__size", F.length(text_col))
-    found = materialize(leaks(keyed.select("__hash", "__size", text_col), benchmark, ("__hash", "__size"), text_col).select("__hash", "__size").distinct(), "leaks")
-    return keyed.join(found, ["__hash", "__size"], "left_anti").select(*docs.columns)
+    """The rows of ``docs`` without a leak, with their columns, whatever these are called. Rows are matched by the digest of their text, so repeated ids don't
+    mix. Short items count where all their words stand in a row, so a benchmark of single words should be filtered first."""
+    digest = "digest"
+    while digest in docs.columns:
+        digest = f"_{digest}"
+    named = docs.withColumn(digest, F.md5(F.coalesce(text_col, F.lit(""))))
+    found = materialize(leaks(named.select(digest, text_col), benchmark, (digest,), text_col).select(digest).distinct(), "leaks")
+    return named.join(found, digest, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

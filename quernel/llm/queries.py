@@ -94,15 +94,15 @@ FROM texts t LEFT JOIN marks m ON t.doc_id = m.doc_id GROUP BY t.doc_id""",
     "op8_decontaminate": r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
-items AS (SELECT item_id, len(w) AS n, least(len(w), 16) AS win, unnest(w) AS word, unnest(range(len(w))) AS item_at FROM b WHERE len(w) >= 8),
+items AS (SELECT item_id, least(len(w), 16) AS win, CASE WHEN len(w) < 8 THEN len(w) ELSE ceil(0.8 * least(len(w), 16) - 1e-9) END AS need, unnest(w) AS word, unnest(range(len(w))) AS item_at FROM b),
 places AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS doc_at FROM d),
-same AS (SELECT doc_id, item_id, doc_at - item_at AS start, item_at, win FROM places JOIN items USING (word)),
-often AS (SELECT doc_id, item_id, start FROM same GROUP BY ALL HAVING count(*) >= ceil(0.8 * min(win) - 1e-9)),
+same AS (SELECT doc_id, item_id, doc_at - item_at AS start, item_at, win, need FROM places JOIN items USING (word)),
+often AS (SELECT doc_id, item_id, start FROM same GROUP BY ALL HAVING count(*) >= min(need)),
 windows AS (
-  SELECT doc_id, item_id, start, win,
+  SELECT doc_id, item_id, start, win, need,
          count(*) OVER (PARTITION BY doc_id, item_id, start ORDER BY item_at RANGE BETWEEN CURRENT ROW AND 15 FOLLOWING) AS hits
   FROM same JOIN often USING (doc_id, item_id, start)),
-best AS (SELECT doc_id, item_id, start, max(hits) AS best FROM windows GROUP BY doc_id, item_id, start, win HAVING max(hits) >= ceil(0.8 * win - 1e-9))
+best AS (SELECT doc_id, item_id, start, max(hits) AS best FROM windows GROUP BY doc_id, item_id, start, need HAVING max(hits) >= need)
 SELECT doc_id, item_id, max(best)::BIGINT AS best, count(*) AS n_places FROM best GROUP BY doc_id, item_id""",
     "op2_embeddings": r"""
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL),

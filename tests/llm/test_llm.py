@@ -393,7 +393,7 @@ def test_masks_miss_no_accepted_overlap():
             assert any(all(s + o not in bad for o in m) for m in decontamination.MASKS for s in range(window - m[-1]))
 
 
-@pytest.mark.parametrize("most", [500_000, 0])
+@pytest.mark.parametrize("most", [64 << 20, 0])
 def test_leaks_tolerate_substitutions(spark, monkeypatch, most):
     monkeypatch.setattr(decontamination, "MOST_BROADCAST", most)
     rng = random.Random(6)
@@ -402,12 +402,15 @@ def test_leaks_tolerate_substitutions(spark, monkeypatch, most):
     for i in (3, 9, 15, 21, 27):
         wrong[i] = "other"
     far = [w if i % 3 else "other" for i, w in enumerate(item)]
-    texts = [(1, "a b " + " ".join(item) + " c"), (2, " ".join(wrong).upper().replace(" ", ", ")), (3, " ".join(far)), (4, None), (5, ""), (6, " ".join(item[:16])), (7, "x " * 3000 + " ".join(item)), (None, " ".join(item)), (1, "a b " + " ".join(item) + " c"), (8, "short one")]
-    bench = spark.createDataFrame([(1, " ".join(item), 0), (2, "short one", 0), (3, None, 0)], "item_id long, text string, words int")
-    df = docs(spark, texts)
-    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(df, bench).collect()} == {(1, 1), (2, 1), (6, 1), (7, 1), (None, 1)}
+    seven = "here are just seven words of text"
+    texts = [(1, "a b " + " ".join(item) + " c"), (2, " ".join(wrong).upper().replace(" ", ", ")), (3, " ".join(far)), (4, None), (5, ""), (6, " ".join(item[:16])), (7, "x " * 3000 + " ".join(item)), (None, " ".join(item)), (1, "a b " + " ".join(item) + " c"),
+        (8, f"so {seven}"), (9, seven.replace("seven", "eight")), (10, "Short, one")]
+    bench = spark.createDataFrame([(1, " ".join(item), 0), (2, "short one", 0), (3, None, 0), (4, seven, 0), (4, seven, 0), (5, seven, 0), (6, "", 0)], "item_id long, text string, words int")
+    df = docs(spark, texts).withColumnsRenamed({"key": "__hash", "node": "__size", "size": "digest", "cell": "i"})
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(df, bench).collect()} == {(1, 1), (2, 1), (6, 1), (7, 1), (None, 1), (8, 4), (8, 5), (10, 2)}
     clean = decontamination.decontaminate(df, bench)
-    assert sorted(r["doc_id"] for r in clean.collect()) == [3, 4, 5, 8] and clean.columns == df.columns
+    assert sorted(r["doc_id"] for r in clean.collect()) == [3, 4, 5, 9] and clean.columns == df.columns
+    assert {r["digest"] for r in clean.collect()} == {2} and {r["__hash"] for r in clean.collect()} == {"k"}
     assert decontamination.leaks(docs(spark, EMPTY), bench).count() == 0 and decontamination.decontaminate(df, bench.where("false")).count() == len(texts)
 
 
