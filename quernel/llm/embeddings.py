@@ -92,11 +92,21 @@ def reach_of_links(unit: np.ndarray, books: list[np.ndarray], between: list[np.n
     return float(np.quantile(links, recall, method="higher")) if len(links) else 0.0
 
 
-def normalised(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors, all of one length, as unit vectors and as they are."""
-    flat = batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(batch.num_rows, -1)
-    return x / np.linalg.norm(x, axis=1, keepdims=True), x
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that neither huge nor tiny ones leave the range of doubles."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def crossing(unit: np.ndarray, homes: np.ndarray, other: tuple[int, int], books: list[np.ndarray], between: list[np.ndarray], k: int) -> np.ndarray:
+    """The squared bound of each row's distance to one cell, from the row's home cell. Plain sums row by row, so the same row gives the same bits in
+    whatever company it is computed; products of matrices don't."""
+    half, total = books[0].shape[1], np.zeros(len(unit))
+    for part, book, gap, own, to in zip((unit[:, :half], unit[:, half:]), books, between, (homes // k, homes % k), other, strict=True):
+        w, v = book[own], book[to]
+        apart = ((v * v).sum() - (w * w).sum(1)) - 2 * (part * (v - w)).sum(1)
+        total += (np.maximum(apart, 0) / (2 * np.maximum(gap[own, to], 1e-12))) ** 2
+    return total
 
 
 def usable(df: DataFrame, column: str) -> DataFrame:
@@ -112,14 +122,15 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, id_col:
     Links are pairs whose cosine in doubles is ``similarity`` or more; ``n_links`` counts the other rows linked, ``component_id`` is the least id that links
     reach. Equal vectors are aggregated first and linked with each other. Each distinct vector is stored in its cell of the grid of two
     codebooks and looks for others in the nearest cells, walked until ``recall`` of its neighbours should have been met; a pair counts
-    whichever side finds it. Vectors that are null, empty, zero or hold null or non-finite components, vectors of another length than most, and rows with a
-    null id link with nothing. Rows that repeat an id link with each other and are each kept. An empty table gives an empty result.
+    whichever side finds it. Vectors of one component have one codebook. Vectors that are null, empty, zero or hold null or non-finite components,
+    vectors of another length than most, and rows with a null id link with nothing. Rows that repeat an id link with each other and are each kept. An empty table gives an empty result.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"  # floats are stored and dealt as such, half the bytes
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("x"))
     good = usable(rows.where("id is not null"), "x")
     length = good.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
     blank = rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    if length is None or length["n"] < 2:
+    if length is None:
         return blank
     dim = length["n"]
     coded = rows.withColumn("ok", F.when((F.col("id").isNotNull()) & (F.size("x") == dim), F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)).otherwise(False))
@@ -127,35 +138,40 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, id_col:
     distinct = materialize(coded.where("node is not null").groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.min("x").alias("x")), "vectors")
     n = distinct.count()
     chosen = distinct.orderBy(F.xxhash64("node", F.lit(5)), "node").select("x").limit(sample).collect()
-    fit = np.array([r["x"] for r in chosen])
-    fit /= np.linalg.norm(fit, axis=1, keepdims=True)
-    half = dim // 2
+    fit = units(np.array([r["x"] for r in chosen]))
+    half = max(1, dim // 2)
     k = int(min(max(FEWEST, round((n / CELL) ** 0.5)), MOST_WORDS, max(1, len(fit) // 4)))
     books = [codebook(fit[:, :half], k), codebook(fit[:, half:], k)]
     between = [np.sqrt(distances(b, b)) for b in books]
-    bound = min(max(reach(max(1, half), similarity, recall), reach_of_links(fit, books, between, similarity, recall)), 2 - 2 * similarity)  # the last one can't miss
+    bound = min(max(reach(half, similarity, recall), reach_of_links(fit, books, between, similarity, recall)), 2 - 2 * similarity)  # the last one can't miss
+
+    def vectors_of(b: pa.RecordBatch) -> np.ndarray:
+        return b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim).astype(np.float64)
 
-    def home_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector with its home cell."""
         for b in batches:
-            unit, _ = normalised(b, "x")
+            unit = units(vectors_of(b))
             near = [distances(u, w).argmin(1) for u, w in zip((unit[:, :half], unit[:, half:]), books, strict=True)]
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(near[0] * k + near[1], pa.int64())})
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near[0] * k + near[1], pa.int64())], names=[*b.schema.names, "home"])
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("cell", pa.int64()), ("probe", pa.bool_()), ("node", pa.int64()), ("n", pa.int64()), ("x", pa.list_(pa.float64()))])
+        """Each vector once in its home cell and, as a probe, in the cells that it visits, nearest first. The walk goes a hair beyond the bound; whether a
+        cell is inside is decided where vectors meet."""
+        schema = pa.schema([("cell", pa.int64()), ("probe", pa.bool_()), ("node", pa.int64()), ("n", pa.int64()), ("home", pa.int64()), ("x", pa.list_(pa.float32() if kind == "float" else pa.float64()))])
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                unit, given = normalised(b, "x")
-                (w1, h1), (w2, h2) = (offsets(u, w, g) for u, w, g in zip((unit[:, :half], unit[:, half:]), books, between, strict=True))
-                visits = [multi_sequence(p, q, bound) for p, q in zip(h1, h2, strict=True)]
-                home = w1 * k + w2
+                given = vectors_of(b)
+                unit, home, node, n = units(given), *(b.column(c).to_numpy() for c in ("home", "node", "n"))
+                h = [offsets(u, w, g)[1] for u, w, g in zip((unit[:, :half], unit[:, half:]), books, between, strict=True)]
+                visits = [multi_sequence(p, q, bound * (1 + 1e-9) + 1e-12) for p, q in zip(*h, strict=True)]
                 source = np.concatenate([np.arange(len(unit)), np.repeat(np.arange(len(unit)), [len(v) for v in visits])])
+                cell = np.concatenate([home, *visits])
                 for part in np.array_split(np.arange(len(source)), max(1, len(source) // 8192)):
                     s = source[part]
-                    cell = np.concatenate([home, *visits])[part]
-                    x = pa.ListArray.from_arrays(pa.array(np.arange(0, len(s) * dim + 1, dim), pa.int32()), pa.array(given[s].ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(part >= len(unit), pa.bool_()), pa.array(b.column("node").to_numpy()[s]), pa.array(b.column("n").to_numpy()[s]), x], schema=schema)
+                    x = pa.ListArray.from_arrays(pa.array(np.arange(0, len(s) * dim + 1, dim), pa.int32()), pa.array(given[s].ravel().astype(np.float32 if kind == "float" else np.float64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[part], pa.int64()), pa.array(part >= len(unit), pa.bool_()), pa.array(node[s]), pa.array(n[s]), pa.array(home[s]), x], schema=schema)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """In a partition sorted by cell, block and probe, the stored rows of a block come first and the probes stream past them. Emits, for each node
@@ -163,56 +179,71 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, id_col:
 
         A pair is met twice if each looks into the other's cell, and then each side counts what it found by its own probe; if only one
         looks, its probe counts for both."""
-        key, stored, probes = None, [], []
         schema = pa.schema([("node", pa.int64()), ("linked", pa.int64()), ("other", pa.int64())])
 
-        def met() -> Iterator[pa.RecordBatch]:
+        def met(cell: int, stored: list[tuple], probes: list[tuple]) -> Iterator[pa.RecordBatch]:
             if not stored or not probes:
                 return
-            (nodes, weights, s), (seekers, own, p) = ((np.array([r[0] for r in side], np.int64), np.array([r[1] for r in side], np.int64), np.array([r[2] for r in side])) for side in (stored, probes))
-            s /= np.linalg.norm(s, axis=1, keepdims=True)
-            p /= np.linalg.norm(p, axis=1, keepdims=True)
+            (nodes, weights, _, s), (seekers, own, homes, p) = ([np.concatenate(c) for c in zip(*side, strict=True)] for side in (stored, probes))
+            s, p = units(s), units(p)
+            inside = crossing(p, homes, divmod(cell, k), books, between, k) <= bound
+            seekers, own, homes, p = seekers[inside], own[inside], homes[inside], p[inside]
             i, j = np.nonzero(p @ s.T >= similarity - 1e-9)
             fine = (seekers[i] != nodes[j]) & ((p[i] * s[j]).sum(1) >= similarity)  # the exact check, as a plain sum of products
             i, j = i[fine], j[fine]
             if not len(i):
                 return
-            ru, ri = np.unique(i, return_inverse=True)
-            su, si = np.unique(j, return_inverse=True)
-            home = [distances(x, w).argmin(1) for x, w in zip((p[ru, :half], p[ru, half:]), books, strict=True)]
-            h = [offsets(x, w, g)[1] for x, w, g in zip((s[su, :half], s[su, half:]), books, between, strict=True)]
-            alone = h[0][si, home[0][ri]] ** 2 + h[1][si, home[1][ri]] ** 2 > bound
+            ru, su = np.unique(i), np.unique(j)
+            away, which = np.unique(homes[ru], return_inverse=True)
+            outside = np.zeros((len(away), len(nodes)), bool)  # from which homes of probes a stored row isn't looked for
+            for a, there in enumerate(away.tolist()):
+                outside[a, su] = crossing(s[su], np.full(len(su), cell), divmod(there, k), books, between, k) > bound
+            alone = outside[which[np.searchsorted(ru, i)], j]
             gained = [np.bincount(i, weights[j], len(seekers)), np.bincount(j[alone], own[i[alone]], len(nodes))]
             names = np.concatenate([seekers, nodes])
-            up, down = forest(names[i], nodes[j])
-            root = dict(zip(up.tolist(), down.tolist(), strict=True))
-            some = np.concatenate([np.isin(np.arange(len(seekers)), ru), np.isin(np.arange(len(nodes)), su)])
-            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(np.concatenate(gained)[some].astype(np.int64)), pa.array([root.get(x, x) for x in names[some].tolist()], pa.int64())], schema=schema)
-
+            some = np.zeros(len(names), bool)
+            some[ru] = some[su + len(seekers)] = True
+            names, gained = names[some], np.concatenate(gained)[some].astype(np.int64)
+            up, down = forest(seekers[i], nodes[j])  # in the order of ``up``
+            at = np.minimum(np.searchsorted(up, names), max(len(up) - 1, 0))
+            other = np.where(up[at] == names, down[at], names) if len(up) else names
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(gained), pa.array(other)], schema=schema)
+
+        key, stored, probes, held = None, [], [], 0
         for b in batches:
-            x = b.column("x").flatten().to_numpy().reshape(b.num_rows, dim)
-            for r, (cell, block, probe, node, n) in enumerate(zip(*(b.column(c).to_pylist() for c in ("cell", "block", "probe", "node", "n")), strict=True)):
-                if (cell, block) != key:
-                    yield from met()
-                    key, stored, probes = (cell, block), [], []
-                if not probe:
-                    stored.append((node, n, x[r]))
+            if not b.num_rows:
+                continue
+            cell, block, probe, node, n, home = (b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "block", "probe", "node", "n", "home"))
+            x = vectors_of(b)
+            edges = np.flatnonzero((cell[1:] != cell[:-1]) | (block[1:] != block[:-1]) | (probe[1:] != probe[:-1])) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(cell)], strict=True):
+                if (cell[lo], block[lo]) != key:
+                    if key:
+                        yield from met(int(key[0]), stored, probes)
+                    key, stored, probes, held = (cell[lo], block[lo]), [], [], 0
+                if not probe[lo]:
+                    stored.append((node[lo:hi], n[lo:hi], home[lo:hi], x[lo:hi]))
                     continue
-                probes.append((node, n, x[r]))
-                if len(probes) >= BLOCK:
-                    yield from met()
-                    probes = []
-        yield from met()
-
-    placed = distinct.select("node", "n", "x").mapInArrow(cells, "cell long, probe boolean, node long, n long, x array<double>")
+                for at in range(lo, hi, BLOCK):
+                    to = min(at + BLOCK, hi)
+                    probes.append((node[at:to], n[at:to], home[at:to], x[at:to]))
+                    held += to - at
+                    if held >= BLOCK:
+                        yield from met(int(key[0]), stored, probes)
+                        probes, held = [], 0
+        if key:
+            yield from met(int(key[0]), stored, probes)
+
+    homed = materialize(distinct.select("node", "n", "x").mapInArrow(placed_rows, f"node long, n long, x array<{kind}>, home long"), "homed-vectors")
+    placed = homed.mapInArrow(cells, f"cell long, probe boolean, node long, n long, home long, x array<{kind}>")
     # cells above the block size: n / BLOCK at most, two numbers each, so their list may be broadcast while n / BLOCK stays below 100,000
-    homes = distinct.select("x").mapInArrow(home_cells, "cell long").groupBy("cell").count().where(F.col("count") > BLOCK)
+    homes = homed.groupBy(F.col("home").alias("cell")).count().where(F.col("count") > BLOCK)
     homes = materialize(homes.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large-cells")
     large = F.broadcast(homes) if n / BLOCK < 100_000 else homes
     placed = placed.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("block", F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
-    dealt = placed.select("cell", "block", "probe", "node", "n", "x").repartition("cell", "block").sortWithinPartitions("cell", "block", "probe")
+    dealt = placed.select("cell", "block", "probe", "node", "n", "home", "x").repartition("cell", "block").sortWithinPartitions("cell", "block", "probe")
     links = materialize(dealt.mapInArrow(compare, "node long, linked long, other long"), "vector-links")
     counts = links.groupBy(F.col("node").alias("a")).agg(F.sum("linked").alias("linked"))
     parts = connected_components(links, "node", "other")

@@ -361,6 +361,19 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
     assert embeddings.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("vectors", "links"),
+    [
+        ({1: [2.0], 2: [-1.0], 3: [5.0], 4: [0.0], 5: None}, {1: 1, 2: 0, 3: 1, 4: 0, 5: 0}),
+        ({1: [1e200, 1e200], 2: [2e200, 2e200], 3: [1e-200, 1e-200], 4: [1e200, -1e200], 5: [5e-324, 5e-324]}, {1: 3, 2: 3, 3: 3, 4: 0, 5: 3}),
+        ({1: [1.0, 2.0, 3.0], 2: [2.0, 4.0, 6.0], 3: [3.0, 1.0, 0.0]}, {1: 1, 2: 1, 3: 0}),
+    ],
+)
+def test_vectors_of_any_length_and_size(spark, vectors, links):
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    assert {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df).collect()} == links
+
+
 def test_links_of_a_group_along_one_axis_are_found(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(6000, 64))
