@@ -25,8 +25,10 @@ PLACE = np.uint64((1 << 24) - 1)
 PIECE = 1 << 22
 #: Bytes of strings that one merge takes, whole anchors at least, and its shards.
 BATCH, SHARDS = 1 << 16, 8
-#: Bytes of differing runs beyond which an anchor is hot: its windows are dealt out one by one.
-HOT = 1 << 18
+#: Bytes of differing runs beyond which an anchor is hot: its windows are dealt out one by one, so that a merge never holds more than two batches.
+HOT = 1 << 16
+#: Hot anchors that are broadcast, 8 bytes each; more of them are joined by a shuffle.
+MOST_HOT = 1_000_000
 
 
 def runs(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -65,28 +67,28 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The runs of each batch. Of equal runs in one batch, the first stands for all; the others are repeated for certain, which a negative
     shape says, so that a very frequent run doesn't meet in one task."""
     for b in batches:
-        ids = b.column("doc_id").to_numpy()
+        ids, versions = (b.column(c).to_numpy() for c in ("doc_id", "version"))
         row, found = 0, []
         for data, bounds in text_runs(b.column("text")):
             for at in range(0, max(1, len(data) - LENGTH + 1), PIECE):
                 part = data[at : at + PIECE + LENGTH - 1]
                 anchors, whole, text, place, left, n = runs(part, np.clip(bounds - at, 0, len(part)))
                 place += np.maximum(at - bounds[text], 0)  # of the part of a text that earlier pieces held
-                found.append((anchors.view(np.int64), whole.view(np.int64), ids[row + text], place, left * 256 + n))
+                found.append((anchors.view(np.int64), whole.view(np.int64), ids[row + text], versions[row + text], place, left * 256 + n))
             row += len(bounds) - 1
         if not found:
             continue
         yield _stand_in(*(np.concatenate(c) for c in zip(*found, strict=True)))
 
 
-def _stand_in(anchor: np.ndarray, whole: np.ndarray, doc: np.ndarray, place: np.ndarray, shape: np.ndarray) -> pa.RecordBatch:
-    by = np.lexsort((place, doc, whole, anchor))
-    a, w, d, p = anchor[by], whole[by], doc[by], place[by]
+def _stand_in(anchor: np.ndarray, whole: np.ndarray, doc: np.ndarray, version: np.ndarray, place: np.ndarray, shape: np.ndarray) -> pa.RecordBatch:
+    by = np.lexsort((place, version, doc, whole, anchor))
+    a, w, d, v, p = anchor[by], whole[by], doc[by], version[by], place[by]
     first = np.ones(len(by), bool)
     first[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1])
     lead = np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
-    certain = ~first & ((d != d[lead]) | (p != p[lead]))  # a row of the table that is repeated is at the same place
-    return pa.RecordBatch.from_pydict({"anchor": pa.array(a), "whole": pa.array(w), "doc_id": pa.array(d, pa.int64()), "place": pa.array(p), "shape": pa.array(np.where(certain, -shape[by], shape[by]), pa.int32())})
+    certain = ~first & ((d != d[lead]) | (v != v[lead]) | (p != p[lead]))  # a row of the table that is repeated is at the same place
+    return pa.RecordBatch.from_pydict({"anchor": pa.array(a), "whole": pa.array(w), "doc_id": pa.array(d, pa.int64()), "version": pa.array(v, pa.int64()), "place": pa.array(p), "shape": pa.array(np.where(certain, -shape[by], shape[by]), pa.int32())})
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,11 +106,12 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         first = (np.cumsum(sizes) - sizes)[string] + at
         whole = mix((sums[first + LENGTH] - sums[first]) * powers(BASE_INVERSE, n)[first]).view(np.int64)
-        anchor, doc, start = (b.column(c).to_numpy() for c in ("anchor", "doc_id", "start"))
-        yield _stand_in(anchor[string], whole, doc[string], start[string] + at, np.ones(len(string), np.int32))
+        anchor, doc, version, start = (b.column(c).to_numpy() for c in ("anchor", "doc_id", "version", "start"))
+        yield _stand_in(anchor[string], whole, doc[string], version[string], start[string] + at, np.ones(len(string), np.int32))
 
 
-FOUND = "anchor long, doc_id long, place long, shape int, repeated boolean"
+RUNS = "anchor long, whole long, doc_id long, version long, place long, shape int"
+FOUND = "anchor long, doc_id long, version long, place long, shape int, repeated boolean"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +121,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        cols = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("anchor", "whole", "doc_id", "place", "shape")], 1)
-        certain = cols[cols[:, 4] < 0]
-        certain[:, 4] *= -1
-        cols = cols[cols[:, 4] > 0]
+        cols = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("anchor", "whole", "doc_id", "version", "place", "shape")], 1)
+        certain = cols[cols[:, 5] < 0]
+        certain[:, 5] *= -1
+        cols = cols[cols[:, 5] > 0]
         if carried is not None:
             cols = np.concatenate([carried, cols])
         if not len(cols):
@@ -130,7 +133,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same_anchor = cols[1:, 0] == cols[:-1, 0]
         first = np.r_[True, ~same_anchor | (cols[1:, 1] != cols[:-1, 1])]
         lead = cols[np.maximum.accumulate(np.where(first, np.arange(len(cols)), 0))]
-        again = ~first & (cols[:, 2:4] != lead[:, 2:4]).any(1)  # a row of the table that is repeated is at the same place
+        again = ~first & (cols[:, 2:5] != lead[:, 2:5]).any(1)  # a row of the table that is repeated is at the same place
         repeated, firsts = cols[again], cols[first]
         same = firsts[1:, 0] == firsts[:-1, 0]
         on = np.r_[False, same] | np.r_[same, False]
@@ -143,30 +146,28 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _found(repeated: np.ndarray, on: np.ndarray) -> pa.RecordBatch:
     rows = np.concatenate([repeated, on])
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("shape", pa.int32()), ("repeated", pa.bool_())])
-    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 2]), pa.array(rows[:, 3]), pa.array(rows[:, 4], pa.int32()), pa.array(np.arange(len(rows)) < len(repeated))], schema=schema)
+    names = ("anchor", "doc_id", "version", "place", "shape", "repeated")
+    return pa.RecordBatch.from_arrays([*(pa.array(rows[:, c]) for c in (0, 2, 3, 4)), pa.array(rows[:, 5], pa.int32()), pa.array(np.arange(len(rows)) < len(repeated))], names=names)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the asked runs of each text, in batches of about 8 MB."""
-    names, types = ("anchor", "doc_id", "start", "bytes"), (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    out: list[list] = [[], [], [], []]
+    names, types = ("anchor", "doc_id", "version", "start", "bytes"), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    out: list[list] = [[] for _ in names]
 
     def batch() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
     for b in batches:
-        for doc, text, asked in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("asked"), strict=True):
+        for doc, version, text, asked in zip(b.column("doc_id").to_pylist(), b.column("version").to_pylist(), b.column("text"), b.column("asked"), strict=True):
             data = text.as_buffer().to_pybytes()
             for anchor, place, shape in zip(*(x.to_pylist() for x in asked.values.flatten()), strict=True):
                 start = place - shape // 256
-                end = start + shape % 256 - 1 + LENGTH
-                if end <= len(data):  # else another text under a repeated id
-                    for c, v in zip(out, (anchor, doc, start, data[start:end]), strict=True):
-                        c.append(v)
+                for c, v in zip(out, (anchor, doc, version, start, data[start : start + shape % 256 - 1 + LENGTH]), strict=True):
+                    c.append(v)
             if len(out[0]) > 50_000:
                 yield batch()
-                out = [[], [], [], []]
+                out = [[] for _ in names]
     yield batch()
 
 
@@ -238,40 +239,39 @@ def merge(strings: list[bytes], shards: int = SHARDS, length: int = LENGTH) -> t
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole anchors, about BATCH bytes at a time, in a partition sorted by anchor: windows that also start earlier, as covered bytes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "version", "start", "end")])
 
     def covered(held: list[tuple]) -> pa.RecordBatch:
-        block, string, at = merge([h[3] for h in held])
-        docs, starts = np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.int64)
-        window = at <= np.array([len(h[3]) for h in held])[string] - LENGTH
+        block, string, at = merge([h[4] for h in held])
+        docs, versions, starts = (np.array([h[c] for h in held], np.int64) for c in (1, 2, 3))
+        window = at <= np.array([len(h[4]) for h in held])[string] - LENGTH
         block, string, at = block[window], string[window], at[window]
-        doc, start = docs[string], starts[string] + at
-        by = np.lexsort((start, doc, block))
-        b, d, s = block[by], doc[by], start[by]
+        doc, version, start = docs[string], versions[string], starts[string] + at
+        by = np.lexsort((start, version, doc, block))
+        b, d, v, s = block[by], doc[by], version[by], start[by]
         again = np.zeros(len(b), bool)
         same = b[1:] == b[:-1]
         # not the first of its block, nor at the same place as the first (a text whose row is repeated)
-        lead = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(b)), 0))
-        again[1:] = same & ((d[1:] != d[lead[1:]]) | (s[1:] != s[lead[1:]]))
-        d, s = d[again], s[again]
-        by = np.lexsort((s, d))
-        d, s = d[by], s[by]
+        lead = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(b)), 0))[1:]
+        again[1:] = same & ((d[1:] != d[lead]) | (v[1:] != v[lead]) | (s[1:] != s[lead]))
+        d, v, s = d[again], v[again], s[again]
+        by = np.lexsort((s, v, d))
+        d, v, s = d[by], v[by], s[by]
         if not len(d):
             return pa.RecordBatch.from_arrays([pa.array([], t) for t in schema.types], schema=schema)
-        new = np.r_[True, (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)]
-        lo = np.flatnonzero(new)
+        lo = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (v[1:] != v[:-1]) | (s[1:] > s[:-1] + 1)])
         hi = np.r_[lo[1:] - 1, len(d) - 1]
-        return pa.RecordBatch.from_arrays([pa.array(d[lo]), pa.array(s[lo]), pa.array(s[hi] + LENGTH)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(d[lo]), pa.array(v[lo]), pa.array(s[lo]), pa.array(s[hi] + LENGTH)], schema=schema)
 
     held: list[tuple] = []
     size = 0
     for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc_id", "start", "bytes")), strict=True):
+        for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc_id", "version", "start", "bytes")), strict=True):
             if size >= BATCH and row[0] != held[-1][0]:
                 yield covered(held)
                 held, size = [], 0
             held.append(row)
-            size += len(row[3])
+            size += len(row[4])
     if held:
         yield covered(held)
 
@@ -303,27 +303,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans)`` of every row: maximal runs of bytes, as half-open ``spans`` of the UTF-8 text, that lie in some
     string of LENGTH bytes which also starts earlier, in a smaller id or earlier in the same text. Texts are judged as they were given.
 
-    Null text counts as empty. Rows with a null id are returned whole and are nobody's earlier text. Rows that repeat an id must repeat its text;
-    they don't count as earlier for each other. An empty table gives an empty result.
+    Null text counts as empty. Rows with a null id are returned whole and are nobody's earlier text. Rows that repeat an id and its text don't count as
+    earlier for each other; of rows that repeat an id with other texts, the one whose text has the smaller hash comes first. An empty
+    table gives an empty result.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    usable = source.where("doc_id is not null and octet_length(text) >= 100")
-    rows = usable.mapInArrow(_runs, "anchor long, whole long, doc_id long, place long, shape int")
-    sorted_rows = rows.repartition(F.when(F.col("shape") < 0, F.xxhash64("doc_id", "place")).otherwise(F.col("anchor"))).sortWithinPartitions("anchor", "whole", "doc_id", "place")
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    twice = given.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").select("doc_id")
+    twice = materialize(twice.withColumn("again", F.lit(True)), "ids-of-several-texts")
+    # where no id has several texts, which is the rule, the number of the version costs nothing
+    source = given.withColumn("version", F.lit(0).cast("long")) if twice.isEmpty() else given.join(twice, "doc_id", "left").select("doc_id", "text", F.when(F.col("again"), digest).otherwise(0).alias("version"))
+    text = ["doc_id", "version"]
+    order = ["anchor", "whole", *text, "place"]
+    usable = source.where("doc_id is not null and octet_length(text) >= 100").select(*text, "text")
+    rows = usable.mapInArrow(_runs, RUNS)
+    sorted_rows = rows.repartition(F.when(F.col("shape") < 0, F.xxhash64("doc_id", "place")).otherwise(F.col("anchor"))).sortWithinPartitions(*order)
     found = materialize(sorted_rows.mapInArrow(_meet, FOUND), "runs")
-    asked = found.where("not repeated").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "shape")).alias("asked"))
-    strings = usable.join(asked, "doc_id").mapInArrow(_cut, "anchor long, doc_id long, start long, bytes binary")
+    asked = found.where("not repeated").groupBy(*text).agg(F.collect_list(F.struct("anchor", "place", "shape")).alias("asked"))
+    strings = usable.join(asked, text).mapInArrow(_cut, "anchor long, doc_id long, version long, start long, bytes binary")
     n = F.col("shape") % 256
     hot = materialize(found.where("not repeated").groupBy("anchor").agg(F.sum(n - 1 + LENGTH).alias("size")).where(F.col("size") > HOT).select("anchor"), "hot-anchors")
-    few = F.broadcast(hot)  # at most one for each HOT bytes of differing runs
-    windows = strings.join(few, "anchor", "left_semi").select("anchor", "doc_id", "start", "bytes").mapInArrow(_windows, "anchor long, whole long, doc_id long, place long, shape int")
-    dealt = windows.repartition(F.when(F.col("shape") < 0, F.xxhash64("doc_id", "place")).otherwise(F.xxhash64("anchor", "whole"))).sortWithinPartitions("anchor", "whole", "doc_id", "place")
-    parts = dealt.mapInArrow(_meet, FOUND).where("repeated").select("doc_id", F.col("place").alias("start"), (F.col("place") + LENGTH).alias("end"))
-    merged = strings.join(few, "anchor", "left_anti").select("anchor", "doc_id", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_merged, "doc_id long, start long, end long")
+    few = F.broadcast(hot) if hot.count() < MOST_HOT else hot  # at most one for each HOT bytes of differing runs
+    cut = ["anchor", *text, "start", "bytes"]
+    windows = strings.join(few, "anchor", "left_semi").select(*cut).mapInArrow(_windows, RUNS)
+    dealt = windows.repartition(F.when(F.col("shape") < 0, F.xxhash64("doc_id", "place")).otherwise(F.xxhash64("anchor", "whole"))).sortWithinPartitions(*order)
+    parts = dealt.mapInArrow(_meet, FOUND).where("repeated").select(*text, F.col("place").alias("start"), (F.col("place") + LENGTH).alias("end"))
+    merged = strings.join(few, "anchor", "left_anti").select(*cut).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_merged, "doc_id long, version long, start long, end long")
     left = F.floor(F.col("shape") / 256)
-    whole = found.where("repeated").select("doc_id", (F.col("place") - left).alias("start"), (F.col("place") - left + n - 1 + LENGTH).alias("end"))
-    covered = whole.unionByName(merged).unionByName(parts).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("covered"))
-    out = source.join(covered, "doc_id", "left").mapInArrow(_keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
+    whole = found.where("repeated").select(*text, (F.col("place") - left).alias("start"), (F.col("place") - left + n - 1 + LENGTH).alias("end"))
+    covered = whole.unionByName(merged).unionByName(parts).groupBy(*text).agg(F.collect_list(F.struct("start", "end")).alias("covered"))
+    out = source.join(covered, text, "left").mapInArrow(_keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
     return out.withColumnRenamed("doc_id", id_col)
 
 

@@ -212,26 +212,35 @@ def test_entropy_equals_direct_count(spark):
 
 
 def brute_repeats(texts, length=100):
+    """By id and text; of several texts of one id the one with the smaller hash comes first."""
+    import xxhash
+
+    order = lambda r: (r[0], (xxhash.xxh64_intdigest(r[1].encode(), seed=42) ^ 1 << 63))  # noqa: E731  the hash as a signed number
     seen, out = {}, {}
-    for d, t in sorted({(d, t) for d, t in texts if d is not None}, key=lambda x: x[0]):
-        b = (t or "").encode()
+    for d, t in sorted({(d, t or "") for d, t in texts if d is not None}, key=order):
+        b = t.encode()
         hit = np.zeros(len(b), bool)
         for p in range(len(b) - length + 1):
             if b[p : p + length] in seen:
                 hit[p : p + length] = True
             else:
                 seen[b[p : p + length]] = 1
-        out[d] = (len(b), int(hit.sum()), int((hit & ~np.r_[False, hit[:-1]]).sum()) if len(b) else 0, hashlib.sha256(np.frombuffer(b, np.uint8)[~hit].tobytes()).hexdigest())
+        out[d, len(b)] = (len(b), int(hit.sum()), int((hit & ~np.r_[False, hit[:-1]]).sum()) if len(b) else 0, hashlib.sha256(np.frombuffer(b, np.uint8)[~hit].tobytes()).hexdigest())
     return out
 
 
 def test_repeats_match_brute_force(spark, corpus):
+    rng = random.Random(12)
+    unique, shared = ("".join(rng.choice("abcdef ") for _ in range(n)) for n in (300, 200))
+    # ids of several texts: one unique, some that repeat each other's, an earlier or a later document's text, null and empty ones
+    several = [(0, unique), (100, shared), (100, shared + unique[:50]), (402, None), (402, ""), (7, "x" + shared), (7, "x" + shared), (999, unique[:40] + shared)]
+    corpus = [*corpus, *several]
     want = brute_repeats(corpus)
     rows = repeats.remove_repeats(docs(spark, corpus)).collect()
-    assert len(rows) == len(corpus)
+    assert len(rows) == len(corpus) and next(r for r in rows if r["doc_id"] == 0 and r["n_bytes"] == 300)["n_removed"] == 0
     for r in rows:
         if r["doc_id"] is not None:
-            assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]]
+            assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"], r["n_bytes"]]
         else:
             assert r["n_removed"] == 0
     assert sum(w[1] for w in want.values()) > 1000 and repeats.remove_repeats(docs(spark, EMPTY)).count() == 0
@@ -252,7 +261,7 @@ def test_hot_anchors_are_dealt_out_by_their_windows(spark, corpus, monkeypatch):
         monkeypatch.setattr(repeats, "_merged", merged)
         for r in repeats.remove_repeats(docs(spark, texts)).collect():
             if r["doc_id"] is not None:
-                assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]]
+                assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"], r["n_bytes"]]
 
 
 def test_merged_transform_groups_equal_windows():
