@@ -18,8 +18,12 @@ SHINGLE, SIMILARITY = 5, 0.8
 VALUES, BAND = 128, 4
 #: Values compared in each step, and the posterior chance of reaching the similarity below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-9
-#: Classes in a block: two blocks are compared in one task.
-BLOCK = 4096
+#: Values that are compared within a bucket of a band, enough to tell pairs that can't reach the similarity.
+HEAD = 64
+#: Most classes, and bytes of their shingles, in a block: two blocks are compared in one task.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
+#: Most classes in a block of a band's bucket, of which only HEAD values are held.
+BUCKET = 2048
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -115,16 +119,16 @@ def least_matches(similarity: float = SIMILARITY, tolerance: float = TOLERANCE)
     return out
 
 
-def linked(sigs_a: np.ndarray, sets_a: list, sigs_b: np.ndarray, sets_b: list, same: bool, steps: list[tuple[int, int]], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the pairs with a similarity of ``similarity`` or more (each once if both sides are the ``same``)."""
+def likely(sigs_a: np.ndarray, sigs_b: np.ndarray, same: bool, steps: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the pairs that no step drops (each once if both sides are the ``same``)."""
     n, m = steps[0]
     equal = np.zeros((len(sigs_a), len(sigs_b)), np.uint8)
     for v in range(n):
         equal += sigs_a[:, v, None] == sigs_b[None, :, v]
-    likely = equal >= m
+    keep = equal >= m
     if same:
-        likely &= np.tri(len(sigs_a), k=-1, dtype=bool)
-    a, b = np.nonzero(likely)
+        keep &= np.tri(len(sigs_a), k=-1, dtype=bool)
+    a, b = np.nonzero(keep)
     so_far = equal[a, b].astype(np.int16)
     for (before, _), (n, m) in zip(steps, steps[1:], strict=False):
         if not len(a):
@@ -132,6 +136,12 @@ def linked(sigs_a: np.ndarray, sets_a: list, sigs_b: np.ndarray, sets_b: list, s
         so_far += (sigs_a[a, before:n] == sigs_b[b, before:n]).sum(1, dtype=np.int16)
         keep = so_far >= m
         a, b, so_far = a[keep], b[keep], so_far[keep]
+    return a, b
+
+
+def linked(sigs_a: np.ndarray, sets_a: list, sigs_b: np.ndarray, sets_b: list, same: bool, steps: list[tuple[int, int]], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the pairs with a similarity of ``similarity`` or more (each once if both sides are the ``same``)."""
+    a, b = likely(sigs_a, sigs_b, same, steps)
     if not len(a):
         return a, b
     common = shared(sets_a, sets_b, a, b)
@@ -162,18 +172,19 @@ def shared(sets_a: list, sets_b: list, a: np.ndarray, b: np.ndarray, width: int
     return out[ia, ib].astype(np.int64)
 
 
-def node_hash(shingles: np.ndarray) -> np.int64:
-    """A set of shingles as one number of 64 bits."""
-    return (mix(shingles * CODES[40] + CODES[41]).sum(dtype=np.uint64) ^ (np.uint64(len(shingles)) * CODES[42])).view(np.int64)
+def node_hash(shingles: np.ndarray) -> np.ndarray:
+    """A set of shingles as two numbers of 64 bits."""
+    spread = mix(shingles[:, None] * CODES[40:42] + CODES[42:44]).sum(0, dtype=np.uint64)
+    return (spread ^ (np.array([len(shingles)], np.uint64) * CODES[44:46])).view(np.int64)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's set as a 64-bit hash, its size and MinHash values."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("values", pa.binary())])
+    """Each row's set as a 64-bit hash, a second one to check it by, its size and MinHash values."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("n", pa.int32()), ("values", pa.binary())])
     for b in batches:
         ids = b.column("doc_id")
         sets = list(shingle_sets(b.column("text")))
-        nodes = np.array([node_hash(s) for s in sets], np.int64)
+        nodes = np.array([node_hash(s) for s in sets], np.int64).reshape(-1, 2)
         values: list[bytes | None] = [None] * len(sets)
         full = [i for i, s in enumerate(sets) if len(s)]
         at = 0
@@ -185,14 +196,65 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, v in zip(full[at:to], minhash([sets[i] for i in full[at:to]]), strict=True):
                 values[i] = v.tobytes()
             at = to
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(values, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(nodes[:, 0]), pa.array(nodes[:, 1]), pa.array([len(s) for s in sets], pa.int32()), pa.array(values, pa.binary())], schema=schema)
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    usable = rows.where("n > 0 and doc_id is not null")
+    return usable.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs"), F.max("n").alias("n"), F.min("values").alias("values"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+
+
+def _likely_edges(similarity: float):
+    """Compares the first HEAD values of the classes in each (band, i, j) of a sorted partition, step by step; emits edges of a forest that joins the
+    pairs which can still reach the similarity, one a class at most, not the pairs."""
+    steps = [s for s in least_matches(similarity) if s[0] <= HEAD]
+
+    def pairs(sides: dict, same: bool) -> pa.RecordBatch | None:
+        x = [(np.concatenate([r[0] for r in s]), np.concatenate([r[1] for r in s])) for s in ((sides[0], sides[0]) if same else (sides[0], sides[1])) if s]
+        if len(x) < 2:
+            return None
+        (a_nodes, a_values), (b_nodes, b_values) = x
+        found, part = [], 512
+        for i in range(0, len(a_nodes), part):
+            for j in range(0, i + 1 if same else len(b_nodes), part):
+                a, b = likely(a_values[i : i + part], b_values[j : j + part], same and i == j, steps)
+                found.append(forest(a_nodes[i + a], b_nodes[j + b]))
+        u, v = forest(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+        return pa.RecordBatch.from_pydict({"a": pa.array(u, pa.int64()), "b": pa.array(v, pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = None, {0: [], 1: []}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            band, i, j, side, node = (batch.column(c).to_numpy() for c in ("band", "i", "j", "side", "node"))
+            values = np.frombuffer(b"".join(batch.column("head").to_pylist()), np.uint16).reshape(-1, HEAD)
+            edges = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (side[1:] != side[:-1])) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(band)], strict=True):
+                if (band[lo], i[lo], j[lo]) != key:
+                    if key and (out := pairs(sides, key[1] == key[2])) is not None:
+                        yield out
+                    key, sides = (band[lo], i[lo], j[lo]), {0: [], 1: []}
+                sides[int(side[lo])].append((node[lo:hi], values[lo:hi]))
+        if key and (out := pairs(sides, key[1] == key[2])) is not None:
+            yield out
+
+    return run
+
+
+def _by_blocks(rows: DataFrame, key: str, *carry: str) -> DataFrame:
+    """Rows with ``blocks``, the number of blocks of their key, once for each pair of blocks (i, j) that theirs is in: ``side`` tells which it is."""
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select(key, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", *carry)
+    return placed.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "side", "node")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text column replaced by its shingles as bytes; null if they aren't those of the node."""
     for b in batches:
-        nodes = b.column("node").to_pylist()
-        sets = pa.array([s.tobytes() if node_hash(s) == n else None for s, n in zip(shingle_sets(b.column("text")), nodes, strict=True)], pa.binary())
+        nodes, checks = b.column("node").to_pylist(), b.column("check").to_pylist()
+        sets = pa.array([s.tobytes() if n in (h := node_hash(s).tolist()) and h[1] == c else None for s, n, c in zip(shingle_sets(b.column("text")), nodes, checks, strict=True)], pa.binary())
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "family", "blocks", "n_docs", "values")), sets], names=["node", "family", "blocks", "n_docs", "values", "shingles"])
 
 
@@ -264,33 +326,36 @@ def similarity_join(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     ``component_id`` is the least id that links reach; ``kept`` marks that document. Rows that repeat an id and its text count as copies of which
     each is kept. Null and empty texts, and rows with a null id, link with nothing: their class is their own id. An empty table gives an empty result.
 
-    1. Whole texts give MinHash values; equal sets are aggregated to classes before anything else, so copies cost one row.
-    2. Classes that agree in a band of values belong to one family: a component of the edges from each class to the least class of its bands,
-       never all pairs of a band.
-    3. Large families are split into blocks, and each pair of blocks is one group of a task: MinHash values are compared 16 at a time,
-       pairs with a posterior chance below 1e-9 are dropped, the rest are verified on their whole sets. Only sums
-       and edges of a forest leave the task, not pairs.
+    1. Whole texts give MinHash values; equal sets (128 bits of hashes agree) are aggregated to classes before anything else, so copies cost one row.
+    2. Classes that agree in a band of values meet in its bucket, where pairs are compared by 64 values, 16 at a time, and dropped once their posterior chance is below
+       1e-9. What is left is one forest of edges a bucket; its components are families of likely pairs, which text that many documents share doesn't chain together.
+    3. Families are split into blocks by number and bytes, and each pair of blocks is one group of a task: all MinHash values are compared in the same way
+       and the rest is verified on the whole sets. Only sums and edges of a forest leave the task, not pairs.
+
+    Buckets are split into blocks as well, so neither a frequent band nor a large family is one task.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(source.mapInArrow(_signatures, "doc_id long, node long, n int, values binary"), "signatures")
-    usable = rows.where("n > 0 and doc_id is not null")
-    classes = materialize(usable.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs"), F.min("values").alias("values")), "classes")
+    rows = materialize(source.mapInArrow(_signatures, "doc_id long, node long, check long, n int, values binary"), "signatures")
+    classes = materialize(_classes(rows), "classes")
+    clash = classes.where("lo <> hi").select(F.col("node").alias("clash"))
+    if not clash.isEmpty():  # sets of one hash that differ in the other, a few among billions: these take the other as their name
+        rows = rows.join(clash, rows["node"] == F.col("clash"), "left").withColumn("node", F.when(F.col("clash").isNotNull(), F.col("check")).otherwise(F.col("node"))).drop("clash")
+        rows = materialize(rows, "signatures")
+        classes = materialize(_classes(rows), "classes")
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(VALUES // BAND - 1)), lambda k: F.xxhash64(k, F.substring("values", k * (2 * BAND) + 1, F.lit(2 * BAND)))))
     bands = classes.select("node", band.alias("k", "band")).drop("k")
-    least = bands.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
-    star = bands.join(least, "band").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    families = connected_components(star).withColumnRenamed("component", "family")
-    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = families.join(sizes, "family").join(classes, "node")
-    members = materialize(members, "members")
-
-    # the text of a class is that of a row with its id; another text under a repeated id is told by its hash
-    sets = members.join(source, members["class_id"] == source["doc_id"]).select("node", "family", "blocks", "n_docs", "values", "text")
+    buckets = bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band", F.ceil(F.col("c") / BUCKET).cast("int").alias("blocks"))
+    met = bands.join(buckets, "band").join(classes.select("node", F.substring("values", 1, 2 * HEAD).alias("head")), "node")
+    edges = materialize(_by_blocks(met, "band", "head").mapInArrow(_likely_edges(similarity), "a long, b long"), "likely-edges")
+    families = connected_components(edges).withColumnRenamed("component", "family")
+    members = families.join(classes, "node")
+    sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, 8 * F.sum("n") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    members = materialize(members.join(sizes, "family").select("node", "hi", "class_id", "family", "blocks", "n_docs", "values"), "members")
+
+    # the text of a class is that of a row with its id; another text under a repeated id is told by its hashes
+    sets = members.withColumnRenamed("hi", "check").join(source, members["class_id"] == source["doc_id"]).select("node", "check", "family", "blocks", "n_docs", "values", "text")
     sets = sets.mapInArrow(_sets, "node long, family long, blocks int, n_docs long, values binary, shingles binary").where(F.col("shingles").isNotNull())
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = sets.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "n_docs", "values", "shingles")
-    grouped = placed.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side", "node")
+    grouped = _by_blocks(sets, "family", "n_docs", "values", "shingles")
     found = materialize(grouped.mapInArrow(_compare(similarity), LINKS), "links")
     counts = found.groupBy("node").agg(F.sum("n_docs").alias("linked_docs"), F.sum("n_classes").alias("linked_classes"))
     parts = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
@@ -318,8 +383,8 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     if twice.isEmpty():
         return rest
     again = rest.join(twice, rest[id_col] == twice["__id"], "left_semi")
-    once = again.where(F.trim(F.coalesce(text_col, F.lit(""))) != "").dropDuplicates([id_col])
-    blank = again.where(F.trim(F.coalesce(text_col, F.lit(""))) == "")
+    wordy = F.regexp_like(F.coalesce(text_col, F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
+    once, blank = again.where(wordy).dropDuplicates([id_col]), again.where(~wordy)
     return rest.join(twice, rest[id_col] == twice["__id"], "left_anti").unionByName(once).unionByName(blank)
 
 

@@ -312,9 +312,11 @@ def brute_links(texts):
     return rows, links, component
 
 
-@pytest.mark.parametrize("block", [4096, 16])
-def test_jaccard_matches_brute_force(spark, corpus, monkeypatch, block):
+@pytest.mark.parametrize(("block", "size"), [(512, 4 << 20), (16, 4 << 20), (512, 5000)])
+def test_jaccard_matches_brute_force(spark, corpus, monkeypatch, block, size):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BUCKET", block)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", size)
     rows, links, component = brute_links(corpus)
     want = Counter((d, links[i], component.get(d), d is None or component[d] == d) for i, (d, _) in enumerate(rows))
     got = Counter((r["doc_id"], r["n_links"], r["component_id"], r["kept"]) for r in jaccard.similarity_join(docs(spark, corpus)).collect())
@@ -331,6 +333,21 @@ def test_deduplicate_keeps_one_of_each_group(spark, corpus):
     assert jaccard.deduplicate(docs(spark, EMPTY)).count() == 0
 
 
+def test_blank_rows_of_one_id_all_stay(spark):
+    out = jaccard.deduplicate(docs(spark, [(1, "\t\n"), (1, "\t\n"), (1, ""), (1, None), (2, "a b"), (2, "a b")])).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in out) == {(1, "\t\n"): 2, (1, ""): 1, (1, None): 1, (2, "a b"): 1}
+
+
+def test_sets_that_share_a_hash_stay_apart(spark, corpus, monkeypatch):
+    whole = jaccard.node_hash
+    # the first hash says hardly anything, so most classes clash
+    monkeypatch.setattr(jaccard, "node_hash", lambda s: whole(s) & np.array([0 if int(whole(s)[0]) % 2 else -1, -1]))
+    monkeypatch.setattr(jaccard, "_signatures", jaccard._signatures)
+    rows, links, component = brute_links(corpus)
+    want = Counter((d, links[i], component.get(d)) for i, (d, _) in enumerate(rows))
+    assert Counter((r["doc_id"], r["n_links"], r["component_id"]) for r in jaccard.similarity_join(docs(spark, corpus)).collect()) == want
+
+
 def test_many_pairs_are_counted_by_products():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(40)]
