@@ -57,7 +57,7 @@ def plan_mix(keyed: DataFrame, weights: Sequence[int], share: float, max_epochs:
 def mix_plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
     """How many words the mix takes from each document: ``(id, size, source_size, target, taken, copies)``.
 
-    Documents of a source are put in the order of a hash of their id; words are counted along this order and cut at
+    Documents of a source are put in the order of a hash of their id and text, so that rows of one id (or of none) spread; words are counted along this order and cut at
     the source's budget, the target to the nearest word. A budget above the source's size takes whole epochs first. The
     document at the cut gives only its words before the cut, so a source's taken words equal its rounded target.
 
@@ -66,7 +66,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
     """
     keyed = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        F.xxhash64(text_col).alias("tie"), random_key(seed, F.col(id_col)).alias("key"),
+        F.xxhash64(text_col).alias("tie"), random_key(seed, F.col(id_col), F.md5(F.coalesce(text_col, F.lit("")))).alias("key"),
     )
     out = plan_mix(materialize(keyed, "mix-keys"), weights, share, max_epochs, whole_documents=False)
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "copies")
@@ -79,7 +79,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     """
     packed = docs.select(
         F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-        word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"), random_key(seed, F.col(id_col)).alias("key"),
+        word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"), random_key(seed, F.col(id_col), F.md5(F.coalesce(text_col, F.lit("")))).alias("key"),
     )
     out = plan_mix(materialize(packed, "mix-rows"), weights, share, max_epochs, whole_documents=True)
     return out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")

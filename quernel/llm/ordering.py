@@ -1,7 +1,8 @@
 """Global order by hash-random keys without a global sort task: fixed key ranges, totals per range, offsets.
 
 A key holds 60 bits of an md5 digest, so equal ranges of keys hold equal shares of the rows, whatever the ids look
-like. The order depends on the ids and the seed alone, never on files, partitions or reruns.
+like. The order depends on the hashed columns and the seed alone, never on files, partitions or reruns. Rows that
+repeat in all of these share a range.
 """
 
 from __future__ import annotations

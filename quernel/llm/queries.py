@@ -22,7 +22,7 @@ SQL = {
     "op1_mix": r"""
 WITH keyed AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('1|' || coalesce(doc_id::VARCHAR, '\N')), 1, 15))::BIGINT AS key
+         ('0x' || substr(md5('1|' || coalesce(doc_id::VARCHAR, '\N') || '|' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS key
   FROM documents),
 named AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM keyed GROUP BY source),
@@ -127,9 +127,9 @@ FROM part p LEFT JOIN class ON class.doc_id = p.a LEFT JOIN links ON links.a = p
 WITH RECURSIVE step(i, c, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
 crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
 hexed AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h, (octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS size FROM documents),
-bytes AS (SELECT doc_id, size, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM hexed),
-summed AS (SELECT doc_id, size, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM bytes, crc),
-placed AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5('7|' || coalesce(doc_id::VARCHAR, '\N')), 1, 15))::BIGINT, doc_id, text_crc32, size) - 1 AS row, count(*) OVER () AS n FROM summed),
+bytes AS (SELECT doc_id, text, size, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM hexed),
+summed AS (SELECT doc_id, text, size, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM bytes, crc),
+placed AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5('7|' || coalesce(doc_id::VARCHAR, '\N') || '|' || md5(text)), 1, 15))::BIGINT, doc_id, text_crc32, size) - 1 AS row, count(*) OVER () AS n FROM summed),
 sides AS (SELECT *, ceil(sqrt(n))::BIGINT AS a, (n + ceil(sqrt(n))::BIGINT - 1) // ceil(sqrt(n))::BIGINT AS b FROM placed),
 walk(doc_id, size, text_crc32, n, a, b, l, r, j) AS (
   SELECT doc_id, size, text_crc32, n, a, b, row % a, row // a, 1 FROM sides

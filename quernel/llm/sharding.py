@@ -45,7 +45,7 @@ def permute(row: Column, n: Column, seed: int = 0) -> Column:
 def shard_places(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
     """Shard and slot of every row: ``(id, size, text_crc32, <carry>, global_row, place, shard, slot)``.
 
-    Rows are numbered in the order of a hash of their id (ties: checksum, size), the numbers are permuted, and place p goes to shard
+    Rows are numbered in the order of a hash of their id and text (ties: checksum, size), the numbers are permuted, and place p goes to shard
     p mod n_shards, slot p div n_shards. Shards differ by one row at most and slots have no gaps; anyone who knows the
     seed, the row number and the number of rows can compute both, without the data.
 
@@ -56,7 +56,7 @@ def shard_places(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_co
     base = docs.select(
         F.col(id_col).alias("id"), *carry,
         (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        random_key(seed, F.col(id_col)).alias("key"),
+        random_key(seed, F.col(id_col), F.md5(text)).alias("key"),
     )
     base = materialize(base, "shard-keys")
     one = F.lit(1).cast("bigint")
@@ -75,7 +75,7 @@ def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str
     """
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
     packed = docs.select(F.struct(*kept).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    key = materialize(packed.select("row", "id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"), random_key(seed, F.col("id")).alias("key")), "shard-rows")
+    key = materialize(packed.select("row", "id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"), random_key(seed, F.col("id"), F.md5(F.coalesce("text", F.lit("")))).alias("key")), "shard-rows")
     one = F.lit(1).cast("bigint")
     offsets = range_offsets(key.select("key"), [], "key", one)
     placed = with_running_sum(key, offsets, [], "key", ["id", "crc"], one).withColumn("place", permute(F.col("before"), F.col("total"), seed))

@@ -19,15 +19,20 @@ WORD = re.compile(r"\w+")
 SAMPLE_PER_CLASS = 4000
 #: A word or beginning is a feature if so many toxic documents of the sample have it, at these log odds at least.
 LEAST_SUPPORT, LEAST_LOG_ODDS = 3, 1.0
-#: In a toxic document, tokens with a feature of these log odds are labelled toxic.
-LABEL_LOG_ODDS = 2.3
 PREFIXES = (4, 5, 6, 7, 8)
-MOST_FEATURES = 20_000
+#: Pull of the pairs of states to zero. Which tokens follow a toxic one in a toxic document, its label doesn't say, so without it a state could go on for good.
+STEP_PRIOR = 0.02
+#: Tokens of a segment, whose chain is fitted apart from its neighbours'; all segments of a document count in the fit.
 SEGMENT = 48
 #: Segments whose forward and backward passes are held at a time.
 CHUNK = 16_384
 
 
+def lowered(text: str) -> str:
+    """Lower case, character for character, so that places stay the same."""
+    return text.replace("\u0130", "i").lower()  # the one character whose lower case is two
+
+
 def features(word: str) -> list[str]:
     """A word and its beginnings, which stand for its inflections."""
     return [f"={word}", *(f"^{word[:k]}" for k in PREFIXES if len(word) >= k)]
@@ -124,26 +129,27 @@ def labelled_ids(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> DataFrame:
-    """``(toxic, text)``: at most ``per_class`` of the labelled ids of each class, so classes may be drawn at different rates."""
+    """``(toxic, text)``: at most ``per_class`` of the labelled ids of each class, so classes may be drawn at different rates. An id of several
+    rows gives one, its least text."""
     known = labelled_ids(labels, id_col, label_col)
     order = F.xxhash64("id", F.lit(9))
     ids = [known.where(F.col("toxic") == c).orderBy(order, "id").limit(per_class) for c in (0, 1)]
     chosen = ids[0].unionByName(ids[1])  # 2 * per_class rows at most, so it may be broadcast
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "id").select("toxic", "text")
+    return texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for toxic, text in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist(), strict=True):
-            found = sorted({f for w in set(WORD.findall(text.lower())) for f in features(w)})
+            found = sorted({f for w in set(WORD.findall(lowered(text))) for f in features(w)})
             yield pa.RecordBatch.from_pydict({"toxic": pa.array([toxic] * len(found), pa.int32()), "feature": pa.array(found, pa.string())})
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Crf:
-    """Fit on a bounded sample. Tokens are labelled from their documents: in a toxic document, a token with a feature that
-    toxic documents have far more often is toxic; all others are clean. Then the field's weights are fitted to these
-    token labels by their likelihood, and the document scores to the documents' labels by logistic regression. In both fits a document
+    """Fit on a bounded sample. Labels are of documents, so the tokens' labels are the field's hidden states: a document is toxic if any of its tokens is, and the
+    weights maximise the likelihood of the documents' labels under that. Words and beginnings that toxic documents have more often are the features.
+    The document scores are fitted to the documents' labels by logistic regression. In both fits a document
     stands for as many as its class has labelled ids for each one drawn, so scores don't depend on the number of documents."""
     sample = materialize(labelled_sample(docs, labels, id_col, text_col, label_col, per_class), "toxicity-sample")
     counts = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}  # two rows
@@ -156,9 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Crf({}, [[0.0, 0.0], [0.0, 0.0]], -5.0, [math.log((prior + 1e-3) / (1 - prior + 1e-3)), 0.0, 0.0, 0.0, 0.0], prior)
     odds = F.ln((F.col("n1") + 0.5) / (n1 + 1)) - F.ln((F.col("n0") + 0.5) / (n0 + 1))
     by_feature = sample.mapInArrow(_feature_rows, "toxic int, feature string").groupBy("feature").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")).withColumn("odds", odds)
-    lexicon = {r["feature"]: r["odds"] for r in by_feature.where((F.col("n1") >= LEAST_SUPPORT) & (F.col("odds") >= LEAST_LOG_ODDS)).orderBy(F.desc(F.col("n1") * F.col("odds")), "feature").limit(MOST_FEATURES).collect()}
-    index = {f: i for i, f in enumerate(sorted(lexicon))}
-    strong = np.array([lexicon[f] >= LABEL_LOG_ODDS for f in sorted(lexicon)], bool)
+    chosen = by_feature.where((F.col("n1") >= LEAST_SUPPORT) & (F.col("odds") >= LEAST_LOG_ODDS))
+    index = {f: i for i, f in enumerate(sorted(r["feature"] for r in chosen.select("feature").collect()))}  # words of the sample's per_class toxic documents
     heads = frozenset(f[1:5] for f in index)
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             toxic, texts = b.column("toxic").to_pylist(), b.column("text").to_pylist()
             n, places, found = [], [], []
             for text in texts:
-                words = WORD.findall(text.lower())
+                words = WORD.findall(lowered(text))
                 hits = [(i, ids) for i, w in enumerate(words) if w[:4] in heads and (ids := [index[f] for f in features(w) if f in index])]
                 n.append(len(words))
                 places.append([i for i, _ in hits])
@@ -176,84 +181,90 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     rows = sample.mapInArrow(sequences, "toxic int, n long, places array<long>, found array<string>").collect()  # 2 * per_class rows at most
     docs_ = sorted((r["toxic"], r["n"], list(r["places"]), [[int(x) for x in f.split(",")] for f in r["found"]]) for r in rows)
-    theta, step, bias = _fit_field(docs_, strong, each)
+    theta, step, bias = _fit_field(docs_, len(index), each)
     crf = Crf({f: float(theta[i]) for f, i in index.items()}, step, bias, [0.0] * 5, prior)
     x = np.array([(1.0, *document_features(crf.marginals([(p, float(sum(theta[i] for i in ids))) for p, ids in zip(places, found, strict=True)], n), n)) for _, n, places, found in docs_])
     crf.calibration = _fit_logistic(x, np.array([d[0] for d in docs_], float), np.array([each[d[0]] for d in docs_]))
     return crf
 
 
-def _fit_field(docs: list[tuple], strong: np.ndarray, each: dict[int, float], rounds: int = 150, l2: float = 0.005) -> tuple[np.ndarray, list[list[float]], float]:
-    """Maximum likelihood on segments of SEGMENT tokens: for each document all segments with hits, or one without any. Segments without
-    hits differ in their length only and are one with their weights' sum. ``each``: the weight of a document of each class."""
-    segments, blank, n_features = [], {}, len(strong)
-    for toxic, n, places, found in docs:
+def _fit_field(docs: list[tuple], n_features: int, each: dict[int, float], rounds: int = 150, l2: float = 0.005) -> tuple[np.ndarray, list[list[float]], float]:
+    """Maximum likelihood of the documents' labels, with hidden states. A document is clean with the chance P0 that all its tokens are in state 0, the product of its
+    segments'. The gradient of log P0 is that of the path of zeros less what the field expects; of log(1 - P0) it is the same times
+    -P0 / (1 - P0). Segments without features differ in their length only, so each length is worked on once. ``each``: the weight of a document of each class."""
+    segments, owner, blank = [(n, []) for n in range(1, SEGMENT + 1)], [], np.zeros((len(docs), SEGMENT))
+    for d, (_, n, places, found) in enumerate(docs):
         inside: dict[int, list] = {}
         for p, ids in zip(places, found, strict=True):
             inside.setdefault(p // SEGMENT, []).append((p % SEGMENT, ids))
-        segments += [(toxic, max(1, min(SEGMENT, n - s * SEGMENT)), hits, each[toxic]) for s, hits in sorted(inside.items())]
-        if not inside:
-            length = max(1, min(SEGMENT, n))
-            blank[length] = blank.get(length, 0.0) + each[toxic]
-    segments += [(0, length, [], w) for length, w in sorted(blank.items())]
-    chunks = [_arrays(segments[k : k + CHUNK], strong) for k in range(0, len(segments), CHUNK)]
-    weight = sum(s[3] for s in segments)
-    n_params = n_features + 5
-    params, m, v = np.zeros(n_params), np.zeros(n_params), np.zeros(n_params)
-    params[-1] = -3.0
+        segments += [(min(SEGMENT, n - s * SEGMENT), hits) for s, hits in sorted(inside.items())]
+        owner += [d] * len(inside)
+        full, rest = divmod(n, SEGMENT)
+        blank[d, -1] = full - sum(s < full for s in inside)
+        if rest and full not in inside:
+            blank[d, rest - 1] += 1
+    chunks = [_arrays(segments[k : k + CHUNK]) for k in range(0, len(segments), CHUNK)]
+    owner_, toxic, weights = np.array(owner, int), np.array([d[0] for d in docs], bool), np.array([each[d[0]] for d in docs])
+    params, m, v = (np.zeros(n_features + 5) for _ in range(3))
+    params[-1] = -8.0  # so that long clean texts aren't toxic from the start
     for t in range(1, rounds + 1):
-        grad = np.zeros(n_params)
-        for chunk in chunks:
-            _add_gradient(grad, params, n_features, *chunk)
-        grad = grad / weight - l2 * params / max(1, n_params) ** 0.5
+        parts = [_expected(params, n_features, *c) for c in chunks]
+        log_zero = np.concatenate([p[0] for p in parts])
+        zero = np.exp(np.minimum(blank @ log_zero[:SEGMENT] + np.bincount(owner_, log_zero[SEGMENT:], len(docs)), -1e-6))
+        pull = weights * np.where(toxic, zero / (1 - zero), -1.0)
+        of_segments = np.concatenate([pull @ blank, pull[owner_]])
+        grad, at = np.zeros(len(params)), 0
+        for (_, pairs, on, at_hits), (lengths, row, _, feat) in zip(parts, chunks, strict=True):
+            own = of_segments[at : at + len(lengths)]
+            at += len(lengths)
+            grad[n_features:-1] += pairs @ own
+            grad[n_features] -= lengths @ own  # the pairs of the path of zeros
+            grad[-1] += on @ own
+            grad[:n_features] += np.bincount(feat, at_hits * own[row], n_features)
+        grad = grad / weights.sum() - l2 * params / len(params) ** 0.5
+        grad[n_features:-1] -= STEP_PRIOR * params[n_features:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         params = params + 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return params[:n_features], params[n_features:-1].reshape(2, 2).tolist(), float(params[-1])
 
 
-def _arrays(segments: list[tuple], strong: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Weights, lengths and tags of the segments; segment, place and feature of each feature in them. The longest segments come first."""
-    segments = sorted(segments, key=lambda s: -s[1])
-    tags, row, col, feat = np.zeros((SEGMENT, len(segments)), int), [], [], []
-    for k, (toxic, _, inside, _) in enumerate(segments):
-        for p, ids in inside:
-            tags[p, k] = toxic and strong[ids].any()
-            row += [k] * len(ids)
-            col += [p] * len(ids)
-            feat += ids
-    return np.array([s[3] for s in segments]), np.array([s[1] for s in segments]), tags, np.array(row, int), np.array(col, int), np.array(feat, int)
-
-
-def _add_gradient(grad: np.ndarray, params: np.ndarray, n_features: int, weights: np.ndarray, lengths: np.ndarray, tags: np.ndarray, row: np.ndarray, col: np.ndarray, feat: np.ndarray) -> None:
-    """Adds the gradient of the segments' weighted log likelihood. At each place only the first ``live`` segments go on."""
-    size, bias = len(weights), params[-1]
-    live = (lengths[None] > np.arange(SEGMENT)[:, None]).sum(1)
-    emit = np.full(SEGMENT * size, bias) + np.bincount(col * size + row, params[feat], SEGMENT * size)
-    (a, b), (c, d) = np.exp(params[n_features:-1].reshape(2, 2))
+def _arrays(segments: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Lengths of the segments; segment, place and feature of each feature in them."""
+    hits = [(k, p, f) for k, (_, inside) in enumerate(segments) for p, ids in inside for f in ids]
+    row, col, feat = np.array(hits, int).reshape(-1, 3).T
+    return np.array([s[0] for s in segments]), row, col, feat
+
+
+def _expected(params: np.ndarray, n_features: int, lengths: np.ndarray, row: np.ndarray, col: np.ndarray, feat: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each segment: log chance of the path of zeros, expected numbers of the four pairs of states and of tokens in state 1; and the chance of state 1 at each
+    feature's token. Forward and backward passes over all segments at once."""
+    size, step = len(lengths), params[n_features:-1]
+    emit = np.full(SEGMENT * size, params[-1]) + np.bincount(col * size + row, params[feat], SEGMENT * size)
+    a, b, c, d = np.exp(step)
     on = np.exp(np.clip(emit, -30, 30)).reshape(SEGMENT, size)
-    ahead = np.zeros((SEGMENT + 1, size))  # chance of state 1 before each place, from the left
+    ahead, log_z = np.zeros((SEGMENT + 1, size)), np.zeros(size)  # chance of state 1 before each place, from the left
     for i in range(SEGMENT):
-        k = live[i]
-        f = ahead[i, :k]
-        zero, one = (1 - f) * a + f * c, ((1 - f) * b + f * d) * on[i, :k]
-        ahead[i + 1, :k] = one / (zero + one)
-    miss = np.zeros((SEGMENT, size))
-    back = np.full(size, 0.5)  # the same from the right
-    pairs = grad[n_features:-1]
+        f, live = ahead[i], i < lengths
+        zero, one = a + f * (c - a), (b + f * (d - b)) * on[i]
+        total = zero + one
+        ahead[i + 1] = one / total
+        log_z += np.log(total) * live
+    chance, back, pairs = np.zeros((SEGMENT, size)), np.full(size, 0.5), np.zeros((4, size))  # ``back``: the same from the right
     for i in range(SEGMENT - 1, -1, -1):
-        k = live[i]
-        f, w, tag = ahead[i, :k], weights[:k], tags[i, :k]
-        zero, one = 1 - back[:k], back[:k] * on[i, :k]
-        p00, p01, p10, p11 = (1 - f) * a * zero, (1 - f) * b * one, f * c * zero, f * d * one
-        scale = w / (p00 + p01 + p10 + p11)
-        pairs -= [p00 @ scale, p01 @ scale, p10 @ scale, p11 @ scale]
-        prev = tags[i - 1, :k] if i else 0
-        pairs += np.bincount(prev * 2 + tag, w, 4)
-        miss[i, :k] = w * tag - (p01 + p11) * scale
-        r0, r1 = a * zero + b * one, c * zero + d * one
-        back[:k] = r1 / (r0 + r1)
-    grad[-1] += miss.sum()
-    grad[:n_features] += np.bincount(feat, miss[col, row], n_features)
+        f, live = ahead[i], i < lengths
+        zero, one = 1 - back, back * on[i]
+        az, bo, cz, do = a * zero, b * one, c * zero, d * one
+        r0, r1 = az + bo, cz + do
+        share = live / (r0 + f * (r1 - r0))
+        left, right = (1 - f) * share, f * share
+        pairs[0] += left * az
+        pairs[2] += right * cz
+        p01, p11 = left * bo, right * do
+        pairs[1] += p01
+        pairs[3] += p11
+        chance[i] = p01 + p11
+        back = np.where(live, r1 / (r0 + r1), back)
+    return lengths * step[0] - log_z, pairs, chance.sum(0), chance[col, row]
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, l2: float = 1e-3) -> list[float]:
@@ -268,8 +279,9 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, l2: float =
 
 
 def tag(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """``(doc_id, score, spans)`` of every whole text, in the partitions of ``docs``: spans are the toxic tokens' offsets in code points, end
-    exclusive, with their marginals. Null and empty texts are scored as texts without tokens."""
+    """``(doc_id, score, spans)`` of every whole text, in the partitions of ``docs``: spans are the toxic tokens' offsets in code points of the text as it is, end
+    exclusive, with their marginals. Null and empty texts are scored as texts without tokens; each row is scored by itself, so rows that repeat an
+    id, or have a null one, each give theirs; other columns, whatever their names, are ignored; an empty table gives an empty result."""
     schema = pa.schema([(id_col, pa.int64()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())])))])
     model = (crf.weights, crf.step, crf.bias, crf.calibration, crf.prior)
 
@@ -279,7 +291,7 @@ def tag(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text
         for b in batches:
             scores, spans = [], []
             for text in b.column("text"):
-                lower = (text.as_py() or "").lower()
+                lower = lowered(text.as_py() or "")
                 words = WORD.findall(lower)
                 hits = own.hits(words)
                 if not hits:
@@ -297,7 +309,7 @@ def tag(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text
 
 
 def reject(docs: DataFrame, crf: Crf, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text scores below the threshold, with their columns."""
+    """The rows of ``docs`` whose text scores below the threshold, with their columns; rows are judged one by one, null texts as empty ones."""
     text_at = docs.columns.index(text_col)
     model = (crf.weights, crf.step, crf.bias, crf.calibration, crf.prior)
 
@@ -307,7 +319,7 @@ def reject(docs: DataFrame, crf: Crf, threshold: float = 0.7, text_col: str = "t
         for b in batches:
             keep = []
             for text in b.column(text_at):
-                words = WORD.findall((text.as_py() or "").lower())
+                words = WORD.findall(lowered(text.as_py() or ""))
                 hits = own.hits(words)
                 keep.append((own.score(own.marginals(hits, len(words)), len(words)) if hits else none) < threshold)
             yield b.filter(pa.array(keep, pa.bool_()))
@@ -319,4 +331,5 @@ def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     crf = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = tag(docs, crf)
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), spans.alias("spans"))

@@ -530,9 +530,36 @@ def test_toxicity_scores_keep_the_natural_prior_under_a_cap(spark):
 
 
 def test_the_field_learns_from_all_segments():
-    far = [(1, 48 * 6, [0, 48, 96, 144, 245], [[0], [0], [0], [0], [1]])] * 20
-    weights, _, _ = toxicity._fit_field([*far, *[(0, 40, [], [])] * 20], np.array([True, True]), {0: 1.0, 1: 1.0})
-    assert weights[1] > 0.1
+    toxic = [(1, 48 * 6, [0, 48, 96, 144, 245], [[0], [0], [0], [0], [1]])] * 20  # feature 1 far in the text
+    clean = [(0, 48 * 5, [0, 48, 96, 144], [[0], [0], [0], [0]])] * 20
+    weights, _, bias = toxicity._fit_field([*toxic, *clean], 2, {0: 1.0, 1: 1.0})
+    assert weights[1] > 1 and weights[1] + bias > -2 > weights[0] + bias  # the documents' labels tell which token it is
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(9)
+    params = rng.normal(size=8) * 0.5
+    lengths, row, col, feat = toxicity._arrays([(5, [(1, [0, 2]), (3, [1])]), (3, []), (48, [(47, [2])])])
+    log_zero, pairs, on, at_hits = toxicity._expected(params, 3, lengths, row, col, feat)
+    for k in range(8):
+        moved = params.copy()
+        moved[k] += 1e-6
+        slope = (toxicity._expected(moved, 3, lengths, row, col, feat)[0] - log_zero) / 1e-6
+        minus = np.bincount(row[feat == k], at_hits[feat == k], 3) if k < 3 else pairs[k - 3] - (lengths if k == 3 else 0) if k < 7 else on
+        assert np.allclose(slope, -minus, atol=1e-4), k
+
+
+def test_spans_are_places_of_the_text_as_it_is(spark):
+    crf = toxicity.Crf({"=badword": 9.0}, [[0.0, -2.0], [0.0, -1.0]], -3.0, [0.0, 1.0, 0.0, 0.0, 0.0], 0.1)
+    text = "\u0130\u0130 x BADWORD \u0130stanbul badword"
+    spans = toxicity.tag(docs(spark, [(1, text)]), crf).first()["spans"]
+    assert [text[s["start"] : s["end"]] for s in spans] == ["BADWORD", "badword"]
+
+
+def test_labelled_sample_is_bounded_under_repeated_ids(spark):
+    df, lab = docs(spark, [(i % 2, f"text {i}") for i in range(50)] + [(3, "z")]), spark.createDataFrame([(0, 1), (1, 0), (3, 0)], "doc_id long, toxic int")
+    used = [i for i in (0, 1, 3) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert toxicity.labelled_sample(df, lab, "doc_id", "text", "toxic", 5).count() == len(used)
 
 
 # --- chat ---------------------------------------------------------------------------------------------------------------------
