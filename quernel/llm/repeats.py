@@ -25,8 +25,8 @@ PLACE = np.uint64((1 << 24) - 1)
 PIECE = 1 << 22
 #: Bytes of strings that one merge takes, whole anchors at least, and its shards.
 BATCH, SHARDS = 1 << 16, 8
-#: Bytes of differing runs beyond which an anchor is hot: its windows are dealt out one by one, so that a merge never holds more than two batches.
-HOT = 1 << 16
+#: Bytes of differing runs beyond which an anchor is hot: its windows are dealt out one by one, so that no merge holds more than this and a batch.
+HOT = 1 << 18
 #: Hot anchors that are broadcast, 8 bytes each; more of them are joined by a shuffle.
 MOST_HOT = 1_000_000
 
