@@ -22,6 +22,8 @@ STEP, TOLERANCE = 16, 1e-9
 HEAD = 64
 #: Most classes, and bytes of their shingles, in a block: two blocks are compared in one task.
 BLOCK, BLOCK_BYTES = 512, 4 << 20
+#: Classes of a bucket that are compared with all others first; pairs that share a neighbour among these are joined already.
+LEADERS = 4
 #: Most classes in a block of a band's bucket, of which only HEAD values are held.
 BUCKET = 2048
 WHITE = np.zeros(256, bool)
@@ -119,8 +121,8 @@ def least_matches(similarity: float = SIMILARITY, tolerance: float = TOLERANCE)
     return out
 
 
-def likely(sigs_a: np.ndarray, sigs_b: np.ndarray, same: bool, steps: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the pairs that no step drops (each once if both sides are the ``same``)."""
+def likely(sigs_a: np.ndarray, sigs_b: np.ndarray, same: bool, steps: list[tuple[int, int]], known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the pairs that no step drops (each once if both sides are the ``same``). Pairs whose rows have one ``known`` label from 0 on are left out."""
     n, m = steps[0]
     equal = np.zeros((len(sigs_a), len(sigs_b)), np.uint8)
     for v in range(n):
@@ -128,6 +130,8 @@ def likely(sigs_a: np.ndarray, sigs_b: np.ndarray, same: bool, steps: list[tuple
     keep = equal >= m
     if same:
         keep &= np.tri(len(sigs_a), k=-1, dtype=bool)
+    if known is not None:
+        keep &= (known[0][:, None] != known[1][None, :]) | (known[0] < 0)[:, None]
     a, b = np.nonzero(keep)
     so_far = equal[a, b].astype(np.int16)
     for (before, _), (n, m) in zip(steps, steps[1:], strict=False):
@@ -214,11 +218,24 @@ def _likely_edges(similarity: float):
         if len(x) < 2:
             return None
         (a_nodes, a_values), (b_nodes, b_values) = x
-        found, part = [], 512
+        nodes, values = (a_nodes, a_values) if same else (np.concatenate([a_nodes, b_nodes]), np.concatenate([a_values, b_values]))
+        label, found, part = np.full(len(nodes), -1), [], 512
+        for t in range(LEADERS if len(nodes) > 8 * LEADERS else 0):
+            free = np.flatnonzero(label == -1)
+            if not len(free):
+                break
+            near = likely(values[free[:1]], values, False, steps)[1]
+            found.append((np.full(len(near), nodes[free[0]]), nodes[near]))
+            label[near[label[near] == -1]] = t
+        a_label, b_label = (label, label) if same else (label[: len(a_nodes)], label[len(a_nodes) :])
         for i in range(0, len(a_nodes), part):
             for j in range(0, i + 1 if same else len(b_nodes), part):
-                a, b = likely(a_values[i : i + part], b_values[j : j + part], same and i == j, steps)
-                found.append(forest(a_nodes[i + a], b_nodes[j + b]))
+                mine, theirs = a_label[i : i + part], b_label[j : j + part]
+                if mine[0] < 0 or (mine != mine[0]).any() or (theirs != mine[0]).any():
+                    a, b = likely(a_values[i : i + part], b_values[j : j + part], same and i == j, steps, (mine, theirs))
+                    found.append(forest(a_nodes[i + a], b_nodes[j + b]))
+        if not found:
+            return None
         u, v = forest(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
         return pa.RecordBatch.from_pydict({"a": pa.array(u, pa.int64()), "b": pa.array(v, pa.int64())})
 
@@ -247,7 +264,8 @@ def _by_blocks(rows: DataFrame, key: str, *carry: str) -> DataFrame:
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select(key, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", *carry)
-    return placed.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "side", "node")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that few bytes that take long to compare aren't put into few tasks
+    return placed.repartition(tasks, key, "i", "j").sortWithinPartitions(key, "i", "j", "side", "node")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
