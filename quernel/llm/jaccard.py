@@ -24,6 +24,8 @@ HEAD = 64
 BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Classes of a bucket that are compared with all others first; pairs that share a neighbour among these are joined already.
 LEADERS = 4
+#: Groups up to this size are compared many at a time.
+SMALL = 64
 #: Most classes in a block of a band's bucket, of which only HEAD values are held.
 BUCKET = 2048
 WHITE = np.zeros(256, bool)
@@ -239,22 +241,44 @@ def _likely_edges(similarity: float):
         u, v = forest(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
         return pa.RecordBatch.from_pydict({"a": pa.array(u, pa.int64()), "b": pa.array(v, pa.int64())})
 
+    def groups(band: np.ndarray, i: np.ndarray, j: np.ndarray, side: np.ndarray, node: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole groups. The pairs of small ones, which are most, are compared at once."""
+        start = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        size = np.diff(np.r_[start, len(band)])
+        small = (size <= SMALL) & (i[start] == j[start])
+        rank = np.where(np.repeat(small, size), np.arange(len(band)) - np.repeat(start, size), 0)  # rows of the group before this one
+        a = np.repeat(np.arange(len(band)), rank)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(rank) - rank, rank) + np.repeat(np.repeat(start, size), rank)
+        before, so_far = 0, np.zeros(len(a), np.int16)
+        for n, m in steps:
+            so_far += (values[a, before:n] == values[b, before:n]).sum(1, dtype=np.int16)
+            keep = so_far >= m
+            a, b, so_far, before = a[keep], b[keep], so_far[keep], n
+        u, v = forest(node[a], node[b])
+        yield pa.RecordBatch.from_pydict({"a": pa.array(u, pa.int64()), "b": pa.array(v, pa.int64())})
+        for lo, n in zip(start[~small].tolist(), size[~small].tolist(), strict=True):
+            mid = lo + int(np.searchsorted(side[lo : lo + n], 1))
+            sides = {k: [(node[x:y], values[x:y])] if y > x else [] for k, x, y in ((0, lo, mid), (1, mid, lo + n))}
+            if (out := pairs(sides, bool(i[lo] == j[lo]))) is not None:
+                yield out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sides = None, {0: [], 1: []}
+        held = None  # the last group of a batch may go on in the next one
         for batch in batches:
             if not batch.num_rows:
                 continue
-            band, i, j, side, node = (batch.column(c).to_numpy() for c in ("band", "i", "j", "side", "node"))
             values = np.frombuffer(b"".join(batch.column("head").to_pylist()), np.uint16).reshape(-1, HEAD)
-            edges = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (side[1:] != side[:-1])) + 1
-            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(band)], strict=True):
-                if (band[lo], i[lo], j[lo]) != key:
-                    if key and (out := pairs(sides, key[1] == key[2])) is not None:
-                        yield out
-                    key, sides = (band[lo], i[lo], j[lo]), {0: [], 1: []}
-                sides[int(side[lo])].append((node[lo:hi], values[lo:hi]))
-        if key and (out := pairs(sides, key[1] == key[2])) is not None:
-            yield out
+            cols = (*(batch.column(c).to_numpy() for c in ("band", "i", "j", "side", "node")), values)
+            if held is not None:
+                cols = tuple(np.concatenate(c) for c in zip(held, cols, strict=True))
+            at = len(cols[0]) - 1
+            other = np.flatnonzero((cols[0] != cols[0][at]) | (cols[1] != cols[1][at]) | (cols[2] != cols[2][at]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            held = tuple(c[cut:] for c in cols)
+            if cut:
+                yield from groups(*(c[:cut] for c in cols))
+        if held is not None:
+            yield from groups(*held)
 
     return run
 

@@ -316,6 +316,7 @@ def brute_links(texts):
 def test_jaccard_matches_brute_force(spark, corpus, monkeypatch, block, size):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "BUCKET", block)
+    monkeypatch.setattr(jaccard, "SMALL", 64 if block > 16 else 5)
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", size)
     rows, links, component = brute_links(corpus)
     want = Counter((d, links[i], component.get(d), d is None or component[d] == d) for i, (d, _) in enumerate(rows))
