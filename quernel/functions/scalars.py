@@ -117,11 +117,13 @@ def audited_position(v: Column, lower: Column, upper: Column, recommended: Colum
     return F.when(~F.coalesce(recommended, F.lit(False)), "not_recommended").when(v.isNull(), "missing_current_dose").when(lower.isNull() | upper.isNull(), "missing_recommended_band").otherwise(band_position(v, lower, upper))
 
 
-ACTIONS = {"below_band": "increase", "above_band": "decrease", "inside_band": "hold"}
+# The actions that later stages know.
+ACTIONS = {"below_band": "increase_to_band", "above_band": "decrease_to_band", "inside_band": "hold_in_band"}
+NO_ACTION = "hold_or_manual_check"
 
 
 def action_hint(position: Column) -> Column:
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv])[position], F.lit("none"))
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv])[position], F.lit(NO_ACTION))
 
 
 def action_from_band(v: Column, lower: Column, upper: Column) -> Column:

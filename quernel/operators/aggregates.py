@@ -205,22 +205,35 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+# Weights and ranks of rule grades.
 GRADES = {"A": 3.0, "B": 2.0, "C": 1.0}
+GRADE_RANKS = {"A": 0, "B": 1, "C": 2}
+
+
+def by_grade(values: Mapping[str, float], other: float) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("grade")], F.lit(other))
+
+
+def rule_priority() -> list[Column]:
+    """What puts one matched rule before another: grade, stability, samples, lift of the ok rate, least rise of the high rate, then its id."""
+    fine = F.coalesce(F.col("time_stable"), F.lit(True))
+    return [by_grade(GRADE_RANKS, 9).alias("g"), (~fine).cast("int").alias("t"), (-F.coalesce("sample_count", F.lit(0))).cast("double").alias("n"), (-F.coalesce("ok_lift", F.lit(0.0))).alias("lift"), F.coalesce("high_delta", F.lit(0.0)).alias("worse"), F.col("rule_id")]
 
 
 def combine_rules(matches: DataFrame) -> DataFrame:
     """Bands of the rules matched by each ``id``: median, weighted mean, intersection (else the top rule's band) and top rule; evidence medians. ``matches`` has id, rule_id,
-    grade, time_stable, dose_min, dose_max, sample_count, ok_rate."""
-    grade = F.coalesce(F.create_map(*[F.lit(x) for kv in GRADES.items() for x in kv])[F.col("grade")], F.lit(0.5))
-    m = matches.withColumn("weight", grade * F.log1p(F.col("sample_count")) * F.greatest(F.col("ok_rate"), F.lit(0.01)))
-    top = F.struct((4 - grade).alias("g"), (~F.col("time_stable")).alias("s"), (-F.col("sample_count")).alias("n"), "rule_id")
+    grade, time_stable, dose_min, dose_max, sample_count, ok_rate, ok_lift, high_delta, low_delta. A rule weighs grade x log of its samples x lift over what it worsens; rules without a
+    band don't count."""
+    worse = 1 + 10 * F.greatest(F.coalesce("high_delta", F.lit(0.0)), F.lit(0.0)) + 20 * F.greatest(F.coalesce("low_delta", F.lit(0.0)), F.lit(0.0))
+    weight = by_grade(GRADES, 0.5) * F.log1p(F.greatest(F.coalesce("sample_count", F.lit(0)), F.lit(0)).cast("double")) * F.greatest(F.coalesce("ok_lift", F.lit(0.0)), F.lit(0.001)) / worse
+    m = matches.where("dose_min is not null and dose_max is not null").withColumn("weight", F.greatest(weight, F.lit(1e-9)))
     out = m.groupBy("id").agg(
         F.count("*").alias("n_rules"), F.percentile("dose_min", F.lit(0.5)).alias("median_min"), F.percentile("dose_max", F.lit(0.5)).alias("median_max"),
         (F.sum(F.col("weight") * F.col("dose_min")) / F.sum("weight")).alias("weighted_min"), (F.sum(F.col("weight") * F.col("dose_max")) / F.sum("weight")).alias("weighted_max"),
-        F.max("dose_min").alias("common_min"), F.min("dose_max").alias("common_max"), F.min_by(F.struct("rule_id", "dose_min", "dose_max"), top).alias("top"),
+        F.max("dose_min").alias("common_min"), F.min("dose_max").alias("common_max"), F.min_by(F.struct("rule_id", "dose_min", "dose_max"), F.struct(*rule_priority())).alias("top"),
         F.percentile("sample_count", F.lit(0.5)).cast("int").alias("evidence_samples"), F.percentile("ok_rate", F.lit(0.5)).alias("evidence_ok_rate"), F.array_join(F.array_sort(F.collect_set("rule_id")), ";").alias("rule_ids"),
-    )
-    meets = F.col("common_min") < F.col("common_max")
+    )  # fmt: skip  # a row has at most one rule a feature and bin, so its groups are small
+    meets = F.col("common_min") <= F.col("common_max")
     return out.select(
         "id", "n_rules", "rule_ids", "median_min", "median_max", ((F.col("median_min") + F.col("median_max")) / 2).alias("median_target"), "weighted_min", "weighted_max",
         F.when(meets, F.col("common_min")).otherwise(F.col("top.dose_min")).alias("intersection_min"), F.when(meets, F.col("common_max")).otherwise(F.col("top.dose_max")).alias("intersection_max"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quernel.functions.scalars import seconds
 
 
-#: Queries of a neighbour search that are broadcast, some hundred bytes each.
+#: Queries of a neighbour search in a block, some hundred bytes each.
 MOST_QUERIES = 10_000
 
 
@@ -90,7 +90,7 @@ def windows_at(anchors: DataFrame, points: DataFrame, keys: Sequence[str], ancho
 def nearest_neighbours(queries: DataFrame, history: DataFrame, features: Sequence[str], k: int, visible: Column | None = None) -> DataFrame:
     """The k history rows nearest to each query: features scaled by median and quartile range, distance = median of the absolute differences that
     aren't null. ``queries`` and ``history`` have ``id``; ``visible`` may use ``q.`` and ``h.`` columns. The stated queries are compared with all
-    rows: up to MOST_QUERIES of them are broadcast, so history stays in place and only each task's k best are shuffled; more go in blocks of history and queries."""
+    rows in blocks of about MOST_QUERIES, each of them broadcast, so history stays in place and only each task's k best are shuffled."""
     q = history.agg(*[F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f) for f in features])
     scale = {f: (F.col(f"s.{f}")[1], F.nullif(F.col(f"s.{f}")[2] - F.col(f"s.{f}")[0], F.lit(0.0))) for f in features}
 
@@ -99,14 +99,19 @@ def nearest_neighbours(queries: DataFrame, history: DataFrame, features: Sequenc
 
     left, right = scaled(queries, "q"), scaled(history, "h")
     apart = F.col("q.id") != F.col("h.id")
-    side = F.broadcast(left) if queries.count() <= MOST_QUERIES else left
-    pairs = right.join(side, apart if visible is None else visible & apart)
+    blocks = max(1, -(-queries.count() // MOST_QUERIES))
     gaps = F.array_sort(F.filter(F.zip_with(F.col("q.__x"), F.col("h.__x"), lambda a, b: F.abs(a - b)), lambda d: d.isNotNull()))
     n = F.size("__d")
     median = F.when(n > 0, (F.get("__d", F.floor((n - 1) / 2).cast("int")) + F.get("__d", F.floor(n / 2).cast("int"))) / 2)
-    best = pairs.select(F.col("q.id").alias("id"), F.col("h.id").alias("neighbour"), gaps.alias("__d")).withColumn("distance", median).drop("__d").where("distance is not null")
     w = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = None
+    for block in range(blocks):
+        mine = left.where(F.pmod(F.xxhash64("q.id"), F.lit(blocks)) == block) if blocks > 1 else left
+        pairs = right.join(F.broadcast(mine), apart if visible is None else visible & apart)
+        best = pairs.select(F.col("q.id").alias("id"), F.col("h.id").alias("neighbour"), gaps.alias("__d")).withColumn("distance", median).drop("__d").where("distance is not null")
+        best = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def rule_matches(rows: DataFrame, rules: DataFrame, boundaries: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Windows over time series. Series are keyed; a long series is cut into time buckets with a halo, so no task holds a whole series."""
+"""Windows over time series. Range frames cut a long series into time buckets with a halo, and ranks and splits take many tasks; windows of rows run inside a key, so\ntheir keys should part a long series."""
 
 from __future__ import annotations
 
@@ -50,19 +50,30 @@ def rolling_slope(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
 
 
 def spikes(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, window: int = 11, sigma: float = 8.0) -> DataFrame:
-    """Adds ``is_spike``: a value further from the centred median than sigma robust deviations, whose neighbours lie near each other. The deviation
-    has a floor, a hundredth of the series' range between its 1% and 99% quantiles."""
-    half = window // 2
+    """Adds ``is_spike``: a value further from the centred median than the threshold, while the rows before and after it lie within the threshold of that median.
+
+    The threshold is ``sigma`` robust deviations (1.4826 times the centred median of the distances), but at least three times the 99.9% quantile of the series' steps and 5% of its
+    range between the 1% and 99% quantiles. Median and deviation need max(5, window // 2) values; a deviation of 0 flags nothing. Windows of rows
+    run inside each key, so ``keys`` should part a long series.
+    """
+    half, least = window // 2, max(5, window // 2)
     whole = Window.partitionBy(*keys).orderBy(*order)
-    w = whole.rowsBetween(-half, half)
+    w = whole.rowsBetween(-half, window - 1 - half)
     v = F.col(value)
-    floors = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.01), F.lit(0.99))).alias("__q"))
-    out = df.withColumn("median", F.percentile(v, F.lit(0.5)).over(w)).withColumn("__d", F.abs(v - F.col("median")))
-    out = out.withColumn("mad", F.percentile("__d", F.lit(0.5)).over(w)).withColumns({"__before": F.lag(v).over(whole), "__after": F.lead(v).over(whole)})
+
+    def median(c: str) -> Column:
+        return F.when(F.count(c).over(w) >= least, F.percentile(c, F.lit(0.5)).over(w))
+
+    rows = df.withColumns({"__before": F.lag(v).over(whole), "__after": F.lead(v).over(whole)})
+    step = F.abs(v - F.col("__before"))
+    floors = rows.withColumn("__step", step).groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.01), F.lit(0.99))).alias("__q"), F.percentile("__step", F.lit(0.999)).alias("__s"))
+    floors = floors.select(*keys, F.greatest(3 * F.coalesce("__s", F.lit(0.0)), 0.05 * (F.col("__q")[1] - F.col("__q")[0]), F.lit(0.0)).alias("__floor"))
+    out = rows.withColumn("__m", median(value)).withColumn("__d", F.abs(v - F.col("__m")))
+    out = out.withColumn("__s", 1.4826 * median("__d"))
     out = out.join(floors, list(keys)) if keys else out.crossJoin(F.broadcast(floors))
-    scale = F.greatest(1.4826 * F.col("mad"), 0.01 * (F.col("__q")[1] - F.col("__q")[0]))
-    near = F.abs(F.col("__before") - F.col("__after")) <= sigma * scale
-    return out.withColumn("is_spike", F.coalesce((F.col("__d") > sigma * scale) & near, F.lit(False))).drop("__d", "__q", "__before", "__after", "mad", "median")
+    limit = F.greatest(sigma * F.col("__s"), F.col("__floor"))
+    near = (F.abs(F.col("__before") - F.col("__m")) <= limit) & (F.abs(F.col("__after") - F.col("__m")) <= limit)
+    return out.withColumn("is_spike", F.coalesce((F.col("__s") > 0) & (F.col("__d") > limit) & near, F.lit(False))).drop("__d", "__m", "__s", "__floor", "__before", "__after")
 
 
 def interpolate(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, limit: int = 5) -> DataFrame:
@@ -136,7 +147,14 @@ def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), parts: int
 
 
 def chronological_split(df: DataFrame, keys: Sequence[str], order: Sequence[str], share: float = 0.8) -> DataFrame:
-    """Adds ``split``: the first floor(share * n) rows of each key are train, the rest test."""
-    w = Window.partitionBy(*keys)
-    rn, n = F.row_number().over(w.orderBy(*order)), F.count("*").over(w)
-    return df.withColumn("split", F.when(rn <= F.floor(n * share), "train").otherwise("test"))
+    """Adds ``split``: the first floor(share * n) rows of each key are train, the rest test. Rows are in the order of the first column, ties in that of the others, and null times
+    come last. The ranks of the times are found in many tasks (``value_ranks``), so a key may hold any number of rows; one window runs over the rows of one time."""
+    ts, *ties = order
+    ranks = value_ranks(df, ts, keys).select(*keys, ts, F.col("before").alias("__before"))
+    n = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    inner = Window.partitionBy(*keys, ts).orderBy(*ties) if ties else Window.partitionBy(*keys, ts).orderBy(F.lit(0))
+    on = [*keys, ts]
+    out = df.withColumn("__rn", F.row_number().over(inner)).join(ranks, on, "left")
+    out = out.join(n, list(keys), "left") if keys else out.crossJoin(F.broadcast(n))  # one row
+    first = F.coalesce(F.col("__before") + F.col("__rn") <= F.floor(F.col("__n") * share), F.lit(False))
+    return out.withColumn("split", F.when(first, "train").otherwise("test")).drop("__before", "__rn", "__n").select(*df.columns, "split")

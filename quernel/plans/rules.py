@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quernel.functions.bins import qcut, tertile_boundaries
 from quernel.functions.scalars import action_hint, band_position, label_flags
-from quernel.operators.aggregates import best_bin, combine_rules, dose_response, rates, unpivot
+from quernel.operators.aggregates import best_bin, dose_response, rule_priority, unpivot
 from quernel.operators.joins import rule_matches
+from quernel.operators.series import chronological_split
 
 
 def first_match(cases: Sequence[tuple[Column, str]], otherwise: str) -> Column:
@@ -36,39 +37,121 @@ def regime_response(df: DataFrame, features: Sequence[str], dose: str, label: st
     return dose_response(qcut(rows, "dose", bins, ["feature", "regime"]), "bin", "dose", "label", ["feature", "regime"])
 
 
-def mine_rules(df: DataFrame, features: Sequence[str], dose: str, label: str, bins: int = 5, least: int = 20) -> DataFrame:
-    """The best bin of each regime as a rule, graded by its lift over all rows and its evidence."""
+ACCEPTED, MONITORED, REJECTED = "accept_for_manual_case_review", "monitor_only", "reject"
+
+
+def mine_rules(df: DataFrame, features: Sequence[str], dose: str, label: str, order: Sequence[str], bins: int = 5, least: int = 20) -> DataFrame:
+    """The best dose bin of each regime as a rule, graded by its samples and how its rates differ from those of all rows, and held against the last fifth of the rows.
+
+    Grades need 100 rows, a lift of 0.05 and no rise of the high rate (A), 80 rows and 0.03 (B), or 50 rows and any lift (C); A and B are accepted, C is monitored. ``time_stable``: the
+    rule's last rows (10 at least) have an ok rate no lower than all last rows and high and low rates at most 0.02 above. An accepted rule that is worse there, or
+    has too few rows there, is only monitored. ``avoid_high_dose`` marks regimes whose highest bin has a raised high rate.
+    """
+    flagged = df.withColumns(label_flags(F.col(label)))
     response = regime_response(df, features, dose, label, bins)
-    best = best_bin(response, ["feature", "regime"], least)
-    every = rates(df.withColumns(label_flags(F.col(label))), [], label).select(F.col("y_ok_rate").alias("all_ok"))
-    out = best.join(response.select("feature", "regime", "bin", "dose_min", "dose_max", "label_mean", "y_high_rate", "is_edge"), ["feature", "regime", "bin"]).crossJoin(F.broadcast(every))
-    lift = F.col("y_ok_rate") - F.col("all_ok")
-    grade = first_match([((lift >= 0.08) & (F.col("n") >= 3 * least), "A"), ((lift >= 0.03) & (F.col("n") >= least), "B"), (lift >= 0.0, "C")], "Reject")
-    out = out.withColumns({"lift": lift, "grade": grade}).withColumn("status", first_match([(F.col("grade").isin("A", "B") & ~F.col("is_edge"), "accepted"), (F.col("grade") != "Reject", "monitor")], "rejected"))
-    return out.select(F.concat_ws(":", "feature", "regime").alias("rule_id"), "feature", F.col("regime").alias("bin"), "dose_min", "dose_max", "grade", "status", F.lit(True).alias("time_stable"), F.col("n").cast("int").alias("sample_count"), F.col("y_ok_rate").alias("ok_rate"), "lift")
+    best = best_bin(response, ["feature", "regime"], least).select("feature", "regime", "bin")
+    rate = lambda c, name: F.avg(c).alias(name)
+    every = flagged.agg(rate("y_ok", "all_ok"), rate("y_high", "all_high"), rate("y_low", "all_low"))
+    highest = response.groupBy("feature", "regime").agg(F.max_by(F.struct(F.col("n").alias("n"), F.col("y_high_rate").alias("high")), "bin").alias("last"))
+    out = best.join(response, ["feature", "regime", "bin"]).join(highest, ["feature", "regime"]).crossJoin(F.broadcast(every))  # one row
+    lift, high, low, n = F.col("y_ok_rate") - F.col("all_ok"), F.col("y_high_rate") - F.col("all_high"), F.col("y_low_rate") - F.col("all_low"), F.col("n")
+    grade = first_match([
+        ((n < 50) | (high > 0.05) | (low > 0.03), "Reject"),
+        ((n >= 100) & (lift >= 0.05) & (high <= 0) & (low <= 0.01), "A"),
+        ((n >= 80) & (lift >= 0.03) & (high <= 0.02) & (low <= 0.02), "B"),
+        (lift > 0, "C"),
+    ], "Reject")
+    risky = (F.col("last.high") >= F.col("all_high") + 0.05) & (F.col("last.high") >= F.col("y_high_rate") + 0.05)
+    rules = out.select(F.concat_ws(":", "feature", "regime").alias("rule_id"), "feature", F.col("regime").alias("bin"), "dose_min", "dose_max", grade.alias("grade"), n.cast("int").alias("sample_count"),
+        F.col("y_ok_rate").alias("ok_rate"), F.col("y_high_rate").alias("high_rate"), F.col("y_low_rate").alias("low_rate"), lift.alias("ok_lift"), high.alias("high_delta"), low.alias("low_delta"), (risky & (F.col("last.n") >= 20)).alias("avoid_high_dose"))
+
+    late = chronological_split(flagged, [], order).where("split = 'test'")
+    overall = late.agg(rate("y_ok", "late_all_ok"), rate("y_high", "late_all_high"), rate("y_low", "late_all_low"))
+    inside = rule_matches(late, rules, tertile_boundaries(df, features), features).select("id", "rule_id", "dose_min", "dose_max")
+    inside = inside.join(late.select("id", F.col(dose).cast("double").alias("dose"), "y_ok", "y_high", "y_low"), "id").where(F.col("dose").between(F.col("dose_min"), F.col("dose_max")))
+    seen = inside.groupBy("rule_id").agg(F.count("*").alias("late_n"), rate("y_ok", "late_ok"), rate("y_high", "late_high"), rate("y_low", "late_low"))
+    held = rules.join(seen, "rule_id", "left").crossJoin(F.broadcast(overall))  # one row
+    few = F.coalesce(F.col("late_n"), F.lit(0)) < 10
+    ok, worse_high, worse_low = F.col("late_ok") - F.col("late_all_ok"), F.col("late_high") - F.col("late_all_high"), F.col("late_low") - F.col("late_all_low")
+    unstable = F.coalesce(~few & (ok < 0) & ((worse_high > 0) | (worse_low > 0)), F.lit(False))
+    stable = F.coalesce(~few & (ok >= 0) & (worse_high <= 0.02) & (worse_low <= 0.02), F.lit(False))
+    accepted = F.col("grade").isin("A", "B")
+    status = first_match([(F.col("grade") == "Reject", REJECTED), (accepted & ~few & ~unstable, ACCEPTED)], MONITORED)
+    held = held.withColumns({"few_late": few, "unstable": unstable, "time_stable": stable, "status": status, "grade": F.when(accepted & unstable, "C").otherwise(F.col("grade"))})
+    return held.select("rule_id", "feature", "bin", "dose_min", "dose_max", "grade", "status", "time_stable", "unstable", F.col("few_late").alias("few_late_rows"), "sample_count", "ok_rate", "high_rate", "low_rate", "ok_lift", "high_delta", "low_delta", "avoid_high_dose")
+
+
+def _median(xs: Column) -> Column:
+    """Median of a small array's values that aren't null."""
+    xs = F.array_sort(F.filter(xs, lambda x: x.isNotNull()))
+    n = F.size(xs)
+    return F.when(n > 0, (F.get(xs, F.floor((n - 1) / 2).cast("int")) + F.get(xs, F.floor(n / 2).cast("int"))) / 2)
 
 
 def recommend(rows: DataFrame, rules: DataFrame, boundaries: DataFrame, features: Sequence[str], dose: str) -> DataFrame:
-    """Every row with its median band, position, action and evidence; rows no rule matches get the position ``not_recommended``."""
-    matched = combine_rules(rule_matches(rows, rules.where("status = 'accepted'"), boundaries, features))
-    out = rows.select("id", F.col(dose).cast("double").alias("dose")).join(matched, "id", "left")
-    position = F.when(F.col("n_rules").isNull(), "not_recommended").otherwise(band_position(F.col("dose"), F.col("median_min"), F.col("median_max")))
-    return out.withColumn("position", position).withColumn("action", action_hint(F.col("position"))).withColumn("confidence", first_match([(F.col("n_rules") >= 3, "high"), (F.col("n_rules") == 2, "medium"), (F.col("n_rules") == 1, "low")], "none"))
+    """Every row with the band of its best rules. Of the accepted rules that match, those of the best grade and stability are selected; the band and the evidence are their
+    medians, the confidence is that of the first by ``rule_priority``. Rows that no rule matches, or without a dose, are to be held or checked."""
+    matched = rule_matches(rows, rules.where(F.col("status") == ACCEPTED), boundaries, features)
+    carried = ["grade", "dose_min", "dose_max", "ok_rate", "high_rate", "low_rate", "sample_count", "ok_lift", "high_delta", "low_delta"]
+    # a row has at most one rule a feature and bin, so its list is short
+    lists = matched.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*rule_priority(), *[F.col(c) for c in carried]))).alias("all")).withColumn("best", F.col("all")[0])
+    lists = lists.withColumn("chosen", F.filter("all", lambda r: (r["g"] == F.col("best.g")) & (r["t"] == F.col("best.t"))))
+    mid = lambda c: _median(F.transform("chosen", lambda r: r[c].cast("double")))
+    b = lambda c: F.coalesce(F.col(f"best.{c}").cast("double"), F.lit(0.0))
+    confidence = first_match([
+        ((F.col("best.grade") == "A") & (b("sample_count") >= 100) & (b("ok_lift") >= 0.05) & (b("high_delta") <= 0) & (b("low_delta") <= 0.01), "high"),
+        (F.col("best.grade").isin("A", "B") & (b("sample_count") >= 80) & (b("ok_lift") >= 0.03), "medium"),
+    ], "low")
+    found = lists.select("id", F.size("all").alias("n_rules"), F.size("chosen").alias("n_selected"), F.array_join(F.transform("chosen", lambda r: r["rule_id"]), ";").alias("selected_rule_ids"), mid("dose_min").alias("rec_min"), mid("dose_max").alias("rec_max"),
+        mid("ok_rate").alias("evidence_ok_rate"), mid("high_rate").alias("evidence_high_rate"), mid("low_rate").alias("evidence_low_rate"), mid("sample_count").cast("int").alias("evidence_samples"), confidence.alias("confidence"))
+    out = rows.select("id", F.col(dose).cast("double").alias("dose")).join(found, "id", "left").withColumn("rec_target", (F.col("rec_min") + F.col("rec_max")) / 2)
+    position = F.when(F.col("n_rules").isNull(), "not_recommended").otherwise(band_position(F.col("dose"), F.col("rec_min"), F.col("rec_max")))
+    status = first_match([(F.col("n_rules").isNull(), "no_recommendation"), (F.col("dose").isNull(), "no_recommendation_missing_current_dose")], "recommended")
+    return out.withColumn("position", position).withColumns({"action": action_hint(F.col("position")), "status": status, "confidence": F.coalesce("confidence", F.lit("none"))})
 
 
 def score(rows: DataFrame, rules: DataFrame, boundaries: DataFrame, features: Sequence[str], dose: str, status: str = "status") -> DataFrame:
     """``recommend`` with a fail-safe envelope: rows without a dose or without any feature get status 100, others 0."""
     lacking = F.col(dose).isNull() | F.coalesce(*features).isNull()
-    return recommend(rows, rules, boundaries, features, dose).join(rows.select("id", F.when(lacking, 100).otherwise(0).alias(status)), "id")
+    return recommend(rows, rules, boundaries, features, dose).drop(status).join(rows.select("id", F.when(lacking, 100).otherwise(0).alias(status)), "id")
 
 
-def oracle_bands(test: DataFrame, rules: DataFrame, boundaries: DataFrame, features: Sequence[str], dose: str, label: str, bins: int = 5, least: int = 5) -> DataFrame:
-    """For each rule, the best dose bin of the test rows in its regime: ``(rule_id, oracle_min, oracle_max)``, computed once a rule."""
+def oracle_bands(test: DataFrame, rules: DataFrame, boundaries: DataFrame, features: Sequence[str], dose: str, label: str, bins: int = 5, least: int = 10) -> DataFrame:
+    """For each rule, the best dose bin of the test rows in its regime, computed once a rule: ``(rule_id, oracle_min, oracle_max, oracle_ok, acceptable)``. Best is the highest ok rate, then
+    the lowest high and low rates, then the most rows; ``acceptable`` lists the bands that are hardly worse."""
     hits = rule_matches(test, rules, boundaries, features).select("id", "rule_id")
     rows = hits.join(test.select("id", F.col(dose).cast("double").alias("dose"), F.col(label).alias("label")), "id").where("dose is not null").withColumns(label_flags(F.col("label")))
-    response = dose_response(qcut(rows, "dose", bins, ["rule_id"]), "bin", "dose", "label", ["rule_id"])
-    best = best_bin(response, ["rule_id"], least)
-    return best.join(response.select("rule_id", "bin", F.col("dose_min").alias("oracle_min"), F.col("dose_max").alias("oracle_max")), ["rule_id", "bin"]).select("rule_id", "oracle_min", "oracle_max")
+    response = dose_response(qcut(rows, "dose", bins, ["rule_id"]), "bin", "dose", "label", ["rule_id"]).where(F.col("n") >= least)
+    order = [(-F.col("y_ok_rate")).alias("ok"), F.col("y_high_rate").alias("high"), F.col("y_low_rate").alias("low"), (-F.col("n")).alias("n"), F.col("bin")]
+    per = response.groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct(*order, "dose_min", "dose_max"))).alias("all")).withColumn("best", F.col("all")[0])  # ``bins`` structs
+    close = F.filter("all", lambda x: (x["ok"] <= F.col("best.ok") + 0.03) & (x["high"] <= F.col("best.high") + 0.02) & (x["low"] <= F.col("best.low") + 0.01))
+    return per.select("rule_id", F.col("best.dose_min").alias("oracle_min"), F.col("best.dose_max").alias("oracle_max"), (-F.col("best.ok")).alias("oracle_ok"), F.transform(close, lambda x: F.struct(x["dose_min"].alias("lo"), x["dose_max"].alias("hi"))).alias("acceptable"))
+
+
+def oracle_hits(recommended: DataFrame, oracle: DataFrame) -> DataFrame:
+    """Recommendations held against their first rule's oracle: half of the oracle's or of an acceptable band covered (``band_hit``), any of it (``relaxed_hit``), the same action, and
+    the target within 3, 5 and 10 % of the oracle's. Rows without a recommendation or oracle keep nulls."""
+    first = F.when(F.col("status") == "recommended", F.element_at(F.split("selected_rule_ids", ";"), 1))
+    out = recommended.withColumn("rule_id", first).join(oracle, "rule_id", "left")
+    lo, hi = F.col("rec_min"), F.col("rec_max")
+    overlap = lambda a, b: F.greatest(F.lit(0.0), F.least(hi, b) - F.greatest(lo, a))
+    ratios = F.transform(F.array_append("acceptable", F.struct(F.col("oracle_min").alias("lo"), F.col("oracle_max").alias("hi"))), lambda x: F.when(x["hi"] > x["lo"], overlap(x["lo"], x["hi"]) / (x["hi"] - x["lo"])))
+    out = out.withColumn("__ratio", F.array_max(ratios)).withColumn("oracle_target", (F.col("oracle_min") + F.col("oracle_max")) / 2)
+    off = F.abs(F.col("rec_target") - F.col("oracle_target")) / F.abs(F.nullif(F.col("oracle_target"), F.lit(0.0)))
+    known = F.col("oracle_min").isNotNull()
+    hit = lambda c: F.when(known, F.coalesce(c, F.lit(False)))
+    return out.withColumns({
+        "band_hit": hit(F.col("__ratio") >= 0.5), "relaxed_hit": hit(F.col("__ratio") > 0), "direction_hit": hit(F.col("action") == action_hint(band_position(F.col("dose"), F.col("oracle_min"), F.col("oracle_max")))),
+        **{f"target_hit_{k}": hit(off <= k / 100) for k in (3, 5, 10)},
+    }).drop("__ratio")
+
+
+HITS = ("band_hit", "relaxed_hit", "direction_hit", "target_hit_3", "target_hit_5", "target_hit_10")
+
+
+def accuracies(hits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows, coverage and the share of each hit among the rows that have one."""
+    return hits.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col("status") == "recommended").cast("int")).alias("coverage"), *[F.avg(F.col(h).cast("int")).alias(h.replace("_hit", "_accuracy")) for h in HITS])
 
 
 def next_step(metrics: DataFrame, cases: Sequence[tuple[Column, str]], otherwise: str) -> DataFrame:

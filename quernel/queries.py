@@ -161,7 +161,7 @@ def prj11_winsorise(spark, sf_dir):
 
 
 @query(f"""WITH {SAMPLES}, p AS (SELECT id, CASE WHEN f1 < 200 THEN NULL WHEN dose < 50000 THEN 'below_band' WHEN dose > 200000 THEN 'above_band' ELSE 'inside_band' END AS position FROM samples)
-SELECT id, coalesce(position, 'missing') AS position, CASE position WHEN 'below_band' THEN 'increase' WHEN 'above_band' THEN 'decrease' WHEN 'inside_band' THEN 'hold' ELSE 'none' END AS action FROM p""")
+SELECT id, coalesce(position, 'missing') AS position, CASE position WHEN 'below_band' THEN 'increase_to_band' WHEN 'above_band' THEN 'decrease_to_band' WHEN 'inside_band' THEN 'hold_in_band' ELSE 'hold_or_manual_check' END AS action FROM p""")
 def prj12_position_and_action(spark, sf_dir):
     p = S.band_position(F.when(F.col("f1") >= 200, F.col("dose")), F.lit(50000.0), F.lit(200000.0))
     return samples(spark, sf_dir).select("id", p.alias("position"), S.action_hint(p).alias("action"))
@@ -264,7 +264,7 @@ def jn13_visible_history(spark, sf_dir):
 KNN = """WITH h AS (SELECT c_custkey AS id, c_acctbal AS f1, c_nationkey::DOUBLE AS f2 FROM customer),
 s AS (SELECT quantile_cont(f1, [0.25, 0.5, 0.75]) AS a, quantile_cont(f2, [0.25, 0.5, 0.75]) AS b FROM h),
 z AS (SELECT id, (f1 - a[2]) / coalesce(nullif(a[3] - a[1], 0), 1) AS x1, (f2 - b[2]) / coalesce(nullif(b[3] - b[1], 0), 1) AS x2 FROM h, s),
-q AS (SELECT z.* FROM z JOIN supplier ON id = s_suppkey),
+q AS (SELECT * FROM z WHERE id % 100 = 0),
 d AS (SELECT q.id, z.id AS neighbour, (abs(q.x1 - z.x1) + abs(q.x2 - z.x2)) / 2 AS distance FROM q JOIN z ON q.id <> z.id)
 SELECT id, neighbour, round(distance, 6) AS distance, row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS rank FROM d QUALIFY rank <= 5"""
 
@@ -272,16 +272,17 @@ SELECT id, neighbour, round(distance, 6) AS distance, row_number() OVER (PARTITI
 @query(KNN)
 def jn14_nearest_neighbours(spark, sf_dir):
     h = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("f1"), F.col("c_nationkey").cast("double").alias("f2"))
-    q = h.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), "id", "left_semi")
+    q = h.where("id % 100 = 0")
     return rounded(J.nearest_neighbours(q, h, ["f1", "f2"], 5))
 
 
 def rule_tables(spark):
-    rules = spark.createDataFrame([(f"{f}:{b}", f, b, 1000.0 * i + 20000, 1000.0 * i + 150000, "ABC"[i % 3], "accepted", i % 2 == 0, 30 + i, 0.7 + i / 50) for i, (f, b) in enumerate((f, b) for f in ("f1", "f2") for b in ("low", "mid", "high"))], "rule_id string, feature string, bin string, dose_min double, dose_max double, grade string, status string, time_stable boolean, sample_count int, ok_rate double")
-    return rules
+    names = [(f, b) for f in ("f1", "f2") for b in ("low", "mid", "high")]
+    rows = [(f"{f}:{b}", f, b, 1000.0 * i + 20000, 1000.0 * i + 150000, "ABC"[i % 3], "accept_for_manual_case_review", i != 3, 70 + 10 * i, 0.7 + i / 50, 0.1, 0.05, 0.025 + i / 100, (2 - i) / 200, (i - 3) / 250) for i, (f, b) in enumerate(names)]
+    return spark.createDataFrame(rows, "rule_id string, feature string, bin string, dose_min double, dose_max double, grade string, status string, time_stable boolean, sample_count int, ok_rate double, high_rate double, low_rate double, ok_lift double, high_delta double, low_delta double")
 
 
-RULES = SAMPLES + """, rules AS (SELECT feature || ':' || bin AS rule_id, *, 1000.0::DOUBLE * i + 20000 AS dose_min, 1000.0::DOUBLE * i + 150000 AS dose_max, 3 - i % 3 AS g, i % 2 = 0 AS stable, 30 + i AS sample_count, 0.7::DOUBLE + i / 50.0::DOUBLE AS ok_rate
+RULES = SAMPLES + """, rules AS (SELECT feature || ':' || bin AS rule_id, *, 1000.0::DOUBLE * i + 20000 AS dose_min, 1000.0::DOUBLE * i + 150000 AS dose_max, i % 3 AS g, i <> 3 AS stable, 70 + 10 * i AS sample_count, 0.7::DOUBLE + i / 50.0::DOUBLE AS ok_rate, 0.025::DOUBLE + i / 100.0::DOUBLE AS ok_lift, (2 - i) / 200.0::DOUBLE AS high_delta, (i - 3) / 250.0::DOUBLE AS low_delta
   FROM (VALUES ('f1', 'low', 0), ('f1', 'mid', 1), ('f1', 'high', 2), ('f2', 'low', 3), ('f2', 'mid', 4), ('f2', 'high', 5)) v(feature, bin, i)),
 bounds AS (SELECT 'f1' AS feature, quantile_cont(f1, [1/3::DOUBLE, 2/3::DOUBLE]) AS q FROM samples UNION ALL SELECT 'f2', quantile_cont(f2, [1/3::DOUBLE, 2/3::DOUBLE]) FROM samples),
 long AS (SELECT id, 'f1' AS feature, f1 AS x FROM samples UNION ALL SELECT id, 'f2', f2 FROM samples),
@@ -416,32 +417,63 @@ def ag16_drift(spark, sf_dir):
     return rounded(A.drift(*halves(spark, sf_dir), ["value"]))
 
 
-@query(f"""WITH {RULES} SELECT id, count(*) AS n_rules, string_agg(rule_id, ';' ORDER BY rule_id) AS rule_ids, round(quantile_cont(dose_min, 0.5), 6) AS median_min, round(quantile_cont(dose_max, 0.5), 6) AS median_max,
-round(sum(g * ln(1 + sample_count) * ok_rate * dose_min) / sum(g * ln(1 + sample_count) * ok_rate), 6) AS weighted_min, round(sum(g * ln(1 + sample_count) * ok_rate * dose_max) / sum(g * ln(1 + sample_count) * ok_rate), 6) AS weighted_max,
-max(dose_min) AS intersection_min, min(dose_max) AS intersection_max, arg_min(rule_id, (4 - g, NOT stable, -sample_count, rule_id)) AS top_rule FROM matched GROUP BY id""")
+@query(f"""WITH {RULES}, w AS (SELECT *, (3 - g) * ln(1 + sample_count) * greatest(ok_lift, 0.001) / (1 + 10 * greatest(high_delta, 0) + 20 * greatest(low_delta, 0)) AS w FROM matched)
+SELECT id, count(*) AS n_rules, string_agg(rule_id, ';' ORDER BY rule_id) AS rule_ids, round(quantile_cont(dose_min, 0.5), 6) AS median_min, round(quantile_cont(dose_max, 0.5), 6) AS median_max,
+round(sum(w * dose_min) / sum(w), 6) AS weighted_min, round(sum(w * dose_max) / sum(w), 6) AS weighted_max,
+max(dose_min) AS intersection_min, min(dose_max) AS intersection_max, arg_min(rule_id, (g, NOT stable, -sample_count, -ok_lift, high_delta, rule_id)) AS top_rule FROM w GROUP BY id""")
 def ag19_combine_rules(spark, sf_dir):
     s = samples(spark, sf_dir)
     out = A.combine_rules(J.rule_matches(s, rule_tables(spark), B.tertile_boundaries(s, ["f1", "f2"]), ["f1", "f2"]))
     return rounded(out.select("id", "n_rules", "rule_ids", "median_min", "median_max", "weighted_min", "weighted_max", "intersection_min", "intersection_max", "top_rule"))
 
 
-@query(f"""WITH {RULES}, m AS (SELECT id, count(*) AS n_rules, quantile_cont(dose_min, 0.5) AS lo, quantile_cont(dose_max, 0.5) AS hi FROM matched GROUP BY id),
-p AS (SELECT id, n_rules, CASE WHEN dose < lo THEN 'below_band' WHEN dose > hi THEN 'above_band' ELSE 'inside_band' END AS position FROM samples JOIN m USING (id))
-SELECT id, n_rules, position, CASE position WHEN 'below_band' THEN 'increase' WHEN 'above_band' THEN 'decrease' ELSE 'hold' END AS action, CASE WHEN n_rules >= 3 THEN 'high' WHEN n_rules = 2 THEN 'medium' ELSE 'low' END AS confidence FROM p""")
+#: Recommendations from the rules' definition: the best grade and stability among the matched rules, their medians, the first rule's confidence.
+RECOMMENDED = RULES + """, pri AS (SELECT *, row_number() OVER o AS rn, first_value(g) OVER o AS bg, first_value(stable) OVER o AS bs FROM matched WINDOW o AS (PARTITION BY id ORDER BY g, NOT stable, -sample_count, -ok_lift, high_delta, rule_id)),
+sel AS (SELECT id, count(*) AS n_selected, string_agg(rule_id, ';' ORDER BY rn) AS ids, quantile_cont(dose_min, 0.5) AS lo, quantile_cont(dose_max, 0.5) AS hi FROM pri WHERE g = bg AND stable = bs GROUP BY id),
+one AS (SELECT id, rule_id AS first_rule, CASE WHEN g = 0 AND sample_count >= 100 AND ok_lift >= 0.05 AND high_delta <= 0 AND low_delta <= 0.01 THEN 'high' WHEN g <= 1 AND sample_count >= 80 AND ok_lift >= 0.03 THEN 'medium' ELSE 'low' END AS confidence FROM pri WHERE rn = 1),
+reco AS (SELECT s.id, dose, n_selected, ids, lo, hi, (lo + hi) / 2 AS target, first_rule, confidence, CASE WHEN dose < lo THEN 'increase_to_band' WHEN dose > hi THEN 'decrease_to_band' ELSE 'hold_in_band' END AS action FROM samples s JOIN sel USING (id) JOIN one USING (id))"""
+
+
+@query(f"WITH {RECOMMENDED} SELECT id, n_selected::INT AS n_selected, ids AS selected_rule_ids, round(lo, 6) AS rec_min, round(hi, 6) AS rec_max, action, 'recommended' AS status, confidence FROM reco")
 def dom06_recommend(spark, sf_dir):
     s = samples(spark, sf_dir)
-    return R.recommend(s, rule_tables(spark), B.tertile_boundaries(s, ["f1", "f2"]), ["f1", "f2"], "dose").select("id", "n_rules", "position", "action", "confidence")
+    return rounded(R.recommend(s, rule_tables(spark), B.tertile_boundaries(s, ["f1", "f2"]), ["f1", "f2"], "dose").select("id", "n_selected", "selected_rule_ids", "rec_min", "rec_max", "action", "status", "confidence"))
 
 
-@query()
-def dom05_mine_rules(spark, sf_dir):
-    return rounded(R.mine_rules(samples(spark, sf_dir), ["f1", "f2"], "dose", "label"))
+SPLIT = ", timed AS (SELECT *, row_number() OVER (ORDER BY time, id) > floor(0.8::DOUBLE * count(*) OVER ()) AS is_late FROM samples), late AS (SELECT * FROM timed WHERE is_late)"
 
 
-@query()
-def dom07_oracle_bands(spark, sf_dir):
+@query(f"""WITH {RULES} {SPLIT}, reg AS (SELECT long.id, long.feature, CASE WHEN x <= q[1] THEN 'low' WHEN x <= q[2] THEN 'mid' ELSE 'high' END AS regime, dose, y_ok, y_high, y_low FROM long JOIN bounds USING (feature) JOIN samples USING (id)),
+e AS (SELECT feature, regime, list_sort(list_distinct(quantile_cont(dose, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e FROM reg GROUP BY 1, 2), binned AS (SELECT reg.*, greatest(len(list_filter(e, lambda q: q < dose)) - 1, 0) AS b FROM reg JOIN e USING (feature, regime)),
+resp AS (SELECT feature, regime, b, count(*) AS n, min(dose) AS dose_min, max(dose) AS dose_max, avg(y_ok) AS ok, avg(y_high) AS high, avg(y_low) AS low FROM binned GROUP BY 1, 2, 3),
+best AS (SELECT * FROM resp WHERE n >= 20 QUALIFY row_number() OVER (PARTITION BY feature, regime ORDER BY ok DESC, n DESC, b) = 1), last AS (SELECT feature, regime, arg_max(n, b) AS ln, arg_max(high, b) AS lh FROM resp GROUP BY 1, 2),
+every AS (SELECT avg(y_ok) AS aok, avg(y_high) AS ah, avg(y_low) AS al FROM samples), lates AS (SELECT avg(y_ok) AS lok, avg(y_high) AS lhigh, avg(y_low) AS llow FROM late),
+seen AS (SELECT feature, regime, count(*) AS sn, avg(reg.y_ok) AS sok, avg(reg.y_high) AS shigh, avg(reg.y_low) AS slow FROM reg JOIN best USING (feature, regime) JOIN late USING (id) WHERE reg.dose BETWEEN dose_min AND dose_max GROUP BY 1, 2),
+judged AS (SELECT feature, regime, dose_min, dose_max, n, ok, high, low, ok - aok AS lift, high - ah AS hd, low - al AS ld, lh >= ah + 0.05 AND lh >= high + 0.05 AND ln >= 20 AS avoid, coalesce(sn, 0) < 10 AS few,
+  coalesce(sok < lok AND (shigh > lhigh OR slow > llow), false) AS worse, coalesce(sok >= lok AND shigh - lhigh <= 0.02 AND slow - llow <= 0.02, false) AS fine FROM best JOIN last USING (feature, regime) LEFT JOIN seen USING (feature, regime), every, lates),
+graded AS (SELECT *, CASE WHEN n < 50 OR hd > 0.05 OR ld > 0.03 THEN 'Reject' WHEN n >= 100 AND lift >= 0.05 AND hd <= 0 AND ld <= 0.01 THEN 'A' WHEN n >= 80 AND lift >= 0.03 AND hd <= 0.02 AND ld <= 0.02 THEN 'B' WHEN lift > 0 THEN 'C' ELSE 'Reject' END AS g FROM judged)
+SELECT feature || ':' || regime AS rule_id, feature, regime AS bin, dose_min, dose_max, CASE WHEN g IN ('A', 'B') AND worse AND NOT few THEN 'C' ELSE g END AS grade,
+  CASE WHEN g = 'Reject' THEN 'reject' WHEN g IN ('A', 'B') AND NOT few AND NOT worse THEN 'accept_for_manual_case_review' ELSE 'monitor_only' END AS status, fine AND NOT few AS time_stable, worse AND NOT few AS unstable, few AS few_late_rows,
+  n::INT AS sample_count, round(ok, 6) AS ok_rate, round(high, 6) AS high_rate, round(low, 6) AS low_rate, round(lift, 6) AS ok_lift, round(hd, 6) AS high_delta, round(ld, 6) AS low_delta, avoid AS avoid_high_dose FROM graded""")
+def dom05_mine_rules(spark, sf_dir):
+    return rounded(R.mine_rules(samples(spark, sf_dir), ["f1", "f2"], "dose", "label", ["time", "id"]))
+
+
+@query(f"""WITH {RECOMMENDED} {SPLIT}, hit AS (SELECT rule_id, late.* FROM matched JOIN late USING (id)), e AS (SELECT rule_id, list_sort(list_distinct(quantile_cont(dose, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e FROM hit GROUP BY 1),
+bands AS (SELECT rule_id, b, count(*) AS n, min(dose) AS lo, max(dose) AS hi, avg(y_ok) AS ok, avg(y_high) AS high, avg(y_low) AS low FROM (SELECT hit.*, greatest(len(list_filter(e, lambda q: q < dose)) - 1, 0) AS b FROM hit JOIN e USING (rule_id)) GROUP BY 1, 2 HAVING count(*) >= 10),
+best AS (SELECT rule_id AS first_rule, lo AS omin, hi AS omax, (lo + hi) / 2 AS otarget, ok AS bok, high AS bhigh, low AS blow FROM bands QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY ok DESC, high, low, n DESC, b) = 1),
+fair AS (SELECT first_rule, lo AS alo, hi AS ahi FROM bands JOIN best ON rule_id = first_rule WHERE ok >= bok - 0.03 AND high <= bhigh + 0.02 AND low <= blow + 0.01),
+test AS (SELECT r.* FROM reco r JOIN late USING (id)),
+ratio AS (SELECT id, max(CASE WHEN ahi > alo THEN greatest(0, least(hi, ahi) - greatest(lo, alo)) / (ahi - alo) END) AS ratio FROM test JOIN fair USING (first_rule) GROUP BY id),
+hits AS (SELECT confidence, omin IS NOT NULL AS known, coalesce(ratio >= 0.5, false) AS band, coalesce(ratio > 0, false) AS relaxed, action = CASE WHEN dose < omin THEN 'increase_to_band' WHEN dose > omax THEN 'decrease_to_band' ELSE 'hold_in_band' END AS direction, abs(target - otarget) / abs(otarget) AS off FROM test LEFT JOIN best USING (first_rule) LEFT JOIN ratio USING (id))
+SELECT confidence, count(*) AS n, 1.0::DOUBLE AS coverage, round(avg(band::INT) FILTER (known), 6) AS band_accuracy, round(avg(relaxed::INT) FILTER (known), 6) AS relaxed_accuracy, round(avg(direction::INT) FILTER (known), 6) AS direction_accuracy,
+round(avg((off <= 0.03)::INT) FILTER (known), 6) AS target_accuracy_3, round(avg((off <= 0.05)::INT) FILTER (known), 6) AS target_accuracy_5, round(avg((off <= 0.1)::INT) FILTER (known), 6) AS target_accuracy_10 FROM hits GROUP BY 1""")
+def dom07_oracle_accuracy(spark, sf_dir):
     s = samples(spark, sf_dir)
-    return rounded(R.oracle_bands(s, rule_tables(spark), B.tertile_boundaries(s, ["f1", "f2"]), ["f1", "f2"], "dose", "label"))
+    bounds, fs = B.tertile_boundaries(s, ["f1", "f2"]), ["f1", "f2"]
+    test = W.chronological_split(s, [], ["time", "id"]).where("split = 'test'")
+    reco = R.recommend(test, rule_tables(spark), bounds, fs, "dose")
+    return rounded(R.accuracies(R.oracle_hits(reco, R.oracle_bands(test, rule_tables(spark), bounds, fs, "dose", "label")), ["confidence"]))
 
 
 @query(f"""WITH {POSITIONS}, r AS (SELECT position, avg(y_ok) AS ok FROM placed GROUP BY 1) SELECT round(max(ok) FILTER (position = 'inside_band') - max(ok) FILTER (position = 'above_band'), 6) AS delta FROM r""")
@@ -495,9 +527,10 @@ def wn01_rolling_rows(spark, sf_dir):
     return rounded(out.select("event_id", *[f"v_{x}" for x in ("mean", "std", "min", "max", "range", "last", "slope")]))
 
 
-@query("""WITH m AS (SELECT *, quantile_cont(value, 0.5) OVER f AS med, lag(value) OVER o AS b, lead(value) OVER o AS a FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id), f AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
-d AS (SELECT *, quantile_cont(abs(value - med), 0.5) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS mad FROM m), q AS (SELECT user_id, quantile_cont(value, [0.01, 0.99]) AS q FROM events GROUP BY 1)
-SELECT event_id, coalesce(abs(value - med) > 3 * greatest(1.4826 * mad, 0.01 * (q[2] - q[1])) AND abs(b - a) <= 3 * greatest(1.4826 * mad, 0.01 * (q[2] - q[1])), false) AS is_spike FROM d JOIN q USING (user_id)""")
+@query("""WITH m AS (SELECT *, CASE WHEN count(value) OVER f >= 5 THEN quantile_cont(value, 0.5) OVER f END AS med, lag(value) OVER o AS b, lead(value) OVER o AS a FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id), f AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+d AS (SELECT *, CASE WHEN count(abs(value - med)) OVER f >= 5 THEN 1.4826 * quantile_cont(abs(value - med), 0.5) OVER f END AS s FROM m WINDOW f AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+q AS (SELECT user_id, greatest(3 * coalesce(quantile_cont(abs(value - b), 0.999), 0), 0.05 * (quantile_cont(value, 0.99) - quantile_cont(value, 0.01))) AS floor FROM m GROUP BY 1), t AS (SELECT d.*, greatest(3 * s, floor) AS lim FROM d JOIN q USING (user_id))
+SELECT event_id, coalesce(s > 0 AND abs(value - med) > lim AND abs(b - med) <= lim AND abs(a - med) <= lim, false) AS is_spike FROM t""")
 def wn02_spikes(spark, sf_dir):
     return W.spikes(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", 11, 3.0).select("event_id", "is_spike")
 

@@ -239,12 +239,21 @@ def ag08_scorecard(spark, sf_dir):
     return rounded(policy.scorecard(s, ["line"], "lower", "upper", "hit"))
 
 
-@query()
+@query(f"""WITH {SAMPLES}, e AS (SELECT list_sort(list_distinct(quantile_cont(dose, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e, quantile_cont(f1, [0.25, 0.5, 0.75]) AS a, quantile_cont(f2, [0.25, 0.5, 0.75]) AS c FROM samples),
+h AS (SELECT s.*, greatest(len(list_filter(e, lambda q: q < dose)) - 1, 0)::INT AS bin, (f1 - a[2]) / coalesce(nullif(a[3] - a[1], 0), 1) AS x1, (f2 - c[2]) / coalesce(nullif(c[3] - c[1], 0), 1) AS x2 FROM samples s, e),
+near AS (SELECT q.id, h.bin, h.y_ok, h.y_high, h.y_low FROM h q JOIN h ON h.id <> q.id AND h.time < q.time WHERE q.id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY (abs(q.x1 - h.x1) + abs(q.x2 - h.x2)) / 2, h.id) <= 60),
+bins AS (SELECT id, bin, count(*) AS n, avg(y_ok) AS ok, avg(y_high) AS high, avg(y_low) AS low FROM near GROUP BY 1, 2), al AS (SELECT avg(y_ok) AS aok, avg(y_high) AS ah, avg(y_low) AS alow FROM samples),
+risk AS (SELECT bin, avg(y_high) >= any_value(ah) + 0.05 AS risky, avg(y_ok) >= any_value(aok) AND avg(y_high) <= any_value(ah) AND avg(y_low) <= any_value(alow) AS safe FROM h, al GROUP BY 1),
+now AS (SELECT h.id, h.bin AS cur, b.n AS nn, b.ok AS nok, b.high AS nh, b.low AS nl, risk.risky AS nr FROM h LEFT JOIN bins b ON b.id = h.id AND b.bin = h.bin LEFT JOIN risk ON risk.bin = h.bin WHERE h.id % 100 = 0),
+fair AS (SELECT b.*, nok, nr AND safe AND b.bin < cur AS down, risky FROM bins b JOIN now USING (id) JOIN risk ON risk.bin = b.bin WHERE nn >= 10 AND n >= 10 AND ok - nok >= 0.03 AND high - nh <= 0.02 AND low - nl <= 0.02),
+pick AS (SELECT id, bin, ok - nok AS gain, down FROM fair WHERE down OR NOT risky QUALIFY row_number() OVER (PARTITION BY id ORDER BY down DESC, CASE WHEN down THEN bin END, ok DESC, n DESC, bin) = 1)
+SELECT now.id, cur AS current_bin, coalesce(pick.bin, cur) AS chosen_bin, round(coalesce(gain, 0), 6) AS expected_gain, CASE WHEN pick.id IS NULL THEN 'hold' ELSE 'move' END AS action,
+CASE WHEN coalesce(nn, 0) < 10 THEN 'insufficient_current_bin_support' WHEN pick.id IS NULL THEN 'no_safe_candidate' WHEN down THEN 'high_risk_current_bin_decrease_to_safe_bin' ELSE 'safe_better_historical_neighbor_bin' END AS reason FROM now LEFT JOIN pick USING (id)""")
 def dom03_neighbour_policy(spark, sf_dir):
     s = B.qcut(samples(spark, sf_dir), "dose", 5)
-    q = s.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), "id", "left_semi")
-    base = q.select("id", F.col("y_ok").cast("double").alias("base_ok"), F.col("y_high").cast("double").alias("base_high"))
-    return rounded(policy.choose(policy.neighbour_bins(q, s, ["f1", "f2"], 30, "bin"), base, "bin"))
+    q = s.where("id % 100 = 0")
+    bins = policy.neighbour_bins(q, s, ["f1", "f2"], 60, "bin", F.col("h.time") < F.col("q.time"))
+    return rounded(policy.choose(bins, q, policy.risky_bins(s, "bin"), "bin"))
 
 
 MET = """p AS (SELECT event_id, ts AS pred_ts, value, ts + INTERVAL 174 MINUTE AS q FROM events WHERE event_type = 'view'), l AS (SELECT ts AS label_ts, max(value) AS label FROM events WHERE event_type = 'error' GROUP BY 1),

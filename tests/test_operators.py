@@ -1,5 +1,6 @@
 """Small cases with stated results."""
 
+import math
 from datetime import datetime as T
 
 import pytest
@@ -113,21 +114,36 @@ def test_psi_ignores_values_beyond_the_edges(spark):
 def test_longest_run_and_spikes(spark):
     df = spark.createDataFrame([(i, 100.0 if i == 20 else float(i % 3), i % 5 != 0) for i in range(40)], "i int, v double, f boolean").withColumn("k", F.lit(1))
     assert column(series.longest_true_run(df, ["k"], ["i"], "f"), "longest_run") == [4]
-    assert column(series.spikes(df, ["k"], ["i"], "v").where("is_spike"), "i") == [20]
+    assert column(series.spikes(df, ["k"], ["i"], "v").where("is_spike"), "i") == []  # the largest step alone sets the floor
+    long = spark.createDataFrame([(i, 100.0 if i == 2500 else float(i % 3)) for i in range(5000)], "i int, v double").withColumn("k", F.lit(1))
+    assert column(series.spikes(long, ["k"], ["i"], "v").where("is_spike"), "i") == [2500]
+    flat = long.withColumn("v", F.when(F.col("i") == 2500, 100.0).otherwise(1.0))
+    assert series.spikes(flat, ["k"], ["i"], "v").where("is_spike").isEmpty()  # no deviation around it
 
 
 def test_rules_prefer_grade_and_fall_back_without_overlap(spark):
-    m = spark.createDataFrame([(1, "a", "A", True, 10.0, 20.0, 50, 0.9), (1, "b", "B", True, 30.0, 40.0, 80, 0.8)], "id long, rule_id string, grade string, time_stable boolean, dose_min double, dose_max double, sample_count int, ok_rate double")
+    m = spark.createDataFrame([(1, "a", "A", True, 10.0, 20.0, 50, 0.9, 0.05, 0.1, 0.0), (1, "b", "B", True, 30.0, 40.0, 80, 0.8, 0.02, -0.1, 0.05)], "id long, rule_id string, grade string, time_stable boolean, dose_min double, dose_max double, sample_count int, ok_rate double, ok_lift double, high_delta double, low_delta double")
     r = aggregates.combine_rules(m).first()
     assert (r["median_min"], r["median_max"], r["top_rule"], r["intersection_min"], r["rule_ids"]) == (20.0, 30.0, "a", 10.0, "a;b")
+    a, b = 3 * math.log(51) * 0.05 / 2, 2 * math.log(81) * 0.02 / 2
+    assert abs(r["weighted_min"] - (10 * a + 30 * b) / (a + b)) < 1e-9
+
+
+RULES = "rule_id string, feature string, bin string, dose_min double, dose_max double, grade string, status string, time_stable boolean, sample_count int, ok_rate double, high_rate double, low_rate double, ok_lift double, high_delta double, low_delta double"
 
 
 def test_rows_without_a_rule_are_not_recommended(spark):
-    rows = spark.createDataFrame([(1, 5.0, 0.0), (2, None, None)], "id long, dose double, f1 double")
-    r = spark.createDataFrame([("r", "f1", "low", 1.0, 9.0, "A", "accepted", True, 30, 0.9)], "rule_id string, feature string, bin string, dose_min double, dose_max double, grade string, status string, time_stable boolean, sample_count int, ok_rate double")
-    b = spark.createDataFrame([("f1", 1.0, 2.0)], "feature string, q33 double, q66 double")
-    out = {x["id"]: (x["position"], x["action"], x["status"]) for x in rules.score(rows, r, b, ["f1"], "dose").collect()}
-    assert out == {1: ("inside_band", "hold", 0), 2: ("not_recommended", "none", 100)}
+    rows = spark.createDataFrame([(1, 5.0, 0.0, 0.0), (2, None, None, None), (3, 9.5, None, 0.0), (4, 1.0, None, 1.5), (5, None, 0.0, None)], "id long, dose double, f1 double, f2 double")
+    r = spark.createDataFrame([
+        ("a", "f1", "low", 1.0, 9.0, "A", "accept_for_manual_case_review", True, 120, 0.9, 0.02, 0.03, 0.06, -0.01, 0.0), ("b", "f2", "low", 3.0, 5.0, "B", "accept_for_manual_case_review", True, 500, 0.8, 0.1, 0.1, 0.04, 0.0, 0.0),
+        ("c", "f2", "mid", 100.0, 200.0, "A", "monitor_only", True, 500, 0.8, 0.1, 0.1, 0.04, 0.0, 0.0)], RULES)
+    b = spark.createDataFrame([("f1", 1.0, 2.0), ("f2", 1.0, 2.0)], "feature string, q33 double, q66 double")
+    out = {x["id"]: (x["action"], x["status"], x["selected_rule_ids"], x["confidence"], x["rec_max"]) for x in rules.recommend(rows, r, b, ["f1", "f2"], "dose").collect()}
+    # a better grade wins over more samples, and rules that are only monitored say nothing
+    assert out == {
+        1: ("hold_in_band", "recommended", "a", "high", 9.0), 2: ("hold_or_manual_check", "no_recommendation", None, "none", None), 3: ("decrease_to_band", "recommended", "b", "medium", 5.0),
+        4: ("hold_or_manual_check", "no_recommendation", None, "none", None), 5: ("hold_or_manual_check", "no_recommendation_missing_current_dose", "a", "high", 9.0)}
+    assert {x["id"]: x["status"] for x in rules.score(rows, r, b, ["f1", "f2"], "dose").collect()} == {1: 0, 2: 100, 3: 0, 4: 0, 5: 100}
 
 
 def test_point_files_keep_the_last_number(spark, tmp_path):
