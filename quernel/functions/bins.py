@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernel.operators.series import join_small, quantiles
 
 def edges(df: DataFrame, column: str, fractions: Sequence[float], by: Sequence[str] = (), digits: int | None = None) -> DataFrame:
     """Exact quantiles, linear between ranks, with equal edges once: one row for each group, ``edges``. Rounded to ``digits``, an edge that
     interpolation leaves a hair beside a value is that value."""
-    q = F.percentile(column, F.array(*[F.lit(float(f)) for f in fractions]))
-    q = F.array_distinct(q if digits is None else F.transform(q, lambda x: F.round(x, digits)))
-    return df.groupBy(*by).agg(q.alias("edges"))
+    q = F.array_distinct("q" if digits is None else F.transform("q", lambda x: F.round(x, digits)))
+    return quantiles(df, column, fractions, by).select(*by, q.alias("edges"))
 
 
 def right_closed(x: Column, edges_: Column) -> Column:
@@ -30,8 +30,7 @@ def left_closed(x: Column, edges_: Column) -> Column:
 def qcut(df: DataFrame, column: str, bins: int, by: Sequence[str] = (), out: str = "bin") -> DataFrame:
     """Adds the quantile bin of ``column``, from 0; the groups' edges are joined back, one row a group."""
     cuts = edges(df, column, [i / bins for i in range(bins + 1)], by)
-    joined = df.join(cuts, list(by), "left") if by else df.crossJoin(F.broadcast(cuts))  # one row
-    return joined.withColumn(out, right_closed(F.col(column), F.col("edges"))).drop("edges")
+    return join_small(df, cuts, by, "left").withColumn(out, right_closed(F.col(column), F.col("edges"))).drop("edges")
 
 
 def tertile(x: Column, low: Column, high: Column) -> Column:
@@ -41,5 +40,4 @@ def tertile(x: Column, low: Column, high: Column) -> Column:
 def tertile_boundaries(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(feature, q33, q66)``, a row for each column."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("r")).select("r.*")
-    q = F.percentile("x", F.array(F.lit(1 / 3), F.lit(2 / 3)))
-    return long.groupBy("feature").agg(q.alias("q")).select("feature", F.col("q")[0].alias("q33"), F.col("q")[1].alias("q66"))
+    return quantiles(long, "x", (1 / 3, 2 / 3), ["feature"]).select("feature", F.col("q")[0].alias("q33"), F.col("q")[1].alias("q66"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quernel.functions.bins import edges, right_closed
 from quernel.functions.scalars import finite
-from quernel.operators.series import value_ranks
+from quernel.operators.series import join_small, quantiles, value_ranks
 
 FLAGS = ("y_ok", "y_low", "y_high", "y_out_spec")
 
@@ -33,10 +33,13 @@ def rates_with_outside(df: DataFrame, position: str, label: str) -> DataFrame:
 def dose_response(df: DataFrame, bin_col: str, dose: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """One row a bin: dose and label statistics, flag counts and rates, and whether the bin lies at an edge of its group."""
     out = df.where(F.col(bin_col).isNotNull()).groupBy(*by, bin_col).agg(
-        F.count("*").alias("n"), F.min(dose).alias("dose_min"), F.max(dose).alias("dose_max"), F.avg(dose).alias("dose_mean"), F.percentile(dose, F.lit(0.5)).alias("dose_median"),
-        F.avg(label).alias("label_mean"), F.percentile(label, F.lit(0.5)).alias("label_median"), F.stddev_samp(label).alias("label_std"),
+        F.count("*").alias("n"), F.min(dose).alias("dose_min"), F.max(dose).alias("dose_max"), F.avg(dose).alias("dose_mean"),
+        F.avg(label).alias("label_mean"), F.stddev_samp(label).alias("label_std"),
         *[F.sum(f).alias(f"{f}_count") for f in FLAGS], *[F.avg(f).alias(f"{f}_rate") for f in FLAGS],
     )
+    for c, name in ((dose, "dose_median"), (label, "label_median")):
+        half = quantiles(df.where(F.col(bin_col).isNotNull()), c, (0.5,), [*by, bin_col])
+        out = join_small(out, half.select(*by, bin_col, F.col("q")[0].alias(name)), [*by, bin_col], "left")
     w = Window.partitionBy(*by)
     return out.withColumn("is_edge", (F.col(bin_col) == F.max(bin_col).over(w)) | (F.col(bin_col) == F.min(bin_col).over(w)))
 
@@ -77,8 +80,8 @@ QUANTILES = {"q01": 0.01, "q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75,
 
 
 def quantile_profile(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    q = F.percentile(value, F.array(*[F.lit(x) for x in QUANTILES.values()]))
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    out = join_small(out, quantiles(df, value, list(QUANTILES.values()), by), by, "left")
     return out.select(*by, "n", "min", *[F.col("q")[i].alias(k) for i, k in enumerate(QUANTILES)], "max", "mean")
 
 
@@ -99,9 +102,9 @@ def snr(df: DataFrame, signal: str, noise: str, by: Sequence[str] = ()) -> DataF
 
 def mad(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Median, and median absolute deviation from it."""
-    med = df.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("median"))
-    joined = df.join(med, list(by)) if by else df.crossJoin(F.broadcast(med))
-    return joined.groupBy(*by).agg(F.first("median").alias("median"), F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5)).alias("mad"))
+    med = quantiles(df, value, (0.5,), by).withColumn("median", F.col("q")[0]).drop("q")
+    gaps = join_small(df, med, by).withColumn("__gap", F.abs(F.col(value) - F.col("median")))
+    return join_small(med, quantiles(gaps, "__gap", (0.5,), by), by).withColumn("mad", F.col("q")[0]).drop("q")
 
 
 def missingness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -134,9 +137,10 @@ def psi(reference: DataFrame, current: DataFrame, features: Sequence[str], bins:
 def drift(reference: DataFrame, current: DataFrame, features: Sequence[str], most_outside: float = 0.20) -> DataFrame:
     """Quantiles of both sides, the share of current values outside the reference's 1% to 99% range, and whether that is within support."""
     r, c = (unpivot(d, [], features).where("value is not null and not isnan(value)") for d in (reference, current))
-    base = r.groupBy("feature").agg(F.percentile("value", F.array(*[F.lit(x) for x in (0.01, 0.5, 0.99)])).alias("q"))
-    seen = c.join(base, "feature").groupBy("feature").agg(F.count("*").alias("n"), F.percentile("value", F.lit(0.5)).alias("current_median"), F.avg(((F.col("value") < F.col("q")[0]) | (F.col("value") > F.col("q")[2])).cast("int")).alias("outside_rate"))
-    return base.join(seen, "feature", "left").select("feature", F.col("q")[0].alias("q01"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q99"), "n", "current_median", "outside_rate", (F.col("outside_rate") <= most_outside).alias("within_support"))
+    base = quantiles(r, "value", (0.01, 0.5, 0.99), ["feature"])
+    now = quantiles(c, "value", (0.5,), ["feature"]).select("feature", F.col("q")[0].alias("current_median"))
+    seen = c.join(base, "feature").groupBy("feature").agg(F.count("*").alias("n"), F.avg(((F.col("value") < F.col("q")[0]) | (F.col("value") > F.col("q")[2])).cast("int")).alias("outside_rate"))
+    return base.join(seen, "feature", "left").join(now, "feature", "left").select("feature", F.col("q")[0].alias("q01"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q99"), "n", "current_median", "outside_rate", (F.col("outside_rate") <= most_outside).alias("within_support"))
 
 
 def long_to_wide(df: DataFrame, key: Sequence[str], name: str, value: str, names: Sequence[str]) -> DataFrame:
@@ -146,15 +150,20 @@ def long_to_wide(df: DataFrame, key: Sequence[str], name: str, value: str, names
 def hinge_search(df: DataFrame, x: str, y: str, candidates: int = 51, by: Sequence[str] = ()) -> DataFrame:
     """Least squares of y on 1, x and max(0, x - c) for each candidate threshold c among the quantiles .15 to .85 of x: the best by error, its slopes and supports.
 
-    Each row meets its group's candidates in an array and adds to their sums, so one aggregation by (group, candidate) of nine numbers does the search."""
+    Each row is put into the bin between two candidates, and one aggregation of the bins' moments serves all candidates: their sums are those of the bins above."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    fractions = F.array(*[F.lit(0.15 + 0.7 * i / (candidates - 1)) for i in range(candidates)])
-    base = rows.groupBy(*by).agg(F.array_distinct(F.percentile("x", fractions)).alias("cs"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    joined = rows.join(base, list(by)) if by else rows.crossJoin(F.broadcast(base))
-    each = joined.select(*by, "mx", "my", (F.col("x") - F.col("mx")).alias("u"), (F.col("y") - F.col("my")).alias("v"), "x", F.explode("cs").alias("c")).withColumn("h", F.greatest(F.col("x") - F.col("c"), F.lit(0.0)))
-    s = each.groupBy(*by, "c", "mx", "my").agg(
-        F.count("*").alias("n"), F.sum((F.col("x") > F.col("c")).cast("int")).alias("n_after"), F.sum("h").alias("sh"), F.sum(F.col("u") * F.col("u")).alias("suu"), F.sum(F.col("u") * F.col("h")).alias("suh"),
-        F.sum(F.col("h") * F.col("h")).alias("shh"), F.sum(F.col("u") * F.col("v")).alias("suv"), F.sum(F.col("h") * F.col("v")).alias("shv"), F.sum(F.col("v") * F.col("v")).alias("svv"),
+    base = join_small(quantiles(rows, "x", [0.15 + 0.7 * i / (candidates - 1) for i in range(candidates)], by).withColumn("cs", F.array_distinct("q")).drop("q"), rows.groupBy(*by).agg(F.avg("x").alias("mx"), F.avg("y").alias("my")), by)
+    below = F.size(F.filter("cs", lambda c: c < F.col("x")))
+    each = join_small(rows, base, by).select(*by, below.alias("__k"), (F.col("x") - F.col("mx")).alias("u"), (F.col("y") - F.col("my")).alias("v"))
+    sums = {"n": F.count("*"), "u": F.sum("u"), "v": F.sum("v"), "uu": F.sum(F.col("u") * F.col("u")), "uv": F.sum(F.col("u") * F.col("v")), "vv": F.sum(F.col("v") * F.col("v"))}
+    bins = each.groupBy(*by, "__k").agg(*[c.alias(f"__{k}") for k, c in sums.items()])
+    met = join_small(bins, base, by).select("*", F.posexplode("cs").alias("__i", "c")).withColumn("__d", F.col("c") - F.col("mx"))  # a row a bin and candidate
+    m = {k: F.col(f"__{k}") for k in sums}
+    d = F.col("__d")
+    after = lambda c: F.sum(F.when(F.col("__k") > F.col("__i"), c).otherwise(0))
+    s = met.groupBy(*by, "c", "mx", "my").agg(
+        F.sum("__n").alias("n"), after(m["n"]).alias("n_after"), after(m["u"] - m["n"] * d).cast("double").alias("sh"), F.sum("__uu").alias("suu"), after(m["uu"] - d * m["u"]).cast("double").alias("suh"),
+        after(m["uu"] - 2 * d * m["u"] + m["n"] * d * d).cast("double").alias("shh"), F.sum("__uv").alias("suv"), after(m["uv"] - d * m["v"]).cast("double").alias("shv"), F.sum("__vv").alias("svv"),
     )
     hh = F.col("shh") - F.col("sh") * F.col("sh") / F.col("n")  # centred h; u and v are centred already
     det = F.col("suu") * hh - F.col("suh") * F.col("suh")

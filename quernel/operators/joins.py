@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions.scalars import seconds
+from quernel.operators.series import quantiles
 
 
 #: Queries of a neighbour search in a block, some hundred bytes each.
@@ -91,7 +92,10 @@ def nearest_neighbours(queries: DataFrame, history: DataFrame, features: Sequenc
     """The k history rows nearest to each query: features scaled by median and quartile range, distance = median of the absolute differences that
     aren't null. ``queries`` and ``history`` have ``id``; ``visible`` may use ``q.`` and ``h.`` columns. The stated queries are compared with all
     rows in blocks of about MOST_QUERIES, each of them broadcast, so history stays in place and only each task's k best are shuffled."""
-    q = history.agg(*[F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f) for f in features])
+    q = None
+    for f in features:
+        own = quantiles(history, f, (0.25, 0.5, 0.75), out=f)
+        q = own if q is None else q.crossJoin(F.broadcast(own))  # one row each
     scale = {f: (F.col(f"s.{f}")[1], F.nullif(F.col(f"s.{f}")[2] - F.col(f"s.{f}")[0], F.lit(0.0))) for f in features}
 
     def scaled(df: DataFrame, name: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.operators.aggregates import correlations, unpivot
+from quernel.operators.series import quantiles
 
 
 def _prepare(features: Sequence[str]) -> list:
@@ -63,7 +64,7 @@ def select_features(train: DataFrame, features: Sequence[str], targets: Sequence
 def audit_features(df: DataFrame, features: Sequence[str], most_missing: float = 0.4) -> DataFrame:
     """Missing rate, deviation and share of far outliers of each feature, and whether it may be used."""
     long = unpivot(df, [], features)
-    q = long.groupBy("feature").agg(F.count("*").alias("rows"), F.count("value").alias("n"), F.stddev_samp("value").alias("std"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = long.groupBy("feature").agg(F.count("*").alias("rows"), F.count("value").alias("n"), F.stddev_samp("value").alias("std")).join(quantiles(long, "value", (0.25, 0.5, 0.75), ["feature"]), "feature", "left")
     z = F.abs(F.col("value") - F.col("q")[1]) / F.nullif(F.col("q")[2] - F.col("q")[0], F.lit(0.0))
     far = long.join(q.select("feature", "q"), "feature").groupBy("feature").agg(F.coalesce(F.avg((z > 5).cast("int")), F.lit(0.0)).alias("outlier_rate"))
     out = q.join(far, "feature").withColumn("missing_rate", 1 - F.col("n") / F.col("rows"))
@@ -118,7 +119,7 @@ def incremental_value(train: DataFrame, test: DataFrame, base: Sequence[str], ex
 def profile_clusters(df: DataFrame, features: Sequence[str], cluster_col: str = "cluster") -> DataFrame:
     """Each cluster's mean of each feature, its z-score against all rows and its level by their tertiles."""
     long = unpivot(df, [cluster_col], features)
-    every = long.groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"), F.percentile("value", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
+    every = long.groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s")).join(quantiles(long, "value", (1 / 3, 2 / 3), ["feature"]), "feature", "left")
     per = long.groupBy(cluster_col, "feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
     joined = per.join(F.broadcast(every), "feature")  # one row a feature
     level = F.when(F.col("mean") <= F.col("q")[0], "low").when(F.col("mean") <= F.col("q")[1], "mid").otherwise("high")

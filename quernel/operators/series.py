@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions.scalars import seconds
+from quernel.sources.shared import materialize
 
 
 def with_buckets(df: DataFrame, ts: str, width_s: float, before_s: float, after_s: float = 0.0) -> DataFrame:
@@ -66,11 +67,11 @@ def spikes(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
 
     rows = df.withColumns({"__before": F.lag(v).over(whole), "__after": F.lead(v).over(whole)})
     step = F.abs(v - F.col("__before"))
-    floors = rows.withColumn("__step", step).groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.01), F.lit(0.99))).alias("__q"), F.percentile("__step", F.lit(0.999)).alias("__s"))
+    floors = join_small(quantiles(df, value, (0.01, 0.99), keys, "__q"), quantiles(rows.withColumn("__step", step), "__step", (0.999,), keys, "__s"), keys, "left").withColumn("__s", F.col("__s")[0])
     floors = floors.select(*keys, F.greatest(3 * F.coalesce("__s", F.lit(0.0)), 0.05 * (F.col("__q")[1] - F.col("__q")[0]), F.lit(0.0)).alias("__floor"))
     out = rows.withColumn("__m", median(value)).withColumn("__d", F.abs(v - F.col("__m")))
     out = out.withColumn("__s", 1.4826 * median("__d"))
-    out = out.join(floors, list(keys)) if keys else out.crossJoin(F.broadcast(floors))
+    out = join_small(out, floors, keys, "left")
     limit = F.greatest(sigma * F.col("__s"), F.col("__floor"))
     near = (F.abs(F.col("__before") - F.col("__m")) <= limit) & (F.abs(F.col("__after") - F.col("__m")) <= limit)
     return out.withColumn("is_spike", F.coalesce((F.col("__s") > 0) & (F.col("__d") > limit) & near, F.lit(False))).drop("__d", "__m", "__s", "__floor", "__before", "__after")
@@ -127,25 +128,49 @@ def percent_rank(value: str, keys: Sequence[str] = ()) -> Column:
     return average_rank(value, keys) / F.count(value).over(Window.partitionBy(*keys))
 
 
+def join_small(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join with a table of one row a group, null groups included; without keys it has one row, which is broadcast."""
+    if not keys:
+        return df.crossJoin(F.broadcast(side))
+    named = side.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
+    return df.join(named, on, how).drop(*[f"__key_{k}" for k in keys])
+
+
 def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), parts: int = 256) -> DataFrame:
     """``(<keys>, value, count, before, rank)`` of each distinct value: rows below it, and the mean rank of its rows.
 
     Values are counted first, then cut into ranges by approximate quantiles of the distinct values; totals of the ranges are summed apart, so a group's ranks
     take many tasks. The cuts only deal out work: ranks are exact.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).count()
+    counted = materialize(df.where(F.col(value).isNotNull()).groupBy(*keys, value).count(), "value-counts")  # used three times
     cuts = counted.groupBy(*keys).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("__cuts"))
-    counted = counted.join(cuts, list(keys)) if keys else counted.crossJoin(F.broadcast(cuts))  # one row
+    counted = join_small(counted, cuts, keys)
     counted = counted.withColumn("__part", F.size(F.filter("__cuts", lambda e: e <= F.col(value)))).drop("__cuts")
     totals = counted.groupBy(*keys, "__part").agg(F.sum("count").alias("__total"))
     w = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("__earlier", F.coalesce(F.sum("__total").over(w), F.lit(0))).drop("__total")
     inner = Window.partitionBy(*keys, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = counted.withColumn("__inner", F.coalesce(F.sum("count").over(inner), F.lit(0))).join(totals, [*keys, "__part"])
+    out = join_small(counted.withColumn("__inner", F.coalesce(F.sum("count").over(inner), F.lit(0))), totals, [*keys, "__part"])
     before = F.col("__earlier") + F.col("__inner")
     return out.select(*keys, value, "count", before.alias("before"), (before + (F.col("count") + 1) / 2).alias("rank"))
 
 
+def quantiles(df: DataFrame, value: str, fractions: Sequence[float], keys: Sequence[str] = (), out: str = "q") -> DataFrame:
+    """``(<keys>, q)``: exact quantiles of the values that aren't null, linear between ranks, as an array. A group without values has no row; without keys there is one row, of null
+    for a table without values. Ranks come from ``value_ranks``, so no task holds a group's values."""
+    ranks = materialize(value_ranks(df.select(*keys, F.col(value).cast("double").alias("__v")), "__v", keys), "value-ranks")
+    ranks = join_small(ranks, ranks.groupBy(*keys).agg(F.sum("count").alias("__n")), keys)
+    at = [(F.col("__n") - 1) * float(f) for f in fractions]
+    holds = lambda p: F.max(F.when((F.col("before") <= p) & (p < F.col("before") + F.col("count")), F.col("__v")))
+    ends = ranks.groupBy(*keys).agg(F.max("__n").alias("__n"), *[holds(F.floor(p)).alias(f"__lo{i}") for i, p in enumerate(at)], *[holds(F.ceil(p)).alias(f"__hi{i}") for i, p in enumerate(at)])
+    lo, hi = ([F.col(f"__{s}{i}") for i in range(len(at))] for s in ("lo", "hi"))
+    q = F.array(*[F.when(a == b, a).otherwise((F.ceil(p) - p) * a + (p - F.floor(p)) * b) for p, a, b in zip(at, lo, hi, strict=True)])
+    return materialize(ends.select(*keys, F.when(F.col("__n") > 0, q).alias(out)), "quantiles")
+
+
 def chronological_split(df: DataFrame, keys: Sequence[str], order: Sequence[str], share: float = 0.8) -> DataFrame:
     """Adds ``split``: the first floor(share * n) rows of each key are train, the rest test. Rows are in the order of the first column, ties in that of the others, and null times
     come last. The ranks of the times are found in many tasks (``value_ranks``), so a key may hold any number of rows; one window runs over the rows of one time."""
@@ -153,8 +178,6 @@ def chronological_split(df: DataFrame, keys: Sequence[str], order: Sequence[str]
     ranks = value_ranks(df, ts, keys).select(*keys, ts, F.col("before").alias("__before"))
     n = df.groupBy(*keys).agg(F.count("*").alias("__n"))
     inner = Window.partitionBy(*keys, ts).orderBy(*ties) if ties else Window.partitionBy(*keys, ts).orderBy(F.lit(0))
-    on = [*keys, ts]
-    out = df.withColumn("__rn", F.row_number().over(inner)).join(ranks, on, "left")
-    out = out.join(n, list(keys), "left") if keys else out.crossJoin(F.broadcast(n))  # one row
+    out = join_small(join_small(df.withColumn("__rn", F.row_number().over(inner)), ranks, [*keys, ts], "left"), n, keys)
     first = F.coalesce(F.col("__before") + F.col("__rn") <= F.floor(F.col("__n") * share), F.lit(False))
     return out.withColumn("split", F.when(first, "train").otherwise("test")).drop("__before", "__rn", "__n").select(*df.columns, "split")

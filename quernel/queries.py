@@ -156,7 +156,7 @@ def prj10_bound_violations(spark, sf_dir):
 SELECT event_id, round(least(greatest(value, q[1]), q[2]), 6) AS winsorised FROM events JOIN q USING (event_type)""")
 def prj11_winsorise(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    q = e.groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
+    q = W.quantiles(e, "value", (0.01, 0.99), ["event_type"])
     return e.join(F.broadcast(q), "event_type").select("event_id", r6(S.clip(F.col("value"), F.col("q")[0], F.col("q")[1])).alias("winsorised"))  # one row a tag
 
 
@@ -594,7 +594,7 @@ def srt02_top_k(spark, sf_dir):
 @query("SELECT o_orderkey FROM orders, (SELECT quantile_cont(o_totalprice, 0.8) AS q FROM orders) WHERE o_totalprice >= q")
 def srt03_top_share(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    return o.crossJoin(F.broadcast(o.agg(F.percentile("o_totalprice", F.lit(0.8)).alias("q")))).where("o_totalprice >= q").select("o_orderkey")  # one row
+    return o.crossJoin(F.broadcast(W.quantiles(o, "o_totalprice", (0.8,)).select(F.col("q")[0].alias("q")))).where("o_totalprice >= q").select("o_orderkey")  # one row
 
 
 @query("SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, 'customer' AS source FROM customer UNION ALL SELECT s_suppkey, s_name, NULL, 'supplier' FROM supplier")
