@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sections(docs: DataFrame, key: str, text: str, heading: str = r"\n(?=#)") -> DataFrame:
-    """``(key, position, title, body)`` of the sections that headings begin; bodies without white space at ends and in runs."""
+def sections(docs: DataFrame, key: str, text: str, heading: str = r"\n(?=#)", titled: bool = True) -> DataFrame:
+    """``(key, position, title, body)`` of the sections that headings begin; bodies without white space at ends and in runs. Sections that aren't ``titled`` have an empty title and are
+    all body."""
     parts = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), heading)).alias("position", "section"))
+    if not titled:
+        return parts.select(key, "position", F.lit("").alias("title"), F.trim(F.regexp_replace("section", r"\s+", " ")).alias("body"))
     return parts.select(key, "position", F.trim(F.substring_index("section", "\n", 1)).alias("title"), F.trim(F.regexp_replace(F.substr(F.col("section"), F.length(F.substring_index("section", "\n", 1)) + 1), r"\s+", " ")).alias("body"))
 
 

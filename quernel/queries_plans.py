@@ -313,7 +313,14 @@ def dom11_lag_scenarios(spark, sf_dir):
     return rounded(out)
 
 
-@query()
+FLAG_COLUMNS = ", ".join(f"sum(y_{k})::BIGINT AS y_{k}_count, round(avg(y_{k}), 6) AS y_{k}_rate" for k in ("ok", "low", "high", "out_spec"))
+
+
+@query(f"""WITH {SAMPLES}, long AS (SELECT id, 'f1' AS feature, f1 AS x FROM samples UNION ALL SELECT id, 'f2', f2 FROM samples), bounds AS (SELECT feature, quantile_cont(x, [1/3::DOUBLE, 2/3::DOUBLE]) AS q FROM long GROUP BY 1),
+reg AS (SELECT feature, CASE WHEN x <= q[1] THEN 'low' WHEN x <= q[2] THEN 'mid' ELSE 'high' END AS regime, samples.* EXCLUDE (regime) FROM long JOIN bounds USING (feature) JOIN samples USING (id)),
+e AS (SELECT feature, regime, list_sort(list_distinct(quantile_cont(dose, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e FROM reg GROUP BY 1, 2), b AS (SELECT reg.*, greatest(len(list_filter(e, lambda q: q < dose)) - 1, 0)::INT AS bin FROM reg JOIN e USING (feature, regime)),
+r AS (SELECT feature, regime, bin, count(*) AS n, round(min(dose), 6) AS dose_min, round(max(dose), 6) AS dose_max, round(avg(dose), 6) AS dose_mean, round(quantile_cont(dose, 0.5), 6) AS dose_median, round(avg(label), 6) AS label_mean, round(quantile_cont(label, 0.5), 6) AS label_median,
+round(stddev_samp(label), 6) AS label_std, {FLAG_COLUMNS} FROM b GROUP BY 1, 2, 3) SELECT *, bin = max(bin) OVER w OR bin = min(bin) OVER w AS is_edge FROM r WINDOW w AS (PARTITION BY feature, regime)""")
 def dom01_regime_response(spark, sf_dir):
     return rounded(rules.regime_response(samples(spark, sf_dir), ["f1", "f2"], "dose", "label"))
 
@@ -369,10 +376,13 @@ def ml10_cluster_profile(spark, sf_dir):
 # --- text and inventories -----------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT d.doc_id, 0::INT AS position, f.first AS first_key FROM documents d JOIN (SELECT text, min(doc_id) AS first FROM documents GROUP BY text) f ON d.text = f.text WHERE d.doc_id <> f.first""")
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS position FROM documents),
+b AS (SELECT doc_id, position, trim(regexp_replace(line, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS body FROM l), f AS (SELECT body, min((doc_id, position)) AS first FROM b WHERE body <> '' GROUP BY body)
+SELECT doc_id, position::INT AS position, first[1] AS first_key, first[2]::INT AS first_position FROM b JOIN f USING (body) WHERE (doc_id, position) <> first""")
 def dec05_repeated_sections(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("t\n"), "text").alias("text"))
-    return X.repeated_bodies(X.sections(d, "doc_id", "text", r"\n(?=#{9})"), "doc_id").select("doc_id", "position", "first_key")
+    """Lines of all texts that an earlier line repeats."""
+    parts = X.sections(table(spark, sf_dir, "documents"), "doc_id", "text", r"\n", titled=False).where("body <> ''")
+    return X.repeated_bodies(parts, "doc_id").select("doc_id", "position", "first_key", "first_position")
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_number FROM documents) SELECT doc_id, line_number::INT AS line_number FROM l WHERE contains(line, 'License')""")

@@ -1,13 +1,14 @@
 """Small cases with stated results."""
 
 import math
+import random
 from datetime import datetime as T
 
 import pytest
 from pyspark.sql import functions as F
 
 from quernel.functions import bins, scalars
-from quernel.operators import aggregates, joins, metrics, series
+from quernel.operators import aggregates, joins, metrics, series, text
 from quernel.plans import rules
 from quernel.sources import sinks, tables
 from quernel.streaming.scorer import sliding_means
@@ -146,6 +147,35 @@ def test_rows_without_a_rule_are_not_recommended(spark):
     assert {x["id"]: x["status"] for x in rules.score(rows, r, b, ["f1", "f2"], "dose").collect()} == {1: 0, 2: 100, 3: 0, 4: 0, 5: 100}
 
 
+def test_near_repeats_match_brute_force(spark):
+    rng = random.Random(4)
+    bodies = ["".join(rng.choice("abc ") for _ in range(rng.randint(60, 120))) for _ in range(12)]
+    bodies += [b[:30] + "x" + b[31:] for b in bodies[:6]] + [b + " tail" for b in bodies[:3]] + bodies[:2]
+    rows = [(i, 0, f"t{i % 2}", b) for i, b in enumerate(bodies)]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {(i, j) for i, _, t, a in rows for j, _, u, b in rows if i < j and t == u and abs(len(a) - len(b)) <= 20 and 1 - edits(a, b) / max(len(a), len(b)) >= 0.95}
+    got = text.near_repeats(spark.createDataFrame(rows, "k long, position int, title string, body string"), "k", 0.95).collect()
+    assert {(r["key_a"], r["key_b"]) for r in got} == want and len(got) == len(want) > 5
+
+
+def test_quantiles_of_many_groups_match_the_exact_function(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(rng.choice(["a", "b", None]), rng.choice([None, *map(float, range(40))])) for _ in range(2000)] + [("c", None), ("d", 1.5)], "g string, v double")
+    fs = [0.0, 0.01, 1 / 3, 0.5, 0.999, 1.0]
+    want = {r["g"]: r["q"] for r in df.where("v is not null").groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, fs))).alias("q")).collect()}
+    got = {r["g"]: r["q"] for r in series.quantiles(df, "v", fs, ["g"]).collect()}
+    assert set(got) == set(want) == {"a", "b", None, "d"} and all(abs(x - y) < 1e-9 for g in got for x, y in zip(got[g], want[g], strict=True))
+    assert series.quantiles(df.where("false"), "v", fs).first()["q"] is None
+
+
 def test_point_files_keep_the_last_number(spark, tmp_path):
     (tmp_path / "p.txt").write_text("B4_ti/1\t2026-01-01 00:00:00\t1.0\tok\nB4_TI-1\t2026-01-01 00:00:00\t2.0\tok\nB4_TI.1\t2026-01-01 00:00:00\tbad\tok\nother\tnever\t1\tok\n")
     assert [tuple(r) for r in tables.read_points(spark, str(tmp_path)).select("tag", "value").collect()] == [("TI_1", 2.0)]
