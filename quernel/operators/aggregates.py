@@ -147,36 +147,49 @@ def long_to_wide(df: DataFrame, key: Sequence[str], name: str, value: str, names
     return df.groupBy(*key).pivot(name, list(names)).agg(F.avg(value))
 
 
-def hinge_search(df: DataFrame, x: str, y: str, candidates: int = 51, by: Sequence[str] = ()) -> DataFrame:
-    """Least squares of y on 1, x and max(0, x - c) for each candidate threshold c among the quantiles .15 to .85 of x: the best by error, its slopes and supports.
+def hinge_search(df: DataFrame, x: str, y: str, candidates: int = 71, by: Sequence[str] = (), high: str | None = None, least: int = 50, least_side: int = 30) -> DataFrame:
+    """Least squares of y on 1, x and max(0, x - c) for each candidate threshold c among the quantiles .15 to .85 of x, in groups of ``least`` rows or more. Gives the
+    candidate of least error among those with ``least_side`` rows on either side (``supported``; among all where none has), beside the straight line: ``baseline_sse`` and
+    ``delta_aic``, the line's n ln(sse / n) + 2 parameters less the bent one's. ``high``, a 0/1 column, adds its rates before and after the threshold and their difference.
 
     Each row is put into the bin between two candidates, and one aggregation of the bins' moments serves all candidates: their sums are those of the bins above."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    flag = F.col(high).cast("double") if high else F.lit(None).cast("double")
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), flag.alias("__high"))
     base = join_small(quantiles(rows, "x", [0.15 + 0.7 * i / (candidates - 1) for i in range(candidates)], by).withColumn("cs", F.array_distinct("q")).drop("q"), rows.groupBy(*by).agg(F.avg("x").alias("mx"), F.avg("y").alias("my")), by)
     below = F.size(F.filter("cs", lambda c: c < F.col("x")))
-    each = join_small(rows, base, by).select(*by, below.alias("__k"), (F.col("x") - F.col("mx")).alias("u"), (F.col("y") - F.col("my")).alias("v"))
-    sums = {"n": F.count("*"), "u": F.sum("u"), "v": F.sum("v"), "uu": F.sum(F.col("u") * F.col("u")), "uv": F.sum(F.col("u") * F.col("v")), "vv": F.sum(F.col("v") * F.col("v"))}
+    each = join_small(rows, base, by).select(*by, below.alias("__k"), (F.col("x") - F.col("mx")).alias("u"), (F.col("y") - F.col("my")).alias("v"), "__high")
+    sums = {"n": F.count("*"), "u": F.sum("u"), "v": F.sum("v"), "uu": F.sum(F.col("u") * F.col("u")), "uv": F.sum(F.col("u") * F.col("v")), "vv": F.sum(F.col("v") * F.col("v")), "flags": F.sum("__high"), "flagged": F.count("__high")}
     bins = each.groupBy(*by, "__k").agg(*[c.alias(f"__{k}") for k, c in sums.items()])
     met = join_small(bins, base, by).select("*", F.posexplode("cs").alias("__i", "c")).withColumn("__d", F.col("c") - F.col("mx"))  # a row a bin and candidate
     m = {k: F.col(f"__{k}") for k in sums}
     d = F.col("__d")
-    after = lambda c: F.sum(F.when(F.col("__k") > F.col("__i"), c).otherwise(0))
+    past = F.col("__k") > F.col("__i")
+    after = lambda c: F.sum(F.when(past, c).otherwise(0))
+    rate = lambda side: F.try_divide(F.sum(F.when(side, m["flags"])), F.sum(F.when(side, m["flagged"])))
     s = met.groupBy(*by, "c", "mx", "my").agg(
         F.sum("__n").alias("n"), after(m["n"]).alias("n_after"), after(m["u"] - m["n"] * d).cast("double").alias("sh"), F.sum("__uu").alias("suu"), after(m["uu"] - d * m["u"]).cast("double").alias("suh"),
         after(m["uu"] - 2 * d * m["u"] + m["n"] * d * d).cast("double").alias("shh"), F.sum("__uv").alias("suv"), after(m["uv"] - d * m["v"]).cast("double").alias("shv"), F.sum("__vv").alias("svv"),
-    )
+        rate(~past).alias("high_before"), rate(past).alias("high_after"),
+    ).where(F.col("n") >= least)
     hh = F.col("shh") - F.col("sh") * F.col("sh") / F.col("n")  # centred h; u and v are centred already
     det = F.col("suu") * hh - F.col("suh") * F.col("suh")
     b = (F.col("suv") * hh - F.col("shv") * F.col("suh")) / det
     d = (F.col("shv") * F.col("suu") - F.col("suv") * F.col("suh")) / det
-    fit = s.where(det > 1e-9 * F.col("suu") * hh).withColumns({"slope_before": b, "bend": d}).withColumn("sse", F.col("svv") - F.col("slope_before") * F.col("suv") - F.col("bend") * F.col("shv"))
-    best = fit.groupBy(*by).agg(F.min_by(F.struct("c", "slope_before", "bend", "sse", "n", "n_after"), F.struct("sse", "c")).alias("b")).where("b is not null").select(*by, "b.*")
-    return best.select(*by, F.col("c").alias("threshold"), "slope_before", (F.col("slope_before") + F.col("bend")).alias("slope_after"), "sse", (F.col("n") - F.col("n_after")).alias("n_before"), "n_after")
+    fit = s.where(det > 1e-9 * F.col("suu") * hh).withColumns({"slope_before": b, "bend": d, "n_before": F.col("n") - F.col("n_after")})
+    sse = F.col("svv") - F.col("slope_before") * F.col("suv") - F.col("bend") * F.col("shv")
+    fit = fit.withColumns({"sse": sse, "baseline_sse": F.col("svv") - F.col("suv") * F.col("suv") / F.col("suu"), "supported": F.least("n_before", "n_after") >= least_side})
+    out = ["c", "slope_before", "bend", "sse", "baseline_sse", "n", "n_before", "n_after", "supported", "high_before", "high_after"]
+    best = fit.groupBy(*by).agg(F.min_by(F.struct(*out), F.struct(~F.col("supported"), "sse", "c")).alias("b")).where("b is not null").select(*by, "b.*")
+    part = lambda c: F.ln(F.greatest(F.col(c) / F.col("n"), F.lit(1e-12)))
+    rates = ["high_before", "high_after", (F.col("high_after") - F.col("high_before")).alias("high_delta")] if high else []
+    return best.select(*by, F.col("c").alias("threshold"), "slope_before", (F.col("slope_before") + F.col("bend")).alias("slope_after"), "sse", "baseline_sse",
+        (F.col("n") * (part("baseline_sse") - part("sse")) - 2).alias("delta_aic"), "n_before", "n_after", "supported", *rates)
 
 
 def bootstrap_thresholds(df: DataFrame, x: str, y: str, rounds: int = 50, seed: int = 0, candidates: int = 21) -> DataFrame:
     """The hinge threshold of ``rounds`` resamples. A row's weight in a resample is a Poisson(1) count drawn from a hash of row and round, so
-    resamples need no passes of their own and reruns agree; rows are repeated by their counts."""
+    resamples need no passes of their own and reruns agree; rows are repeated by their counts. ``df`` needs a column that tells its rows apart, such as an id, as equal
+    rows are drawn alike."""
     rows = df.select(F.xxhash64(*df.columns).alias("__k"), x, y).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
     u = (F.pmod(F.xxhash64("__k", "round", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
     steps, chance, total = [], 0.36787944117144233, 0.0

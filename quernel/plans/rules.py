@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from quernel.functions.bins import qcut, tertile_boundaries
 from quernel.functions.scalars import action_hint, band_position, label_flags
-from quernel.operators.aggregates import best_bin, dose_response, rule_priority, unpivot
+from quernel.operators.aggregates import best_bin, correlations, dose_response, hinge_search, rule_priority, unpivot
 from quernel.operators.joins import rule_matches
-from quernel.operators.series import chronological_split
+from quernel.operators.series import chronological_split, join_small, quantiles
 
 
 def first_match(cases: Sequence[tuple[Column, str]], otherwise: str) -> Column:
@@ -37,6 +37,62 @@ def regime_response(df: DataFrame, features: Sequence[str], dose: str, label: st
     return dose_response(qcut(rows, "dose", bins, ["feature", "regime"]), "bin", "dose", "label", ["feature", "regime"])
 
 
+def pair_rows(df: DataFrame, pairs: Sequence[tuple[str, str]], dose: str, label: str) -> DataFrame:
+    """As ``regime_rows``, with a row for each input row and pair of features: the regime is both features' tertile bins. Rows without one of the two features don't count."""
+    names = sorted({f for p in pairs for f in p})
+    entry = lambda f: F.max(F.when(F.col("feature") == f, F.struct("q33", "q66"))).alias(f"__b_{f}")
+    bounds = tertile_boundaries(df, names).agg(*[entry(f) for f in names])  # one row
+    rows = df.crossJoin(F.broadcast(bounds))
+
+    def level(f: str) -> Column:
+        x, b = F.col(f).cast("double"), F.col(f"__b_{f}")
+        return F.when(x <= b["q33"], "low").when(x <= b["q66"], "mid").when(x.isNotNull(), "high")
+
+    each = [F.struct(F.lit(f"{a}__x__{b}").alias("feature"), F.concat(level(a), F.lit("__x__"), level(b)).alias("regime")) for a, b in pairs]
+    out = rows.select("id", F.explode(F.array(*each)).alias("r"), F.col(dose).cast("double").alias("dose"), F.col(label).cast("double").alias("label")).where("r.regime is not null")
+    return out.select("id", "r.feature", "r.regime", "dose", "label").withColumns(label_flags(F.col("label")))
+
+
+def regime_summary(rows: DataFrame, least: int = 30, candidates: int = 71) -> DataFrame:
+    """A row for each regime of ``regime_rows`` or ``pair_rows`` with ``least`` rows that have dose and label: medians, quartile ranges, rates, rank correlations of the dose with the
+    label and with its high flag, the hinge threshold of regimes of 120 rows or more, and what these support. Correlations and thresholds that can't be had are null."""
+    keys = ["feature", "regime"]
+    rows = rows.where("dose is not null and label is not null")
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("label").alias("label_mean"), *[F.avg(f"y_{k}").alias(f"{k}_rate") for k in ("ok", "high", "low", "out_spec")]).where(F.col("n") >= least)
+    for c in ("dose", "label"):
+        q = quantiles(rows, c, (0.25, 0.5, 0.75), keys)
+        out = join_small(out, q.select(*keys, F.col("q")[1].alias(f"{c}_median"), (F.col("q")[2] - F.col("q")[0]).alias(f"{c}_iqr")), keys)
+    r = correlations(rows, [("dose", "label"), ("dose", "y_high")], "spearman", by=keys)
+    pick = lambda y, name: F.max(F.when(F.col("y") == y, F.col("r"))).alias(name)
+    out = join_small(out, r.groupBy(*keys).agg(pick("label", "spearman_label"), pick("y_high", "spearman_high")), keys, "left")
+    bend = hinge_search(rows, "dose", "label", candidates, keys, high="y_high", least=120)
+    out = join_small(out, bend.select(*keys, "threshold", "slope_before", "slope_after", "delta_aic", "high_before", "high_after", "high_delta"), keys, "left")
+    risk = F.coalesce(F.col("high_delta") >= 0.05, F.lit(False))
+    return out.withColumns({
+        "positive_relation": F.coalesce(F.col("spearman_label") > 0.05, F.lit(False)), "high_dose_risk": risk,
+        "threshold_supported": risk & F.coalesce(F.col("delta_aic") > 2, F.lit(False)), "stable_support": F.col("n") >= 120,
+    })
+
+
+def synthesize(summary: DataFrame) -> DataFrame:
+    """One row: how many regimes of ``regime_summary`` support a positive relation, a risk of high doses and a threshold, how many contradict (120 rows, correlation under -0.05),
+    the type of relation and the next step that follow. Without regimes the support is insufficient."""
+    number = lambda c: F.count(F.when(c, 1))
+    n = summary.agg(
+        F.count("*").alias("regimes"), number(F.col("positive_relation")).alias("positive"), number(F.col("high_dose_risk")).alias("high_dose_risk"), number(F.col("threshold_supported")).alias("threshold"),
+        number((F.col("n") >= 120) & (F.coalesce("spearman_label", F.lit(0.0)) < -0.05)).alias("contradictory"),
+    )
+    none = F.col("regimes") == 0
+    broad = (F.col("threshold") >= 5) & (F.col("positive") >= 10)
+    local = (F.col("high_dose_risk") >= 5) | (F.col("threshold") >= 3)
+    relation = first_match([(none, "insufficient_support"), (broad, "broadly_consistent"), (local, "context_specific")], "weak_or_unstable")
+    step = first_match([
+        (none, "insufficient_data"), (broad, "use_relation_as_supporting_evidence_for_safe_band"), (local, "investigate_context_specific_thresholds"),
+        (F.col("positive") >= 5, "update_manual_review_explanation_with_high_calcium_risk"),
+    ], "relation_weak_keep_safe_band_empirical")
+    return n.withColumns({"relation_type": relation, "next_step": step})
+
+
 ACCEPTED, MONITORED, REJECTED = "accept_for_manual_case_review", "monitor_only", "reject"
 
 

@@ -493,9 +493,31 @@ def ag23_longest_run(spark, sf_dir):
     return W.longest_true_run(table(spark, sf_dir, "events").withColumn("flag", F.col("value") > 10), ["user_id"], ["ts", "event_id"], "flag")
 
 
-@query()
+def hinge_sql(source: str, keys: str, candidates: int, least: int) -> str:
+    """CTEs ``cand`` to ``hinge``: the best bent line of each group of ``source`` (keys, x, y, y_high), by the normal equations of each candidate over all rows."""
+    at = ", ".join(repr(0.15 + 0.7 * i / (candidates - 1)) for i in range(candidates))
+    return f"""quant AS (SELECT {keys}, list_distinct(quantile_cont(x, [{at}])) AS cs FROM {source} GROUP BY ALL), cand AS (SELECT {keys}, unnest(cs) AS c FROM quant),
+mid AS (SELECT {keys}, avg(x) AS mx, avg(y) AS my FROM {source} GROUP BY ALL),
+met AS (SELECT {keys}, c, x, y_high, x - mx AS u, y - my AS v, greatest(x - c, 0) AS h FROM {source} JOIN cand USING ({keys}) JOIN mid USING ({keys})),
+mom AS (SELECT {keys}, c, count(*) AS n, count(*) FILTER (x <= c) AS n_before, count(*) FILTER (x > c) AS n_after, avg(y_high) FILTER (x <= c) AS high_before, avg(y_high) FILTER (x > c) AS high_after,
+ sum(u * u) AS suu, sum(u * v) AS suv, sum(v * v) AS svv, sum(u * h) AS suh, sum(v * h) AS shv, sum(h * h) - sum(h) * sum(h) / count(*) AS hh FROM met GROUP BY ALL HAVING count(*) >= {least}),
+fits AS (SELECT *, (suv * hh - shv * suh) / (suu * hh - suh * suh) AS slope_before, (shv * suu - suv * suh) / (suu * hh - suh * suh) AS bend FROM mom WHERE suu * hh - suh * suh > 1e-9 * suu * hh),
+errs AS (SELECT *, svv - slope_before * suv - bend * shv AS sse, svv - suv * suv / suu AS baseline_sse, least(n_before, n_after) >= 30 AS supported FROM fits),
+hinge AS (SELECT {keys}, c AS threshold, slope_before, slope_before + bend AS slope_after, sse, baseline_sse, n * (ln(greatest(baseline_sse / n, 1e-12)) - ln(greatest(sse / n, 1e-12))) - 2 AS delta_aic,
+ n_before, n_after, supported, high_before, high_after, high_after - high_before AS high_delta FROM errs QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY NOT supported, sse, c) = 1)"""
+
+
+HINGE_COLUMNS = ", ".join(f"round({c}, 6) AS {c}" for c in ("threshold", "slope_before", "slope_after", "sse", "baseline_sse", "delta_aic", "high_before", "high_after", "high_delta")) + ", n_before, n_after, supported"
+
+
+def in_units(df: DataFrame) -> DataFrame:
+    """Doses in hundreds of thousands, so that slopes have digits."""
+    return df.withColumn("dose", F.col("dose").cast("double") / 100_000)
+
+
+@query(f"WITH {SAMPLES}, src AS (SELECT regime, dose::DOUBLE / 100000 AS x, label AS y, y_high FROM samples), {hinge_sql('src', 'regime', 51, 50)} SELECT regime, {HINGE_COLUMNS} FROM hinge")
 def ag24_hinge_search(spark, sf_dir):
-    return rounded(A.hinge_search(samples(spark, sf_dir), "dose", "label", 51, ["regime"]))
+    return rounded(A.hinge_search(in_units(samples(spark, sf_dir)), "dose", "label", 51, ["regime"], high="y_high"))
 
 
 @query()

@@ -11,7 +11,7 @@ from quernel.operators import aggregates as A
 from quernel.operators import series as W
 from quernel.operators import text as X
 from quernel.plans import clean, features, policy, rules, validation
-from quernel.queries import HOURLY, SAMPLES, TAGS, hourly, query, r6, rounded, samples, table
+from quernel.queries import HINGE_COLUMNS, HOURLY, SAMPLES, TAGS, hinge_sql, hourly, in_units, query, r6, rounded, samples, table
 from quernel.sources import shared, sinks, tables
 
 
@@ -325,10 +325,45 @@ def dom01_regime_response(spark, sf_dir):
     return rounded(rules.regime_response(samples(spark, sf_dir), ["f1", "f2"], "dose", "label"))
 
 
-@query()
+REGIMES = f"""{SAMPLES}, long AS (SELECT id, 'f1' AS feature, f1::DOUBLE AS v FROM samples UNION ALL SELECT id, 'f2', f2 FROM samples), bounds AS (SELECT feature, quantile_cont(v, [1/3::DOUBLE, 2/3::DOUBLE]) AS q FROM long GROUP BY 1),
+lev AS (SELECT id, feature, CASE WHEN v <= q[1] THEN 'low' WHEN v <= q[2] THEN 'mid' ELSE 'high' END AS regime FROM long JOIN bounds USING (feature)), val AS (SELECT id, dose::DOUBLE / 100000 AS x, label AS y, y_ok, y_high, y_low, y_out_spec FROM samples),
+one AS (SELECT feature, lev.regime, val.* FROM lev JOIN val USING (id)), two AS (SELECT 'f1__x__f2' AS feature, a.regime || '__x__' || b.regime AS regime, val.* FROM lev a JOIN lev b USING (id) JOIN val USING (id) WHERE a.feature = 'f1' AND b.feature = 'f2')"""
+KEYS = "feature, regime"
+
+
+def summary_sql(source: str, least: int) -> str:
+    rank = lambda c: f"rank() OVER (PARTITION BY {KEYS} ORDER BY {c}) + (count(*) OVER (PARTITION BY {KEYS}, {c}) - 1) / 2"
+    return f"""{hinge_sql(source, KEYS, 71, 120)}, ranked AS (SELECT *, {rank('x')} AS rx, {rank('y')} AS ry, {rank('y_high')} AS rh FROM {source}),
+base AS (SELECT {KEYS}, count(*) AS n, avg(y) AS label_mean, avg(y_ok) AS ok_rate, avg(y_high) AS high_rate, avg(y_low) AS low_rate, avg(y_out_spec) AS out_spec_rate, quantile_cont(x, 0.5) AS dose_median,
+ quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS dose_iqr, quantile_cont(y, 0.5) AS label_median, quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS label_iqr, corr(rx, ry) AS spearman_label, corr(rx, rh) AS spearman_high
+ FROM ranked GROUP BY ALL HAVING count(*) >= {least}),
+summary AS (SELECT *, coalesce(spearman_label > 0.05, false) AS positive_relation, coalesce(high_delta >= 0.05, false) AS high_dose_risk, coalesce(high_delta >= 0.05 AND delta_aic > 2, false) AS threshold_supported, n >= 120 AS stable_support
+ FROM base LEFT JOIN (SELECT {KEYS}, threshold, slope_before, slope_after, delta_aic, high_before, high_after, high_delta FROM hinge) USING ({KEYS}))"""
+
+
+SUMMARY_COLUMNS = ", ".join(
+    f"round({c}, 6) AS {c}" for c in ("label_mean", "ok_rate", "high_rate", "low_rate", "out_spec_rate", "dose_median", "dose_iqr", "label_median", "label_iqr", "spearman_label", "spearman_high", "threshold", "slope_before", "slope_after", "delta_aic", "high_before", "high_after", "high_delta")
+) + f", {KEYS}, n, positive_relation, high_dose_risk, threshold_supported, stable_support"
+
+
+@query(f"WITH {REGIMES}, {hinge_sql('one', KEYS, 31, 50)} SELECT {KEYS}, {HINGE_COLUMNS} FROM hinge")
 def dom02_regime_thresholds(spark, sf_dir):
-    rows = rules.regime_rows(samples(spark, sf_dir), ["f1", "f2"], "dose", "label")
-    return rounded(A.hinge_search(rows, "dose", "label", 31, ["feature", "regime"]))
+    rows = rules.regime_rows(in_units(samples(spark, sf_dir)), ["f1", "f2"], "dose", "label")
+    return rounded(A.hinge_search(rows, "dose", "label", 31, ["feature", "regime"], high="y_high"))
+
+
+@query(f"WITH {REGIMES}, {summary_sql('two', 100)} SELECT {SUMMARY_COLUMNS} FROM summary")
+def dom02_pair_regimes(spark, sf_dir):
+    return rounded(rules.regime_summary(rules.pair_rows(in_units(samples(spark, sf_dir)), [("f1", "f2")], "dose", "label"), 100))
+
+
+@query(f"""WITH {REGIMES}, {summary_sql('one', 30)}, c AS (SELECT count(*) AS regimes, count(*) FILTER (positive_relation) AS positive, count(*) FILTER (high_dose_risk) AS high_dose_risk, count(*) FILTER (threshold_supported) AS threshold,
+count(*) FILTER (n >= 120 AND coalesce(spearman_label, 0) < -0.05) AS contradictory FROM summary), k AS (SELECT *, threshold >= 5 AND positive >= 10 AS broad, high_dose_risk >= 5 OR threshold >= 3 AS local FROM c)
+SELECT regimes, positive, high_dose_risk, threshold, contradictory, CASE WHEN regimes = 0 THEN 'insufficient_support' WHEN broad THEN 'broadly_consistent' WHEN local THEN 'context_specific' ELSE 'weak_or_unstable' END AS relation_type,
+CASE WHEN regimes = 0 THEN 'insufficient_data' WHEN broad THEN 'use_relation_as_supporting_evidence_for_safe_band' WHEN local THEN 'investigate_context_specific_thresholds'
+WHEN positive >= 5 THEN 'update_manual_review_explanation_with_high_calcium_risk' ELSE 'relation_weak_keep_safe_band_empirical' END AS next_step FROM k""")
+def dom02_synthesis(spark, sf_dir):
+    return rules.synthesize(rules.regime_summary(rules.regime_rows(in_units(samples(spark, sf_dir)), ["f1", "f2"], "dose", "label")))
 
 
 # --- models -------------------------------------------------------------------------------------------------------------------

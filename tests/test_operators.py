@@ -98,6 +98,21 @@ def test_hinge_search_finds_a_bend(spark):
     df = spark.createDataFrame([(float(i), 1.0 * i if i <= 50 else 50.0 + 3.0 * (i - 50)) for i in range(101)], "x double, y double")
     r = aggregates.hinge_search(df, "x", "y", 71).first()
     assert abs(r["threshold"] - 50) < 1 and abs(r["slope_before"] - 1) < 0.05 and abs(r["slope_after"] - 3) < 0.05
+    assert (r["n_before"], r["n_after"], r["supported"]) == (51, 50, True) and r["baseline_sse"] > 1000 and r["delta_aic"] > 100
+    flagged = df.withColumn("high", (F.col("x") > 50).cast("int"))
+    r = aggregates.hinge_search(flagged, "x", "y", 71, high="high").first()
+    assert (r["high_before"], r["high_after"], r["high_delta"]) == (0.0, 1.0, 1.0)
+    assert aggregates.hinge_search(df.where("x < 40"), "x", "y").count() == 0  # under 50 rows
+
+
+def test_pair_regimes_and_synthesis(spark):
+    rows = spark.createDataFrame([(i, float(i % 3), float(i // 100), float(i), 8.0 + i / 300) for i in range(300)], "id int, a double, b double, dose double, label double")
+    pairs = rules.pair_rows(rows, [("a", "b")], "dose", "label")
+    assert {r["regime"] for r in pairs.collect()} == {f"{x}__x__{y}" for x in ("low", "mid", "high") for y in ("low", "mid", "high")}
+    summary = rules.regime_summary(rules.regime_rows(rows, ["a"], "dose", "label"), 30)
+    got = summary.collect()
+    assert len(got) == 3 and all(r["n"] == 100 and abs(r["spearman_label"] - 1) < 1e-9 and r["threshold"] is None and not r["stable_support"] for r in got)
+    assert (rules.synthesize(summary).first()["relation_type"], rules.synthesize(summary.limit(0)).first()["relation_type"]) == ("weak_or_unstable", "insufficient_support")
 
 
 def test_average_precision_counts_steps(spark):
