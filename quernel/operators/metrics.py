@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.operators.series import value_ranks
@@ -73,6 +73,37 @@ def cluster_quality(df: DataFrame, cluster: str, features: Sequence[str]) -> Dat
     return ch.crossJoin(db)
 
 
+def silhouette(df: DataFrame, cluster: str, features: Sequence[str]) -> DataFrame:
+    """One row: mean silhouette of squared distances, and the least and largest number of rows in a cluster. The mean squared distance of a row to a cluster follows from the cluster's
+    mean and mean square, so no pairs of rows are formed. Rows with a null feature don't count; the silhouette is null for one cluster, or where a cluster has one row."""
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    rows = df.where(F.lit(True) if not features else ~F.exists(x, lambda v: v.isNull())).select(F.col(cluster).alias("c"), x.alias("x"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    means = [F.avg(F.col("x")[i]) for i in range(len(features))]
+    shift = rows.agg(F.array(*means).alias("g"))  # one row; centred rows keep their digits
+    rows = rows.crossJoin(F.broadcast(shift)).select("c", F.zip_with("x", "g", lambda p, q: p - q).alias("x"))
+    each = rows.groupBy("c").agg(F.count("*").cast("double").alias("n"), F.array(*means).alias("m"), F.avg(dot(F.col("x"), F.col("x"))).alias("q"))
+    side = each.agg(F.collect_list(F.struct("c", "n", "m", "q")).alias("cs"), F.min("n").cast("long").alias("min_size"), F.max("n").cast("long").alias("max_size"))  # one row, of the clusters
+    far = lambda k: dot(F.col("x"), F.col("x")) - 2 * dot(F.col("x"), k["m"]) + k["q"]
+    met = rows.crossJoin(F.broadcast(side)).select(
+        F.element_at(F.transform(F.filter("cs", lambda k: k["c"].eqNullSafe(F.col("c"))), lambda k: far(k) * k["n"] / (k["n"] - 1)), 1).alias("a"),
+        F.array_min(F.transform(F.filter("cs", lambda k: ~k["c"].eqNullSafe(F.col("c"))), far)).alias("b"),
+    )
+    mean = met.agg(F.avg(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))).alias("silhouette"))
+    fine = (F.size("cs") > 1) & (F.col("min_size") > 1)
+    return mean.crossJoin(F.broadcast(side)).select(F.when(fine, F.col("silhouette")).alias("silhouette"), "min_size", "max_size")
+
+
+def choose_clustering(sweep: DataFrame) -> DataFrame:
+    """The row of ``ml.sweep_clusters`` (one a kind and k) that passes the gates of size, stability, separation of the labels and silhouette, and has the best sum of ranks; no row where none passes."""
+    apart = (F.col("label_range") >= 0.05) | (F.col("high_range") >= 0.05)
+    usable = sweep.where(~F.col("tiny") & (F.col("stability") >= 0.7) & apart & (F.col("silhouette") > 0.03))
+    # average ranks as shares, over the few rows of the sweep
+    share = lambda c: (F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2) / F.count("*").over(Window.partitionBy())
+    score = share("silhouette") + share("stability") + share("high_range") + share("label_range") - share("davies_bouldin")
+    return usable.withColumn("score", score).orderBy(F.desc("score"), F.desc("silhouette"), "kind", "k").limit(1)
+
+
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     """Agreement of two clusterings of the same rows, from their contingency counts."""
     def pairs(c: Column) -> Column:

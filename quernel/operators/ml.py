@@ -14,8 +14,10 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernel.functions.scalars import label_flags
 from quernel.operators.aggregates import correlations, unpivot
 from quernel.operators.series import quantiles
+from quernel.sources.shared import materialize
 
 
 def _prepare(features: Sequence[str]) -> list:
@@ -104,6 +106,44 @@ def cluster(df: DataFrame, features: Sequence[str], k: int, kind: str = "kmeans"
     return Pipeline(stages=stages).fit(df).transform(df).select(*df.columns, "cluster")
 
 
+def sweep_clusters(df: DataFrame, features: Sequence[str], label: str, ks: Sequence[int] = range(2, 11), seeds: Sequence[int] = (0, 1, 2, 3, 4), kinds: Sequence[str] = ("kmeans", "mixture", "bisecting")) -> DataFrame:
+    """A row for each kind and number of clusters: agreement of the seeds' assignments (``stability``, 1 for one seed), size gate (``tiny``: a cluster of some seed under 30 rows or 5 % of
+    all), means over the seeds of silhouette, Calinski-Harabasz, Davies-Bouldin, and of the ranges over clusters of the label's mean and its high and ok rates. Metrics are of standardised features,
+    missing ones filled by medians; assignments are written once for each kind and k."""
+    from quernel.operators.metrics import adjusted_rand, cluster_quality, silhouette
+
+    scaled = Pipeline(stages=[*_prepare(features), StandardScaler(inputCol="__x", outputCol="__z", withMean=True)]).fit(df).transform(df)
+    z = [f"__z{i}" for i in range(len(features))]
+    base = scaled.withColumn("__a", vector_to_array("__z")).select(F.col(label).cast("double").alias("__label"), *[F.col("__a")[i].alias(c) for i, c in enumerate(z)])
+    base = materialize(base.withColumns(label_flags(F.col("__label"))), "sweep-rows")
+    out = None
+    for kind in kinds:
+        for k in ks:
+            rows = base
+            for s in seeds:
+                rows = cluster(rows, z, k, kind, s).withColumnRenamed("cluster", f"__c{s}")
+            rows = materialize(rows, "sweep-clusters")
+            parts = []
+            for s in seeds:
+                per = rows.groupBy(f"__c{s}").agg(F.avg("__label").alias("m"), F.avg("y_high").alias("h"), F.avg("y_ok").alias("o"))
+                spread = per.agg(*[(F.max(c) - F.min(c)).alias(f"{name}_range") for c, name in (("m", "label"), ("h", "high"), ("o", "ok"))])
+                parts.append(silhouette(rows, f"__c{s}", z).crossJoin(cluster_quality(rows, f"__c{s}", z)).crossJoin(spread))  # each has one row
+            each = parts[0]
+            for p in parts[1:]:
+                each = each.unionByName(p)
+            row = each.agg(F.min("min_size").alias("min_size"), *[F.avg(c).alias(c) for c in each.columns if c not in ("min_size", "max_size")], F.avg(F.col("max_size") / F.col("min_size")).alias("imbalance"))
+            agreements = None
+            for i, s in enumerate(seeds):
+                for t in seeds[i + 1 :]:
+                    r = adjusted_rand(rows, f"__c{s}", f"__c{t}")
+                    agreements = r if agreements is None else agreements.unionByName(r)
+            row = row.crossJoin(agreements.agg(F.avg("ari").alias("stability"))) if agreements is not None else row.withColumn("stability", F.lit(1.0))
+            row = row.crossJoin(rows.agg(F.greatest(F.lit(30), F.floor(F.count("*") * 0.05)).alias("__least"))).withColumn("tiny", F.col("min_size") < F.col("__least")).drop("__least")
+            row = materialize(row.select(F.lit(kind).alias("kind"), F.lit(k).alias("k"), "*"), "sweep-metrics")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
 def incremental_value(train: DataFrame, test: DataFrame, base: Sequence[str], extra: Sequence[str], target: str) -> DataFrame:
     """Ranking metrics on the test rows of a screen with and without each extra feature: one logistic fit a feature."""
     from quernel.operators.metrics import ranking_metrics

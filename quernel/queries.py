@@ -672,6 +672,21 @@ def ml09_cluster_quality(spark, sf_dir):
     return q.select(r6("calinski_harabasz").alias("calinski_harabasz"), F.round("davies_bouldin", 4).alias("davies_bouldin"))
 
 
+@query(f"""WITH {SAMPLES}, c AS (SELECT regime, count(*) AS n, avg(f1) AS a, avg(f2) AS b, avg(f1 * f1 + f2 * f2) AS q FROM samples GROUP BY 1),
+d AS (SELECT id, samples.regime = c.regime AS own, n, f1 * f1 + f2 * f2 - 2 * (f1 * a + f2 * b) + q AS d FROM samples, c),
+s AS (SELECT id, max(d * n / (n - 1)) FILTER (own) AS a, min(d) FILTER (NOT own) AS b FROM d GROUP BY 1)
+SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette, (SELECT min(n) FROM c) AS min_size, (SELECT max(n) FROM c) AS max_size FROM s""")
+def ml09_silhouette(spark, sf_dir):
+    return rounded(M.silhouette(samples(spark, sf_dir), "regime", ["f1", "f2"]))
+
+
+@query()
+def ml08_sweep(spark, sf_dir):
+    from quernel.operators import ml
+
+    return ml.sweep_clusters(samples(spark, sf_dir), ["f1", "f2", "dose"], "label", ks=(2, 3), seeds=(0, 1), kinds=("kmeans",))
+
+
 @query()
 def ml01_boosted_trees(spark, sf_dir):
     from quernel.operators import ml

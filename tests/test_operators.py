@@ -218,3 +218,21 @@ def test_empty_tables(spark):
     assert series.range_frame(e, [], "ts", 60, {"s": F.sum("v")}).count() == 0
     assert joins.asof(e, e.select("ts", F.col("v").alias("w")), [], "ts", "ts", ["w"], 60).count() == 0
     assert aggregates.hinge_search(e.withColumn("y", F.col("v")), "v", "y").count() == 0
+
+
+def test_silhouette_equals_brute_force_and_the_choice_passes_gates(spark):
+    points = [(i % 3, float(i % 3) * 4 + (i * 7 % 5), float(i * 3 % 7)) for i in range(30)]
+    df = spark.createDataFrame(points, "c int, a double, b double")
+    far = lambda p, q: (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2
+    total = 0.0
+    for i, p in enumerate(points):
+        mean = {c: [far(p, q) for j, q in enumerate(points) if q[0] == c and j != i] for c in range(3)}
+        mean = {c: sum(v) / len(v) for c, v in mean.items()}
+        own, other = mean[p[0]], min(v for c, v in mean.items() if c != p[0])
+        total += (other - own) / max(own, other)
+    r = metrics.silhouette(df, "c", ["a", "b"]).first()
+    assert abs(r["silhouette"] - total / 30) < 1e-9 and (r["min_size"], r["max_size"]) == (10, 10)
+    assert metrics.silhouette(df.where("c = 0"), "c", ["a", "b"]).first()["silhouette"] is None
+    sweep = spark.createDataFrame([("kmeans", k, k == 4, s, 0.1, 0.0, h, 1.0) for k, s, h in ((2, 0.9, 0.3), (3, 0.95, 0.4), (4, 0.99, 0.9), (5, 0.5, 0.9))],
+                                  "kind string, k int, tiny boolean, stability double, label_range double, high_range double, silhouette double, davies_bouldin double")
+    assert metrics.choose_clustering(sweep).first()["k"] == 3 and metrics.choose_clustering(sweep.where("k > 3")).count() == 0
