@@ -1,4 +1,5 @@
-"""Windows over time series. Range frames cut a long series into time buckets with a halo, and ranks and splits take many tasks; windows of rows run inside a key, so\ntheir keys should part a long series."""
+"""Windows over time series. Range frames cut a long series into time buckets with a halo, frames of rows into blocks of numbered rows with one; gaps and runs carry over the
+blocks' edges. So a key may hold any number of rows. ``average_rank`` and ``percent_rank`` are plain windows for small groups; ``value_ranks`` ranks long ones."""
 
 from __future__ import annotations
 
@@ -29,9 +30,38 @@ def range_frame(df: DataFrame, keys: Sequence[str], ts: str, before_s: float, ag
     return rows.withColumns({name: agg.over(w) for name, agg in aggregates.items()}).where("own").drop("bucket", "own", "__us")
 
 
+#: Rows of a key that one task works on at a time.
+BLOCK_ROWS = 100_000
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds ``__i``: the row's number in its key, from 1, null times first. The first column of ``order`` is a number, a date or a time; the others settle its ties. Numbers come from
+    the times' ranks (``value_ranks``) in many tasks; one window runs over the rows of one time."""
+    ts, *ties = order
+    ranks = value_ranks(df, ts, keys).select(*keys, ts, F.col("before").alias("__before"))
+    nulls = df.groupBy(*keys).agg(F.count(F.when(F.col(ts).isNull(), 1)).alias("__nulls"))
+    inner = Window.partitionBy(*keys, ts).orderBy(*ties or [F.lit(0)])
+    out = join_small(join_small(df.withColumn("__rn", F.row_number().over(inner)), ranks, [*keys, ts], "left"), nulls, keys)
+    return out.select(*df.columns, (F.col("__rn") + F.coalesce(F.col("__before") + F.col("__nulls"), F.lit(0))).alias("__i"))
+
+
+def row_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], before: int = 0, after: int = 0) -> DataFrame:
+    """Each row in its block (``__own``) and, as a copy, in the blocks whose frames reach it: ``__i``, ``__block``, ``__own``. A frame of ``before`` rows back and ``after`` ahead is
+    whole inside a block for its own rows."""
+    width = max(BLOCK_ROWS, 4 * (before + after))
+    block = lambda i: F.floor(i / width).cast("bigint")
+    i = F.col("__i") - 1
+    rows = numbered(df, keys, order)
+    if before or after:
+        rows = rows.withColumn("__block", F.explode(F.sequence(F.greatest(block(i - after), F.lit(0).cast("bigint")), block(i + before))))
+    else:
+        rows = rows.withColumn("__block", block(i))
+    return rows.withColumn("__own", F.col("__block") == block(i))
+
+
 def rolling_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int, prefix: str, least: int | None = None) -> DataFrame:
     """Mean, deviation, extremes, range, last value and slope of the last ``n`` rows of each key; null below ``least`` values."""
-    whole = Window.partitionBy(*keys).orderBy(*order)
+    whole = Window.partitionBy(*keys, "__block").orderBy("__i")
     w = whole.rowsBetween(-(n - 1), 0)
     need = least or max(2, n // 3)
     v = F.col(value)
@@ -40,56 +70,67 @@ def rolling_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
         "mean": F.avg(v).over(w), "std": F.stddev_samp(v).over(w), "min": F.min(v).over(w), "max": F.max(v).over(w),
         "range": F.max(v).over(w) - F.min(v).over(w), "last": v, "slope": (v - F.lag(v, n - 1).over(whole)) / (n - 1),
     }
-    return df.withColumns({f"{prefix}_{k}": F.when(enough, c) for k, c in out.items()})
+    rows = row_blocks(df, keys, order, before=n - 1)
+    return rows.withColumns({f"{prefix}_{k}": F.when(enough, c) for k, c in out.items()}).where("__own").drop("__i", "__block", "__own")
 
 
 def rolling_slope(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int, out: str = "slope") -> DataFrame:
     """Least-squares slope of the value on its row number over the last ``n`` rows."""
-    whole = Window.partitionBy(*keys).orderBy(*order)
-    numbered = df.withColumn("__i", F.row_number().over(whole))
-    return numbered.withColumn(out, F.regr_slope(value, "__i").over(whole.rowsBetween(-(n - 1), 0))).drop("__i")
+    w = Window.partitionBy(*keys, "__block").orderBy("__i").rowsBetween(-(n - 1), 0)
+    rows = row_blocks(df, keys, order, before=n - 1)
+    return rows.withColumn(out, F.regr_slope(value, "__i").over(w)).where("__own").drop("__i", "__block", "__own")
 
 
 def spikes(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, window: int = 11, sigma: float = 8.0) -> DataFrame:
     """Adds ``is_spike``: a value further from the centred median than the threshold, while the rows before and after it lie within the threshold of that median.
 
     The threshold is ``sigma`` robust deviations (1.4826 times the centred median of the distances), but at least three times the 99.9% quantile of the series' steps and 5% of its
-    range between the 1% and 99% quantiles. Median and deviation need max(5, window // 2) values; a deviation of 0 flags nothing. Windows of rows
-    run inside each key, so ``keys`` should part a long series.
+    range between the 1% and 99% quantiles. Median and deviation need max(5, window // 2) values; a deviation of 0 flags nothing.
     """
     half, least = window // 2, max(5, window // 2)
-    whole = Window.partitionBy(*keys).orderBy(*order)
-    w = whole.rowsBetween(-half, window - 1 - half)
+    rest = window - 1 - half
+    whole = Window.partitionBy(*keys, "__block").orderBy("__i")
+    w = whole.rowsBetween(-half, rest)
     v = F.col(value)
 
     def median(c: str) -> Column:
         return F.when(F.count(c).over(w) >= least, F.percentile(c, F.lit(0.5)).over(w))
 
-    rows = df.withColumns({"__before": F.lag(v).over(whole), "__after": F.lead(v).over(whole)})
-    step = F.abs(v - F.col("__before"))
-    floors = join_small(quantiles(df, value, (0.01, 0.99), keys, "__q"), quantiles(rows.withColumn("__step", step), "__step", (0.999,), keys, "__s"), keys, "left").withColumn("__s", F.col("__s")[0])
+    blocks = materialize(row_blocks(df, keys, order, before=max(2 * half, 1), after=max(2 * rest, 1)), "series-blocks")  # the frame of a frame; read twice
+    rows = blocks.withColumns({"__before": F.lag(v).over(whole), "__after": F.lead(v).over(whole)})
+    steps = rows.where("__own").withColumn("__step", F.abs(v - F.col("__before")))
+    floors = join_small(quantiles(df, value, (0.01, 0.99), keys, "__q"), quantiles(steps, "__step", (0.999,), keys, "__s"), keys, "left").withColumn("__s", F.col("__s")[0])
     floors = floors.select(*keys, F.greatest(3 * F.coalesce("__s", F.lit(0.0)), 0.05 * (F.col("__q")[1] - F.col("__q")[0]), F.lit(0.0)).alias("__floor"))
     out = rows.withColumn("__m", median(value)).withColumn("__d", F.abs(v - F.col("__m")))
-    out = out.withColumn("__s", 1.4826 * median("__d"))
+    out = out.withColumn("__s", 1.4826 * median("__d")).where("__own")
     out = join_small(out, floors, keys, "left")
     limit = F.greatest(sigma * F.col("__s"), F.col("__floor"))
     near = (F.abs(F.col("__before") - F.col("__m")) <= limit) & (F.abs(F.col("__after") - F.col("__m")) <= limit)
-    return out.withColumn("is_spike", F.coalesce((F.col("__s") > 0) & (F.col("__d") > limit) & near, F.lit(False))).drop("__d", "__m", "__s", "__floor", "__before", "__after")
+    return out.select(*df.columns, F.coalesce((F.col("__s") > 0) & (F.col("__d") > limit) & near, F.lit(False)).alias("is_spike"))
 
 
 def interpolate(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, limit: int = 5) -> DataFrame:
-    """Fills at most the first ``limit`` rows of each inner gap on the line between its neighbours, by row number."""
-    whole = Window.partitionBy(*keys).orderBy(*order)
-    seen = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col("__i").alias("i")))
-    out = df.withColumn("__i", F.row_number().over(whole))
+    """Fills at most the first ``limit`` rows of each inner gap on the line between its neighbours, by row number. Each block's first and last values are carried to the
+    blocks beside it, over empty ones too."""
+    whole = Window.partitionBy(*keys, "__block").orderBy("__i")
+    seen = F.when(F.col(value).isNotNull(), F.struct(F.col("__i").alias("i"), F.col(value).alias("v")))
+    rows = materialize(row_blocks(df, keys, order), "series-blocks")  # read twice
+    by_block = Window.partitionBy(*keys).orderBy("__block")
+    ends = rows.groupBy(*keys, "__block").agg(F.max(seen).alias("__last"), F.min(seen).alias("__first"))
+    ends = ends.select(
+        *keys, "__block",
+        F.last("__last", ignorenulls=True).over(by_block.rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"),
+        F.first("__first", ignorenulls=True).over(by_block.rowsBetween(1, Window.unboundedFollowing)).alias("__later"),
+    )
+    out = join_small(rows, ends, [*keys, "__block"])
     out = out.withColumns({
-        "__p": F.last(seen, ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, 0)),
-        "__n": F.first(seen, ignorenulls=True).over(whole.rowsBetween(0, Window.unboundedFollowing)),
+        "__p": F.coalesce(F.last(seen, ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, 0)), F.col("__earlier")),
+        "__n": F.coalesce(F.first(seen, ignorenulls=True).over(whole.rowsBetween(0, Window.unboundedFollowing)), F.col("__later")),
     })
     p, n, i = F.col("__p"), F.col("__n"), F.col("__i")
     line = p["v"] + (n["v"] - p["v"]) * (i - p["i"]) / (n["i"] - p["i"])
     fill = F.when(p.isNotNull() & n.isNotNull() & (i - p["i"] <= limit), line)
-    return out.withColumn(value, F.coalesce(F.col(value), fill)).drop("__i", "__p", "__n")
+    return out.withColumn(value, F.coalesce(F.col(value), fill)).select(*df.columns)
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -104,17 +145,23 @@ def last_value(value: str, order: Column) -> Column:
 
 
 def longest_true_run(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str) -> DataFrame:
-    """Length of the longest run of true rows of each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    f = F.coalesce(F.col(flag), F.lit(False))
-    runs = df.withColumn("__run", F.row_number().over(w) - F.sum(f.cast("int")).over(w)).where(f).groupBy(*keys, "__run").count()
-    return df.select(*keys).distinct().join(runs.groupBy(*keys).agg(F.max("count").alias("n")), list(keys), "left").select(*keys, F.coalesce("n", F.lit(0)).alias("longest_run"))
+    """Length of the longest run of true rows of each key. True rows are counted in each block, and the blocks' counts are summed apart, so a run goes on over the edges."""
+    rows = materialize(row_blocks(df.select(*dict.fromkeys([*keys, *order]), F.coalesce(F.col(flag), F.lit(False)).alias("__flag")), keys, order), "series-blocks")  # read twice
+    true = F.sum(F.col("__flag").cast("int"))
+    by_block = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "__block").agg(true.alias("__true")).select(*keys, "__block", F.coalesce(F.sum("__true").over(by_block), F.lit(0)).alias("__earlier"))
+    so_far = true.over(Window.partitionBy(*keys, "__block").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0))
+    runs = join_small(rows.withColumn("__so_far", so_far), totals, [*keys, "__block"]).where("__flag")
+    runs = runs.groupBy(*keys, (F.col("__i") - F.col("__so_far") - F.col("__earlier")).alias("__run")).count()
+    longest = runs.groupBy(*keys).agg(F.max("count").alias("__n"))
+    return join_small(df.select(*keys).distinct() if keys else df.agg(F.count("*")), longest, keys, "left").select(*keys, F.coalesce("__n", F.lit(0)).alias("longest_run"))
 
 
 def near_flagged(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, n: int = 3) -> DataFrame:
     """Rows within ``n`` rows of a flagged one."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, n)
-    return df.withColumn("__near", F.max(flag.cast("int")).over(w)).where("__near = 1").drop("__near")
+    w = Window.partitionBy(*keys, "__block").orderBy("__i").rowsBetween(-n, n)
+    rows = row_blocks(df, keys, order, n, n).withColumn("__near", F.max(flag.cast("int")).over(w))
+    return rows.where("__own and __near = 1").drop("__near", "__i", "__block", "__own")
 
 
 def average_rank(value: str, keys: Sequence[str] = ()) -> Column:

@@ -236,3 +236,67 @@ def test_silhouette_equals_brute_force_and_the_choice_passes_gates(spark):
     sweep = spark.createDataFrame([("kmeans", k, k == 4, s, 0.1, 0.0, h, 1.0) for k, s, h in ((2, 0.9, 0.3), (3, 0.95, 0.4), (4, 0.99, 0.9), (5, 0.5, 0.9))],
                                   "kind string, k int, tiny boolean, stability double, label_range double, high_range double, silhouette double, davies_bouldin double")
     assert metrics.choose_clustering(sweep).first()["k"] == 3 and metrics.choose_clustering(sweep.where("k > 3")).count() == 0
+
+
+def test_frames_of_rows_over_the_edges_of_blocks(spark, monkeypatch):
+    import math
+    import random
+    import statistics
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    rows = [(k, None if i == 3 and k == "a" else i // 2, i, None if rng.random() < 0.4 else float(rng.randint(0, 50)), "x") for k in ("a", None) for i in range(83)]
+    df = spark.createDataFrame(rows, "k string, t int, i int, v double, extra string").repartition(5)
+    monkeypatch.setattr(series, "BLOCK_ROWS", 7)
+    by_key = {k: sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2])) for k in ("a", None)}
+
+    def result(out, name):
+        assert out.columns[: len(df.columns)] == df.columns
+        return {(r["k"], r["i"]): r[name] for r in out.collect()}
+
+    def expected(f):
+        return {(k, s[p][2]): f([r[3] for r in s], p) for k, s in by_key.items() for p in range(len(s))}
+
+    def filled(v, p):
+        if v[p] is not None:
+            return v[p]
+        a = next((q for q in range(p, -1, -1) if v[q] is not None), None)
+        b = next((q for q in range(p, len(v)) if v[q] is not None), None)
+        return None if a is None or b is None or p - a > 2 else v[a] + (v[b] - v[a]) * (p - a) / (b - a)
+
+    def mean(v, p):
+        known = [x for x in v[max(0, p - 4) : p + 1] if x is not None]
+        return sum(known) / len(known) if len(known) >= 2 else None
+
+    def slope(v, p):
+        known = [(q, v[q]) for q in range(max(0, p - 4), p + 1) if v[q] is not None]
+        return statistics.linear_regression(*zip(*known, strict=True)).slope if len(known) > 1 else None
+
+    def same(got, want):
+        assert got.keys() == want.keys()
+        assert all((a is None and want[k] is None) or (a is not None and want[k] is not None and math.isclose(a, want[k], abs_tol=1e-9)) for k, a in got.items())
+
+    order = ["t", "i"]
+    same(result(series.interpolate(df, ["k"], order, "v", 2), "v"), expected(filled))
+    same(result(series.rolling_rows(df, ["k"], order, "v", 5, "r", 2), "r_mean"), expected(mean))
+    same(result(series.rolling_slope(df, ["k"], order, "v", 5), "slope"), expected(slope))
+    high = expected(lambda v, p: (v[p] or 0) > 45)
+    near = expected(lambda v, p: any((x or 0) > 45 for x in v[max(0, p - 2) : p + 3]))
+    assert any(high.values()) and set(result(series.near_flagged(df, ["k"], order, F.col("v") > 45, 2), "i")) == {k for k, x in near.items() if x}
+
+    runs = {}
+    for k, s in by_key.items():
+        best = now = 0
+        for r in s:
+            now = now + 1 if r[3] is not None and r[3] < 45 or r[2] in range(20, 50) else 0
+            best = max(best, now)
+        runs[k] = best
+    flagged = df.withColumn("f", (F.col("v") < 45) | F.col("i").between(20, 49))
+    assert {r["k"]: r["longest_run"] for r in series.longest_true_run(flagged, ["k"], order, "f").collect()} == runs
+    whole = series.spikes(df.fillna(1.0), ["k"], order, "v", 5, 2.0)
+    cut = result(whole, "is_spike")
+    monkeypatch.setattr(series, "BLOCK_ROWS", 1000)
+    assert cut == result(series.spikes(df.fillna(1.0), ["k"], order, "v", 5, 2.0), "is_spike")
+    for empty in (df.limit(0), df.limit(0).withColumn("v", F.lit(None).cast("double"))):
+        assert series.interpolate(empty, ["k"], order, "v").count() == series.rolling_slope(empty, [], order, "v", 3).count() == 0
