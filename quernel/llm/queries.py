@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernel.llm import chat, decontamination, embeddings, jaccard, mixing, repeats, secrets, sharding, tokens, toxicity
+from quernel.llm import chat, decontamination, embeddings, importance, jaccard, lines, mixing, periods, repeats, secrets, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -15,8 +15,16 @@ QUERIES = {
     "op8_decontaminate": decontamination.op8_decontaminate,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_chat": chat.op10_chat,
+    "op11_periods": periods.op11_periods,
+    "op12_lines": lines.op12_lines,
+    "op13_importance": importance.op13_importance,
 }
 
+#: CRC-32 of bytes in SQL: ``crc`` is its table of 256 numbers; CRC folds a text's bytes.
+CRC_TABLE = """step(i, c, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8)"""
+CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
 #: DuckDB SQL over the whole tables.
 SQL = {
     "op1_mix": r"""
@@ -104,6 +112,62 @@ windows AS (
   FROM same JOIN often USING (doc_id, item_id, start)),
 best AS (SELECT doc_id, item_id, start, max(hits) AS best FROM windows GROUP BY doc_id, item_id, start, need HAVING max(hits) >= need)
 SELECT doc_id, item_id, max(best)::BIGINT AS best, count(*) AS n_places FROM best GROUP BY doc_id, item_id""",
+    "op11_periods": rf"""
+WITH RECURSIVE {CRC_TABLE},
+docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+hashed AS (SELECT r, doc_id, w, len(w) AS n, {CRC.format("doc_id::VARCHAR")} AS h FROM docs, crc),
+tails AS (SELECT r, doc_id, w, n, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a, 3 + (h // 10) % 8 AS d FROM hashed),
+given AS (SELECT r, unnest(w) AS word, unnest(range(n)) AS i FROM tails),
+places AS (SELECT r, i, CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // d) END AS source FROM given JOIN tails USING (r)),
+words AS MATERIALIZED (SELECT p.r, p.i, g.word FROM places p JOIN given g ON p.r = g.r AND p.source = g.i),
+sizes AS (SELECT r, n FROM tails),
+periods AS (SELECT r, n, unnest(range(1, n // 4 + 1)) AS q FROM sizes),
+grid AS (SELECT r, q, unnest(range(0, (n - 1) // q - 2)) * q AS at FROM periods),
+one AS MATERIALIZED (SELECT g.r, g.q, g.at, word FROM grid g JOIN words a ON a.r = g.r AND a.i = g.at),
+two AS MATERIALIZED (SELECT t.* FROM one t JOIN words b ON b.r = t.r AND b.i = t.at + t.q AND b.word = t.word),
+three AS MATERIALIZED (SELECT t.* FROM two t JOIN words b ON b.r = t.r AND b.i = t.at + 2 * t.q AND b.word = t.word),
+four AS MATERIALIZED (SELECT DISTINCT t.r, t.q FROM three t JOIN words b ON b.r = t.r AND b.i = t.at + 3 * t.q AND b.word = t.word),
+every AS MATERIALIZED (SELECT f.r, f.q, i, word FROM four f JOIN words USING (r)),
+equal AS (SELECT e.r, e.q, e.i FROM every e JOIN words b ON b.r = e.r AND b.i = e.i + e.q AND b.word = e.word),
+island AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM equal),
+stretch AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM island GROUP BY r, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT r, start, length, min(q) AS period FROM stretch GROUP BY r, start, length),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+said AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS s FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+       sha256(coalesce(said.s, '')) AS runs_sha256, sha256(coalesce(kept.s, '')) AS collapsed_sha256
+FROM docs LEFT JOIN best USING (r) LEFT JOIN said USING (r) LEFT JOIN kept USING (r)""",
+    "op12_lines": r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+each AS (SELECT r, doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM texts),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM each),
+repeated AS (SELECT key, min(doc_id) AS holder FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+marked AS (SELECT r, doc_id, i, line, holder IS NOT NULL AND holder <> doc_id AS gone FROM keyed LEFT JOIN repeated USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r, doc_id""",
+    "op13_importance": rf"""
+WITH RECURSIVE {CRC_TABLE},
+texts AS (SELECT row_number() OVER () AS r, doc_id, text, false AS target FROM documents UNION ALL SELECT -row_number() OVER (), NULL, text, true FROM benchmark),
+worded AS (SELECT r, doc_id, target, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+each AS (
+  SELECT r, target, unnest(w) AS f FROM worded
+  UNION ALL SELECT r, target, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM worded
+  UNION ALL SELECT r, target, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM worded),
+distinct_ AS (SELECT DISTINCT f FROM each),
+placed AS (SELECT f, {CRC.format("f")} % 10000 AS bucket FROM distinct_, crc),
+counted AS (SELECT r, target, bucket, count(*) AS n FROM each JOIN placed USING (f) GROUP BY ALL),
+totals AS (SELECT coalesce(sum(n) FILTER (NOT target), 0)::DOUBLE AS all_s, coalesce(sum(n) FILTER (target), 0)::DOUBLE AS all_t FROM counted),
+sides AS (SELECT bucket, coalesce(sum(n) FILTER (NOT target), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (target), 0)::DOUBLE AS t FROM counted GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000))))::BIGINT AS gain FROM sides, totals),
+weights AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM counted JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(w) AS n, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM worded LEFT JOIN weights USING (r) WHERE NOT target),
+ordered AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS of FROM scored WHERE n >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * of // 100 THEN place END::BIGINT AS rank FROM scored LEFT JOIN ordered USING (r)""",
     "op2_embeddings": r"""
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL),
 unit AS (SELECT vec_id, x FROM v WHERE len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
