@@ -144,26 +144,54 @@ def _median(xs: Column) -> Column:
     return F.when(n > 0, (F.get(xs, F.floor((n - 1) / 2).cast("int")) + F.get(xs, F.floor(n / 2).cast("int"))) / 2)
 
 
-def recommend(rows: DataFrame, rules: DataFrame, boundaries: DataFrame, features: Sequence[str], dose: str) -> DataFrame:
-    """Every row with the band of its best rules. Of the accepted rules that match, those of the best grade and stability are selected; the band and the evidence are their
-    medians, the confidence is that of the first by ``rule_priority``. Rows that no rule matches, or without a dose, are to be held or checked."""
-    matched = rule_matches(rows, rules.where(F.col("status") == ACCEPTED), boundaries, features)
-    carried = ["grade", "dose_min", "dose_max", "ok_rate", "high_rate", "low_rate", "sample_count", "ok_lift", "high_delta", "low_delta"]
-    # a row has at most one rule a feature and bin, so its list is short
-    lists = matched.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*rule_priority(), *[F.col(c) for c in carried]))).alias("all")).withColumn("best", F.col("all")[0])
-    lists = lists.withColumn("chosen", F.filter("all", lambda r: (r["g"] == F.col("best.g")) & (r["t"] == F.col("best.t"))))
+CARRIED = ("grade", "dose_min", "dose_max", "ok_rate", "high_rate", "low_rate", "sample_count", "ok_lift", "high_delta", "low_delta")
+
+
+def _advised(rows: DataFrame) -> DataFrame:
+    """``rows`` (with dose, and ``all``, the matched rules in the order of ``rule_priority``, null if there are none) with the band of their best rules. No joins, no grouping."""
+    out = rows.withColumn("best", F.col("all")[0])
+    out = out.withColumn("chosen", F.filter("all", lambda r: (r["g"] == F.col("best.g")) & (r["t"] == F.col("best.t"))))
     mid = lambda c: _median(F.transform("chosen", lambda r: r[c].cast("double")))
     b = lambda c: F.coalesce(F.col(f"best.{c}").cast("double"), F.lit(0.0))
     confidence = first_match([
         ((F.col("best.grade") == "A") & (b("sample_count") >= 100) & (b("ok_lift") >= 0.05) & (b("high_delta") <= 0) & (b("low_delta") <= 0.01), "high"),
         (F.col("best.grade").isin("A", "B") & (b("sample_count") >= 80) & (b("ok_lift") >= 0.03), "medium"),
     ], "low")
-    found = lists.select("id", F.size("all").alias("n_rules"), F.size("chosen").alias("n_selected"), F.array_join(F.transform("chosen", lambda r: r["rule_id"]), ";").alias("selected_rule_ids"), mid("dose_min").alias("rec_min"), mid("dose_max").alias("rec_max"),
-        mid("ok_rate").alias("evidence_ok_rate"), mid("high_rate").alias("evidence_high_rate"), mid("low_rate").alias("evidence_low_rate"), mid("sample_count").cast("int").alias("evidence_samples"), confidence.alias("confidence"))
-    out = rows.select("id", F.col(dose).cast("double").alias("dose")).join(found, "id", "left").withColumn("rec_target", (F.col("rec_min") + F.col("rec_max")) / 2)
+    known = F.col("all").isNotNull()
+    when = lambda c: F.when(known, c)
+    out = out.withColumns({
+        "n_rules": when(F.size("all")), "n_selected": when(F.size("chosen")), "selected_rule_ids": when(F.array_join(F.transform("chosen", lambda r: r["rule_id"]), ";")), "rec_min": mid("dose_min"), "rec_max": mid("dose_max"),
+        "evidence_ok_rate": mid("ok_rate"), "evidence_high_rate": mid("high_rate"), "evidence_low_rate": mid("low_rate"), "evidence_samples": mid("sample_count").cast("int"), "confidence": F.when(known, confidence).otherwise("none"),
+    })
+    out = out.withColumn("rec_target", (F.col("rec_min") + F.col("rec_max")) / 2)
     position = F.when(F.col("n_rules").isNull(), "not_recommended").otherwise(band_position(F.col("dose"), F.col("rec_min"), F.col("rec_max")))
     status = first_match([(F.col("n_rules").isNull(), "no_recommendation"), (F.col("dose").isNull(), "no_recommendation_missing_current_dose")], "recommended")
-    return out.withColumn("position", position).withColumns({"action": action_hint(F.col("position")), "status": status, "confidence": F.coalesce("confidence", F.lit("none"))})
+    return out.withColumn("position", position).withColumns({"action": action_hint(F.col("position")), "status": status}).drop("all", "best", "chosen")
+
+
+def recommend(rows: DataFrame, rules: DataFrame, boundaries: DataFrame, features: Sequence[str], dose: str) -> DataFrame:
+    """Every row with the band of its best rules. Of the accepted rules that match, those of the best grade and stability are selected; the band and the evidence are their
+    medians, the confidence is that of the first by ``rule_priority``. Rows that no rule matches, or without a dose, are to be held or checked."""
+    matched = rule_matches(rows, rules.where(F.col("status") == ACCEPTED), boundaries, features)
+    # a row has at most one rule a feature and bin, so its list is short
+    lists = matched.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*rule_priority(), *CARRIED))).alias("all"))
+    return _advised(rows.select("id", F.col(dose).cast("double").alias("dose")).join(lists, "id", "left"))
+
+
+def advise(rows: DataFrame, rules: DataFrame, boundaries: DataFrame, features: Sequence[str], dose: str) -> DataFrame:
+    """``recommend`` for rows of any columns, which are kept, without a key, a join of rows or a shuffle, so for streams too: the accepted rules, a few for each feature, are one row
+    that is broadcast, and each row picks its own from it. ``dose`` is added as a number; columns of ``rows`` that have the names of results are replaced."""
+    kept = rules.where(F.col("status") == ACCEPTED).join(F.broadcast(boundaries.select("feature", "q33", "q66")), "feature").where(F.col("feature").isin(*features))
+    table = kept.agg(F.array_sort(F.collect_list(F.struct(*rule_priority(), *CARRIED, "feature", "bin", "q33", "q66"))).alias("all"))
+    values = F.map_from_arrays(F.array(*map(F.lit, features)), F.array(*[F.col(f"`{f}`").cast("double") for f in features]))
+
+    def matches(r: Column) -> Column:
+        x = F.element_at(F.col("__values"), r["feature"])
+        return F.coalesce(F.when(x <= r["q33"], "low").when(x <= r["q66"], "mid").when(x.isNotNull(), "high") == r["bin"], F.lit(False))
+
+    out = rows.withColumn("__values", values).withColumn("dose", F.col(f"`{dose}`").cast("double")).drop("all").crossJoin(F.broadcast(table))  # one row
+    out = out.withColumn("all", F.filter("all", matches)).withColumn("all", F.when(F.size("all") > 0, F.col("all")))
+    return _advised(out.drop("__values"))
 
 
 def score(rows: DataFrame, rules: DataFrame, boundaries: DataFrame, features: Sequence[str], dose: str, status: str = "status") -> DataFrame:

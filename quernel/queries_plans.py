@@ -11,8 +11,10 @@ from quernel.operators import aggregates as A
 from quernel.operators import series as W
 from quernel.operators import text as X
 from quernel.plans import clean, features, policy, rules, validation
+from quernel import queries as base
 from quernel.queries import HINGE_COLUMNS, HOURLY, SAMPLES, TAGS, hinge_sql, hourly, in_units, query, r6, rounded, samples, table
 from quernel.sources import shared, sinks, tables
+from quernel.streaming import stateful
 
 
 # --- sources and sinks --------------------------------------------------------------------------------------------------------
@@ -436,9 +438,37 @@ def dec01_cascade(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", rules.first_match(cases, "go").alias("decision"))
 
 
-@query()
+@query(f"""WITH {base.RECOMMENDED}, masked AS (SELECT id, CASE WHEN f1 > 50 THEN dose END AS dose FROM samples)
+SELECT m.id, CASE WHEN lo IS NULL THEN 'not_recommended' WHEN m.dose IS NULL THEN 'missing' WHEN m.dose < lo THEN 'below_band' WHEN m.dose > hi THEN 'above_band' ELSE 'inside_band' END AS position,
+       CASE WHEN lo IS NULL OR m.dose IS NULL THEN 'hold_or_manual_check' WHEN m.dose < lo THEN 'increase_to_band' WHEN m.dose > hi THEN 'decrease_to_band' ELSE 'hold_in_band' END AS action,
+       CASE WHEN m.dose IS NULL THEN 100 ELSE 0 END AS status FROM masked m LEFT JOIN sel USING (id)""")
 def udf01_score(spark, sf_dir):
-    from quernel.queries import rule_tables
-
     s = samples(spark, sf_dir).withColumn("dose", F.when(F.col("f1") > 50, F.col("dose")))
-    return rules.score(s, rule_tables(spark), B.tertile_boundaries(s, ["f1", "f2"]), ["f1", "f2"], "dose").select("id", "position", "action", "status")
+    return rules.score(s, base.rule_tables(spark), B.tertile_boundaries(s, ["f1", "f2"]), ["f1", "f2"], "dose").select("id", "position", "action", "status")
+
+
+@query(f"WITH {base.RECOMMENDED} SELECT id, n_selected::INT AS n_selected, ids AS selected_rule_ids, round(lo, 6) AS rec_min, round(hi, 6) AS rec_max, action, 'recommended' AS status, confidence FROM reco")
+def udf01_advise(spark, sf_dir):
+    s = samples(spark, sf_dir)
+    return rounded(rules.advise(s, base.rule_tables(spark), B.tertile_boundaries(s, ["f1", "f2"]), ["f1", "f2"], "dose").select("id", "n_selected", "selected_rule_ids", "rec_min", "rec_max", "action", "status", "confidence"))
+
+
+@query("""WITH p AS (SELECT user_id % 10 AS unit, event_type AS tag, epoch_us(ts) AS us, value FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND ts IS NOT NULL),
+served AS (SELECT *, unnest(range((us + 599999999) // 600000000, (us + 5400000000) // 600000000 + 1)) AS g FROM p),
+stats AS (SELECT unit, tag, g, count(*) FILTER (us >= g * 600000000 - 3600000000) AS n, avg(value) FILTER (us >= g * 600000000 - 3600000000) AS mean, arg_max(value, (us, value)) AS last, max(us) AS last_us FROM served GROUP BY ALL)
+SELECT unit, tag, make_timestamp(g * 600000000) AS at, n, round(mean, 6) AS mean, round(last, 6) AS last, make_timestamp(last_us) AS last_at FROM stats""")
+def udf01_trailing(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("unit"), F.col("event_type").alias("tag"), "ts", "value")
+    out = rounded(stateful.trailing(e, ["unit", "tag"], "ts", "value"))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("at", "last_at")})
+
+
+@query("""WITH p AS (SELECT user_id % 10 AS unit, event_type AS tag, epoch_us(ts) AS us, value FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND ts IS NOT NULL),
+served AS (SELECT *, unnest(range((us + 599999999) // 600000000, (us + 5400000000) // 600000000 + 1)) AS g FROM p),
+stats AS (SELECT unit, tag, g, count(*) FILTER (us >= g * 600000000 - 3600000000) AS n, avg(value) FILTER (us >= g * 600000000 - 3600000000) AS mean, arg_max(value, (us, value)) AS last FROM served GROUP BY ALL)
+SELECT unit, make_timestamp(g * 600000000) AS at, round(max(mean) FILTER (tag = 'click' AND n >= 2), 6) AS click_mean, round(max(last) FILTER (tag = 'click'), 6) AS click_last,
+       round(max(mean) FILTER (tag = 'view' AND n >= 2), 6) AS view_mean, round(max(last) FILTER (tag = 'view'), 6) AS view_last FROM stats GROUP BY unit, g""")
+def udf01_side_by_side(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("unit"), F.col("event_type").alias("tag"), "ts", "value")
+    out = stateful.side_by_side(stateful.trailing(e, ["unit", "tag"], "ts", "value"), ["unit"], "tag", ["click", "view"], least=2)
+    return rounded(out).withColumn("at", F.col("at").cast("timestamp_ntz"))
