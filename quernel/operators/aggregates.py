@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quernel.functions.bins import edges, right_closed
 from quernel.functions.scalars import finite
-from quernel.operators.series import join_small, quantiles, value_ranks
+from quernel.operators.series import join_small, quantiles, quantiles_of, value_ranks
 
 FLAGS = ("y_ok", "y_low", "y_high", "y_out_spec")
 
@@ -37,9 +37,9 @@ def dose_response(df: DataFrame, bin_col: str, dose: str, label: str, by: Sequen
         F.avg(label).alias("label_mean"), F.stddev_samp(label).alias("label_std"),
         *[F.sum(f).alias(f"{f}_count") for f in FLAGS], *[F.avg(f).alias(f"{f}_rate") for f in FLAGS],
     )
-    for c, name in ((dose, "dose_median"), (label, "label_median")):
-        half = quantiles(df.where(F.col(bin_col).isNotNull()), c, (0.5,), [*by, bin_col])
-        out = join_small(out, half.select(*by, bin_col, F.col("q")[0].alias(name)), [*by, bin_col], "left")
+    half = quantiles_of(df.where(F.col(bin_col).isNotNull()), list(dict.fromkeys([dose, label])), (0.5,), [*by, bin_col])
+    half = half.select(*by, bin_col, F.col(dose)[0].alias("dose_median"), F.col(label)[0].alias("label_median"))
+    out = join_small(out, half, [*by, bin_col], "left")
     w = Window.partitionBy(*by)
     return out.withColumn("is_edge", (F.col(bin_col) == F.max(bin_col).over(w)) | (F.col(bin_col) == F.min(bin_col).over(w)))
 

@@ -1,5 +1,5 @@
 """Windows over time series. Range frames cut a long series into time buckets with a halo, frames of rows into blocks of numbered rows with one; gaps and runs carry over the
-blocks' edges. So a key may hold any number of rows. ``average_rank`` and ``percent_rank`` are plain windows for small groups; ``value_ranks`` ranks long ones."""
+blocks' edges. So a key may hold any number of rows. Rows of the largest key are counted first: where they fit one task, plain windows give the same rows with fewer shuffles."""
 
 from __future__ import annotations
 
@@ -32,17 +32,34 @@ def range_frame(df: DataFrame, keys: Sequence[str], ts: str, before_s: float, ag
 
 #: Rows of a key that one task works on at a time.
 BLOCK_ROWS = 100_000
+#: Rows of a key whose distinct values one aggregation may hold for an exact quantile, some 50 bytes each.
+HELD_ROWS = 1_000_000
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Adds ``__i``: the row's number in its key, from 1, null times first. The first column of ``order`` is a number, a date or a time; the others settle its ties. Numbers come from
-    the times' ranks (``value_ranks``) in many tasks; one window runs over the rows of one time."""
-    ts, *ties = order
-    ranks = value_ranks(df, ts, keys).select(*keys, ts, F.col("before").alias("__before"))
-    nulls = df.groupBy(*keys).agg(F.count(F.when(F.col(ts).isNull(), 1)).alias("__nulls"))
-    inner = Window.partitionBy(*keys, ts).orderBy(*ties or [F.lit(0)])
-    out = join_small(join_small(df.withColumn("__rn", F.row_number().over(inner)), ranks, [*keys, ts], "left"), nulls, keys)
-    return out.select(*df.columns, (F.col("__rn") + F.coalesce(F.col("__before") + F.col("__nulls"), F.lit(0))).alias("__i"))
+def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest key."""
+    return (df.groupBy(*keys).count().agg(F.max("count")) if keys else df.agg(F.count("*"))).first()[0] or 0
+
+
+def present(df: DataFrame, value: str) -> DataFrame:
+    """Rows whose value is neither null nor NaN."""
+    c = F.col(value)
+    return df.where(c.isNotNull() & ~F.isnan(c)) if dict(df.dtypes)[value] in ("double", "float") else df.where(c.isNotNull())
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], nulls_last: bool = False) -> DataFrame:
+    """Adds ``__i``: the row's number in its key, from 1, in the order of the columns, null times (the first column) first or last. Small keys are numbered by a window. Beyond that rows are dealt
+    out and sorted by ranges of key and order, one shuffle, and written; the rows of each key before each range are added up apart."""
+    by = [F.col(order[0]).asc_nulls_last() if nulls_last else F.col(order[0]).asc_nulls_first(), *map(F.col, order[1:])]
+    if largest_key(df, keys) <= BLOCK_ROWS:
+        return df.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
+    ordered = df.repartitionByRange(*keys, *by).sortWithinPartitions(*keys, *by)
+    ranges = materialize(ordered.withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "numbered-rows")
+    w = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy(*keys, "__range").agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))
+    starts = starts.withColumn("__before", F.coalesce(F.sum("__rows").over(w), F.lit(0))).drop("__rows")
+    out = join_small(ranges, starts, [*keys, "__range"])
+    return out.select(*df.columns, (F.col("__at") - F.col("__first") + F.col("__before") + 1).alias("__i"))
 
 
 def row_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], before: int = 0, after: int = 0) -> DataFrame:
@@ -187,28 +204,34 @@ def join_small(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "
 
 
 def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), parts: int = 256) -> DataFrame:
-    """``(<keys>, value, count, before, rank)`` of each distinct value: rows below it, and the mean rank of its rows.
+    """``(<keys>, value, count, before, rank)`` of each distinct value that is neither null nor NaN: rows below it, and the mean rank of its rows.
 
-    Values are counted first, then cut into ranges by approximate quantiles of the distinct values; totals of the ranges are summed apart, so a group's ranks
-    take many tasks. The cuts only deal out work: ranks are exact.
+    Values are counted first. Where the largest key has few of them, one window adds the counts up; else values are cut into ranges by approximate quantiles of the distinct ones and totals of
+    the ranges are summed apart, so a group's ranks take many tasks. The cuts only deal out work: ranks are exact.
     """
-    counted = materialize(df.where(F.col(value).isNotNull()).groupBy(*keys, value).count(), "value-counts")  # used three times
+    counted = materialize(present(df, value).groupBy(*keys, value).count(), "value-counts")  # read up to three times
+    running = lambda *by: Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    if largest_key(counted, keys) <= BLOCK_ROWS:
+        out = counted.withColumn("before", F.coalesce(F.sum("count").over(running(*keys)), F.lit(0)))
+        return out.select(*keys, value, "count", "before", (F.col("before") + (F.col("count") + 1) / 2).alias("rank"))
     cuts = counted.groupBy(*keys).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("__cuts"))
     counted = join_small(counted, cuts, keys)
     counted = counted.withColumn("__part", F.size(F.filter("__cuts", lambda e: e <= F.col(value)))).drop("__cuts")
     totals = counted.groupBy(*keys, "__part").agg(F.sum("count").alias("__total"))
     w = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("__earlier", F.coalesce(F.sum("__total").over(w), F.lit(0))).drop("__total")
-    inner = Window.partitionBy(*keys, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = join_small(counted.withColumn("__inner", F.coalesce(F.sum("count").over(inner), F.lit(0))), totals, [*keys, "__part"])
+    out = join_small(counted.withColumn("__inner", F.coalesce(F.sum("count").over(running(*keys, "__part")), F.lit(0))), totals, [*keys, "__part"])
     before = F.col("__earlier") + F.col("__inner")
     return out.select(*keys, value, "count", before.alias("before"), (before + (F.col("count") + 1) / 2).alias("rank"))
 
 
 def quantiles(df: DataFrame, value: str, fractions: Sequence[float], keys: Sequence[str] = (), out: str = "q") -> DataFrame:
-    """``(<keys>, q)``: exact quantiles of the values that aren't null, linear between ranks, as an array. A group without values has no row; without keys there is one row, of null
-    for a table without values. Ranks come from ``value_ranks``, so no task holds a group's values."""
-    ranks = materialize(value_ranks(df.select(*keys, F.col(value).cast("double").alias("__v")), "__v", keys), "value-ranks")
+    """``(<keys>, q)``: exact quantiles of the values that are neither null nor NaN, linear between ranks, as an array. A group without values has no row; without keys there is one row, of null
+    for a table without values. Where a group has more rows than one aggregation should hold, ranks come from ``value_ranks``, so no task holds a group's values."""
+    rows = df.select(*keys, F.col(value).cast("double").alias("__v"))
+    if largest_key(rows, keys) <= HELD_ROWS:
+        return present(rows, "__v").groupBy(*keys).agg(F.percentile("__v", F.array(*[F.lit(float(f)) for f in fractions])).alias(out))
+    ranks = materialize(value_ranks(rows, "__v", keys), "value-ranks")
     ranks = join_small(ranks, ranks.groupBy(*keys).agg(F.sum("count").alias("__n")), keys)
     at = [(F.col("__n") - 1) * float(f) for f in fractions]
     holds = lambda p: F.max(F.when((F.col("before") <= p) & (p < F.col("before") + F.col("count")), F.col("__v")))
@@ -218,13 +241,18 @@ def quantiles(df: DataFrame, value: str, fractions: Sequence[float], keys: Seque
     return materialize(ends.select(*keys, F.when(F.col("__n") > 0, q).alias(out)), "quantiles")
 
 
+def quantiles_of(df: DataFrame, columns: Sequence[str], fractions: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """``(<keys>, <columns>)``: the quantiles of several columns, an array each, from one pass; a group has a row if a column has a value in it, and null for the others."""
+    cells = F.array(*[F.struct(F.lit(c).alias("__column"), F.col(c).cast("double").alias("__v")) for c in columns])
+    long = quantiles(df.select(*keys, F.explode(cells).alias("__r")).select(*keys, "__r.*"), "__v", fractions, [*keys, "__column"])
+    own = [F.max(F.when(F.col("__column") == c, F.col("q"))).alias(c) for c in columns]
+    return long.groupBy(*keys).agg(*own) if keys else long.agg(*own)
+
+
 def chronological_split(df: DataFrame, keys: Sequence[str], order: Sequence[str], share: float = 0.8) -> DataFrame:
     """Adds ``split``: the first floor(share * n) rows of each key are train, the rest test. Rows are in the order of the first column, ties in that of the others, and null times
-    come last. The ranks of the times are found in many tasks (``value_ranks``), so a key may hold any number of rows; one window runs over the rows of one time."""
-    ts, *ties = order
-    ranks = value_ranks(df, ts, keys).select(*keys, ts, F.col("before").alias("__before"))
+    come last, in test. Rows are numbered by ``numbered``, so a key may hold any number of them."""
     n = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    inner = Window.partitionBy(*keys, ts).orderBy(*ties) if ties else Window.partitionBy(*keys, ts).orderBy(F.lit(0))
-    out = join_small(join_small(df.withColumn("__rn", F.row_number().over(inner)), ranks, [*keys, ts], "left"), n, keys)
-    first = F.coalesce(F.col("__before") + F.col("__rn") <= F.floor(F.col("__n") * share), F.lit(False))
-    return out.withColumn("split", F.when(first, "train").otherwise("test")).drop("__before", "__rn", "__n").select(*df.columns, "split")
+    out = join_small(numbered(df, keys, order, nulls_last=True), n, keys)
+    first = F.col(order[0]).isNotNull() & (F.col("__i") <= F.floor(F.col("__n") * share))
+    return out.withColumn("split", F.when(first, "train").otherwise("test")).select(*df.columns, "split")

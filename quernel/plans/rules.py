@@ -11,7 +11,7 @@ from quernel.functions.bins import qcut, tertile_boundaries
 from quernel.functions.scalars import action_hint, band_position, label_flags
 from quernel.operators.aggregates import best_bin, correlations, dose_response, hinge_search, rule_priority, unpivot
 from quernel.operators.joins import rule_matches
-from quernel.operators.series import chronological_split, join_small, quantiles
+from quernel.operators.series import chronological_split, join_small, quantiles_of
 
 
 def first_match(cases: Sequence[tuple[Column, str]], otherwise: str) -> Column:
@@ -59,9 +59,8 @@ def regime_summary(rows: DataFrame, least: int = 30, candidates: int = 71) -> Da
     keys = ["feature", "regime"]
     rows = rows.where("dose is not null and label is not null")
     out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("label").alias("label_mean"), *[F.avg(f"y_{k}").alias(f"{k}_rate") for k in ("ok", "high", "low", "out_spec")]).where(F.col("n") >= least)
-    for c in ("dose", "label"):
-        q = quantiles(rows, c, (0.25, 0.5, 0.75), keys)
-        out = join_small(out, q.select(*keys, F.col("q")[1].alias(f"{c}_median"), (F.col("q")[2] - F.col("q")[0]).alias(f"{c}_iqr")), keys)
+    q = quantiles_of(rows, ["dose", "label"], (0.25, 0.5, 0.75), keys)
+    out = join_small(out, q.select(*keys, *[x for c in ("dose", "label") for x in (F.col(c)[1].alias(f"{c}_median"), (F.col(c)[2] - F.col(c)[0]).alias(f"{c}_iqr"))]), keys)
     r = correlations(rows, [("dose", "label"), ("dose", "y_high")], "spearman", by=keys)
     pick = lambda y, name: F.max(F.when(F.col("y") == y, F.col("r"))).alias(name)
     out = join_small(out, r.groupBy(*keys).agg(pick("label", "spearman_label"), pick("y_high", "spearman_high")), keys, "left")

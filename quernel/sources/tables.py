@@ -17,12 +17,13 @@ TIME_NAMES = ("time", "timestamp", "datetime", "ts", "tagTime", "date")
 
 
 def scan_series(spark: SparkSession, path: str, time: str = "time", columns: Sequence[str] | None = None) -> DataFrame:
-    """A Parquet table with its time parsed; rows without a time go. Nothing is sorted here: order belongs to windows."""
+    """A Parquet table with its time parsed and NaN as null; rows without a time go. Nothing is sorted here: order belongs to windows."""
     df = spark.read.parquet(path)
     if columns:
         df = df.select(time, *[c for c in columns if c != time])
     if dict(df.dtypes)[time] == "string":
         df = df.withColumn(time, timestamp(F.col(time)))
+    df = df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, t in df.dtypes if t in ("double", "float")})
     return df.where(F.col(time).isNotNull())
 
 

@@ -181,14 +181,26 @@ def test_near_repeats_match_brute_force(spark):
     assert {(r["key_a"], r["key_b"]) for r in got} == want and len(got) == len(want) > 5
 
 
-def test_quantiles_of_many_groups_match_the_exact_function(spark):
+@pytest.mark.parametrize(("held", "block"), [(1_000_000, 100_000), (0, 100_000), (0, 3)])
+def test_quantiles_of_many_groups_match_the_exact_function(spark, monkeypatch, held, block):
+    monkeypatch.setattr(series, "HELD_ROWS", held)
+    monkeypatch.setattr(series, "BLOCK_ROWS", block)
     rng = random.Random(5)
-    df = spark.createDataFrame([(rng.choice(["a", "b", None]), rng.choice([None, *map(float, range(40))])) for _ in range(2000)] + [("c", None), ("d", 1.5)], "g string, v double")
+    df = spark.createDataFrame([(rng.choice(["a", "b", None]), rng.choice([None, float("nan"), *map(float, range(40))])) for _ in range(2000)] + [("c", None), ("d", 1.5)], "g string, v double")
     fs = [0.0, 0.01, 1 / 3, 0.5, 0.999, 1.0]
-    want = {r["g"]: r["q"] for r in df.where("v is not null").groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, fs))).alias("q")).collect()}
+    want = {r["g"]: r["q"] for r in df.where("v is not null and not isnan(v)").groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, fs))).alias("q")).collect()}
     got = {r["g"]: r["q"] for r in series.quantiles(df, "v", fs, ["g"]).collect()}
     assert set(got) == set(want) == {"a", "b", None, "d"} and all(abs(x - y) < 1e-9 for g in got for x, y in zip(got[g], want[g], strict=True))
     assert series.quantiles(df.where("false"), "v", fs).first()["q"] is None
+    two = {r["g"]: (r["v"], r["w"]) for r in series.quantiles_of(df.withColumn("w", -F.col("v")), ["v", "w"], [0.25, 0.5], ["g"]).collect()}
+    exact = df.where("not isnan(v)").groupBy("g").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5))).alias("v"), F.percentile(-F.col("v"), F.array(F.lit(0.25), F.lit(0.5))).alias("w")).where("v is not null")
+    assert two == {r["g"]: (r["v"], r["w"]) for r in exact.collect()}
+    assert [r["median"] for r in aggregates.mad(spark.createDataFrame([(1.0,), (2.0,), (float("nan"),)], "v double"), "v", []).collect()] == [1.5]
+
+
+def test_scans_take_nan_for_null(spark, tmp_path):
+    spark.createDataFrame([("2026-01-01 00:00:00", 1.0), ("2026-01-01 00:01:00", float("nan")), (None, 2.0)], "time string, v double").write.parquet(str(tmp_path / "t"))
+    assert sorted(map(str, column(tables.scan_series(spark, str(tmp_path / "t")), "v"))) == ["1.0", "None"]
 
 
 def test_point_files_keep_the_last_number(spark, tmp_path):
