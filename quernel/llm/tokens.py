@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernel.llm.batches import slices
 from quernel.llm.scratch import new_path
 
 #: A piece begins before every space that a character other than white space follows. The vocabulary's own splitting
@@ -145,7 +146,8 @@ class PieceEncoder(dict):
             self._shrink()
         if whole := {i for i, t in enumerate(texts) if any(a in t for a in self.added)}:
             ids = [np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, end_id], np.int32) if i in whole else None for i, t in enumerate(texts)]
-            rest, n = self.encode([t for i, t in enumerate(texts) if i not in whole], end_id)
+            plain = [t for i, t in enumerate(texts) if i not in whole]
+            rest, n = self.encode(plain, end_id) if plain else (np.zeros(0, np.int32), np.zeros(0, np.int64))
             cut = iter(np.split(rest, np.cumsum(n)[:-1]))
             ids = [next(cut) if x is None else x for x in ids]
             return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
@@ -163,7 +165,7 @@ class PieceEncoder(dict):
         self.flat[0] = end_id
         used = np.bincount(numbers, minlength=len(self.pieces))
         self.counts[: len(used)] += used.astype(np.int32)
-        last = np.cumsum(lengths) - 1
+        last = np.cumsum(lengths, dtype=np.int64) - 1
         return self._gather(numbers), np.diff(np.cumsum(self.lengths[numbers], dtype=np.int64)[last], prepend=0)
 
 
@@ -177,17 +179,6 @@ def worker_encoder(vocabulary: str) -> PieceEncoder:
     return kept[vocabulary]
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about ``most`` bytes of text, one row at least."""
-    sizes = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)])
-    at = 0
-    while at < batch.num_rows:
-        base = sizes[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(sizes, base + most, side="right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def tokenize(docs: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, ids)`` of every whole text, in the order and partitions of ``docs``; null text counts as empty and gives the end id alone."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -195,7 +186,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(vocabulary)
         for batch in batches:
-            for part in _slices(batch, "text"):
+            for part in slices(batch, "text"):
                 ids, n = encoder.encode([t or "" for t in part.column("text").to_pylist()], end_id)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], schema=schema)
@@ -206,7 +197,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "d
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write ``(doc_id, n_tokens, ids)`` as ORC files in ascending doc_id: ranges of ids go to files, rows are sorted
-    within each (null ids first, equal ids by text). Readers skip files, stripes and row groups by the
+    within each (null ids first, equal ids by text); rows of one id, or of none, share a file and so one task, which streams them. Readers skip files, stripes and row groups by the
     ranges and Bloom filters of doc_id. An empty table gives files without rows."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranged = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
