@@ -122,20 +122,31 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, id_col:
     Links are pairs whose cosine in doubles is ``similarity`` or more; ``n_links`` counts the other rows linked, ``component_id`` is the least id that links
     reach. Equal vectors are aggregated first and linked with each other. Each distinct vector is stored in its cell of the grid of two
     codebooks and looks for others in the nearest cells, walked until ``recall`` of its neighbours should have been met; a pair counts
-    whichever side finds it. Vectors of one component have one codebook. Vectors that are null, empty, zero or hold null or non-finite components,
-    vectors of another length than most, and rows with a null id link with nothing. Rows that repeat an id link with each other and are each kept. An empty table gives an empty result.
+    whichever side finds it. Vectors of one component have one codebook. Vectors of different lengths have no cosine: each length is a search of its own, the most
+    frequent first, so a table should hold few lengths. Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id link with nothing. Rows that repeat an id link with each other and are each kept. An empty table gives an empty result.
     """
     kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"  # floats are stored and dealt as such, half the bytes
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("x"))
     good = usable(rows.where("id is not null"), "x")
-    length = good.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    lengths = [r["n"] for r in good.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").collect()]
     blank = rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    if length is None:
+    if not lengths:
         return blank
-    dim = length["n"]
-    coded = rows.withColumn("ok", F.when((F.col("id").isNotNull()) & (F.size("x") == dim), F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)).otherwise(False))
+    fine = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
+    coded = rows.withColumn("ok", F.when(F.col("id").isNotNull() & (F.size("x") > 0), fine).otherwise(False))
     coded = coded.withColumn("node", F.when(F.coalesce("ok", F.lit(False)), F.xxhash64("x", F.lit(2))))
-    distinct = materialize(coded.where("node is not null").groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.min("x").alias("x")), "vectors")
+    known = None
+    for dim in lengths:
+        found = _search(coded.where(F.col("node").isNotNull() & (F.size("x") == dim)), dim, kind, similarity, recall, sample)
+        known = found if known is None else known.unionByName(found)
+    out = coded.select("id", "node").join(known, "node", "left")
+    component = F.coalesce("component_id", "first_id", "id")
+    return out.select(F.col("id").alias(id_col), F.coalesce(F.col("n") - 1 + F.coalesce("linked", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def _search(coded: DataFrame, dim: int, kind: str, similarity: float, recall: float, sample: int) -> DataFrame:
+    """``(node, first_id, n, linked, component_id)`` of each distinct vector: ``coded`` has id, node and vectors x of ``dim`` usable numbers. See ``near_duplicates``."""
+    distinct = materialize(coded.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.min("x").alias("x")), "vectors")
     n = distinct.count()
     chosen = distinct.orderBy(F.xxhash64("node", F.lit(5)), "node").select("x").limit(sample).collect()
     fit = units(np.array([r["x"] for r in chosen]))
@@ -250,10 +261,8 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, id_col:
     ids = distinct.select("node", "first_id", "n")
     first = parts.join(ids, "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
     known = ids.join(counts, ids["node"] == counts["a"], "left").drop("a").join(parts.join(first, "component").select("node", "component_id"), "node", "left")
-    # written first, so that the join has two plain sides and Spark can split a vector of very many copies
-    out = coded.select("id", "node").join(materialize(known, "vector-results"), "node", "left")
-    component = F.coalesce("component_id", "first_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce(F.col("n") - 1 + F.coalesce("linked", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    # written first, so that the join with all rows has two plain sides and Spark can split a vector of very many copies
+    return materialize(known, "vector-results")
 
 
 def op2_embeddings(spark, sf_dir: str) -> DataFrame:
