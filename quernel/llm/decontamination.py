@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernel.llm.ordering import quoted
 from quernel.llm.scratch import materialize
 
 #: Places of a window that each mask looks at. Together they hit every window of 8 to 16 words of which 80% match, wherever the
@@ -106,7 +107,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
         digest = f"_{digest}"
     named = docs.withColumn(digest, F.md5(F.coalesce(text_col, F.lit(""))))
     found = materialize(leaks(named.select(digest, text_col), benchmark, (digest,), text_col).select(digest).distinct(), "leaks")
-    return named.join(found, digest, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return named.join(found, digest, "left_anti").select(*quoted(docs.columns))
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.ordering import random_key, range_offsets, with_running_sum
+from quernel.llm.ordering import quoted, random_key, range_offsets, with_running_sum
 from quernel.llm.scratch import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,7 +20,7 @@ def word_count(text: Column) -> Column:
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, max_epochs: int) -> DataFrame:
     """``(source, source_size)`` -> with ``target``: weights in the order of the sources (code points, null last),
-    repeated as needed; ``share`` of all sizes is dealt by weight, no target above ``max_epochs`` times its source, the
+    repeated as needed, in one task, as sources are few beside documents; ``share`` of all sizes is dealt by weight, no target above ``max_epochs`` times its source, the
     excess dealt again. Sorted by cap over weight, the level is the largest of (what is left) / (weight left)."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     fill = Window.orderBy("ratio", F.col("source").asc_nulls_last())
@@ -78,7 +78,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     Documents stay whole: the one at a source's cut is taken if half of its words or more lie before the cut.
     """
     packed = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+        F.struct(*quoted(docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"), random_key(seed, F.col(id_col), F.md5(F.coalesce(text_col, F.lit("")))).alias("key"),
     )
     out = plan_mix(materialize(packed, "mix-rows"), weights, share, max_epochs, whole_documents=True)

@@ -17,6 +17,11 @@ KEY_BITS = 60
 RANGE_BITS = 12
 
 
+def quoted(names: Sequence[str]) -> list[Column]:
+    """Columns by their names as they are, dots and backticks included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
 def random_key(seed: int, *cols: Column) -> Column:
     """60-bit hash of the columns as text; null counts as a value of its own."""
     parts = [F.coalesce(c.cast("string"), F.lit("\\N")) for c in cols]

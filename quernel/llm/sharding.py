@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.ordering import random_key, range_offsets, with_running_sum
+from quernel.llm.ordering import quoted, random_key, range_offsets, with_running_sum
 from quernel.llm.scratch import materialize
 
 ROUNDS = 6
@@ -74,7 +74,7 @@ def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str
     The rows are numbered as they are, so that no join on the id is needed and repeated ids keep their own rows.
     """
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    packed = docs.select(F.struct(*kept).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    packed = docs.select(F.struct(*quoted(kept)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     key = materialize(packed.select("row", "id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"), random_key(seed, F.col("id"), F.md5(F.coalesce("text", F.lit("")))).alias("key")), "shard-rows")
     one = F.lit(1).cast("bigint")
     offsets = range_offsets(key.select("key"), [], "key", one)

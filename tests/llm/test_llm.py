@@ -93,6 +93,15 @@ def test_mix_gives_whole_documents(spark, corpus):
     assert mixing.mix(docs(spark, EMPTY)).count() == 0 and mixing.mix_plan(docs(spark, EMPTY)).count() == 0
 
 
+@pytest.mark.parametrize("stage", [lambda d: mixing.mix(d, share=1.0, max_epochs=1), lambda d: sharding.shard(d, 3), lambda d: decontamination.decontaminate(d, d.where("false").withColumn("item_id", F.lit(1)))])
+def test_names_with_dots_and_backticks_are_kept(spark, stage):
+    rows = [(i, f"text {i}", "s", i, i) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` long, `c``d` long")
+    out = stage(df)
+    assert out.columns[:5] == df.columns
+    assert sorted(tuple(r)[:5] for r in out.collect()) == rows
+
+
 # --- sharding -----------------------------------------------------------------------------------------------------------------
 
 
@@ -143,6 +152,16 @@ def test_tokens_round_trip(spark, corpus, tmp_path):
     assert tokens.digest_tokens(spark, path + "0").count() == 0
 
 
+@pytest.mark.parametrize("texts", [["a <|endoftext|> b"], ["<|endoftext|>", "<|endoftext|><|endoftext|>"], ["word " * 30_000 + "<|endoftext|>"]])
+def test_texts_that_all_hold_added_tokens(spark, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.vocabulary_path())
+    got = tokens.tokenize(docs(spark, enumerate(texts)).coalesce(1), tokens.vocabulary_path()).collect()
+    assert [list(r["ids"]) for r in got] == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    assert [r["n_tokens"] for r in got] == [len(r["ids"]) for r in got]
+
+
 def test_a_lookup_reads_few_row_groups(spark, tmp_path):
     path = str(tmp_path / "ids")
     tokens.write_tokens(spark.range(30_000).select((F.col("id") * 3).alias("doc_id"), F.lit("one two").alias("text")).coalesce(1), path, tokens.vocabulary_path())
@@ -394,6 +413,7 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
         ({1: [2.0], 2: [-1.0], 3: [5.0], 4: [0.0], 5: None}, {1: 1, 2: 0, 3: 1, 4: 0, 5: 0}),
         ({1: [1e200, 1e200], 2: [2e200, 2e200], 3: [1e-200, 1e-200], 4: [1e200, -1e200], 5: [5e-324, 5e-324]}, {1: 3, 2: 3, 3: 3, 4: 0, 5: 3}),
         ({1: [1.0, 2.0, 3.0], 2: [2.0, 4.0, 6.0], 3: [3.0, 1.0, 0.0]}, {1: 1, 2: 1, 3: 0}),
+        ({1: [1.0, 2.0, 3.0], 2: [1.0, 2.0], 3: [1.0, 2.0, 3.0], 4: [2.0, 4.0], 5: [1.0, 2.0, 0.0], 6: [3.0], 7: []}, {1: 1, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0, 7: 0}),
     ],
 )
 def test_vectors_of_any_length_and_size(spark, vectors, links):
