@@ -1,4 +1,4 @@
-"""Joins in time, by range, to neighbours and with checked keys."""
+"""Joins in time, by range and with checked keys."""
 
 from __future__ import annotations
 
@@ -8,11 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions.scalars import seconds
-from quernel.operators.series import quantiles
-
-
-#: Queries of a neighbour search in a block, some hundred bytes each.
-MOST_QUERIES = 10_000
 
 
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, values: Sequence[str], tolerance_s: float, direction: str = "nearest", later_on_tie: bool = False) -> DataFrame:
@@ -88,36 +83,6 @@ def windows_at(anchors: DataFrame, points: DataFrame, keys: Sequence[str], ancho
     return anchors.join(sums, "id", "left")
 
 
-def nearest_neighbours(queries: DataFrame, history: DataFrame, features: Sequence[str], k: int, visible: Column | None = None) -> DataFrame:
-    """The k history rows nearest to each query: features scaled by median and quartile range, distance = median of the absolute differences that
-    aren't null. ``queries`` and ``history`` have ``id``; ``visible`` may use ``q.`` and ``h.`` columns. The stated queries are compared with all
-    rows in blocks of about MOST_QUERIES, each of them broadcast, so history stays in place and only each task's k best are shuffled."""
-    q = None
-    for f in features:
-        own = quantiles(history, f, (0.25, 0.5, 0.75), out=f)
-        q = own if q is None else q.crossJoin(F.broadcast(own))  # one row each
-    scale = {f: (F.col(f"s.{f}")[1], F.nullif(F.col(f"s.{f}")[2] - F.col(f"s.{f}")[0], F.lit(0.0))) for f in features}
-
-    def scaled(df: DataFrame, name: str) -> DataFrame:
-        return df.alias(name).crossJoin(F.broadcast(q.alias("s"))).select(f"{name}.*", F.array(*[(F.col(f"{name}.{f}") - m) / F.coalesce(iqr, F.lit(1.0)) for f, (m, iqr) in scale.items()]).alias("__x")).alias(name)
-
-    left, right = scaled(queries, "q"), scaled(history, "h")
-    apart = F.col("q.id") != F.col("h.id")
-    blocks = max(1, -(-queries.count() // MOST_QUERIES))
-    gaps = F.array_sort(F.filter(F.zip_with(F.col("q.__x"), F.col("h.__x"), lambda a, b: F.abs(a - b)), lambda d: d.isNotNull()))
-    n = F.size("__d")
-    median = F.when(n > 0, (F.get("__d", F.floor((n - 1) / 2).cast("int")) + F.get("__d", F.floor(n / 2).cast("int"))) / 2)
-    w = Window.partitionBy("id").orderBy("distance", "neighbour")
-    out = None
-    for block in range(blocks):
-        mine = left.where(F.pmod(F.xxhash64("q.id"), F.lit(blocks)) == block) if blocks > 1 else left
-        pairs = right.join(F.broadcast(mine), apart if visible is None else visible & apart)
-        best = pairs.select(F.col("q.id").alias("id"), F.col("h.id").alias("neighbour"), gaps.alias("__d")).withColumn("distance", median).drop("__d").where("distance is not null")
-        best = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out
-
-
 def rule_matches(rows: DataFrame, rules: DataFrame, boundaries: DataFrame, features: Sequence[str]) -> DataFrame:
     """``(id, rule_id, ...)``: rules whose feature lies in their bin. Rows are unpivoted to (feature, value), binned by the feature's boundaries and
     met with the rules by an equi-join on (feature, bin)."""

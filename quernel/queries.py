@@ -17,6 +17,7 @@ from quernel.operators import aggregates as A
 from quernel.operators import joins as J
 from quernel.operators import metrics as M
 from quernel.operators import series as W
+from quernel.operators.neighbours import nearest_neighbours
 from quernel.plans import rules as R
 from quernel.sources import sinks, tables
 from quernel.streaming.scorer import backfill_labels, sliding_means
@@ -273,7 +274,7 @@ SELECT id, neighbour, round(distance, 6) AS distance, row_number() OVER (PARTITI
 def jn14_nearest_neighbours(spark, sf_dir):
     h = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("f1"), F.col("c_nationkey").cast("double").alias("f2"))
     q = h.where("id % 100 = 0")
-    return rounded(J.nearest_neighbours(q, h, ["f1", "f2"], 5))
+    return rounded(nearest_neighbours(q, h, ["f1", "f2"], 5))
 
 
 def rule_tables(spark):

@@ -10,6 +10,7 @@ from quernel.functions import scalars as S
 from quernel.operators import aggregates as A
 from quernel.operators import series as W
 from quernel.operators import text as X
+from quernel.operators.prefix import prefix_quantiles
 from quernel.plans import clean, features, policy, rules, validation
 from quernel import queries as base
 from quernel.queries import HINGE_COLUMNS, HOURLY, SAMPLES, TAGS, hinge_sql, hourly, in_units, query, r6, rounded, samples, table
@@ -180,12 +181,32 @@ def wn16_smooth(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", r6(F.percentile("value", F.lit(0.5)).over(w)).alias("smooth"))
 
 
-@query("""SELECT event_id, count(value) OVER w AS n_visible, CASE WHEN count(value) OVER w >= 10 THEN round(quantile_cont(value, 0.5) OVER w, 6) END AS median FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND 86400000000 PRECEDING)""")
+VISIBLE = "WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND 86400000000 PRECEDING)"
+
+
+@query(f"SELECT event_id, count(value) OVER w AS n_visible, CASE WHEN count(value) OVER w >= 10 THEN round(quantile_cont(value, 0.5) OVER w, 6) END AS median FROM events {VISIBLE}")
 def wn17_walk_forward(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    out = policy.walk_forward_edges(e, ["user_id"], "us", "value", 2, 86_400_000_000, 10)
-    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(Window.unboundedPreceding, -86_400_000_000)
-    return rounded(out.withColumn("median", F.when(F.col("edges").isNotNull(), F.percentile("value", F.lit(0.5)).over(w))).select("event_id", "n_visible", "median"))
+    out = prefix_quantiles(e, ["user_id"], "us", "value", (0.5,), 86_400_000_000, 10)
+    return rounded(out.select("event_id", "n_visible", F.col("q")[0].alias("median")))
+
+
+@query(f"""WITH q AS (SELECT event_id, count(value) OVER w AS n_visible, list_sort(list_distinct(quantile_cont(value, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) OVER w)) AS e FROM events {VISIBLE.replace("user_id", "event_type")})
+SELECT event_id, n_visible, CASE WHEN n_visible >= 50 THEN len(e) END::INT AS n_edges, CASE WHEN n_visible >= 50 THEN round(e[1], 6) END AS first_edge, CASE WHEN n_visible >= 50 THEN round(e[3], 6) END AS third_edge,
+       CASE WHEN n_visible >= 50 THEN round(e[-1], 6) END AS last_edge FROM q""")
+def wn17_edges(spark, sf_dir):
+    """Bin edges of each event type from what was visible a day before, of some thousand rows a key."""
+    e = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    out = policy.walk_forward_edges(e, ["event_type"], "us", "value", 5, 86_400_000_000, 50)
+    edges = F.col("edges")
+    return rounded(out.select("event_id", "n_visible", F.when(edges.isNotNull(), F.size("edges")).alias("n_edges"), F.get("edges", F.lit(0)).alias("first_edge"), F.get("edges", F.lit(2)).alias("third_edge"), F.element_at("edges", -1).alias("last_edge")))
+
+
+@query(f"""WITH v AS (SELECT event_id, value, count(value) OVER w AS n, quantile_cont(value, 0.25) OVER w AS a, quantile_cont(value, 0.5) OVER w AS m, quantile_cont(value, 0.75) OVER w AS b FROM events {VISIBLE})
+SELECT event_id, n AS value_visible, CASE WHEN n >= 4 THEN round((value - m) / coalesce(nullif(b - a, 0), 1), 6) END AS value_scaled FROM v""")
+def wn17_scaled(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return rounded(policy.walk_forward_scaled(e, ["user_id"], "us", ["value"], 86_400_000_000, 4).select("event_id", "value_visible", "value_scaled"))
 
 
 @query("SELECT c_mktsegment, c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey DESC NULLS LAST, c_acctbal, c_custkey) AS place FROM customer")
@@ -254,7 +275,7 @@ CASE WHEN coalesce(nn, 0) < 10 THEN 'insufficient_current_bin_support' WHEN pick
 def dom03_neighbour_policy(spark, sf_dir):
     s = B.qcut(samples(spark, sf_dir), "dose", 5)
     q = s.where("id % 100 = 0")
-    bins = policy.neighbour_bins(q, s, ["f1", "f2"], 60, "bin", F.col("h.time") < F.col("q.time"))
+    bins = policy.neighbour_bins(q, s, ["f1", "f2"], 60, "bin", ("time", "time"))
     return rounded(policy.choose(bins, q, policy.risky_bins(s, "bin"), "bin"))
 
 
