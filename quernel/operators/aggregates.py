@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions.bins import edges, right_closed
+from quernel.functions.distributions import chi2_p, correlation_p, f_p
 from quernel.functions.scalars import finite
 from quernel.operators.series import join_small, quantiles, quantiles_of, value_ranks
 
@@ -60,7 +61,7 @@ def multi_level(df: DataFrame, dims: Sequence[str], metrics: Mapping[str, Column
 
 
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], method: str = "pearson", least: int = 3, by: Sequence[str] = ()) -> DataFrame:
-    """``(x, y, n, r)`` of each pair of columns: rows with both values; null below ``least`` rows or two distinct values on a side. Spearman ranks after
+    """``(x, y, n, r, p)`` of each pair of columns: rows with both values, the correlation and its two-sided p-value; null below ``least`` rows or two distinct values on a side. Spearman ranks after
     the null rows are gone, ties at their mean."""
     cols = [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), finite(F.col(x).cast("double")).alias("a"), finite(F.col(y).cast("double")).alias("b")) for x, y in pairs]
     long = df.select(*by, F.explode(F.array(*cols)).alias("r")).select(*by, "r.*").where("a is not null and b is not null")
@@ -73,7 +74,7 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], method: str =
             long = long.join(own, [*keys, side]).drop(side).withColumnRenamed("__rank", side)
     agg = long.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("a", "b").alias("r"), F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
     fine = (F.col("n") >= least) & (F.col("a0") < F.col("a1")) & (F.col("b0") < F.col("b1"))
-    return agg.select(*keys, "n", F.when(fine, F.col("r")).alias("r"))
+    return agg.select(*keys, "n", F.when(fine, F.col("r")).alias("r")).withColumn("p", correlation_p(F.col("r"), F.col("n")))
 
 
 QUANTILES = {"q01": 0.01, "q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95, "q99": 0.99}
@@ -275,21 +276,23 @@ def bin_rate_spread(df: DataFrame, by: Sequence[str], bin_col: str, flag: str) -
 
 
 def anova(df: DataFrame, group: str, value: str) -> DataFrame:
-    """F statistic of the group means, from sums of each group."""
+    """F statistic of the group means, from sums of each group, and its p-value."""
     g = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("v"))
     all_ = g.agg(F.sum("n").alias("nn"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mm"), F.count("*").alias("k"))
     parts = g.crossJoin(F.broadcast(all_)).groupBy("nn", "k").agg(F.sum(F.col("n") * F.pow(F.col("m") - F.col("mm"), 2)).alias("between"), F.sum((F.col("n") - 1) * F.col("v")).alias("within"))
-    return parts.select(F.col("k").alias("groups"), F.col("nn").alias("n"), ((F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("nn") - F.col("k")))).alias("f"))
+    out = parts.select(F.col("k").alias("groups"), F.col("nn").alias("n"), ((F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("nn") - F.col("k")))).alias("f"))
+    return out.withColumn("p", f_p(F.col("f"), F.col("groups") - 1, F.col("n") - F.col("groups")))
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Kruskal-Wallis statistic, corrected for ties."""
+    """Kruskal-Wallis statistic, corrected for ties, and its p-value."""
     v = value_ranks(df, value)
     r = df.join(v.select(value, "rank"), value).groupBy(group).agg(F.count("*").alias("n"), F.sum("rank").alias("s"))
     ties = v.agg(F.sum(F.pow("count", F.lit(3)) - F.col("count")).alias("t"), F.sum("count").alias("nn"))
     h = r.crossJoin(F.broadcast(ties)).groupBy("nn", "t").agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"), F.count("*").alias("k"))
     nn = F.col("nn").cast("double")
-    return h.select(F.col("k").alias("groups"), ((12 / (nn * (nn + 1)) * F.col("q") - 3 * (nn + 1)) / (1 - F.col("t") / (nn * nn * nn - nn))).alias("h"))
+    out = h.select(F.col("k").alias("groups"), ((12 / (nn * (nn + 1)) * F.col("q") - 3 * (nn + 1)) / (1 - F.col("t") / (nn * nn * nn - nn))).alias("h"))
+    return out.withColumn("p", chi2_p(F.col("h"), F.col("groups") - 1))
 
 
 def binned(df: DataFrame, column: str, cuts: Column, out: str = "bin") -> DataFrame:

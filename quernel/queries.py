@@ -346,22 +346,24 @@ def ag06_multi_level(spark, sf_dir):
 SELECT regime, 'dose' AS x, 'label' AS y, count(*) AS n, round(corr(dose, label), 6) AS pearson, round(corr(rd, rl), 6) AS spearman FROM r GROUP BY regime""")
 def ag09_correlations(spark, sf_dir):
     s = samples(spark, sf_dir)
-    p = A.correlations(s, [("dose", "label")], "pearson", 3, ["regime"]).withColumnRenamed("r", "pearson")
+    p = A.correlations(s, [("dose", "label")], "pearson", 3, ["regime"]).withColumnRenamed("r", "pearson").drop("p")
     q = A.correlations(s, [("dose", "label")], "spearman", 3, ["regime"]).select("regime", "x", "y", F.col("r").alias("spearman"))
     return rounded(p.join(q, ["regime", "x", "y"]))
 
 
 @query(f"""WITH {SAMPLES}, g AS (SELECT regime, count(*) AS n, avg(dose) AS m, var_samp(dose) AS v FROM samples GROUP BY 1), a AS (SELECT avg(dose) AS mm, count(*) AS nn FROM samples)
-SELECT count(*) AS groups, max(nn) AS n, round((sum(n * (m - mm) * (m - mm)) / (count(*) - 1)) / (sum((n - 1) * v) / (max(nn) - count(*))), 6) AS f FROM g, a""")
+SELECT groups, n, round(f, 6) AS f, round(pow((n - 5) / (n - 5 + 4 * f), (n - 5) / 2) * (1 + (n - 5) / 2 * (1 - (n - 5) / (n - 5 + 4 * f))), 6) AS p FROM (  -- five regimes: the tail of an F with 4 degrees of freedom
+  SELECT count(*) AS groups, max(nn) AS n, (sum(n * (m - mm) * (m - mm)) / (count(*) - 1)) / (sum((n - 1) * v) / (max(nn) - count(*))) AS f FROM g, a)""")
 def ag10_anova(spark, sf_dir):
-    return rounded(A.anova(samples(spark, sf_dir), "regime", "dose").select("groups", F.col("n").cast("bigint").alias("n"), "f"))
+    return rounded(A.anova(samples(spark, sf_dir), "regime", "dose").select("groups", F.col("n").cast("bigint").alias("n"), "f", "p"))
 
 
 @query("""WITH r AS (SELECT event_type, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0::DOUBLE AS r FROM events), g AS (SELECT event_type, count(*)::DOUBLE AS n, sum(r) AS s FROM r GROUP BY 1),
 t AS (SELECT sum(c * c * c - c)::DOUBLE AS t, sum(c)::DOUBLE AS n FROM (SELECT count(*)::DOUBLE AS c FROM events GROUP BY value))
-SELECT count(*) AS groups, round((12 / (max(t.n) * (max(t.n) + 1)) * sum(s * s / g.n) - 3 * (max(t.n) + 1)) / (1 - max(t) / (max(t.n) * max(t.n) * max(t.n) - max(t.n))), 5) AS h FROM g, t""")
+SELECT groups, round(h, 5) AS h, round(exp(-h / 2) * (1 + h / 2), 6) AS p FROM (  -- five types: the tail of a chi-squared with 4 degrees of freedom
+  SELECT count(*) AS groups, (12 / (max(t.n) * (max(t.n) + 1)) * sum(s * s / g.n) - 3 * (max(t.n) + 1)) / (1 - max(t) / (max(t.n) * max(t.n) * max(t.n) - max(t.n))) AS h FROM g, t)""")
 def ag10_kruskal(spark, sf_dir):
-    return A.kruskal(table(spark, sf_dir, "events"), "event_type", "value").select("groups", F.round("h", 5).alias("h"))
+    return A.kruskal(table(spark, sf_dir, "events"), "event_type", "value").select("groups", F.round("h", 5).alias("h"), r6("p").alias("p"))
 
 
 @query("""SELECT event_type, count(value) AS n, min(value) AS min, """ + ", ".join(f"round(quantile_cont(value, {q}), 6) AS {n}" for n, q in A.QUANTILES.items()) + """, max(value) AS max, round(avg(value), 6) AS mean FROM events GROUP BY 1""")
