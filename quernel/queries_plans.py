@@ -10,6 +10,7 @@ from quernel.functions import scalars as S
 from quernel.operators import aggregates as A
 from quernel.operators import series as W
 from quernel.operators import text as X
+from quernel.operators import positions
 from quernel.operators.prefix import prefix_quantiles
 from quernel.plans import clean, features, policy, rules, validation
 from quernel import queries as base
@@ -493,3 +494,42 @@ def udf01_side_by_side(spark, sf_dir):
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("unit"), F.col("event_type").alias("tag"), "ts", "value")
     out = stateful.side_by_side(stateful.trailing(e, ["unit", "tag"], "ts", "value"), ["unit"], "tag", ["click", "view"], least=2)
     return rounded(out).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+# --- joins by place -----------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS place, o_orderkey, o_totalprice FROM orders), b AS (SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place, o_orderkey FROM orders)
+SELECT a.place, a.o_orderkey, round(o_totalprice, 6) AS o_totalprice, b.o_orderkey AS o_orderkey_right FROM a JOIN b USING (place)""")
+def jn18_zip(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    a = W.numbered(o.select("o_orderkey", "o_totalprice"), [], ["o_orderkey"]).withColumnRenamed("__i", "place")
+    b = W.numbered(o.select("o_orderkey", (-F.col("o_totalprice")).alias("p")), [], ["p", "o_orderkey"]).withColumnRenamed("__i", "place").drop("p")
+    return rounded(positions.zip_rows(a, b, "place", "place"))
+
+
+@query("SELECT c_custkey, c_nationkey, round(c_acctbal, 6) AS c_acctbal, s_name, round(s_acctbal, 6) AS c_acctbal_right FROM customer LEFT JOIN (SELECT s_suppkey, s_name, s_acctbal FROM supplier) s ON c_custkey = s_suppkey")
+def jn11_left_join(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), "s_name", F.col("s_acctbal").alias("c_acctbal"))
+    return rounded(positions.left_join(c, s, ["c_custkey"]))
+
+
+@query("""WITH v AS (SELECT event_id, ts, user_id FROM events WHERE event_type = 'view'), c AS (SELECT DISTINCT ON (ts) ts, value FROM events WHERE event_type = 'click' ORDER BY ts, event_id)
+SELECT v.event_id, round(c.value, 6) AS click FROM v LEFT JOIN c USING (ts)""")
+def jn05_exact_value(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return rounded(positions.exact_value(e.where("event_type = 'view'").select("event_id", "ts"), e.where("event_type = 'click'"), "ts", "value", ["event_id"], "click").select("event_id", "click"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'flow' WHEN 'click' THEN 'temp' END AS field FROM events")
+def jn17_lookup(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", positions.looked_up(F.col("event_type"), {"view": "flow", "click": "temp"}).alias("field"))
+
+
+@query("""WITH a AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders), b AS (SELECT o_orderkey + 1000000000 AS o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders)
+SELECT a.o_orderkey, a.o_custkey, b.o_orderkey AS o_orderkey_right, o_orderstatus, 'position' AS joined_by FROM a JOIN b USING (place)""")
+def jn12_joined_or_zipped(spark, sf_dir):
+    """Keys that don't meet, so rows are zipped."""
+    o = table(spark, sf_dir, "orders")
+    return positions.joined_or_zipped(o.select("o_orderkey", "o_custkey"), o.select((F.col("o_orderkey") + 1_000_000_000).alias("o_orderkey"), "o_orderstatus"), "o_orderkey", ["o_orderkey"], ["o_orderkey"])
