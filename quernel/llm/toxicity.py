@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,8 +20,9 @@ SAMPLE_PER_CLASS = 4000
 #: A word or beginning is a feature if so many toxic documents of the sample have it, at these log odds at least.
 LEAST_SUPPORT, LEAST_LOG_ODDS = 3, 1.0
 PREFIXES = (4, 5, 6, 7, 8)
-#: Pull of the pairs of states to zero. Which tokens follow a toxic one in a toxic document, its label doesn't say, so without it a state could go on for good.
-STEP_PRIOR = 0.02
+#: Pull of the pairs of states to zero. Which tokens follow a toxic one in a toxic document, its label doesn't say, so without it a state could go on for good. The pull and the number of rounds are
+#: those that ``cross_validate`` finds best inside the learning rows.
+STEP_PRIOR, ROUNDS = 0.02, 100
 #: Tokens of a segment, whose chain is fitted apart from its neighbours'; all segments of a document count in the fit.
 SEGMENT = 48
 #: Segments whose forward and backward passes are held at a time.
@@ -146,7 +147,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_pydict({"toxic": pa.array([toxic] * len(found), pa.int32()), "feature": pa.array(found, pa.string())})
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Crf:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS, pull: float = STEP_PRIOR, rounds: int = ROUNDS) -> Crf:
     """Fit on a bounded sample. Labels are of documents, so the tokens' labels are the field's hidden states: a document is toxic if any of its tokens is, and the
     weights maximise the likelihood of the documents' labels under that. Words and beginnings that toxic documents have more often are the features.
     The document scores are fitted to the documents' labels by logistic regression. In both fits a document
@@ -181,14 +182,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     rows = sample.mapInArrow(sequences, "toxic int, n long, places array<long>, found array<string>").collect()  # 2 * per_class rows at most
     docs_ = sorted((r["toxic"], r["n"], list(r["places"]), [[int(x) for x in f.split(",")] for f in r["found"]]) for r in rows)
-    theta, step, bias = _fit_field(docs_, len(index), each)
+    theta, step, bias = _fit_field(docs_, len(index), each, rounds, pull=pull)
     crf = Crf({f: float(theta[i]) for f, i in index.items()}, step, bias, [0.0] * 5, prior)
     x = np.array([(1.0, *document_features(crf.marginals([(p, float(sum(theta[i] for i in ids))) for p, ids in zip(places, found, strict=True)], n), n)) for _, n, places, found in docs_])
     crf.calibration = _fit_logistic(x, np.array([d[0] for d in docs_], float), np.array([each[d[0]] for d in docs_]))
     return crf
 
 
-def _fit_field(docs: list[tuple], n_features: int, each: dict[int, float], rounds: int = 150, l2: float = 0.005) -> tuple[np.ndarray, list[list[float]], float]:
+def cross_validate(docs: DataFrame, labels: DataFrame, settings: Sequence[tuple[float, int]], folds: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> list[tuple]:
+    """``(pull, rounds, loss)`` of each setting: the mean logarithmic loss of learning rows that a fit on the other folds scores. Rows of the held-out fold are neither fitted nor scored."""
+    known = materialize(labelled_ids(labels, id_col, label_col).withColumn("part", F.pmod(F.xxhash64("id", F.lit(31)), F.lit(folds))), "learning-labels")
+    out = []
+    for pull, rounds in settings:
+        total = n = 0.0
+        for part in range(folds):
+            own = known.where(F.col("part") != part).select(F.col("id").alias(id_col), F.col("toxic").alias(label_col))
+            crf = fit(docs, own, id_col, text_col, label_col, per_class, pull, rounds)
+            judged = known.where(F.col("part") == part).select(F.col("id").alias("judged_id"), "toxic")
+            met = docs.join(judged, F.col(id_col) == F.col("judged_id"), "left_semi")
+            scored = tag(met, crf, id_col, text_col).join(judged, F.col(id_col) == F.col("judged_id"))
+            p = F.least(F.greatest("score", F.lit(1e-6)), F.lit(1 - 1e-6))
+            row = scored.agg(F.sum(-F.when(F.col("toxic") == 1, F.log(p)).otherwise(F.log(1 - p))).alias("loss"), F.count("*").alias("n")).first()
+            total, n = total + (row["loss"] or 0.0), n + row["n"]
+        out.append((pull, rounds, total / n if n else math.nan))
+    return out
+
+
+def _fit_field(docs: list[tuple], n_features: int, each: dict[int, float], rounds: int = ROUNDS, l2: float = 0.005, pull: float = STEP_PRIOR) -> tuple[np.ndarray, list[list[float]], float]:
     """Maximum likelihood of the documents' labels, with hidden states. A document is clean with the chance P0 that all its tokens are in state 0, the product of its
     segments'. The gradient of log P0 is that of the path of zeros less what the field expects; of log(1 - P0) it is the same times
     -P0 / (1 - P0). Segments without features differ in their length only, so each length is worked on once. ``each``: the weight of a document of each class."""
@@ -211,8 +231,8 @@ def _fit_field(docs: list[tuple], n_features: int, each: dict[int, float], round
         parts = [_expected(params, n_features, *c) for c in chunks]
         log_zero = np.concatenate([p[0] for p in parts])
         zero = np.exp(np.minimum(blank @ log_zero[:SEGMENT] + np.bincount(owner_, log_zero[SEGMENT:], len(docs)), -1e-6))
-        pull = weights * np.where(toxic, zero / (1 - zero), -1.0)
-        of_segments = np.concatenate([pull @ blank, pull[owner_]])
+        share = weights * np.where(toxic, zero / (1 - zero), -1.0)
+        of_segments = np.concatenate([share @ blank, share[owner_]])
         grad, at = np.zeros(len(params)), 0
         for (_, pairs, on, at_hits), (lengths, row, _, feat) in zip(parts, chunks, strict=True):
             own = of_segments[at : at + len(lengths)]
@@ -222,7 +242,7 @@ def _fit_field(docs: list[tuple], n_features: int, each: dict[int, float], round
             grad[-1] += on @ own
             grad[:n_features] += np.bincount(feat, at_hits * own[row], n_features)
         grad = grad / weights.sum() - l2 * params / len(params) ** 0.5
-        grad[n_features:-1] -= STEP_PRIOR * params[n_features:-1]
+        grad[n_features:-1] -= pull * params[n_features:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         params = params + 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return params[:n_features], params[n_features:-1].reshape(2, 2).tolist(), float(params[-1])

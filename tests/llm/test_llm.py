@@ -550,6 +550,17 @@ def test_toxicity_scores_keep_the_natural_prior_under_a_cap(spark):
     assert all(0.2 < s < 0.7 for s in scores), scores
 
 
+def test_cross_validation_sees_learning_rows_only(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["fine", "day", "tree", "river", "stone"]) for _ in range(12)) + (" vile scum" if i % 4 == 0 else "")) for i in range(240)]
+    df, known = docs(spark, rows), [(i, int(i % 4 == 0)) for i in range(240)]
+    lab = lambda turned: spark.createDataFrame([(i, 1 - t if turned and zlib.crc32(str(i).encode()) % 3 == 1 else t) for i, t in known], "doc_id long, toxic int")
+    settings = [(0.02, 40), (0.02, 1)]
+    plain = toxicity.cross_validate(df, lab(False), settings, folds=2)
+    assert [r[:2] for r in plain] == settings and plain[0][2] < plain[1][2] < 1
+    assert toxicity.cross_validate(df, lab(True), settings[:1], folds=2)[0][2] == pytest.approx(plain[0][2], abs=1e-9)  # labels of the held-out fold change nothing
+
+
 def test_the_field_learns_from_all_segments():
     toxic = [(1, 48 * 6, [0, 48, 96, 144, 245], [[0], [0], [0], [0], [1]])] * 20  # feature 1 far in the text
     clean = [(0, 48 * 5, [0, 48, 96, 144], [[0], [0], [0], [0]])] * 20
