@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions.bins import qcut, tertile_boundaries
-from quernel.functions.scalars import action_hint, band_position, label_flags
+from quernel.functions.scalars import action_hint, band_position, finite, label_flags
 from quernel.operators.aggregates import best_bin, correlations, dose_response, hinge_search, rule_priority, unpivot
 from quernel.operators.joins import rule_matches
 from quernel.operators.series import chronological_split, join_small, quantiles_of
@@ -95,12 +95,19 @@ def synthesize(summary: DataFrame) -> DataFrame:
 ACCEPTED, MONITORED, REJECTED = "accept_for_manual_case_review", "monitor_only", "reject"
 
 
-def mine_rules(df: DataFrame, features: Sequence[str], dose: str, label: str, order: Sequence[str], bins: int = 5, least: int = 20) -> DataFrame:
+# What a risk note says that rules a regime out.
+RISK_WORDS = ("high_t90_risk", "low_t90_risk")
+
+
+def mine_rules(df: DataFrame, features: Sequence[str], dose: str, label: str, order: Sequence[str], bins: int = 5, least: int = 20, suspicious: Sequence[str] = (), notes: DataFrame | None = None) -> DataFrame:
     """The best dose bin of each regime as a rule, graded by its samples and how its rates differ from those of all rows, and held against the last fifth of the rows.
 
     Grades need 100 rows, a lift of 0.05 and no rise of the high rate (A), 80 rows and 0.03 (B), or 50 rows and any lift (C); A and B are accepted, C is monitored. ``time_stable``: the
     rule's last rows (10 at least) have an ok rate no lower than all last rows and high and low rates at most 0.02 above. An accepted rule that is worse there, or
     has too few rows there, is only monitored. ``avoid_high_dose`` marks regimes whose highest bin has a raised high rate.
+
+    Features whose interaction with the dose is ``suspicious`` (see ``interaction_audit``) earn no A. A regime with a risk note, ``(feature, regime, note)`` rows that hold one of RISK_WORDS, is rejected.
+    ``evidence`` says why a rule has its grade before the last rows are looked at.
     """
     flagged = df.withColumns(label_flags(F.col(label)))
     response = regime_response(df, features, dose, label, bins)
@@ -110,15 +117,23 @@ def mine_rules(df: DataFrame, features: Sequence[str], dose: str, label: str, or
     highest = response.groupBy("feature", "regime").agg(F.max_by(F.struct(F.col("n").alias("n"), F.col("y_high_rate").alias("high")), "bin").alias("last"))
     out = best.join(response, ["feature", "regime", "bin"]).join(highest, ["feature", "regime"]).crossJoin(F.broadcast(every))  # one row
     lift, high, low, n = F.col("y_ok_rate") - F.col("all_ok"), F.col("y_high_rate") - F.col("all_high"), F.col("y_low_rate") - F.col("all_low"), F.col("n")
-    grade = first_match([
-        ((n < 50) | (high > 0.05) | (low > 0.03), "Reject"),
-        ((n >= 100) & (lift >= 0.05) & (high <= 0) & (low <= 0.01), "A"),
-        ((n >= 80) & (lift >= 0.03) & (high <= 0.02) & (low <= 0.02), "B"),
-        (lift > 0, "C"),
-    ], "Reject")
+    noted = F.lit(False)
+    if notes is not None:
+        risks = notes.where(" or ".join(f"contains(note, '{w}')" for w in RISK_WORDS)).select("feature", "regime").distinct().withColumn("noted", F.lit(True))
+        out, noted = out.join(risks, ["feature", "regime"], "left"), F.coalesce(F.col("noted"), F.lit(False))
+    plain = ~F.col("feature").isin(*suspicious) if suspicious else F.lit(True)
+    # fixed values: the words of the evidence
+    cases = [
+        (n < 50, "Reject", "insufficient support"), (high > 0.05, "Reject", "high-T90 risk worsens"), (low > 0.03, "Reject", "low-T90 risk worsens"), (noted, "Reject", "risk note indicates elevated risk"),
+        ((n >= 100) & (lift >= 0.05) & (high <= 0) & (low <= 0.01) & plain, "A", "strong historical regime band"),
+        ((n >= 80) & (lift >= 0.03) & (high <= 0.02) & (low <= 0.02), "B", "moderate historical regime band"),
+        (lift > 0, "C", "positive but weaker historical regime band"),
+    ]
+    grade = first_match([(when, name) for when, name, _ in cases], "Reject")
+    evidence = first_match([(when, why) for when, _, why in cases], "unstable or contradictory evidence")
     risky = (F.col("last.high") >= F.col("all_high") + 0.05) & (F.col("last.high") >= F.col("y_high_rate") + 0.05)
     rules = out.select(F.concat_ws(":", "feature", "regime").alias("rule_id"), "feature", F.col("regime").alias("bin"), "dose_min", "dose_max", grade.alias("grade"), n.cast("int").alias("sample_count"),
-        F.col("y_ok_rate").alias("ok_rate"), F.col("y_high_rate").alias("high_rate"), F.col("y_low_rate").alias("low_rate"), lift.alias("ok_lift"), high.alias("high_delta"), low.alias("low_delta"), (risky & (F.col("last.n") >= 20)).alias("avoid_high_dose"))
+        F.col("y_ok_rate").alias("ok_rate"), F.col("y_high_rate").alias("high_rate"), F.col("y_low_rate").alias("low_rate"), lift.alias("ok_lift"), high.alias("high_delta"), low.alias("low_delta"), (risky & (F.col("last.n") >= 20)).alias("avoid_high_dose"), evidence.alias("evidence"))
 
     late = chronological_split(flagged, [], order).where("split = 'test'")
     overall = late.agg(rate("y_ok", "late_all_ok"), rate("y_high", "late_all_high"), rate("y_low", "late_all_low"))
@@ -133,7 +148,39 @@ def mine_rules(df: DataFrame, features: Sequence[str], dose: str, label: str, or
     accepted = F.col("grade").isin("A", "B")
     status = first_match([(F.col("grade") == "Reject", REJECTED), (accepted & ~few & ~unstable, ACCEPTED)], MONITORED)
     held = held.withColumns({"few_late": few, "unstable": unstable, "time_stable": stable, "status": status, "grade": F.when(accepted & unstable, "C").otherwise(F.col("grade"))})
-    return held.select("rule_id", "feature", "bin", "dose_min", "dose_max", "grade", "status", "time_stable", "unstable", F.col("few_late").alias("few_late_rows"), "sample_count", "ok_rate", "high_rate", "low_rate", "ok_lift", "high_delta", "low_delta", "avoid_high_dose")
+    return held.select("rule_id", "feature", "bin", "dose_min", "dose_max", "grade", "status", "time_stable", "unstable", F.col("few_late").alias("few_late_rows"), "sample_count", "ok_rate", "high_rate", "low_rate", "ok_lift", "high_delta", "low_delta", "avoid_high_dose", "evidence")
+
+
+def risk_context(df: DataFrame, features: Sequence[str], context: str, label: str, least_share: float = 0.30, least: int = 10, spread: float = 0.05) -> DataFrame:
+    """What another measurement, which few rows have, tells inside each regime: ``(feature, regime, available_rate, context_mean, context_median, tertiles, least_rows, high_spread, out_spread, available,
+    useful, low_support)``. Rows of a regime are cut into tertiles of ``context`` there; spreads are between the highest and the lowest rate of the tertiles. It is of use if ``least_share`` of the rows
+    have it, each tertile has ``least`` rows and a spread reaches ``spread``. Regimes without the measurement have null spreads."""
+    rows = regime_rows(df.withColumn("__context", finite(F.col(context).cast("double"))), features, "__context", label).where("label is not null").withColumnRenamed("dose", "context")
+    keys = ["feature", "regime"]
+    base = rows.groupBy(*keys).agg(F.avg(F.col("context").isNotNull().cast("int")).alias("available_rate"), F.avg("context").alias("context_mean"))
+    base = join_small(base, quantiles_of(rows, ["context"], (0.5,), keys).select(*keys, F.col("context")[0].alias("context_median")), keys, "left")
+    parts = qcut(rows.where("context is not null"), "context", 3, keys).where("bin is not null").groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg("y_high").alias("high"), F.avg("y_out_spec").alias("out"))
+    spreads = parts.groupBy(*keys).agg(F.count("*").cast("int").alias("tertiles"), F.min("n").alias("least_rows"), (F.max("high") - F.min("high")).alias("high_spread"), (F.max("out") - F.min("out")).alias("out_spread"))
+    out = join_small(base, spreads, keys, "left").fillna(0, ["tertiles", "least_rows"])
+    available = F.col("available_rate") >= least_share
+    useful = F.coalesce(available & (F.col("least_rows") >= least) & ((F.col("high_spread") >= spread) | (F.col("out_spread") >= spread)), F.lit(False))
+    return out.withColumns({"available": available, "useful": useful, "low_support": ~useful})
+
+
+# Outcomes of an interaction's audit.
+STABLE, SUSPICIOUS, FEW_POSITIVES, NOT_PASSED = "stable_candidate", "suspicious_large_delta", "insufficient_positive_support", "rejected"
+
+
+def interaction_audit(interactions: DataFrame, regimes: DataFrame, large: float = 0.25, positives: int = 10, least: int = 120, ok_rate: float = 0.90) -> DataFrame:
+    """Adds ``positive_count``, ``supported`` and ``status`` to interactions ``(feature, target, delta_auc, delta_ap, passed, positive_rate, n)``. One that passed its screen is a stable candidate unless the
+    test rows hold too few positives, or its gain is suspiciously large and no regime of its feature with ``least`` rows has an ok rate of ``ok_rate``. ``regimes`` has feature, n and ok_rate."""
+    known = regimes.where((F.col("n") >= least) & (F.col("ok_rate") >= ok_rate)).select("feature").distinct().withColumn("supported", F.lit(True))
+    out = interactions.join(known, "feature", "left").withColumn("supported", F.coalesce("supported", F.lit(False)))
+    count = F.col("positive_rate") * F.col("n")
+    few = F.coalesce(count < positives, F.lit(False))
+    high = F.coalesce(F.col("delta_auc") > large, F.lit(False)) | F.coalesce(F.col("delta_ap") > large, F.lit(False))
+    passed = F.coalesce(F.col("passed"), F.lit(False))
+    return out.withColumns({"positive_count": count, "status": first_match([(passed & ~few & (~high | F.col("supported")), STABLE), (high, SUSPICIOUS), (few, FEW_POSITIVES)], NOT_PASSED)})
 
 
 def _median(xs: Column) -> Column:

@@ -457,11 +457,25 @@ judged AS (SELECT feature, regime, dose_min, dose_max, n, ok, high, low, ok - ao
 graded AS (SELECT *, CASE WHEN n < 50 OR hd > 0.05 OR ld > 0.03 THEN 'Reject' WHEN n >= 100 AND lift >= 0.05 AND hd <= 0 AND ld <= 0.01 THEN 'A' WHEN n >= 80 AND lift >= 0.03 AND hd <= 0.02 AND ld <= 0.02 THEN 'B' WHEN lift > 0 THEN 'C' ELSE 'Reject' END AS g FROM judged)
 SELECT feature || ':' || regime AS rule_id, feature, regime AS bin, dose_min, dose_max, CASE WHEN g IN ('A', 'B') AND worse AND NOT few THEN 'C' ELSE g END AS grade,
   CASE WHEN g = 'Reject' THEN 'reject' WHEN g IN ('A', 'B') AND NOT few AND NOT worse THEN 'accept_for_manual_case_review' ELSE 'monitor_only' END AS status, fine AND NOT few AS time_stable, worse AND NOT few AS unstable, few AS few_late_rows,
-  n::INT AS sample_count, round(ok, 6) AS ok_rate, round(high, 6) AS high_rate, round(low, 6) AS low_rate, round(lift, 6) AS ok_lift, round(hd, 6) AS high_delta, round(ld, 6) AS low_delta, avoid AS avoid_high_dose FROM graded""")
+  n::INT AS sample_count, round(ok, 6) AS ok_rate, round(high, 6) AS high_rate, round(low, 6) AS low_rate, round(lift, 6) AS ok_lift, round(hd, 6) AS high_delta, round(ld, 6) AS low_delta, avoid AS avoid_high_dose,
+  CASE WHEN n < 50 THEN 'insufficient support' WHEN hd > 0.05 THEN 'high-T90 risk worsens' WHEN ld > 0.03 THEN 'low-T90 risk worsens' WHEN n >= 100 AND lift >= 0.05 AND hd <= 0 AND ld <= 0.01 THEN 'strong historical regime band'
+    WHEN n >= 80 AND lift >= 0.03 AND hd <= 0.02 AND ld <= 0.02 THEN 'moderate historical regime band' WHEN lift > 0 THEN 'positive but weaker historical regime band' ELSE 'unstable or contradictory evidence' END AS evidence FROM graded""")
 def dom05_mine_rules(spark, sf_dir):
     return rounded(R.mine_rules(samples(spark, sf_dir), ["f1", "f2"], "dose", "label", ["time", "id"]))
 
 
+@query(f"""WITH {RULES}, reg AS (SELECT id, feature, CASE WHEN x <= q[1] THEN 'low' WHEN x <= q[2] THEN 'mid' ELSE 'high' END AS regime, CASE WHEN id % 3 <> 0 THEN dose % 777 END AS c, y_high, y_out_spec FROM long JOIN bounds USING (feature) JOIN samples USING (id)),
+e AS (SELECT feature, regime, list_sort(list_distinct(quantile_cont(c, [0.0, 1/3::DOUBLE, 2/3::DOUBLE, 1.0]))) AS e FROM reg GROUP BY 1, 2),
+part AS (SELECT feature, regime, b, count(*) AS n, avg(y_high) AS high, avg(y_out_spec) AS oos FROM (SELECT reg.*, greatest(len(list_filter(e, lambda q: q < c)) - 1, 0) AS b FROM reg JOIN e USING (feature, regime) WHERE c IS NOT NULL) GROUP BY 1, 2, 3),
+s AS (SELECT feature, regime, count(*)::INT AS tertiles, min(n) AS least_rows, max(high) - min(high) AS hs, max(oos) - min(oos) AS os FROM part GROUP BY 1, 2),
+base AS (SELECT feature, regime, avg((c IS NOT NULL)::INT) AS rate, avg(c) AS mean, quantile_cont(c, 0.5) AS median FROM reg GROUP BY 1, 2),
+judged AS (SELECT *, rate >= 0.3 AS available, rate >= 0.3 AND least_rows >= 10 AND (hs >= 0.05 OR os >= 0.05) AS useful FROM base JOIN s USING (feature, regime))
+SELECT feature, regime, round(rate, 6) AS available_rate, round(mean, 6) AS context_mean, round(median, 6) AS context_median, tertiles, least_rows, round(hs, 6) AS high_spread, round(os, 6) AS out_spread, available, useful, NOT useful AS low_support FROM judged""")
+def dom05_risk_context(spark, sf_dir):
+    s = samples(spark, sf_dir).withColumn("context", F.when(F.col("id") % 3 != 0, F.col("dose") % 777))
+    return rounded(R.risk_context(s, ["f1", "f2"], "context", "label"))
+
+
 @query(f"""WITH {RECOMMENDED} {SPLIT}, hit AS (SELECT rule_id, late.* FROM matched JOIN late USING (id)), e AS (SELECT rule_id, list_sort(list_distinct(quantile_cont(dose, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e FROM hit GROUP BY 1),
 bands AS (SELECT rule_id, b, count(*) AS n, min(dose) AS lo, max(dose) AS hi, avg(y_ok) AS ok, avg(y_high) AS high, avg(y_low) AS low FROM (SELECT hit.*, greatest(len(list_filter(e, lambda q: q < dose)) - 1, 0) AS b FROM hit JOIN e USING (rule_id)) GROUP BY 1, 2 HAVING count(*) >= 10),
 best AS (SELECT rule_id AS first_rule, lo AS omin, hi AS omax, (lo + hi) / 2 AS otarget, ok AS bok, high AS bhigh, low AS blow FROM bands QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY ok DESC, high, low, n DESC, b) = 1),

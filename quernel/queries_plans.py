@@ -10,7 +10,7 @@ from quernel.functions import scalars as S
 from quernel.operators import aggregates as A
 from quernel.operators import series as W
 from quernel.operators import text as X
-from quernel.operators import positions
+from quernel.operators import positions, smooth
 from quernel.operators.prefix import prefix_quantiles
 from quernel.plans import clean, features, policy, rules, validation
 from quernel import queries as base
@@ -178,8 +178,21 @@ def wn07_runtime_means(spark, sf_dir):
 
 @query("SELECT event_id, round(quantile_cont(value, 0.5) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING), 6) AS smooth FROM events")
 def wn16_smooth(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-7, 7)
-    return table(spark, sf_dir, "events").select("event_id", r6(F.percentile("value", F.lit(0.5)).over(w)).alias("smooth"))
+    out = smooth.centred_median(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", 15, 1)
+    return rounded(out.select("event_id", "smooth"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, (epoch_us(ts) - 1704067200000000) / 86400000000.0::DOUBLE AS x, value AS y FROM events WHERE value IS NOT NULL AND ts IS NOT NULL),
+d AS (SELECT a.event_id, a.x AS x0, b.x, b.y, abs(b.x - a.x) AS d, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(b.x - a.x)) AS rn FROM e a JOIN e b USING (user_id)),
+reached AS (SELECT *, max(d) FILTER (rn <= 9) OVER (PARTITION BY event_id) AS reach FROM d),
+weighed AS (SELECT *, CASE WHEN reach > 0 THEN pow(1 - pow(least(d / reach, 1), 3), 3) WHEN rn <= 9 THEN 1 ELSE 0 END AS w FROM reached),
+means AS (SELECT *, sum(w) OVER p AS sw, sum(w * x) OVER p / sum(w) OVER p AS mx, sum(w * y) OVER p / sum(w) OVER p AS my FROM weighed WINDOW p AS (PARTITION BY event_id)),
+sums AS (SELECT event_id, any_value(x0) AS x0, any_value(reach) AS reach, any_value(sw) AS sw, any_value(mx) AS mx, any_value(my) AS my, sum(w * (x - mx) * (x - mx)) AS sxx, sum(w * (x - mx) * (y - my)) AS sxy FROM means GROUP BY event_id)
+SELECT event_id, round(my + CASE WHEN sxx > 1e-12 * sw * reach * reach THEN sxy / sxx ELSE 0 END * (x0 - mx), 4) AS smooth FROM sums""")
+def wn16_lowess(spark, sf_dir):
+    """One pass over nine rows; the robust passes are tested against plain loops."""
+    e = table(spark, sf_dir, "events").where("value is not null and ts is not null").select("event_id", "user_id", "value", ((F.unix_micros(F.col("ts").cast("timestamp")) - 1_704_067_200_000_000) / 86_400_000_000.0).alias("x"))
+    return smooth.lowess(e, "x", "value", 9, ["user_id"], 0).select("event_id", F.round("smooth", 4).alias("smooth"))
 
 
 VISIBLE = "WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND 86400000000 PRECEDING)"
