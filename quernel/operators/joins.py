@@ -44,6 +44,29 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, r
     return out.select("row.*", *[F.col(f"best.v.{c}").alias(c) for c in values], F.col(f"best.v.{right_ts}").alias("match_ts"), (F.col("best.t") - F.col("t")).alias("match_delta_s"))
 
 
+def nearest(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, values: Sequence[str], later_on_tie: bool = False, width_s: float = 86_400.0) -> DataFrame:
+    """Each left row with the values of the right row nearest in time, however far. Time is cut into buckets; each bucket's first and last right rows are carried to the left rows of the buckets beside it,
+    over empty ones too. Ties go to the earlier row unless ``later_on_tie``; right rows of one time should be unique. Left rows without a time keep nulls."""
+    cols = left.columns
+    v = F.struct(seconds(F.col(right_ts)).alias("t"), F.struct(right_ts, *values).alias("v"))
+    r = right.where(F.col(right_ts).isNotNull()).select(v.alias("seen")).select(F.floor(F.col("seen.t") / width_s).alias("bucket"), F.col("seen.t").alias("t"), "seen")
+    l = left.select(F.struct(*cols).alias("row"), seconds(F.col(left_ts)).alias("t")).withColumn("bucket", F.floor(F.col("t") / width_s))
+    ends = r.groupBy("bucket").agg(F.max_by("seen", "t").alias("last"), F.min_by("seen", "t").alias("first"))
+    every = l.select("bucket").where("bucket is not null").distinct().join(ends, "bucket", "full")
+    w = Window.orderBy("bucket")  # a row a bucket
+    every = every.select("bucket", F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    both = l.select("row", "t", "bucket", F.lit(None).cast(r.schema["seen"].dataType).alias("seen")).unionByName(r.select(F.lit(None).cast(l.schema["row"].dataType).alias("row"), "t", "bucket", "seen"))
+    inner = Window.partitionBy("bucket").orderBy("t", F.col("row").isNotNull())
+    both = both.withColumns({"prev": F.last("seen", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)), "next": F.first("seen", ignorenulls=True).over(inner.rowsBetween(0, Window.unboundedFollowing))})
+    out = both.where(F.col("row").isNotNull()).join(every, "bucket", "left")
+    prev, after = F.coalesce("prev", "earlier"), F.coalesce("next", "later")
+    d1, d2 = F.col("t") - prev["t"], after["t"] - F.col("t")
+    ahead = d1.isNull() | ((d2 <= d1) if later_on_tie else (d2 < d1))
+    best = F.when(F.col("t").isNotNull(), F.when(after.isNotNull() & ahead, after).otherwise(prev))
+    out = out.withColumn("best", best)
+    return out.select("row.*", *[F.col(f"best.v.{c}").alias(c) for c in values], F.col(f"best.v.{right_ts}").alias("match_ts"), (F.col("best.t") - F.col("t")).alias("match_delta_s"))
+
+
 def lag_lookup(left: DataFrame, right: DataFrame, ts: str, value: str, offsets_min: Sequence[int], name: str) -> DataFrame:
     """The right value at left time minus each offset, as one column an offset. Right rows are shifted by every offset and put side by side by
     the time they serve, so that one equi-join does all offsets. Times of ``right`` must be unique."""

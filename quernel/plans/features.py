@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions.scalars import safe_ratio, seconds
-from quernel.operators.joins import asof, windows_at
+from quernel.operators.joins import asof, nearest, windows_at
 from quernel.operators.series import keep_last, range_frame
 
 
@@ -35,12 +35,14 @@ def runtime_ratio(wide: DataFrame, ts: str, top: str, bottom: str, window_min: f
     return runtime_means(wide.withColumn("__r", safe_ratio(F.col(top), F.col(bottom))), [], ts, "__r", window_min, least).withColumnRenamed("window_mean", "ratio_mean").drop("__r")
 
 
-def on_grid(points: DataFrame, ts: str, value: str, step_s: int, tolerance_s: float) -> DataFrame:
-    """The nearest value on a regular grid over the points' span; of two at the same distance the later. The grid is a sequence
+def on_grid(points: DataFrame, ts: str, value: str, step_s: int, tolerance_s: float | None = None) -> DataFrame:
+    """The nearest value on a regular grid over the points' span, within the tolerance or, without one, however far; of two at the same distance the later. The grid is a sequence
     between the two ends, one row of bounds."""
     ends = points.agg(F.floor(seconds(F.min(ts)) / step_s).alias("a"), F.floor(seconds(F.max(ts)) / step_s).alias("b"))
     grid = ends.select(F.explode(F.sequence(F.col("a"), F.col("b"))).alias("i")).select(F.timestamp_seconds(F.col("i") * step_s).cast("timestamp_ntz").alias("grid_ts"))
     right = keep_last(points.select(ts, value), [ts], [F.col(value)])
+    if tolerance_s is None:
+        return nearest(grid, right, "grid_ts", ts, [value], later_on_tie=True)
     return asof(grid, right, [], "grid_ts", ts, [value], tolerance_s, later_on_tie=True)
 
 

@@ -148,6 +148,11 @@ def jn08_nearest_on_grid(spark, sf_dir):
     return features.on_grid(table(spark, sf_dir, "events").where("event_type = 'view'"), "ts", "value", 3600, 7200.0).select("grid_ts", "value", "match_ts")
 
 
+@query(GRID.replace("'view'", "'error'") + """ SELECT to_timestamp(g.t) AT TIME ZONE 'UTC' AS grid_ts, p.v AS value, p.ts AS match_ts FROM g LEFT JOIN LATERAL (SELECT v, ts FROM p ORDER BY abs(p.t - g.t), p.t DESC LIMIT 1) p ON true""")
+def jn08_without_tolerance(spark, sf_dir):
+    return features.on_grid(table(spark, sf_dir, "events").where("event_type = 'error'"), "ts", "value", 3600).select("grid_ts", "value", "match_ts")
+
+
 @query("SELECT count(*) AS n, min(score) AS least, max(score) AS most FROM (SELECT a * 100 + b * 10 + c AS score FROM range(3) x(a), range(4) y(b), range(5) z(c))")
 def jn19_setting_grid(spark, sf_dir):
     rows = policy.grid({"a": range(3), "b": range(4), "c": range(5)})
