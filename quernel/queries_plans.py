@@ -342,7 +342,12 @@ def dom10_alignment_sweep(spark, sf_dir):
     return rounded(met.groupBy("offset").agg(F.count("c").alias("n"), F.corr("v", "c").alias("r")))
 
 
-@query()
+@query("""WITH lab AS (SELECT event_id AS id, epoch_us(ts) AS a, value AS label FROM events WHERE event_type = 'error' AND value IS NOT NULL),
+pts AS (SELECT event_type AS tag, epoch_us(ts) AS t, max(value) AS v FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2),
+lags(scenario, tag, lag) AS (VALUES ('uniform_60', 'view', 60), ('uniform_60', 'click', 60), ('piecewise', 'view', 165), ('piecewise', 'click', 174)),
+shifted AS (SELECT scenario, tag, t + lag::BIGINT * 60000000 AS t, v FROM lags JOIN pts USING (tag)),
+met AS (SELECT scenario, tag, id, label, v FROM lab JOIN shifted ON t BETWEEN a - 1800000000 AND a + 1800000000 QUALIFY row_number() OVER (PARTITION BY scenario, tag, id ORDER BY abs(t - a), t) = 1)
+SELECT scenario, tag AS x, 'label' AS y, count(*) AS n, round(corr(v, label), 6) AS r FROM met WHERE v IS NOT NULL GROUP BY 1, 2""")
 def dom11_lag_scenarios(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     labels = e.where("event_type = 'error'").select(F.col("event_id").alias("id"), F.col("ts").alias("anchor"), F.col("value").alias("label"))
@@ -350,7 +355,7 @@ def dom11_lag_scenarios(spark, sf_dir):
     out = None
     for name, lags in {"uniform_60": {"view": 60, "click": 60}, "piecewise": {"view": 165, "click": 174}}.items():
         d = features.shifted_design(labels, points, lags, "ts", "value", 1800)
-        r = A.correlations(d, [("view", "label"), ("click", "label")]).withColumn("scenario", F.lit(name))
+        r = A.correlations(d, [("view", "label"), ("click", "label")]).drop("p").withColumn("scenario", F.lit(name))
         out = r if out is None else out.unionByName(r)
     return rounded(out)
 
