@@ -84,6 +84,7 @@ def synthesize(summary: DataFrame) -> DataFrame:
     none = F.col("regimes") == 0
     broad = (F.col("threshold") >= 5) & (F.col("positive") >= 10)
     local = (F.col("high_dose_risk") >= 5) | (F.col("threshold") >= 3)
+    # fixed values: types of relation, next steps
     relation = first_match([(none, "insufficient_support"), (broad, "broadly_consistent"), (local, "context_specific")], "weak_or_unstable")
     step = first_match([
         (none, "insufficient_data"), (broad, "use_relation_as_supporting_evidence_for_safe_band"), (local, "investigate_context_specific_thresholds"),
@@ -122,7 +123,7 @@ def mine_rules(df: DataFrame, features: Sequence[str], dose: str, label: str, or
         risks = notes.where(" or ".join(f"contains(note, '{w}')" for w in RISK_WORDS)).select("feature", "regime").distinct().withColumn("noted", F.lit(True))
         out, noted = out.join(risks, ["feature", "regime"], "left"), F.coalesce(F.col("noted"), F.lit(False))
     plain = ~F.col("feature").isin(*suspicious) if suspicious else F.lit(True)
-    # fixed values: the words of the evidence
+    # fixed values: the limits of the grades and the words of the evidence
     cases = [
         (n < 50, "Reject", "insufficient support"), (high > 0.05, "Reject", "high-T90 risk worsens"), (low > 0.03, "Reject", "low-T90 risk worsens"), (noted, "Reject", "risk note indicates elevated risk"),
         ((n >= 100) & (lift >= 0.05) & (high <= 0) & (low <= 0.01) & plain, "A", "strong historical regime band"),
