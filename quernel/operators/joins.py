@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions.scalars import seconds
+from quernel.operators.series import frame_stats
 
 
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, values: Sequence[str], tolerance_s: float, direction: str = "nearest", later_on_tie: bool = False) -> DataFrame:
@@ -93,17 +94,9 @@ def full_outer(frames: Mapping[str, DataFrame], key: str, value: str) -> DataFra
     return long.groupBy(key).pivot("__name", list(frames)).agg(F.avg("__value"))
 
 
-def windows_at(anchors: DataFrame, points: DataFrame, keys: Sequence[str], anchor_ts: str, ts: str, before_s: float, aggregates: Mapping[str, Column]) -> DataFrame:
-    """Aggregates of the points in (anchor - before, anchor] for each anchor row; anchors without points keep nulls and zero counts.
-
-    Both sides meet on time buckets as wide as the frame: an anchor looks into its bucket and the one before, then the exact
-    range is tested and the points are aggregated by anchor. ``anchors`` needs an ``id`` column.
-    """
-    a = anchors.withColumn("__t", seconds(F.col(anchor_ts))).withColumn("__b", F.floor(F.col("__t") / before_s)).withColumn("__b", F.explode(F.array(F.col("__b") - 1, F.col("__b"))))
-    p = points.withColumn("__pt", seconds(F.col(ts))).withColumn("__b", F.floor(F.col("__pt") / before_s))
-    met = a.select("id", *keys, "__t", "__b").join(p, [*keys, "__b"]).where((F.col("__pt") > F.col("__t") - before_s) & (F.col("__pt") <= F.col("__t")))
-    sums = met.groupBy("id").agg(*[c.alias(n) for n, c in aggregates.items()])
-    return anchors.join(sums, "id", "left")
+def windows_at(anchors: DataFrame, points: DataFrame, keys: Sequence[str], anchor_ts: str, ts: str, before_s: float, value: str, stats: Mapping[str, str]) -> DataFrame:
+    """Statistics (see ``series.frame_stats``) of the points in (anchor - before, anchor] for each anchor row; anchors without points keep nulls and zero counts, as do those without a time."""
+    return frame_stats(anchors, points.where(F.col(ts).isNotNull()), keys, anchor_ts, ts, before_s, value, dict(stats), left_open=True)
 
 
 def rule_matches(rows: DataFrame, rules: DataFrame, boundaries: DataFrame, features: Sequence[str]) -> DataFrame:

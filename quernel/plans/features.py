@@ -9,25 +9,22 @@ from pyspark.sql import functions as F
 
 from quernel.functions.scalars import safe_ratio, seconds
 from quernel.operators.joins import asof, nearest, windows_at
-from quernel.operators.series import keep_last, range_frame
+from quernel.operators.series import frame_stats, keep_last
 
 
 def anchored_stats(anchors: DataFrame, points: DataFrame, ts: str, value: str, lag_min: float, window_min: float, prefix: str) -> DataFrame:
     """For each anchor row (``id``, ``anchor``): statistics of the points in (anchor - lag - window, anchor - lag]: mean, deviation, extremes, range, slope per minute
     and share of missing minutes."""
     shifted = anchors.withColumn("__at", F.col("anchor") - F.make_dt_interval(mins=F.lit(int(lag_min))))
-    v = F.col(value)
-    minutes = seconds(F.col(ts)) / 60
-    aggs = {"n": F.count(v), "rows": F.count("*"), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v), "slope": F.regr_slope(v, minutes - 28_000_000)}
-    out = windows_at(shifted, points, [], "__at", ts, window_min * 60, aggs)
-    n, rows = F.coalesce("n", F.lit(0)), F.coalesce("rows", F.lit(0))
+    out = windows_at(shifted, points, [], "__at", ts, window_min * 60, value, {k: k for k in ("n", "rows", "mean", "std", "min", "max", "slope")})
+    n, rows = F.col("n"), F.col("rows")
     named = {"mean": F.col("mean"), "std": F.col("std"), "min": F.col("min"), "max": F.col("max"), "range": F.col("max") - F.col("min"), "slope": F.when(n >= 2, F.col("slope")), "missing_rate": 1 - n / F.greatest(F.lit(window_min), rows)}
     return out.select(*anchors.columns, *[c.alias(f"{prefix}_{k}") for k, c in named.items()])
 
 
 def runtime_means(points: DataFrame, keys: list[str], ts: str, value: str, window_min: float = 60, least: int = 30) -> DataFrame:
     """Mean of the closed window [t - window, t] at each point, null below ``least`` values."""
-    out = range_frame(points, keys, ts, window_min * 60, {"__n": F.count(value), "__m": F.avg(value)})
+    out = frame_stats(points, points, keys, ts, ts, window_min * 60, value, {"__n": "n", "__m": "mean"})
     return out.withColumn("window_mean", F.when(F.col("__n") >= least, F.col("__m"))).drop("__n", "__m")
 
 
