@@ -26,12 +26,13 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, r
     reach = [F.floor((F.col("t") + d) / width) for d in (-tolerance_s, tolerance_s)]
     r = r.withColumn("bucket", F.explode(F.sequence(reach[0].cast("bigint"), reach[1].cast("bigint"))))
     both = l.unionByName(r)
-    # right rows come first among equal times
-    w = Window.partitionBy(*[f"k{i}" for i in range(len(keys))], "bucket").orderBy("t", F.col("row").isNotNull())
+    # right rows come first among equal times; what follows is what came before in the reverse order, as a frame up to the end is read anew for each row
+    by = Window.partitionBy(*[f"k{i}" for i in range(len(keys))], "bucket")
+    w, back_to_front = by.orderBy("t", F.col("row").isNotNull()), by.orderBy(F.desc("t"), F.col("row").isNull())
     seen = F.when(F.col("v").isNotNull(), F.struct("v", "t"))
     both = both.withColumn("prev", F.last(seen, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     if direction == "nearest":
-        both = both.withColumn("next", F.first(seen, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+        both = both.withColumn("next", F.last(seen, ignorenulls=True).over(back_to_front.rowsBetween(Window.unboundedPreceding, 0)))
     out = both.where(F.col("row").isNotNull())
     back = F.when(F.col("t") - F.col("prev.t") <= tolerance_s, F.col("prev"))
     if direction == "nearest":
@@ -54,11 +55,12 @@ def nearest(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, valu
     l = left.select(F.struct(*cols).alias("row"), seconds(F.col(left_ts)).alias("t")).withColumn("bucket", F.floor(F.col("t") / width_s))
     ends = r.groupBy("bucket").agg(F.max_by("seen", "t").alias("last"), F.min_by("seen", "t").alias("first"))
     every = l.select("bucket").where("bucket is not null").distinct().join(ends, "bucket", "full")
-    w = Window.orderBy("bucket")  # a row a bucket
-    every = every.select("bucket", F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    w, back_to_front = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    every = every.select("bucket", F.last("last", ignorenulls=True).over(w).alias("earlier"), F.last("first", ignorenulls=True).over(back_to_front).alias("later"))
     both = l.select("row", "t", "bucket", F.lit(None).cast(r.schema["seen"].dataType).alias("seen")).unionByName(r.select(F.lit(None).cast(l.schema["row"].dataType).alias("row"), "t", "bucket", "seen"))
-    inner = Window.partitionBy("bucket").orderBy("t", F.col("row").isNotNull())
-    both = both.withColumns({"prev": F.last("seen", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)), "next": F.first("seen", ignorenulls=True).over(inner.rowsBetween(0, Window.unboundedFollowing))})
+    by = Window.partitionBy("bucket")
+    orders = {"prev": by.orderBy("t", F.col("row").isNotNull()), "next": by.orderBy(F.desc("t"), F.col("row").isNull())}  # as in ``asof``
+    both = both.withColumns({k: F.last("seen", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for k, w in orders.items()})
     out = both.where(F.col("row").isNotNull()).join(every, "bucket", "left")
     prev, after = F.coalesce("prev", "earlier"), F.coalesce("next", "later")
     d1, d2 = F.col("t") - prev["t"], after["t"] - F.col("t")

@@ -45,3 +45,15 @@ def test_anchors_without_time_meet_nothing(spark):
     points = spark.createDataFrame([(None, 1.0), (T0 - timedelta(minutes=5), 2.0)], "ts timestamp_ntz, v double")
     got = {r["id"]: (r["x_mean"], r["x_missing_rate"]) for r in features.anchored_stats(anchors, points, "ts", "v", 2, 10, "x").collect()}
     assert got == {1: (None, 1.0), 2: (2.0, 0.9)}
+
+
+@pytest.mark.parametrize("how", ["asof", "nearest"])
+def test_no_frame_is_read_to_its_end_for_each_row(spark, how):
+    left, right = spark.createDataFrame([(1, T0)], "id long, at timestamp_ntz"), spark.createDataFrame([(T0, 1.0)], "ts timestamp_ntz, v double")
+    out = joins.asof(left, right, [], "at", "ts", ["v"], 600) if how == "asof" else joins.nearest(left, right, "at", "ts", ["v"])
+    assert "unboundedfollowing" not in out._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_interpolation_reads_no_frame_to_its_end_for_each_row(spark):
+    out = series.interpolate(spark.createDataFrame([(0, 1.0), (1, None), (2, 3.0)], "i int, v double"), [], ["i"], "v")
+    assert "unboundedfollowing" not in out._jdf.queryExecution().analyzed().toString().lower() and [r["v"] for r in out.orderBy("i").collect()] == [1.0, 2.0, 3.0]
