@@ -11,6 +11,7 @@ from quernel.functions.bins import edges, right_closed
 from quernel.functions.distributions import chi2_p, correlation_p, f_p
 from quernel.functions.scalars import finite
 from quernel.operators.series import join_small, quantiles, quantiles_of, value_ranks
+from quernel.sources.shared import materialize
 
 FLAGS = ("y_ok", "y_low", "y_high", "y_out_spec")
 
@@ -156,7 +157,7 @@ def hinge_search(df: DataFrame, x: str, y: str, candidates: int = 71, by: Sequen
     Each row is put into the bin between two candidates, and one aggregation of the bins' moments serves all candidates: their sums are those of the bins above."""
     flag = F.col(high).cast("double") if high else F.lit(None).cast("double")
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), flag.alias("__high"))
-    base = join_small(quantiles(rows, "x", [0.15 + 0.7 * i / (candidates - 1) for i in range(candidates)], by).withColumn("cs", F.array_distinct("q")).drop("q"), rows.groupBy(*by).agg(F.avg("x").alias("mx"), F.avg("y").alias("my")), by)
+    base = materialize(join_small(quantiles(rows, "x", [0.15 + 0.7 * i / (candidates - 1) for i in range(candidates)], by).withColumn("cs", F.array_distinct("q")).drop("q"), rows.groupBy(*by).agg(F.avg("x").alias("mx"), F.avg("y").alias("my")), by), "hinge-candidates")  # a row a group, read twice
     below = F.size(F.filter("cs", lambda c: c < F.col("x")))
     each = join_small(rows, base, by).select(*by, below.alias("__k"), (F.col("x") - F.col("mx")).alias("u"), (F.col("y") - F.col("my")).alias("v"), "__high")
     sums = {"n": F.count("*"), "u": F.sum("u"), "v": F.sum("v"), "uu": F.sum(F.col("u") * F.col("u")), "uv": F.sum(F.col("u") * F.col("v")), "vv": F.sum(F.col("v") * F.col("v")), "flags": F.sum("__high"), "flagged": F.count("__high")}
