@@ -25,6 +25,17 @@ def _prepare(features: Sequence[str]) -> list:
     return [Imputer(strategy="median", inputCols=list(features), outputCols=filled), VectorAssembler(inputCols=filled, outputCol="__x")]
 
 
+#: Training rows of one task, which holds them through all rounds.
+FIT_ROWS = 250_000
+
+
+def _dealt(train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns of a large training table dealt out evenly, so that a task's share doesn't grow with the table."""
+    parts = -(-train.count() // FIT_ROWS)
+    train = train.select(*dict.fromkeys(columns))
+    return train if parts <= 1 else train.repartition(parts)
+
+
 def fit_trees(train: DataFrame, features: Sequence[str], target: str, kind: str = "regression", seed: int = 0, rounds: int = 20, depth: int = 3) -> PipelineModel:
     """Boosted trees on median-filled features. A binary target of one class gives a model of its share."""
     if kind == "regression":
@@ -33,7 +44,7 @@ def fit_trees(train: DataFrame, features: Sequence[str], target: str, kind: str
         model = GBTRegressor(featuresCol="__x", labelCol=target, maxIter=1, maxDepth=1, seed=seed)
     else:
         model = GBTClassifier(featuresCol="__x", labelCol=target, maxIter=rounds, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[*_prepare(features), model]).fit(train)
+    return Pipeline(stages=[*_prepare(features), model]).fit(_dealt(train, [*features, target]))
 
 
 def fit_logistic(train: DataFrame, features: Sequence[str], target: str) -> PipelineModel:
