@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.operators.series import value_ranks
+from quernel.operators.series import present, running_sums
+from quernel.sources.shared import materialize
 
 
 def regression_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
@@ -16,14 +17,12 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) ->
 
 
 def ranking_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
-    """Average precision (steps, no trapezoids), ROC area and Brier score, from counts of each distinct score and the rows below it."""
+    """Average precision (steps, no trapezoids), ROC area and Brier score, from counts of each distinct score and the rows below it. Scores are computed once, and
+    only their counts go on."""
     rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(F.col(y).cast("long").alias("y"), (-F.col(p).cast("double")).alias("s"))
-    every, good = value_ranks(rows, "s"), value_ranks(rows.where("y = 1"), "s")
-    c = every.select("s", F.col("count").alias("n"), F.col("before").alias("n_before"))
-    # positives among the rows at and above each score
-    hits = rows.groupBy("s").agg(F.sum("y").alias("pos"))
-    c = c.join(hits, "s").join(good.select("s", F.col("before").alias("pos_before")), "s", "left")
-    totals = rows.agg(F.sum("y").alias("all_pos"), F.count("*").alias("all_n"))
+    counted = materialize(rows.groupBy("s").agg(F.count("*").alias("n"), F.sum("y").alias("pos")), "score-counts")
+    c = running_sums(present(counted, "s"), "s", ["n", "pos"]).withColumnsRenamed({"before_n": "n_before", "before_pos": "pos_before"})
+    totals = counted.agg(F.sum("pos").alias("all_pos"), F.sum("n").alias("all_n"))
     c = c.crossJoin(F.broadcast(totals))  # one row
     neg = F.col("n") - F.col("pos")
     negatives_before = F.col("n_before") - F.col("pos_before")
