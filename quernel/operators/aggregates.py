@@ -67,13 +67,20 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], method: str =
     cols = [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), finite(F.col(x).cast("double")).alias("a"), finite(F.col(y).cast("double")).alias("b")) for x, y in pairs]
     long = df.select(*by, F.explode(F.array(*cols)).alias("r")).select(*by, "r.*").where("a is not null and b is not null")
     keys = [*by, "x", "y"]
+    n, r = F.count("*"), F.corr("a", "b")
     if method == "spearman":
-        sides = long.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("v")) for c in ("a", "b")])).alias("r")).select(*keys, "r.*")
-        ranks = value_ranks(sides, "v", [*keys, "side"])  # both columns in one go
+        # equal pairs are counted first and go on as one row; the mean of the ranks is known, so sums of centred ranks give the correlation
+        long = materialize(long.groupBy(*keys, "a", "b").agg(F.count("*").alias("__w")), "pair-counts")
+        sides = long.select(*keys, "__w", F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("v")) for c in ("a", "b")])).alias("r")).select(*keys, "__w", "r.*")
+        ranks = value_ranks(sides, "v", [*keys, "side"], "__w")  # both columns in one go
+        middle = long.groupBy(*keys).agg(((F.sum("__w") + 1) / 2).alias("__middle"))
         for side in ("a", "b"):
             own = ranks.where(F.col("side") == side).select(*keys, F.col("v").alias(side), F.col("rank").alias("__rank"))
-            long = long.join(own, [*keys, side]).drop(side).withColumnRenamed("__rank", side)
-    agg = long.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("a", "b").alias("r"), F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
+            long = long.join(materialize(own, "side-ranks"), [*keys, side]).drop(side).withColumnRenamed("__rank", side)  # written, so that a side of few values is known to be small
+        long = join_small(long, middle, keys).withColumns({c: F.col(c) - F.col("__middle") for c in ("a", "b")})
+        w, a, b = F.col("__w"), F.col("a"), F.col("b")
+        n, r = F.sum(w), F.sum(w * a * b) / (F.sqrt(F.nullif(F.sum(w * a * a), F.lit(0.0))) * F.sqrt(F.nullif(F.sum(w * b * b), F.lit(0.0))))
+    agg = long.groupBy(*keys).agg(n.alias("n"), r.alias("r"), F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
     fine = (F.col("n") >= least) & (F.col("a0") < F.col("a1")) & (F.col("b0") < F.col("b1"))
     return agg.select(*keys, "n", F.when(fine, F.col("r")).alias("r")).withColumn("p", correlation_p(F.col("r"), F.col("n")))
 
@@ -158,8 +165,10 @@ def hinge_search(df: DataFrame, x: str, y: str, candidates: int = 71, by: Sequen
     flag = F.col(high).cast("double") if high else F.lit(None).cast("double")
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), flag.alias("__high"))
     base = materialize(join_small(quantiles(rows, "x", [0.15 + 0.7 * i / (candidates - 1) for i in range(candidates)], by).withColumn("cs", F.array_distinct("q")).drop("q"), rows.groupBy(*by).agg(F.avg("x").alias("mx"), F.avg("y").alias("my")), by), "hinge-candidates")  # a row a group, read twice
-    below = F.size(F.filter("cs", lambda c: c < F.col("x")))
-    each = join_small(rows, base, by).select(*by, below.alias("__k"), (F.col("x") - F.col("mx")).alias("u"), (F.col("y") - F.col("my")).alias("v"), "__high")
+    each = join_small(rows, base, by).withColumn("__k", F.lit(0))
+    for step in (1 << j for j in reversed(range(candidates.bit_length()))):  # candidates below x, which ascend, by halves: a function on arrays would be interpreted for each of them
+        each = each.withColumn("__k", F.col("__k") + F.when(F.get("cs", F.col("__k") + (step - 1)) < F.col("x"), step).otherwise(0))
+    each = each.select(*by, "__k", (F.col("x") - F.col("mx")).alias("u"), (F.col("y") - F.col("my")).alias("v"), "__high")
     sums = {"n": F.count("*"), "u": F.sum("u"), "v": F.sum("v"), "uu": F.sum(F.col("u") * F.col("u")), "uv": F.sum(F.col("u") * F.col("v")), "vv": F.sum(F.col("v") * F.col("v")), "flags": F.sum("__high"), "flagged": F.count("__high")}
     bins = each.groupBy(*by, "__k").agg(*[c.alias(f"__{k}") for k, c in sums.items()])
     met = join_small(bins, base, by).select("*", F.posexplode("cs").alias("__i", "c")).withColumn("__d", F.col("c") - F.col("mx"))  # a row a bin and candidate

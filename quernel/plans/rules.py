@@ -12,6 +12,7 @@ from quernel.functions.scalars import action_hint, band_position, finite, label_
 from quernel.operators.aggregates import best_bin, correlations, dose_response, hinge_search, rule_priority, unpivot
 from quernel.operators.joins import rule_matches
 from quernel.operators.series import chronological_split, join_small, quantiles_of
+from quernel.sources.shared import materialize
 
 
 def first_match(cases: Sequence[tuple[Column, str]], otherwise: str) -> Column:
@@ -57,7 +58,7 @@ def regime_summary(rows: DataFrame, least: int = 30, candidates: int = 71) -> Da
     """A row for each regime of ``regime_rows`` or ``pair_rows`` with ``least`` rows that have dose and label: medians, quartile ranges, rates, rank correlations of the dose with the
     label and with its high flag, the hinge threshold of regimes of 120 rows or more, and what these support. Correlations and thresholds that can't be had are null."""
     keys = ["feature", "regime"]
-    rows = rows.where("dose is not null and label is not null")
+    rows = materialize(rows.where("dose is not null and label is not null"), "regime-rows")  # read some ten times
     out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("label").alias("label_mean"), *[F.avg(f"y_{k}").alias(f"{k}_rate") for k in ("ok", "high", "low", "out_spec")]).where(F.col("n") >= least)
     q = quantiles_of(rows, ["dose", "label"], (0.25, 0.5, 0.75), keys)
     out = join_small(out, q.select(*keys, *[x for c in ("dose", "label") for x in (F.col(c)[1].alias(f"{c}_median"), (F.col(c)[2] - F.col(c)[0]).alias(f"{c}_iqr"))]), keys)
