@@ -22,8 +22,13 @@ from quernel.llm.scratch import new_path
 #: never joins characters across such a place, so pieces can be encoded one by one and their ids be kept.
 PIECES = re.compile(r"(?= \S)")
 SPACE = re.compile(r"\s")
+#: Texts without this are cut at every space.
+SPACES = re.compile(r" \s")
 #: Begins the key of a piece without a leading space. No valid text holds this character.
 BARE = "\ud800"
+#: Where a comma or full stop after a Latin letter is a piece of its own: before a space or a line of text. The vocabulary's splitting parts it on both sides; so words with and without it are one piece.
+MARKS = ((re.compile(r",(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f],)(?= \S)"), f" {BARE},"), (re.compile(r"\.(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]\.)(?= \S)"), f" {BARE}."),
+         (re.compile(r"\.\n(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]\.\n)(?=\S)"), f" {BARE}.\n {BARE}"))
 #: Pieces whose ids a worker keeps; when it has more, the most used half stays. Results don't depend on it.
 KEPT_PIECES = 600_000
 #: What a vocabulary's model may set besides its words and merges.
@@ -86,8 +91,10 @@ class PieceEncoder(dict):
     @staticmethod
     def split(text: str) -> list[str]:
         """Pieces without their leading space; a piece that has none begins with BARE."""
-        if not text or "  " in text or text[0] == " " or text[-1] == " ":  # by the rule itself
+        if not text or text[0] == " " or text[-1] == " " or SPACES.search(text):  # by the rule itself
             return [p[1:] if p[:1] == " " and len(p) > 1 and not p[1].isspace() else BARE + p for p in PIECES.split(text)] if text else []
+        for mark, apart in MARKS:
+            text = mark.sub(apart, text)
         pieces = text.split(" ")
         pieces[0] = BARE + pieces[0]
         return pieces
@@ -95,11 +102,11 @@ class PieceEncoder(dict):
     def _learn(self, new: list[str]) -> None:
         """Encode new pieces. Letters, and letters before punctuation, where the vocabulary splits, are encoded apart, so that they share their ids."""
         alpha = list(map(str.isalpha, new))
-        plain, rest, parts = list(compress(new, alpha)), [], {}
+        plain, bare, rest, parts = list(compress(new, alpha)), [], [], {}
         for p in compress(new, map(not_, alpha)):
             head = p.rstrip(string.punctuation)
             if p[0] == BARE:
-                rest.append(p)
+                (bare if p[1:].isalpha() else rest).append(p)
             elif len(head) < len(p) and head.isalpha():
                 parts[p] = (head, BARE + p[len(head) :])
             elif SPACE.search(p):
@@ -107,6 +114,7 @@ class PieceEncoder(dict):
             else:
                 plain.append(p)
         self._encode_lines(plain)
+        self._encode_lines(bare, bare=True)
         self._encode_each(rest)
         if parts:
             lacking = [x for x in dict.fromkeys(chain.from_iterable(parts.values())) if x not in self]
@@ -115,11 +123,12 @@ class PieceEncoder(dict):
             two = np.fromiter(map(self.__getitem__, chain.from_iterable(parts.values())), np.int32, 2 * len(parts))
             self._add(list(parts), self._gather(two), self.lengths[two].reshape(-1, 2).sum(1))
 
-    def _encode_lines(self, pieces: list[str]) -> None:
-        """Pieces without white space, as the lines of one text, whose ids the line ends part."""
+    def _encode_lines(self, pieces: list[str], bare: bool = False) -> None:
+        """Pieces without white space, all with or all without a leading space, as the lines of one text, whose ids the line ends part."""
         for at in range(0, len(pieces), 4096):
             some = pieces[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + "\n ".join(some) + "\n"], add_special_tokens=False)[0].ids, np.int32)
+            text = "\n".join(some).replace(BARE, "") if bare else " " + "\n ".join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([text + "\n"], add_special_tokens=False)[0].ids, np.int32)
             ends = np.flatnonzero(ids == self.line_end)
             if len(ends) != len(some):
                 raise ValueError("the vocabulary joins line ends with other text")

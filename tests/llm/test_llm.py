@@ -152,6 +152,16 @@ def test_tokens_round_trip(spark, corpus, tmp_path):
     assert tokens.digest_tokens(spark, path + "0").count() == 0
 
 
+def test_pieces_are_cut_as_the_library_cuts():
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(tokens.vocabulary_path()), tokens.PieceEncoder(tokens.vocabulary_path())
+    texts = ["a \xa0 \xa0b", "x \n \n y", "a, b. c", "é.\nÜb, ß", "a.\n\nb", "a.\n b", "2, b", "x²., b", "!., b", "a,, b", "a.\n. b", "don't, 'twas.\n'S", "中, b.\nc", "end."]
+    ids, n = e.encode(texts, 0)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    assert tokens.PieceEncoder.split("one, two.\nthree") == [tokens.BARE + "one", tokens.BARE + ",", "two", tokens.BARE + ".\n", tokens.BARE + "three"]  # a word is one piece whatever mark follows
+
+
 @pytest.mark.parametrize("texts", [["a <|endoftext|> b"], ["<|endoftext|>", "<|endoftext|><|endoftext|>"], ["word " * 30_000 + "<|endoftext|>"]])
 def test_texts_that_all_hold_added_tokens(spark, texts):
     from tokenizers import Tokenizer
