@@ -2,14 +2,13 @@
 
 The rows of a key are cut twice: by time into blocks, and by value into ranges (cut points of approximate quantiles and the open ranges between them, so that a value that half of all rows have is a
 range of its own). Counts of each range before each block are prefix sums. A block's task then knows, for each of its rows, in which range an order statistic lies and the how-manieth of that range it
-is. Where the range is one value, that is the answer. The others are looked up in the range's own task, which takes values and questions in the order of time.
+is. Where the range is one value, that is the answer. Of the others the earlier values are brought to the block: its rows' statistics lie in few ranges, since a block moves a rank by its own rows at most.
 """
 
 from __future__ import annotations
 
 from bisect import insort
-from collections.abc import Sequence
-from math import ceil, floor
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,8 +19,10 @@ from quernel.operators import series
 from quernel.operators.series import join_small, largest_key, numbered, present
 from quernel.sources.shared import materialize
 
-#: Questions to one range of values that a task answers at a time, about.
+#: Order statistics that a task looks up at a time, about.
 LOOKUPS = 1_000_000
+#: Blocks of one task, about; its memory doesn't grow with the table.
+TASK_BLOCKS = 8
 MOST_RANGES = 1024
 
 
@@ -42,15 +43,38 @@ def order_statistics(value_at: np.ndarray, values: np.ndarray, asked_at: np.ndar
     return out
 
 
-def _positions(n: int, fractions: Sequence[float]) -> list[tuple[int, int]]:
-    """``(slot, k)``: slots 2 j and 2 j + 1 are the two values that quantile j lies between; one if it lies on a value."""
-    out = []
-    for j, f in enumerate(fractions):
-        p = (n - 1) * f
-        out.append((2 * j, floor(p)))
-        if ceil(p) > floor(p):
-            out.append((2 * j + 1, ceil(p)))
-    return out
+def prefix_ranges(counts: np.ndarray, codes: np.ndarray, until: np.ndarray, ks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each question, the range that holds the k-th smallest, from 0, of all that ``counts`` counts and the first ``until`` of ``codes``, and the place inside that range: bits of the codes are fixed from the
+    highest on, by counts of those that go on with a 0, in the order that the bits before have given them."""
+    bits = max(1, len(counts) - 1).bit_length()
+    sums = np.zeros((1 << bits) + 1, np.int64)
+    sums[1 : len(counts) + 1] = np.cumsum(counts)
+    sums[len(counts) + 1 :] = sums[len(counts)]
+    code, k = np.zeros(len(ks), np.int64), ks.astype(np.int64)
+    first, last = np.zeros(len(ks), np.int64), until.astype(np.int64)
+    for bit in reversed(range(bits)):
+        one = (codes >> bit & 1).astype(bool)
+        zeros = np.concatenate(([0], np.cumsum(~one)))
+        first0, last0 = zeros[first], zeros[last]
+        low = sums[code + (1 << bit)] - sums[code] + last0 - first0
+        up = k >= low
+        k -= np.where(up, low, 0)
+        code += np.where(up, 1 << bit, 0)
+        first, last = (np.where(up, zeros[-1] + x - x0, x0) for x, x0 in ((first, first0), (last, last0)))
+        codes = np.concatenate((codes[~one], codes[one]))
+    return code, k
+
+
+def _places(n: np.ndarray, fractions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of n values each: the places of the quantiles, and the ranks below and above, two a quantile."""
+    at = (n[:, None] - 1) * fractions
+    return at, np.floor(at).astype(np.int64), np.ceil(at).astype(np.int64)
+
+
+def _between(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[list[float]]:
+    """Quantiles on the line between the values of the ranks below and above."""
+    with np.errstate(invalid="ignore"):
+        return np.where(np.floor(at) == at, lo, (np.ceil(at) - at) * lo + (at - np.floor(at)) * hi).tolist()
 
 
 def prefix_quantiles(df: DataFrame, keys: Sequence[str], ts_us: str, value: str, fractions: Sequence[float], delay_us: int = 0, least: int = 1, out: str = "q", count: str = "n_visible") -> DataFrame:
@@ -64,31 +88,43 @@ def prefix_quantiles(df: DataFrame, keys: Sequence[str], ts_us: str, value: str,
     seen = present(rows.select(*keys, F.col(ts_us).cast("long").alias("at"), F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("row"), v.alias("v")), "v")
     asked = rows.select(*keys, (F.col(ts_us) - delay_us).cast("long").alias("at"), F.lit(1).alias("kind"), F.col("__row").alias("row"), F.lit(None).cast("double").alias("v"))
     events = seen.unionByName(asked).where("at is not null")
-    slots = 2 * len(fractions)
     found = (_in_one_task_a_key if largest_key(rows, keys) <= series.BLOCK_ROWS else _in_blocks)(events, keys, [float(f) for f in fractions], least)
-    at = [(F.col("n") - 1) * float(f) for f in fractions]
-    slot = lambda i: F.max(F.when(F.col("slot") == i, F.col("value")))
-    per = found.groupBy("row").agg(F.max("n").alias("n"), *[slot(i).alias(f"s{i}") for i in range(slots)])
-    lo, hi = ([F.col(f"s{2 * j + side}") for j in range(len(fractions))] for side in (0, 1))
-    q = F.array(*[F.when(b.isNull(), a).otherwise((F.ceil(p) - p) * a + (p - F.floor(p)) * b) for p, a, b in zip(at, lo, hi, strict=True)])
-    per = per.select(F.col("row").alias("__row"), F.col("n").alias("__n"), F.when(F.col("n") >= max(1, least), q).alias("__q"))
+    per = found.select(F.col("row").alias("__row"), F.col("n").alias("__n"), F.col("q").alias("__q"))
     return rows.join(per, "__row", "left").select(*df.columns, F.coalesce("__n", F.lit(0)).cast("long").alias(count), F.col("__q").alias(out))
 
 
-ANSWER = "row long, n long, slot int, value double"
+ANSWER = "row long, n long, q array<double>"
+
+
+def _answers(rows: np.ndarray, until: np.ndarray, n: np.ndarray, least: int, slots: int, quantiles: Callable[[np.ndarray, np.ndarray], list[list[float]]]) -> pd.DataFrame:
+    """A row for each question, ``until`` ascending: those that see the same values are looked up once."""
+    states, back = np.unique(until, return_inverse=True)
+    seen = np.zeros(len(states), np.int64)
+    seen[back] = n
+    known = np.flatnonzero(seen >= max(1, least))
+    q = np.full(len(states), None, object)
+    step = max(1, LOOKUPS // (2 * slots))
+    for at in range(0, len(known), step):
+        some = known[at : at + step]
+        for i, x in zip(some.tolist(), quantiles(states[some], seen[some]), strict=True):
+            q[i] = x
+    return pd.DataFrame({"row": rows, "n": n, "q": q[back]})
 
 
 def _in_one_task_a_key(events: DataFrame, keys: Sequence[str], fractions: Sequence[float], least: int) -> DataFrame:
     def answer(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["at", "kind"], kind="stable").reset_index(drop=True)
+        part = part.sort_values(["at", "kind"], kind="stable")
         is_value = (part["kind"] == 0).to_numpy()
-        places = np.arange(len(part))
-        ns = np.cumsum(is_value)[~is_value]
-        rows = [(r, n, s, p, k) for r, n, p in zip(part["row"][~is_value].tolist(), ns.tolist(), places[~is_value].tolist(), strict=True) for s, k in (_positions(n, fractions) if n >= max(1, least) else [(-1, -1)])]
-        row, n, slot, place, k = (np.array(c) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, int),) * 5
-        value, real = np.full(len(row), np.nan), slot >= 0
-        value[real] = order_statistics(places[is_value], part["v"].to_numpy()[is_value], place[real], k[real])
-        return pd.DataFrame({"row": row, "n": n, "slot": slot.astype("int32"), "value": value})
+        values = part["v"].to_numpy()[is_value]
+        until = np.cumsum(is_value)[~is_value]
+
+        def quantiles(states: np.ndarray, n: np.ndarray) -> list[list[float]]:
+            at, lo, hi = _places(n, np.array(fractions))
+            ks = np.concatenate([lo, hi], axis=1)
+            found = order_statistics(np.arange(len(values)), values, np.repeat(states, ks.shape[1]), ks.ravel()).reshape(ks.shape)
+            return _between(at, found[:, : len(fractions)], found[:, len(fractions) :])
+
+        return _answers(part["row"].to_numpy()[~is_value], until, until, least, len(fractions), quantiles)
 
     return events.groupBy(*keys).applyInPandas(answer, ANSWER)
 
@@ -101,9 +137,11 @@ def _in_blocks(events: DataFrame, keys: Sequence[str], fractions: Sequence[float
     ranges = int(min(MOST_RANGES, max(4, (largest_key(events, names) / 2) ** 0.5)))
     cuts = events.where("kind = 0").groupBy(*names).agg(F.array_distinct(F.percentile_approx("v", [j / ranges for j in range(1, ranges)], 100 * ranges)).alias("cuts"))
     cuts = materialize(cuts, "prefix-cuts")
-    below = F.size(F.filter("cuts", lambda c: c < F.col("v")))
-    coded = join_small(events.where("kind = 0"), cuts, names).withColumn("code", (2 * below + F.array_contains("cuts", F.col("v")).cast("int")).cast("int")).drop("cuts", "kind", "row", "at")
-    coded = materialize(coded, "prefix-values")
+    coded = join_small(events.where("kind = 0"), cuts, names).withColumn("below", F.lit(0))
+    for step in (1 << j for j in reversed(range(ranges.bit_length()))):  # cuts below the value, which ascend, by halves
+        coded = coded.withColumn("below", F.col("below") + F.when(F.get("cuts", F.col("below") + (step - 1)) < F.col("v"), step).otherwise(0))
+    on = F.coalesce((F.get("cuts", F.col("below")) == F.col("v")).cast("int"), F.lit(0))
+    coded = materialize(coded.select(*names, "block", "i", "v", (2 * F.col("below") + on).cast("int").alias("code")), "prefix-values")
 
     # values of each range before each block, for all blocks and ranges
     grid = join_small(events.select(*names, "block").distinct(), cuts, names).withColumn("code", F.explode(F.sequence(F.lit(0), 2 * F.size("cuts")))).drop("cuts")
@@ -111,58 +149,61 @@ def _in_blocks(events: DataFrame, keys: Sequence[str], fractions: Sequence[float
     w = Window.partitionBy(*names, "code").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = join_small(grid, counts, [*names, "block", "code"], "left").withColumn("before", F.coalesce(F.sum("count").over(w), F.lit(0)))
     before = before.groupBy(*names, "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "before"))), lambda x: x["before"]).alias("before"))  # 2 * ranges numbers
-    before = join_small(before, cuts, names)
-
-    types = ", ".join(f"{n} {t}" for n, t in events.dtypes if n in names)
-    first = ", ".join(x for x in (types, "row long, n long, slot int, value double, code int, k long, i long, block long") if x)
-
-    def place(values: pd.DataFrame, asked: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
-        hist = np.array(counted["before"].iloc[0], np.int64)
-        edges = list(counted["cuts"].iloc[0])
-        value_i, code = values["i"].to_numpy(), values["code"].to_numpy()
-        order = np.argsort(value_i)
-        value_i, code = value_i[order], code[order].tolist()
-        asked = asked.sort_values("i")
-        until, taken, total, rows = np.searchsorted(value_i, asked["i"].to_numpy()).tolist(), 0, int(hist.sum()), []
-        sums = None
-        for row, i, block, to in zip(asked["row"].tolist(), asked["i"].tolist(), asked["block"].tolist(), until, strict=True):
-            if to > taken or sums is None:
-                for c in code[taken:to]:
-                    hist[c] += 1
-                total, taken, sums = total + to - taken, to, np.cumsum(hist)
-            if total < max(1, least):
-                rows.append((row, total, -1, None, -1, -1, i, block))
-                continue
-            for slot, k in _positions(total, fractions):
-                c = int(np.searchsorted(sums, k, side="right"))
-                single = c % 2 == 1
-                rows.append((row, total, slot, edges[c // 2] if single else None, -1 if single else c, k - int(sums[c] - hist[c]), i, block))
-        return pd.DataFrame(rows, columns=["row", "n", "slot", "value", "code", "k", "i", "block"])
-
-    def located(group: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = place(left[left["kind"] == 0], left[left["kind"] == 1], right) if len(right) else pd.DataFrame({c: [] for c in ("row", "n", "slot", "value", "code", "k", "i", "block")})
+    before = materialize(join_small(before, cuts, names), "prefix-counts")  # a row a block, read twice
+    tasks = -(-before.count() // TASK_BLOCKS)
+    asked = events.where("kind = 1").select(*names, "block", "i", F.lit(1).alias("kind"), F.lit(-1).alias("code"), "row", F.lit(None).cast("double").alias("v"))
+    both = coded.select(*names, "block", "i", F.lit(0).alias("kind"), "code", F.lit(-1).cast("long").alias("row"), "v").unionByName(asked)
+    blocks = lambda df: df.repartition(tasks, *names, "block").groupBy(*names, "block")
+
+    def parted(rows: pd.DataFrame, counted: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]:
+        """The block's values and questions in order of time, counts of the ranges before, and the values before each question."""
+        values, questions = (rows[rows["kind"] == kind].sort_values("i") for kind in (0, 1))
+        return values, questions, np.array(counted["before"].iloc[0], np.int64), np.searchsorted(values["i"].to_numpy(), questions["i"].to_numpy())
+
+    def ranges_at(hist: np.ndarray, code: np.ndarray, states: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        at, lo, hi = _places(n, np.array(fractions))
+        ks = np.concatenate([lo, hi], axis=1)
+        states = np.repeat(states, ks.shape[1])
+        return at, states, *prefix_ranges(hist, code, states, ks.ravel())
+
+    def needed(group: tuple, rows: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
+        codes = np.zeros(0, np.int64)
+        if len(rows) and len(counted):
+            values, _, hist, until = parted(rows, counted)
+            states = np.unique(until)
+            states = states[hist.sum() + states >= max(1, least)]
+            step = max(1, LOOKUPS // (2 * len(fractions)))
+            some = [np.unique(ranges_at(hist, values["code"].to_numpy(), states[j : j + step], hist.sum() + states[j : j + step])[2]) for j in range(0, len(states), step)]
+            codes = np.unique(np.concatenate([codes, *some]))
+        out = pd.DataFrame({"target": group[len(names)], "code": codes[codes % 2 == 0]})
         for j, name in enumerate(names):
             out.insert(j, name, group[j])
         return out
 
-    both = coded.select(*names, "block", "i", F.lit(0).alias("kind"), "code", F.lit(-1).cast("long").alias("row")).unionByName(events.where("kind = 1").select(*names, "block", "i", "kind", F.lit(-1).alias("code"), "row"))
-    answers = both.groupBy(*names, "block").cogroup(before.groupBy(*names, "block")).applyInPandas(located, first)
-    answers = materialize(answers, "prefix-answers")
-
-    # what is left goes to the task of its range; many questions to one range are parted by time, and each part takes the range's values up to its end
-    open_ = answers.where("code >= 0")
-    w = Window.partitionBy(*names, "code").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    parts = open_.groupBy(*names, "code", "block").count().withColumn("part", F.floor(F.coalesce(F.sum("count").over(w), F.lit(0)) / LOOKUPS)).drop("count")
-    ends = parts.groupBy(*names, "code", "part").agg(F.max("block").alias("last"))
-    ends = ends.groupBy(*names, "code").agg(F.collect_list(F.struct("part", "last")).alias("parts"))  # one a LOOKUPS questions
-    open_ = join_small(open_, parts, [*names, "code", "block"])
-    served = join_small(coded, ends, [*names, "code"])
-    served = served.withColumn("p", F.explode(F.filter("parts", lambda p: p["last"] >= F.col("block")))).select(*names, "code", F.col("p.part").alias("part"), "i", "v")
-
-    def answer(asked: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-        asked, values = asked.sort_values("i"), values.sort_values("i")
-        got = order_statistics(values["i"].to_numpy(), values["v"].to_numpy(), asked["i"].to_numpy(), asked["k"].to_numpy())
-        return pd.DataFrame({"row": asked["row"].to_numpy(), "n": asked["n"].to_numpy(), "slot": asked["slot"].to_numpy(), "value": got})
-
-    looked = open_.groupBy(*names, "code", "part").cogroup(served.groupBy(*names, "code", "part")).applyInPandas(answer, ANSWER)
-    return answers.where("code < 0").select("row", "n", "slot", "value").unionByName(looked)
+    types = ", ".join(f"{n} {t}" for n, t in events.dtypes if n in names)
+    wanted = blocks(both.drop("row", "v")).cogroup(blocks(before)).applyInPandas(needed, ", ".join(x for x in (types, "target long, code int") if x))
+    earlier = join_small(coded, wanted, [*names, "code"]).where("block < target")
+    earlier = earlier.select(*names, F.col("target").alias("block"), "i", F.lit(2).alias("kind"), "code", F.lit(-1).cast("long").alias("row"), "v")
+
+    def answer(rows: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(counted):
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in ("row", "n", "q")})
+        values, asked, hist, until = parted(rows, counted)
+        code, v = values["code"].to_numpy(), values["v"].to_numpy()
+        held = {c: x.to_numpy() for c, x in rows[rows["kind"] == 2].groupby("code")["v"]}
+        edges = np.array([*counted["cuts"].iloc[0], np.nan])
+
+        def quantiles(states: np.ndarray, n: np.ndarray) -> list[list[float]]:
+            at, states, c, k = ranges_at(hist, code, states, n)
+            found = edges[c // 2]
+            order = np.argsort(c, kind="stable")  # within a range by time
+            for some in np.split(order, np.flatnonzero(np.diff(c[order])) + 1):
+                if (one := c[some[0]]) % 2 == 0:
+                    own, old = np.flatnonzero(code == one), held.get(one, np.zeros(0))
+                    found[some] = order_statistics(np.concatenate((np.full(len(old), -1), own)), np.concatenate((old, v[own])), states[some], k[some])
+            found = found.reshape(at.shape[0], -1)
+            return _between(at, found[:, : len(fractions)], found[:, len(fractions) :])
+
+        return _answers(asked["row"].to_numpy(), until, hist.sum() + until, least, len(fractions), quantiles)
+
+    return blocks(both.unionByName(earlier)).cogroup(blocks(before)).applyInPandas(answer, ANSWER)

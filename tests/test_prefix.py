@@ -68,3 +68,27 @@ def test_scaling_by_what_was_visible(spark):
     df = spark.createDataFrame([(1, 0, 1.0), (2, 10, 3.0), (3, 20, 5.0), (4, 30, 9.0), (5, 40, None)], "i long, t long, x double")
     got = {r["i"]: (r["x_visible"], r["x_scaled"]) for r in policy.walk_forward_scaled(df, [], "t", ["x"], 5, 2).collect()}
     assert got == {1: (0, None), 2: (1, None), 3: (2, 3.0), 4: (3, 3.0), 5: (4, None)}
+
+
+def test_ranges_of_ranks_before_each_question():
+    rng = np.random.default_rng(5)
+    for ranges, n in ((1, 0), (1, 9), (5, 40), (33, 300)):
+        counts, codes = rng.integers(0, 4, ranges) + 1, rng.integers(0, ranges, n)
+        until = rng.integers(0, n + 1, 200)
+        ks = np.array([rng.integers(0, counts.sum() + u) for u in until])
+        found = prefix.prefix_ranges(counts, codes, until, ks)
+        for u, k, code, place in zip(until, ks, *found, strict=True):
+            every = np.sort(np.concatenate((np.repeat(np.arange(ranges), counts), codes[:u])))
+            assert code == every[k] and place == k - (every < code).sum()
+
+
+def test_no_row_is_moved_once_a_quantile(spark, monkeypatch):
+    """Answers came as a row for each order statistic, and one range's task took all questions that ended in it."""
+    monkeypatch.setattr(series, "BLOCK_ROWS", 200)
+    written = []
+    keep = prefix.materialize
+    monkeypatch.setattr(prefix, "materialize", lambda df, name: written.append(keep(df, name)) or written[-1])
+    df = spark.range(2000).selectExpr("id as i", "id as t", "double(id * 7919 % 1000) as v")
+    got = {r["i"]: (r["n_visible"], r["q"]) for r in prefix.prefix_quantiles(df, [], "t", "v", (0.0, 0.2, 0.4, 0.6, 0.8, 1.0), 5).collect()}
+    same(got, brute([(r["i"], None, r["t"], r["v"]) for r in df.collect()], (0.0, 0.2, 0.4, 0.6, 0.8, 1.0), 5, 1))
+    assert max(w.count() for w in written) <= 2000
