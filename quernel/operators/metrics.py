@@ -85,7 +85,7 @@ def silhouette(df: DataFrame, cluster: str, features: Sequence[str]) -> DataFram
     side = each.agg(F.collect_list(F.struct("c", "n", "m", "q")).alias("cs"), F.min("n").cast("long").alias("min_size"), F.max("n").cast("long").alias("max_size"))  # one row, of the clusters
     far = lambda k: dot(F.col("x"), F.col("x")) - 2 * dot(F.col("x"), k["m"]) + k["q"]
     met = rows.crossJoin(F.broadcast(side)).select(
-        F.element_at(F.transform(F.filter("cs", lambda k: k["c"].eqNullSafe(F.col("c"))), lambda k: far(k) * k["n"] / (k["n"] - 1)), 1).alias("a"),
+        F.element_at(F.transform(F.filter("cs", lambda k: k["c"].eqNullSafe(F.col("c"))), lambda k: F.try_divide(far(k) * k["n"], k["n"] - 1)), 1).alias("a"),
         F.array_min(F.transform(F.filter("cs", lambda k: ~k["c"].eqNullSafe(F.col("c"))), far)).alias("b"),
     )
     mean = met.agg(F.avg(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))).alias("silhouette"))
@@ -93,6 +93,34 @@ def silhouette(df: DataFrame, cluster: str, features: Sequence[str]) -> DataFram
     return mean.crossJoin(F.broadcast(side)).select(F.when(fine, F.col("silhouette")).alias("silhouette"), "min_size", "max_size")
 
 
+def cluster_scores(df: DataFrame, cluster: str, features: Sequence[str]) -> DataFrame:
+    """One row: what ``silhouette`` and ``cluster_quality`` give, in two passes over rows without nulls whose features are centred: means of each cluster, then distances to them."""
+    dot = lambda a, b: sum((x * y for x, y in zip(a, b, strict=True)), F.lit(0.0))
+    part = lambda c: [c[i] for i in range(len(features))]
+    far = lambda a, b: dot(*[[x - y for x, y in zip(a, b, strict=True)]] * 2)
+    x = [F.col(f).cast("double") for f in features]
+    each = df.groupBy(F.col(cluster).alias("c")).agg(F.count("*").cast("double").alias("n"), F.array(*[F.avg(v) for v in x]).alias("m"), F.avg(dot(x, x)).alias("q"))
+    each = materialize(each, "cluster-means")  # a row a cluster
+    side = each.agg(F.collect_list(F.struct("c", "n", "m", "q")).alias("cs"))
+    mean_square = lambda k: dot(x, x) - 2 * dot(x, part(k["m"])) + k["q"]
+    own = F.element_at(F.filter("cs", lambda k: k["c"].eqNullSafe(F.col("c"))), 1)
+    met = df.withColumn("c", F.col(cluster)).crossJoin(F.broadcast(side)).withColumn("own", own)
+    met = met.select("c", F.try_divide(mean_square(F.col("own")) * F.col("own.n"), F.col("own.n") - 1).alias("a"), F.array_min(F.transform(F.filter("cs", lambda k: ~k["c"].eqNullSafe(F.col("c"))), mean_square)).alias("b"), far(x, part(F.col("own.m"))).alias("d"))
+    share = F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
+    sums = met.groupBy("c").agg(F.sum(share).alias("shares"), F.count(share).alias("shared"), F.sum("d").alias("w"), F.avg(F.sqrt("d")).alias("s"))
+    stats = materialize(each.join(sums, each["c"].eqNullSafe(sums["c"])).drop(sums["c"]), "cluster-sums")
+    total = stats.agg(F.sum("n").alias("nn"), F.array(*[F.sum(F.col("n") * F.col("m")[i]) / F.sum("n") for i in range(len(features))]).alias("g"))
+    fine = (F.count("*") > 1) & (F.min("n") > 1)
+    between = F.try_divide(F.sum(F.col("n") * far(part(F.col("m")), part(F.col("g")))), F.count("*") - 1)
+    out = stats.crossJoin(F.broadcast(total)).agg(
+        F.when(fine, F.try_divide(F.sum("shares"), F.sum("shared"))).alias("silhouette"), F.min("n").cast("long").alias("min_size"), F.max("n").cast("long").alias("max_size"),
+        F.try_divide(between * (F.first("nn") - F.count("*")), F.sum("w")).alias("calinski_harabasz"),
+    )
+    a, b = stats.select("c", "m", "s").alias("a"), stats.select("c", "m", "s").alias("b")  # one row a cluster
+    ratio = F.try_divide(F.col("a.s") + F.col("b.s"), F.sqrt(far(part(F.col("a.m")), part(F.col("b.m")))))
+    return out.crossJoin(a.join(b, F.col("a.c") != F.col("b.c")).groupBy("a.c").agg(F.max(ratio).alias("r")).agg(F.avg("r").alias("davies_bouldin")))
+
+
 def choose_clustering(sweep: DataFrame) -> DataFrame:
     """The row of ``ml.sweep_clusters`` (one a kind and k) that passes the gates of size, stability, separation of the labels and silhouette, and has the best sum of ranks; no row where none passes."""
     apart = (F.col("label_range") >= 0.05) | (F.col("high_range") >= 0.05)
@@ -104,13 +132,13 @@ def choose_clustering(sweep: DataFrame) -> DataFrame:
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Agreement of two clusterings of the same rows, from their contingency counts."""
+    """Agreement of two clusterings of the same rows, from their contingency counts; null where both put all rows into one cluster."""
     def pairs(c: Column) -> Column:
         return c * (c - 1) / 2
 
-    t = df.groupBy(a, b).count()
+    t = materialize(df.groupBy(a, b).count(), "contingency")  # a row a pair of clusters, read three times
     s = t.agg(F.sum(pairs(F.col("count"))).alias("i"), F.sum("count").alias("n"))
     for name, side in (("x", a), ("y", b)):
         s = s.crossJoin(t.groupBy(side).agg(F.sum("count").alias("c")).agg(F.sum(pairs(F.col("c"))).alias(name)))
     expected = F.col("x") * F.col("y") / pairs(F.col("n"))
-    return s.select(((F.col("i") - expected) / ((F.col("x") + F.col("y")) / 2 - expected)).alias("ari"))
+    return s.select(F.try_divide(F.col("i") - expected, (F.col("x") + F.col("y")) / 2 - expected).alias("ari"))

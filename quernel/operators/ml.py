@@ -110,35 +110,39 @@ def reduce(df: DataFrame, features: Sequence[str], variance: float = 0.9, most:
     return out.select(*df.columns, "pcs"), n
 
 
+def _clusterer(kind: str, k: int, seed: int) -> KMeans | GaussianMixture | BisectingKMeans:
+    return {"kmeans": KMeans, "mixture": GaussianMixture, "bisecting": BisectingKMeans}[kind](featuresCol="__z", predictionCol="cluster", k=k, seed=seed)
+
+
 def cluster(df: DataFrame, features: Sequence[str], k: int, kind: str = "kmeans", seed: int = 0) -> DataFrame:
     """Adds ``cluster`` from standardised features: kmeans, mixture or bisecting."""
-    model = {"kmeans": KMeans, "mixture": GaussianMixture, "bisecting": BisectingKMeans}[kind](featuresCol="__z", predictionCol="cluster", k=k, seed=seed)
-    stages = [*_prepare(features), StandardScaler(inputCol="__x", outputCol="__z", withMean=True), model]
+    stages = [*_prepare(features), StandardScaler(inputCol="__x", outputCol="__z", withMean=True), _clusterer(kind, k, seed)]
     return Pipeline(stages=stages).fit(df).transform(df).select(*df.columns, "cluster")
 
 
 def sweep_clusters(df: DataFrame, features: Sequence[str], label: str, ks: Sequence[int] = range(2, 11), seeds: Sequence[int] = (0, 1, 2, 3, 4), kinds: Sequence[str] = ("kmeans", "mixture", "bisecting")) -> DataFrame:
     """A row for each kind and number of clusters: agreement of the seeds' assignments (``stability``, 1 for one seed), size gate (``tiny``: a cluster of some seed under 30 rows or 5 % of
     all), means over the seeds of silhouette, Calinski-Harabasz, Davies-Bouldin, and of the ranges over clusters of the label's mean and its high and ok rates. Metrics are of standardised features,
-    missing ones filled by medians; assignments are written once for each kind and k."""
-    from quernel.operators.metrics import adjusted_rand, cluster_quality, silhouette
+    missing ones filled by medians; they are written once, dealt out, and so are assignments for each kind and k."""
+    from quernel.operators.metrics import adjusted_rand, cluster_scores
 
     scaled = Pipeline(stages=[*_prepare(features), StandardScaler(inputCol="__x", outputCol="__z", withMean=True)]).fit(df).transform(df)
     z = [f"__z{i}" for i in range(len(features))]
-    base = scaled.withColumn("__a", vector_to_array("__z")).select(F.col(label).cast("double").alias("__label"), *[F.col("__a")[i].alias(c) for i, c in enumerate(z)])
-    base = materialize(base.withColumns(label_flags(F.col("__label"))), "sweep-rows")
+    base = scaled.withColumn("__a", vector_to_array("__z")).select("__z", F.col(label).cast("double").alias("__label"), *[F.col("__a")[i].alias(c) for i, c in enumerate(z)])
+    base = base.withColumns(label_flags(F.col("__label")))
+    base = materialize(_dealt(base, base.columns), "sweep-rows")
     out = None
     for kind in kinds:
         for k in ks:
             rows = base
             for s in seeds:
-                rows = cluster(rows, z, k, kind, s).withColumnRenamed("cluster", f"__c{s}")
-            rows = materialize(rows, "sweep-clusters")
+                rows = _clusterer(kind, k, s).fit(base.select("__z")).transform(rows).drop("probability").withColumnRenamed("cluster", f"__c{s}")
+            rows = materialize(rows.drop("__z"), "sweep-clusters")
             parts = []
             for s in seeds:
                 per = rows.groupBy(f"__c{s}").agg(F.avg("__label").alias("m"), F.avg("y_high").alias("h"), F.avg("y_ok").alias("o"))
                 spread = per.agg(*[(F.max(c) - F.min(c)).alias(f"{name}_range") for c, name in (("m", "label"), ("h", "high"), ("o", "ok"))])
-                parts.append(silhouette(rows, f"__c{s}", z).crossJoin(cluster_quality(rows, f"__c{s}", z)).crossJoin(spread))  # each has one row
+                parts.append(cluster_scores(rows, f"__c{s}", z).crossJoin(spread))  # each has one row
             each = parts[0]
             for p in parts[1:]:
                 each = each.unionByName(p)
