@@ -21,14 +21,19 @@ from quernel.llm.scratch import new_path
 #: A piece begins before every space that a character other than white space follows. The vocabulary's own splitting
 #: never joins characters across such a place, so pieces can be encoded one by one and their ids be kept.
 PIECES = re.compile(r"(?= \S)")
-SPACE = re.compile(r"\s")
+SPACE = re.compile(r"[\s\x03]")
 #: Texts without this are cut at every space.
 SPACES = re.compile(r" \s")
-#: Begins the key of a piece without a leading space. No valid text holds this character.
-BARE = "\ud800"
+#: Begins the key of a piece without a leading space; ends a text; stands for a space inside a piece. Texts that hold one of these characters aren't cut.
+BARE, END, GAP = "\x01", "\x02", "\x03"
 #: Where a comma or full stop after a Latin letter is a piece of its own: before a space or a line of text. The vocabulary's splitting parts it on both sides; so words with and without it are one piece.
 MARKS = ((re.compile(r",(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f],)(?= \S)"), f" {BARE},"), (re.compile(r"\.(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]\.)(?= \S)"), f" {BARE}."),
          (re.compile(r"\.\n(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]\.\n)(?=\S)"), f" {BARE}.\n {BARE}"))
+#: Letters that a vocabulary of bytes never splits between.
+LATIN = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and (c.isascii() or c >= "\u00c0"))
+WORD = re.compile(f"[{LATIN}]+")
+#: The byte 255, which UTF-8 never has, as vocabularies of bytes write it.
+NO_TEXT = "\u00ff"
 #: Pieces whose ids a worker keeps; when it has more, the most used half stays. Results don't depend on it.
 KEPT_PIECES = 600_000
 #: What a vocabulary's model may set besides its words and merges.
@@ -46,24 +51,31 @@ class PieceEncoder(dict):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         from tokenizers.models import BPE
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(vocabulary)
         with open(vocabulary, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            spec = json.load(f)
+        model = spec["model"]
         # the model's own cache of words only costs time here, where no piece is encoded twice
         options = {k: model[k] for k in MODEL_OPTIONS if model.get(k) is not None}
         self.tokenizer.model = BPE(vocab=model["vocab"], merges=[tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]], cache_capacity=0, **options)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.uncut = [*(t.content for t in self.tokenizer.get_added_tokens_decoder().values()), BARE, END, GAP]
+        self.words = None  # encodes words that are written in the vocabulary's own characters, so the library needn't split and map them one by one
+        byte_level = (spec.get("pre_tokenizer") or {}).items() >= {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}.items()
+        if byte_level and not spec.get("normalizer") and not model.get("dropout") and [t for t in model["vocab"] if NO_TEXT in t] == [NO_TEXT]:
+            self.words, self.word_end = Tokenizer(self.tokenizer.model), model["vocab"][NO_TEXT]
+            as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.characters = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in f" {LATIN}"} | {ord("\n"): NO_TEXT}
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self._reset()
 
     def _reset(self) -> None:
         self.clear()
-        self[None] = 0  # the end of a text
-        self.pieces: list = [None]  # by number
+        self[END] = 0
+        self.pieces = [END]  # by number
         self.used = 1
         self.starts, self.lengths, self.counts = (np.full(1 << 16, x, np.int32) for x in (0, 1, 0))
         self.flat = np.zeros(1 << 18, np.int32)
@@ -89,15 +101,17 @@ class PieceEncoder(dict):
         self.update(zip(pieces, range(at, end), strict=True))
 
     @staticmethod
-    def split(text: str) -> list[str]:
-        """Pieces without their leading space; a piece that has none begins with BARE."""
+    def cut(text: str) -> str:
+        """The keys of a text's pieces, parted by spaces: a piece without its leading space, or BARE and a piece that has none."""
         if not text or text[0] == " " or text[-1] == " " or SPACES.search(text):  # by the rule itself
-            return [p[1:] if p[:1] == " " and len(p) > 1 and not p[1].isspace() else BARE + p for p in PIECES.split(text)] if text else []
+            return " ".join([(p[1:] if p[:1] == " " and len(p) > 1 and not p[1].isspace() else BARE + p).replace(" ", GAP) for p in PIECES.split(text)]) if text else ""
         for mark, apart in MARKS:
             text = mark.sub(apart, text)
-        pieces = text.split(" ")
-        pieces[0] = BARE + pieces[0]
-        return pieces
+        return BARE + text
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        return PieceEncoder.cut(text).split(" ") if text else []
 
     def _learn(self, new: list[str]) -> None:
         """Encode new pieces. Letters, and letters before punctuation, where the vocabulary splits, are encoded apart, so that they share their ids."""
@@ -124,20 +138,38 @@ class PieceEncoder(dict):
             self._add(list(parts), self._gather(two), self.lengths[two].reshape(-1, 2).sum(1))
 
     def _encode_lines(self, pieces: list[str], bare: bool = False) -> None:
-        """Pieces without white space, all with or all without a leading space, as the lines of one text, whose ids the line ends part."""
+        """Pieces without white space, all with or all without a leading space, as the lines of one text, whose ids the line ends part; words go a shorter way."""
+        if self.words:
+            word = [WORD.fullmatch(p, int(bare)) is not None for p in pieces]
+            self._encode_words(list(compress(pieces, word)), bare)
+            pieces = list(compress(pieces, map(not_, word)))
         for at in range(0, len(pieces), 4096):
             some = pieces[at : at + 4096]
             text = "\n".join(some).replace(BARE, "") if bare else " " + "\n ".join(some)
-            ids = np.array(self.tokenizer.encode_batch_fast([text + "\n"], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.flatnonzero(ids == self.line_end)
-            if len(ends) != len(some):
-                raise ValueError("the vocabulary joins line ends with other text")
-            self._add(some, np.delete(ids, ends), np.diff(ends, prepend=-1) - 1)
+            self._add(some, *self._parted(self.tokenizer.encode_batch_fast([text + "\n"], add_special_tokens=False)[0].ids, self.line_end, len(some)))
+
+    def _encode_words(self, pieces: list[str], bare: bool) -> None:
+        """As strings of words that a byte parts which no text holds and no other piece of the vocabulary, so no merge goes over it."""
+        for at in range(0, len(pieces), 4096):
+            some = pieces[at : at + 4096]
+            lines = [some[i : i + 64] for i in range(0, len(some), 64)]
+            texts = ["\n".join([*x, ""]).replace(BARE, "") if bare else " " + "\n ".join(x) + "\n" for x in lines]
+            ids = [e.ids for e in self.words.encode_batch_fast([t.translate(self.characters) for t in texts], add_special_tokens=False)]
+            self._add(some, *self._parted(list(chain.from_iterable(ids)), self.word_end, len(some)))
+
+    @staticmethod
+    def _parted(ids: list[int], end: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids without the ``n`` ends, and how many stand before each."""
+        ids = np.array(ids, np.int32)
+        ends = np.flatnonzero(ids == end)
+        if len(ends) != n:
+            raise ValueError("the vocabulary joins ends of pieces with other text")
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
     def _encode_each(self, pieces: list[str]) -> None:
         for at in range(0, len(pieces), 4096):
             some = pieces[at : at + 4096]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([p[1:] if p[0] == BARE else f" {p}" for p in some], add_special_tokens=False)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([(p[1:] if p[0] == BARE else f" {p}").replace(GAP, " ") for p in some], add_special_tokens=False)]
             self._add(some, np.array([x for y in ids for x in y], np.int32), np.array([len(y) for y in ids], np.int64))
 
     def _gather(self, numbers: np.ndarray) -> np.ndarray:
@@ -150,32 +182,30 @@ class PieceEncoder(dict):
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, ``end_id`` after each, and the number of ids of each. Texts that hold an added token of the vocabulary
-        aren't cut: what such a token does to the characters around it is the library's business."""
+        aren't cut: what such a token does to the characters around it is the library's business. The keys of all pieces are one buffer, in which Arrow finds the distinct ones."""
         if len(self.pieces) > KEPT_PIECES:
             self._shrink()
-        if whole := {i for i, t in enumerate(texts) if any(a in t for a in self.added)}:
+        if whole := {i for i, t in enumerate(texts) if any(a in t for a in self.uncut)}:
             ids = [np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, end_id], np.int32) if i in whole else None for i, t in enumerate(texts)]
             plain = [t for i, t in enumerate(texts) if i not in whole]
             rest, n = self.encode(plain, end_id) if plain else (np.zeros(0, np.int32), np.zeros(0, np.int64))
             cut = iter(np.split(rest, np.cumsum(n)[:-1]))
             ids = [next(cut) if x is None else x for x in ids]
             return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
-        pieces, lengths = [], []
-        for t in texts:
-            own = self.split(t)
-            pieces += own
-            pieces.append(None)
-            lengths.append(len(own) + 1)
-        numbers = np.fromiter(map(self.get, pieces, repeat(-1)), np.int32, len(pieces))
-        if len(at := np.flatnonzero(numbers < 0)):
-            unknown = [pieces[i] for i in at.tolist()]
-            self._learn(list(dict.fromkeys(unknown)))
-            numbers[at] = np.fromiter(map(self.__getitem__, unknown), np.int32, len(unknown))
+        keys = " ".join([f"{self.cut(t)} {END}" if t else END for t in texts] + [""]).encode()
+        ends = np.flatnonzero(np.frombuffer(keys, np.uint8) == 32) + 1
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int64)), pa.py_buffer(keys)]).dictionary_encode()
+        distinct = found.dictionary.buffers()[2].to_pybytes().decode().split(" ")[: len(found.dictionary)]
+        own = np.fromiter(map(self.get, distinct, repeat(-1)), np.int32, len(distinct))
+        if len(at := np.flatnonzero(own < 0)):
+            unknown = [distinct[i] for i in at.tolist()]
+            self._learn(unknown)
+            own[at] = np.fromiter(map(self.__getitem__, unknown), np.int32, len(unknown))
+        numbers = own[found.indices.to_numpy()]
         self.flat[0] = end_id
         used = np.bincount(numbers, minlength=len(self.pieces))
         self.counts[: len(used)] += used.astype(np.int32)
-        last = np.cumsum(lengths, dtype=np.int64) - 1
-        return self._gather(numbers), np.diff(np.cumsum(self.lengths[numbers], dtype=np.int64)[last], prepend=0)
+        return self._gather(numbers), np.diff(np.cumsum(self.lengths[numbers], dtype=np.int64)[numbers == 0], prepend=0)
 
 
 def worker_encoder(vocabulary: str) -> PieceEncoder:

@@ -162,6 +162,24 @@ def test_pieces_are_cut_as_the_library_cuts():
     assert tokens.PieceEncoder.split("one, two.\nthree") == [tokens.BARE + "one", tokens.BARE + ",", "two", tokens.BARE + ".\n", tokens.BARE + "three"]  # a word is one piece whatever mark follows
 
 
+def test_new_words_go_to_the_model_without_splitting():
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(tokens.vocabulary_path()), tokens.PieceEncoder(tokens.vocabulary_path())
+    want = lambda texts: [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+
+    def got(texts):
+        ids, n = e.encode(texts, 0)
+        return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+    texts = ["a \x01b", "\x02", "x\x03  y", "", "Ω ʰx ª µm aÿ ÿ", "\xff", "  in  space ", *(f"w{'aé' * i} ÿŁ{'ɏ' * i}" for i in range(200))]
+    assert got(texts) == want(texts)
+    e.encode(["a, b.\nc d."], 0)
+    e.tokenizer = None  # splits texts; marks are known by now
+    texts = ["Thewhole anothere, ofwords.\nÀnd éèthing onlys.", "Ofwords", "thewhole"]
+    assert got(texts) == want(texts)
+
+
 @pytest.mark.parametrize("texts", [["a <|endoftext|> b"], ["<|endoftext|>", "<|endoftext|><|endoftext|>"], ["word " * 30_000 + "<|endoftext|>"]])
 def test_texts_that_all_hold_added_tokens(spark, texts):
     from tokenizers import Tokenizer
