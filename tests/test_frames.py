@@ -1,12 +1,15 @@
 """Statistics of frames in time and neighbours in time, in work that is linear in the rows."""
 
 import random
+import re
 from datetime import datetime, timedelta
 from statistics import fmean, linear_regression, stdev
 
 import pytest
+from quernel import queries_plans  # noqa: F401  registers its queries
 from quernel.operators import joins, series
 from quernel.plans import features
+from quernel.queries import QUERIES
 
 T0 = datetime(2026, 1, 1)
 STATS = {k: k for k in ("rows", "n", "mean", "std", "min", "max", "slope")}
@@ -40,6 +43,14 @@ def test_many_points_in_many_frames(spark):
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["wn03_range_frame", "wn07_runtime_means", "jn09_windows_at_anchors"])
+def test_queries_of_frames_in_time_only_run_on(spark, name):
+    """No pairs and no frame that is read anew for each row."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString().lower()
+    frames = re.findall(r"specifiedwindowframe\(rangeframe, ([^,]+), ([^)]+)", plan)
+    assert frames and all(low == "unboundedpreceding$()" for low, _ in frames) and "unboundedfollowing" not in plan and "join" not in plan
+
+
 def test_anchors_without_time_meet_nothing(spark):
     anchors = spark.createDataFrame([(1, None), (2, T0)], "id long, anchor timestamp_ntz")
     points = spark.createDataFrame([(None, 1.0), (T0 - timedelta(minutes=5), 2.0)], "ts timestamp_ntz, v double")
