@@ -16,6 +16,8 @@ MASKS = ((0, 1, 2, 4), (0, 1, 4, 5))
 WINDOW, SIMILARITY, LEAST_WORDS = 16, 0.8, 8
 #: Bytes of the benchmark's seeds and words that are broadcast; a larger benchmark meets the documents' seeds by a shuffle.
 MOST_BROADCAST = 64 << 20
+#: Words of a block, and words before and after it that are kept along: all windows with a seed of the block lie inside.
+BLOCK, HALO = 64, WINDOW
 
 
 def words(text: Column) -> Column:
@@ -40,6 +42,18 @@ def _coded(text: Column, masks: tuple) -> Column:
     return F.transform(F.array(words(text)), both)[0]
 
 
+def _blocks(words: Column, hashes: Column | None = None, masks: int = 0) -> Column:
+    """Structs of a block's number, the place of its first kept word, its words with the halo and, if given, the hashes of its seeds.
+    Rows with the words of a hit are thus of bounded size, whatever the text's length."""
+
+    def block(b: Column) -> Column:
+        first = F.greatest(b * BLOCK - HALO, F.lit(0))
+        own = [] if hashes is None else [F.slice(hashes, b * (BLOCK * masks) + 1, F.lit(BLOCK * masks)).alias("hashes")]
+        return F.struct(b.alias("block"), first.alias("first"), F.slice(words, first + 1, b * BLOCK + (BLOCK + HALO) - first).alias("words"), *own)
+
+    return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(words) - 1, F.lit(0)) / BLOCK).cast("int")), block)
+
+
 def _matching(words: Column, item_words: Column, start: Column) -> Column:
     """0 or 1 for each word of the item that lies on a word of the document, if its first word lies at ``start``."""
     first = F.greatest(F.lit(0), -start)
@@ -68,33 +82,50 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_key: tuple[str, ...] = ("do
     own = F.when(n >= LEAST_WORDS, k < len(MASKS)).otherwise((k == F.array_position(F.array(*map(F.lit, short)), n) + len(MASKS) - 1) if short else F.lit(False))
     seeds = given.select("item", "item_words", F.posexplode(_coded(F.array_join("item_words", " "), masks)["hashes"]).alias("i", "hash")).where(F.col("hash").isNotNull() & own)
     seeds = materialize(seeds.select("hash", "item", F.floor(F.col("i") / len(masks)).cast("int").alias("item_at")), "benchmark-seeds")
-    size = seeds.count() * 48 + (given.agg(F.sum(F.length(F.array_join("item_words", " ")) + 16 * n)).first()[0] or 0)
+    kept_along = (BLOCK + 2 * HALO) / BLOCK
+    size = seeds.count() * 48 + (given.agg(F.sum(F.length(F.array_join("item_words", " ")) + 16 * n)).first()[0] or 0) * kept_along
     keys = [f"key{j}" for j in range(len(doc_key))]
     text = docs.select(*[F.col(c).alias(f"key{j}") for j, c in enumerate(doc_key)], F.col(text_col).alias("text"))
-    coded = _coded(F.col("text"), masks)
-    start = (F.floor(F.col("i") / len(masks)) - F.col("item_at")).cast("int").alias("start")
-    items = given.select("item", "item_words")
-    if size <= MOST_BROADCAST:
+    # The explodes of blocks and of places get their arrays from functions that Spark doesn't compile, so they hand on row by row;
+    # a compiled one collects all rows of a text, each with its words, before the first goes on.
+    blocks = F.transform(F.array(_coded(F.col("text"), masks)), lambda c: _blocks(c["words"], c["hashes"], len(masks)))[0]
+    at = F.col("block") * BLOCK + F.floor(F.col("i") / len(masks)).cast("int")
+    # A seed's block of its item is told by its place.
+    items = given.select("item", F.size("item_words").alias("n"), F.explode(_blocks(F.col("item_words"))).alias("b"))
+    items = items.select("item", F.col("b.block").alias("item_block"), "n", F.col("b.first").alias("item_first"), F.col("b.words").alias("item_words"))
+    broadcast = size <= MOST_BROADCAST
+    if broadcast:
         # One row for each hash with all its places, so that a repeated seed passes the join once. The outer explode keeps
-        # Spark from adding a filter that computes the hashes a second time.
+        # Spark from adding a filter that computes the hashes a second time. Texts that share a key are told apart by their hash.
         places = seeds.groupBy("hash").agg(F.collect_list(F.struct("item", "item_at")).alias("at"))
-        each = text.select(*keys, coded.alias("coded")).select(*keys, F.col("coded.words").alias("words"), F.col("coded.hashes").alias("hashes"))
-        hits = each.select(*keys, "words", F.posexplode_outer("hashes").alias("i", "hash")).join(F.broadcast(places), "hash")
-        hits = hits.select(*keys, "words", "i", F.explode("at").alias("at")).select(*keys, "words", "i", "at.*").select(*keys, "words", "item", start)
-        met = hits.join(F.broadcast(items), "item")
+        each = text.select(*keys, F.xxhash64("text").alias("text_id"), F.explode_outer(blocks).alias("b")).select(*keys, "text_id", "b.*")
+        hits = each.select(*keys, "text_id", "block", "first", "words", F.posexplode_outer("hashes").alias("i", "hash")).join(F.broadcast(places), "hash")
+        hit = F.transform("at", lambda a: F.struct(a["item"].alias("item"), F.floor(a["item_at"] / BLOCK).cast("int").alias("item_block"), (at - a["item_at"]).alias("start")))
+        hits = hits.select(*keys, "text_id", "first", "words", F.explode_outer(hit).alias("hit")).select(*keys, "text_id", "first", "words", "hit.*")
+        met = hits.join(F.broadcast(items), ["item", "item_block"])
     else:
         named = text.withColumn("digest", F.md5(F.coalesce("text", F.lit(""))))
-        each = named.select("digest", F.posexplode_outer(coded["hashes"]).alias("i", "hash")).where("hash is not null")
-        hits = materialize(each.join(seeds, "hash").select("digest", "item", start).distinct(), "seed-hits")
-        texts = named.join(hits.select("digest").distinct(), "digest", "left_semi").select(*keys, "digest", words(F.col("text")).alias("words"))
-        met = texts.join(hits, "digest").join(items, "item")
-    aligned = met.select(*keys, "item", "start", F.size("item_words").alias("n"), _matching(F.col("words"), F.col("item_words"), F.col("start")).alias("same"))
+        each = named.select("digest", F.explode_outer(blocks).alias("b")).select("digest", "b.block", F.posexplode_outer("b.hashes").alias("i", "hash")).where("hash is not null")
+        hits = each.join(seeds, "hash").select("digest", "block", "item", F.floor(F.col("item_at") / BLOCK).cast("int").alias("item_block"), (at - F.col("item_at")).alias("start"))
+        hits = materialize(hits.distinct(), "seed-hits")
+        texts = named.select("digest", "text").join(hits.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+        again = F.transform(F.array(words(F.col("text"))), lambda w: _blocks(w))[0]
+        texts = texts.select("digest", F.explode_outer(again).alias("b")).select("digest", "b.*")
+        # The join reads the hits one by one beside the one block of each.
+        met = hits.join(texts, ["digest", "block"]).join(items, ["item", "item_block"])
+    same = _matching(F.col("words"), F.col("item_words"), F.col("start") + F.col("item_first") - F.col("first"))
+    one = [*keys, "text_id"] if broadcast else ["digest"]
+    aligned = met.select(*one, "item", "start", "n", same.alias("same"))
     window = F.least(F.col("n"), F.lit(WINDOW))
     need = F.when(F.col("n") < LEAST_WORDS, F.col("n")).otherwise(F.ceil(window * SIMILARITY - 1e-9))
     total = F.aggregate("same", F.lit(0), lambda s, x: s + x)
     likely = aligned.where(total >= need).withColumn("window", window).withColumn("need", need)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size("same") - F.col("window") + 1, F.lit(1))), lambda p: F.aggregate(F.slice("same", p, F.col("window")), F.lit(0), lambda s, x: s + x)))
-    found = likely.withColumn("best", best).where(F.col("best") >= F.col("need")).select(*keys, "item", "start", "best").distinct()
+    # the best window of an alignment has a seed, and lies inside that seed's blocks
+    found = likely.withColumn("best", best).where(F.col("best") >= F.col("need")).groupBy(*one, "item", "start").agg(F.max("best").alias("best"))
+    if not broadcast:
+        found = named.select(*keys, "digest").join(found, "digest")
+    found = found.select(*keys, "item", "start", "best").distinct()
     out = found.join(given.select("item", F.explode("names").alias("name")), "item")
     return out.select(*[F.col(c).alias(name) for c, name in zip(keys, doc_key, strict=True)], F.col("name.item_id").alias("item_id"), "start", "best")
 

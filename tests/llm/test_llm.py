@@ -502,6 +502,47 @@ def test_leaks_tolerate_substitutions(spark, monkeypatch, most):
     assert decontamination.leaks(docs(spark, EMPTY), bench).count() == 0 and decontamination.decontaminate(df, bench.where("false")).count() == len(texts)
 
 
+@pytest.mark.parametrize("most", [64 << 20, 0])
+def test_leaks_of_long_texts_take_bounded_memory(spark, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "MOST_BROADCAST", most)
+    passage = " ".join(f"w{i % 7}" for i in range(21))
+    df = docs(spark, [(1, f"{passage} " * 950), (2, f"{passage} " * 3)])
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    found = decontamination.leaks(df, bench).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("start").alias("last"), F.min("best").alias("least"), F.max("best").alias("most")).collect()
+    # every seventh place with 13 words of the item at least
+    assert {tuple(r) for r in found} == {(1, 2850, -7, 19950 - 14, 14, 16), (2, 9, -7, 63 - 14, 14, 16)}
+
+
+@pytest.mark.parametrize("most", [64 << 20, 0])
+def test_leaks_find_what_brute_force_finds(spark, monkeypatch, most):
+    from math import ceil
+
+    monkeypatch.setattr(decontamination, "MOST_BROADCAST", most)
+    rng = random.Random(8)
+    items = [[rng.choice("abcdefgh") for _ in range(n)] for n in (3, 8, 15, 40, 64, 65, 150, 400)]
+    texts = []
+    for _ in range(40):
+        words = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 300))]
+        for _ in range(4):
+            item = rng.choice(items)
+            a = rng.randrange(len(item))
+            words += [w if rng.random() < 0.9 else "x" for w in item[a : a + rng.randint(5, 200)]]
+            words += [rng.choice("abcdefgh") for _ in range(rng.randint(0, 90))]
+        texts.append(words)
+    want = set()
+    for d, words in enumerate(texts):
+        for i, item in enumerate(items):
+            n, w = len(item), min(len(item), decontamination.WINDOW)
+            for start in range(1 - n, len(words)):
+                need = n if n < decontamination.LEAST_WORDS else ceil(0.8 * w - 1e-9)
+                same = [words[start + q] == item[q] for q in range(n) if 0 <= start + q < len(words)]
+                if sum(same) >= need and (best := max(sum(same[j : j + w]) for j in range(max(1, len(same) - w + 1)))) >= need:
+                    want.add((d, i, start, best))
+    bench = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id long, text string")
+    found = decontamination.leaks(docs(spark, [(d, " ".join(words)) for d, words in enumerate(texts)]), bench).collect()
+    assert len(want) > 100 and Counter(map(tuple, found)) == Counter(want)
+
+
 # --- toxicity -----------------------------------------------------------------------------------------------------------------
 
 
