@@ -543,6 +543,16 @@ def test_leaks_find_what_brute_force_finds(spark, monkeypatch, most):
     assert len(want) > 100 and Counter(map(tuple, found)) == Counter(want)
 
 
+def test_pipeline_drops_long_texts_of_repeated_passages(spark, tmp_path):
+    import corpus_pipeline
+
+    passage = " ".join(f"v{i}" for i in range(21))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = docs(spark, [(1, f"{passage} " * 950), (2, "a clean text " * 4000), (3, None)])
+    kept = corpus_pipeline.remove_benchmark_leaks(spark, df, str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3] and kept.columns == df.columns
+
+
 # --- toxicity -----------------------------------------------------------------------------------------------------------------
 
 
